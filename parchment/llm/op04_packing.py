@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from parchment.llm.op06_token_counts import _WORKER, as_bytes, encoder
+from parchment.llm.op06_token_counts import _WORKER, as_bytes, encoder, learn, pretokens
 from parchment.llm.shared import Memo, cut
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), by falling length
@@ -105,7 +105,7 @@ def pack_histogram(histogram: dict[int, int], room: int) -> list[tuple[Pattern,
     return out + [(p, t) for c in open_bins.values() for p, t in c.items()]
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", room: int = 2048, end: int = 0) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", room: int = 2048, end: int = 0, fold: bool = True) -> DataFrame:
     """Documents as token ids plus `end`, cut into pieces of `room`: doc_id, piece, start, length, ids_crc32."""
 
     def pieces(batches):
@@ -115,11 +115,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = data.as_py().split()
-                new = list({w for w in words if w not in ids})
-                for at in range(0, len(new), 4096):
-                    part = new[at : at + 4096]
-                    ids.update(zip(part, (np.array(x, dtype="<u4").tobytes() for x in encode(part)), strict=True))
+                words = pretokens(data.as_py(), fold)
+                learn(ids, words, encode, lambda x: np.array(x, dtype="<u4").tobytes(), fold)
                 packed = b"".join([*map(ids.__getitem__, words), tail])
                 for k, at in enumerate(range(0, len(packed), 4 * room)):
                     part = packed[at : at + 4 * room]
@@ -134,10 +131,11 @@ def token_pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
     return rows.mapInArrow(pieces, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", room: int = 2048, end: int = 0, shard_rows: int = 200_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", room: int = 2048, end: int = 0, fold: bool = True, shard_rows: int = 200_000) -> DataFrame:
     """One row per piece: doc_id, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long.
 
-    tokenizer: a .json file whose pre-tokenizer drops white space, at the same path on every executor.
+    tokenizer: a .json file whose pre-tokenizer drops white space, at the same path on every executor. fold: it
+    lower-cases and parts letters from punctuation.
     Null and empty text: one piece of the end id alone. Documents longer than `room` are cut into full
     pieces and a rest; no other document is cut. Repeated rows are packed each by itself, also when their
     ids are equal. Extra columns are ignored; an empty table gives an empty table. Only the histogram of
@@ -145,7 +143,7 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     are counted in shards of about shard_rows rows, so a common length never meets in one task.
     """
     spark = docs.sparkSession
-    salted = cut(token_pieces(docs, tokenizer, doc_id, text, room, end), "pieces")
+    salted = cut(token_pieces(docs, tokenizer, doc_id, text, room, end, fold), "pieces")
     histogram = {r["length"]: r["n"] for r in salted.groupBy("length").agg(F.count("*").alias("n")).collect()}
     keys, starts = [], []
     sequence, seen = 0, Counter()

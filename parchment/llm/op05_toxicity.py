@@ -47,7 +47,7 @@ def document_features(text: bytes, memo: Memo) -> dict:
 def feature_memo(index: dict[str, int] | None = None) -> Memo:
     """Features of chunks, by name, or by number for those in the index."""
     if index is None:
-        memo = Memo(features_of)
+        memo = Memo(features_of, 300_000)
         memo.is_share = lambda f: f.endswith("*")
     else:
         memo = Memo(lambda c: [index[f] for f in features_of(c) if f in index])

@@ -39,11 +39,32 @@ def encoder(path: str):
     return _WORKER[path]
 
 
+def pretokens(text: bytes, fold: bool) -> list[bytes]:
+    """The pre-tokens of a text; with `fold`, A-Z are lower-cased (as the tokenizer does anyway, so that one entry serves
+    both), unless the text might hold a special string, whose case counts."""
+    return (text.lower() if fold and b"<|" not in text else text).split()
+
+
+def learn(known: Memo, words, encode, value, fold: bool) -> None:
+    """Add the words that `known` lacks. value(ids) must be additive: a word that ends in a single full stop or comma after a
+    letter is the sum of both, as punctuation is a pre-token of its own."""
+    new = {w for w in words if w not in known}
+    if not new:
+        return
+    split = [w for w in new if fold and len(w) > 1 and w[-1] in b".," and 97 <= w[-2] <= 122]
+    ask = list({w[:-1] for w in split if w[:-1] not in known} | {p for p in (b".", b",") if split and p not in known} | new.difference(split))
+    for at in range(0, len(ask), 4096):
+        part = ask[at : at + 4096]
+        known.update(zip(part, map(value, encode(part)), strict=True))
+    for w in split:
+        known[w] = known[w[:-1]] + known[w[-1:]]
+
+
 def as_bytes(column: str) -> Column:
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
 
 
-def frequent_pretokens(docs: DataFrame, text: str = "text", most: int = 32_768, per_task: int = 4_096) -> list[bytes]:
+def frequent_pretokens(docs: DataFrame, text: str = "text", fold: bool = True, most: int = 32_768, per_task: int = 4_096) -> list[bytes]:
     """The `most` pre-tokens with the largest counts over all documents. Each task counts all it reads and
     hands on its `per_task` largest, so what is summed and what reaches the driver is bounded per task and in all.
     The choice affects speed only, never a count."""
@@ -52,7 +73,7 @@ def frequent_pretokens(docs: DataFrame, text: str = "text", most: int = 32_768,
         seen: Counter = Counter()
         for batch in batches:
             for text in batch.column(0):
-                seen.update(text.as_py().split())
+                seen.update(pretokens(text.as_py(), fold))
             if len(seen) > 500_000:
                 seen = Counter(dict(seen.most_common(100_000)))
         top = [(k, n) for k, n in seen.most_common(per_task) if len(k) <= 64 and n > 1]
@@ -63,18 +84,18 @@ def frequent_pretokens(docs: DataFrame, text: str = "text", most: int = 32_768,
     return [bytes(r.w) for r in rows]
 
 
-def token_counts(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", limit: int = 2048) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", limit: int = 2048, fold: bool = True) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes long, n_tokens long, over_limit boolean.
 
     tokenizer: a file for the tokenizers library (.json, white space dropped by its pre-tokenizer) or for
     sentencepiece (.model, whose pieces cross white space: there the whole text is one pre-token). It must
-    be at the same path on every executor. Null text: 0 bytes, 0 tokens. Nulls in other columns and extra
+    be at the same path on every executor. fold: the tokenizer lower-cases and parts letters from punctuation. Null text: 0 bytes, 0 tokens. Nulls in other columns and extra
     columns play no part; repeated rows are counted each by itself; an empty table gives an empty table.
     Special strings inside a text are tokens, as the library reads them by default.
     """
     spark = docs.sparkSession
     whole = tokenizer.endswith(".model")
-    common = [] if whole else frequent_pretokens(docs, text)
+    common = [] if whole else frequent_pretokens(docs, text, fold)
     table = spark.sparkContext.broadcast({w: len(ids) for w, ids in zip(common, encoder(tokenizer)(common), strict=True)} if common else {})
 
     def count(batches):
@@ -87,14 +108,11 @@ def token_counts(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
                 if whole:
                     out.append(len(encode([text])[0]) if text else 0)
                     continue
-                words = text.split()
-                misses = [w for w in words if w not in tier]
-                new = list({w for w in misses if w not in rest})
-                for at in range(0, len(new), 4096):
-                    part = new[at : at + 4096]
-                    rest.update(zip(part, map(len, encode(part)), strict=True))
-                n = sum(map(rest.__getitem__, misses))
-                out.append(n + sum(map(tier.get, words)) if not misses else n + sum(tier.get(w, 0) for w in words))
+                words = pretokens(text, fold)
+                counts = list(map(tier.get, words))
+                misses = [w for w, n in zip(words, counts, strict=True) if n is None]
+                learn(rest, misses, encode, len, fold)
+                out.append(sum(filter(None, counts)) + sum(map(rest.__getitem__, misses)))
                 rest.trim()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 

@@ -12,7 +12,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from parchment.llm.op06_token_counts import _WORKER, as_bytes
 from parchment.llm.shared import Memo, components, cut
@@ -115,14 +114,69 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85, bands: int = BANDS, rows: int = ROWS, small: int = 4_096) -> DataFrame:
+def block_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, comp: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Spanning links between documents of different components on different sides (side 0 and 1; all equal: within). Sizes of
+    intersections are products of rows of the incidence matrix over the hashes that two or more sets hold."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = often[column] > 1
+    row, column = np.repeat(np.arange(len(sets)), sizes)[shared], (np.cumsum(often > 1) - 1)[column[shared]]
+    width = int((often > 1).sum())
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, width, 8192):
+        part = np.zeros((len(sets), min(8192, width - at)), np.float32)
+        own = (column >= at) & (column < at + 8192)
+        part[row[own], column[own] - at] = 1
+        common += part @ part.T
+    hit = 100 * common >= percent * (sizes[:, None] + sizes[None] - common)
+    hit &= comp[:, None] != comp[None]
+    if side.any() and not side.all():
+        hit &= side[:, None] != side[None]
+    label, out = np.arange(len(sets)), []
+    for i, j in zip(*np.nonzero(np.triu(hit, 1)), strict=True):
+        if label[i] != label[j]:
+            label[label == label[j]] = label[i]
+            out.append((int(ids[i]), int(ids[j])))
+    return out
+
+
+def family_links(rows: DataFrame, texts: DataFrame, percent: int, part_docs: int) -> DataFrame:
+    """Links between different components of each family. rows(doc, comp, top): documents and a document of their bucket. A
+    family's largest component needs no comparison within itself."""
+    families = components(rows.select(F.col("doc").alias("a"), F.col("top").alias("b"))).withColumnRenamed("component", "family")
+    docs = rows.select("doc", "comp").distinct().join(families, F.col("doc") == F.col("id")).select("family", "doc", "comp")
+    sizes = docs.groupBy("family", "comp").agg(F.count("*").alias("n"))
+    tops = sizes.groupBy("family").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"))
+    parts = lambda n: F.greatest(F.ceil(n / part_docs), F.lit(1)).cast("int")
+    docs = docs.join(tops, "family").select("family", "doc", "comp", (F.col("comp") == F.col("top.comp")).alias("big"), parts(F.col("top.n")).alias("nb"), parts(F.col("all") - F.col("top.n")).alias("nr"))
+    own = F.pmod(F.xxhash64("doc"), F.when(F.col("big"), F.col("nb")).otherwise(F.col("nr"))).cast("int")
+    block = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
+    across = F.when(F.col("big"), F.transform(F.sequence(F.lit(0), F.col("nr") - 1), lambda j: block("x", own, j, F.lit(0)))).otherwise(
+        F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda i: block("x", i, own, F.lit(1))))
+    within = F.when(F.col("big"), F.array().cast("array<struct<kind:string,i:int,j:int,side:int>>")).otherwise(
+        F.transform(F.sequence(F.lit(0), F.col("nr") - 1), lambda k: block("r", F.least(own, k), F.greatest(own, k), (k < own).cast("int"))))
+    dealt = docs.select("family", "doc", "comp", F.explode(F.concat(across, within)).alias("b")).select("family", "b.kind", "b.i", "b.j", "b.side", "doc", "comp")
+    dealt = dealt.join(texts.select(F.col("id").alias("doc"), "text"), "doc")
+
+    def work(table: pa.Table) -> pa.Table:
+        memo = word_memo()
+        with np.errstate(over="ignore"):
+            sets = [shingle_set(t.as_py(), memo) for t in table["text"]]
+            memo.trim()
+            got = block_links(table["doc"].to_numpy(), sets, table["side"].to_numpy(), table["comp"].to_numpy(), percent)
+        return pa.table({"a": pa.array([min(p) for p in got], pa.int64()), "b": pa.array([max(p) for p in got], pa.int64())})
+
+    return dealt.groupBy("family", "kind", "i", "j").applyInArrow(work, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85, bands: int = BANDS, rows: int = ROWS, part_docs: int = 500) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles long, component_id long, kept boolean.
 
-    Equal sets form one class, of which the smallest id goes on. Classes that share a band are compared until they
-    are in one component: first with the class that shares most bands with others (one candidate for each
-    member, so a bucket of any size costs its length); then, in buckets that still hold several components, all
-    pairs across components where these are at most `small`, else again with the next eight of most shared bands, until
-    nothing is left. Every pair that shares a band is thus either confirmed, refuted or already connected.
+    Equal sets form one class, of which the smallest id goes on. In each bucket (classes that share a band) all are
+    compared with the one that shares most bands with others, so a bucket of any size costs its length. Buckets that
+    then still hold several components are joined into families, and within a family all documents of different
+    components are compared, in blocks of part_docs against part_docs: each task holds two blocks and returns a
+    spanning set of links. Every pair that shares a band is thus either confirmed, refuted or already connected.
 
     Null and empty texts have no shingles and link with nothing; texts of fewer than five words are one
     shingle; rows with equal ids count as one document; a null id is a component of its own (null). doc_id must be
@@ -138,39 +192,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     texts = cut(docs.select(F.col(doc_id).cast("long").alias("id"), as_bytes(text).alias("text")).join(degree.select(F.col("doc").alias("id")), "id").dropDuplicates(["id"]), "texts")
 
     alike = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)  # noqa: E731  sets of too different sizes can't reach it
-    links = tested = None
-    first = True
-    while True:
-        per = open_rows.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("deg", "doc", "n", "comp")).alias("top"))
-        live = open_rows.join(per.where("lo <> hi").select("key", "c", "top"), "key")
-        if first:
-            pairs = live.where("comp <> top.comp").where(alike(F.col("n"), F.col("top.n"))).select("doc", F.col("top.doc").alias("other"))
-            rest = live.where("doc <> top.doc").drop("c", "top")
-        else:
-            sizes = open_rows.groupBy("key", "comp").agg(F.count("*").alias("k")).groupBy("key").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs"))
-            live = cut(live.join(sizes, "key"), "live")
-            few = live.where(F.col("pairs") <= small)
-            right = few.select("key", F.col("doc").alias("other"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-            pairs = few.join(right, "key").where("doc < other and comp <> comp2").where(alike(F.col("n"), F.col("n2"))).select("doc", "other")
-            many = live.where(F.col("pairs") > small).drop("c", "top", "pairs")
-            rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("deg"), F.desc("doc")))
-            ranked = many.withColumn("rank", rank)
-            tops = ranked.where("rank <= 8").select("key", F.col("doc").alias("other"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-            pairs = pairs.unionByName(many.join(tops, "key").where("comp <> comp2").where(alike(F.col("n"), F.col("n2"))).select("doc", "other"))
-            rest = ranked.where("rank > 8").drop("rank")
-        pairs = pairs.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).where("a <> b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs, "pairs")
-        found = cut(confirmed(pairs, texts, percent), "links")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        joined = components(links)
-        rest = rest.select("key", "doc", "n", "deg").join(joined, rest["doc"] == joined["id"], "left").select("key", "doc", "n", "deg", F.coalesce("component", "doc").alias("comp"))
-        open_rows = cut(rest, "open")
-        first = False
-        if open_rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").isEmpty():
-            break
+    per = open_rows.groupBy("key").agg(F.max(F.struct("deg", "doc", "n")).alias("top"))
+    pairs = open_rows.join(per, "key").where("doc <> top.doc").where(alike(F.col("n"), F.col("top.n")))
+    pairs = cut(pairs.select(F.least("doc", "top.doc").alias("a"), F.greatest("doc", "top.doc").alias("b")).distinct(), "pairs")
+    links = cut(confirmed(pairs, texts, percent), "links")
+    joined = components(links)
+    open_rows = open_rows.select("key", "doc", "deg").join(joined, open_rows["doc"] == joined["id"], "left").select("key", "doc", "deg", F.coalesce("component", "doc").alias("comp"))
+    per = open_rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("deg", "doc")).alias("top")).where("lo <> hi")
+    left = cut(open_rows.join(per.select("key", "top"), "key").select("doc", "comp", F.col("top.doc").alias("top")), "left")
+    if not left.isEmpty():
+        links = links.unionByName(family_links(left, texts, percent, part_docs))
+        joined = components(cut(links, "links"))
     by_class = classes.select("digest", F.col("doc")).join(joined.withColumnRenamed("id", "doc"), "doc", "left").select("digest", F.coalesce("component", "doc").alias("component"))
     out = all_docs.where("digest is not null").join(by_class, "digest", "left").select("doc_id", "n_shingles", "component")
     out = out.unionByName(all_docs.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component")))

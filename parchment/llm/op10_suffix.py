@@ -72,13 +72,14 @@ def runs_of(data: np.ndarray, ends: np.ndarray, span: int) -> tuple[np.ndarray,
     first = np.flatnonzero(new)
     last = np.r_[first[1:], len(s)] - 1
     d, s0, s1, h = doc[first], s[first], s[last], h[first]
-    lens = s1 - s0 + width
-    often = np.zeros(len(h), np.int64)
-    for at in range(0, len(h), 4096):
-        n = lens[at : at + 4096]
-        places = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(s0[at : at + 4096], n)
-        same = g[places] == np.repeat(h[at : at + 4096], n)
-        often[at : at + 4096] = np.add.reduceat(same.astype(np.int64), np.cumsum(n) - n)
+    # a gram is the smallest of some string that holds it if it equals the largest of their minima; few are
+    low = np.zeros(len(g) + width - 1, np.uint64)
+    low[width - 1 : width - 1 + len(m)] = m
+    place = np.flatnonzero(g == ~sliding_min(~low, width))
+    lo, hi = np.searchsorted(place, s0), np.searchsorted(place, s1 + width)
+    n = hi - lo
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+    often = np.bincount(np.repeat(np.arange(len(h)), n), g[place[at]] == np.repeat(h, n), len(h)).astype(np.int64)
     return d, s0 - begins[d], s1 - begins[d], h, often
 
 
@@ -91,7 +92,7 @@ def suffix_array(t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     key = np.zeros(n, np.uint64)
     for i in range(8):
         key = (key << np.uint64(8)) | padded[i : i + n]
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
     ordered = key[sa]
     first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if n else np.zeros(0, np.int64)
     sizes = np.diff(np.r_[first, n])
@@ -103,7 +104,7 @@ def suffix_array(t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = sa[slots]
         after = at + h
         both = rank[at] * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
-        order = np.argsort(both, kind="stable")
+        order = np.argsort(both)
         at, both = at[order], both[order]
         sa[slots] = at
         first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
@@ -263,8 +264,8 @@ def duplicate_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 ids, column = batch.column(0), batch.column(1)
                 lens = np.fromiter(map(len, column.to_pylist()), np.int64, len(column))
                 at = 0
-                while at < len(lens):  # about a megabyte at a time stays in the processor's cache
-                    to = at + max(1, int(np.searchsorted(np.cumsum(lens[at:]), 1 << 20, side="right")))
+                while at < len(lens):  # about a quarter of a megabyte at a time stays in the processor's cache
+                    to = at + max(1, int(np.searchsorted(np.cumsum(lens[at:]), 1 << 18, side="right")))
                     data = np.frombuffer(b"".join(column[at:to].to_pylist()), np.uint8)
                     d, s0, s1, h, often = runs_of(data, np.cumsum(lens[at:to]), span)
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(d + at)), pa.array(h.view(np.int64)), pa.array(s0.astype(np.int32)), pa.array(s1.astype(np.int32)), pa.array(np.minimum(often, 2).astype(np.int32))], ["doc", "h", "s0", "s1", "often"])

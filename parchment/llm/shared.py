@@ -35,7 +35,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 class Memo(dict):
     """A dict that computes what it lacks. Call trim() between batches: it forgets all beyond `most` entries."""
 
-    def __init__(self, compute, most: int = 400_000):
+    def __init__(self, compute, most: int = 1_000_000):
         super().__init__()
         self.compute, self.most = compute, most
 

@@ -206,7 +206,7 @@ def test_near_duplicates(spark, sf):
         for at in rng.integers(0, 300, k % 9):
             copy[at] = f"edit{k}"
         texts[10_000 + k] = " ".join(copy)
-    got = {r.doc_id: tuple(r) for r in minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), small=5).collect()}
+    got = {r.doc_id: tuple(r) for r in minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), part_docs=7).collect()}
     assert got == brute_near(texts)
 
 
