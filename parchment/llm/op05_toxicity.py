@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -47,7 +48,7 @@ def document_features(text: bytes, memo: Memo) -> dict:
 def feature_memo(index: dict[str, int] | None = None) -> Memo:
     """Features of chunks, by name, or by number for those in the index."""
     if index is None:
-        memo = Memo(features_of, 300_000)
+        memo = Memo(features_of, 30_000)
         memo.is_share = lambda f: f.endswith("*")
     else:
         memo = Memo(lambda c: [index[f] for f in features_of(c) if f in index])
@@ -71,15 +72,21 @@ def fit_ordinal(texts: list[bytes], grades: list[int], most: int = 6_000, least:
     """Maximum likelihood by Adam over full batches. Features: the `most` with the strongest association (in
     absolute log-likelihood ratio) between presence and grade > 0, among those in at least `least` documents whose
     ratio exceeds the log of the number of features tried by `margin`, so that chance alone selects few."""
-    memo = feature_memo()
-    sets = [document_features(t, memo) for t in texts]
     y = np.array(grades, dtype=np.int64)
     top = int(y.max(initial=0))
     if not top or not (y == 0).any():
         return OrdinalModel({}, np.zeros(0), np.full(max(top, 1), 40.0 if not top else -40.0))
+    # documents are counted in hashed slots first, then by name in slots with enough of them: most names occur once
+    memo, slots = feature_memo(), np.zeros(1 << 22, np.uint16)
+    slot = lambda f: zlib.crc32(f.encode()) & 0x3FFFFF
+    for t in texts:
+        found = np.unique(np.fromiter(map(slot, document_features(t, memo)), np.int64))
+        slots[found] += slots[found] < 65_535
+        memo.trim()
     inside, outside = Counter(), Counter()
-    for s, g in zip(sets, grades, strict=True):
-        (inside if g else outside).update(s)
+    for t, g in zip(texts, grades, strict=True):
+        (inside if g else outside).update(f for f in document_features(t, memo) if slots[slot(f)] >= least)
+        memo.trim()
     n1, n0 = int((y > 0).sum()), int((y == 0).sum())
 
     def gain(f: str) -> float:
@@ -93,7 +100,12 @@ def fit_ordinal(texts: list[bytes], grades: list[int], most: int = 6_000, least:
     bar = math.log(max(1, len(known))) + margin
     kept = sorted((f for f in known if gains[f] >= bar), key=lambda f: (-gains[f], f))[:most]
     index = {f: i for i, f in enumerate(kept)}
-    own = [sorted((index[f], x) for f, x in s.items() if f in index) for s in sets]
+    del inside, outside, known, gains
+    few = feature_memo(index)
+    own = []
+    for t in texts:
+        own.append(sorted(document_features(t, few).items()))
+        few.trim()
     row, col = np.repeat(np.arange(len(own)), [len(x) for x in own]), np.array([i for x in own for i, _ in x], dtype=np.int64)
     value = np.array([x for pairs in own for _, x in pairs])
     balance = np.where(y > 0, 0.25 / n1, 0.75 / n0)  # a false alarm weighs more than a miss at equal numbers
@@ -146,7 +158,7 @@ def severity_grades(texts: list[bytes], toxic: list[int]) -> list[int]:
     return [(1 + (r > low) + (r > high)) if y else 0 for r, y in zip(rate, toxic, strict=True)]
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = 6_000) -> OrdinalModel:
+def train(docs: DataFrame, labels: DataFrame, rows: int = 4_000) -> OrdinalModel:
     """The model from at most `rows` labelled documents (a documented bound: the driver holds their texts)."""
     got = labelled_texts(docs, labels, rows)
     texts, toxic = [t for t, _ in got], [y for _, y in got]
