@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from parchment.llm.op06_token_counts import _WORKER, as_bytes, encoder, learn, pretokens
+from parchment.llm.op06_token_counts import as_bytes, encoder, learn, pretokens, worker_memo
 from parchment.llm.shared import Memo, cut
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), by falling length
@@ -110,7 +110,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
 
     def pieces(batches):
         encode = encoder(tokenizer)
-        ids = _WORKER.setdefault(("ids", tokenizer), Memo(None))
+        ids = worker_memo(("ids", tokenizer), lambda: Memo(None))
         tail = np.array([end], dtype="<u4").tobytes()
         for batch in batches:
             out: list[list] = [[], [], [], [], []]

@@ -7,16 +7,17 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 import zlib
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchment.llm.op06_token_counts import _WORKER, as_bytes
+from parchment.llm.op06_token_counts import as_bytes, worker_memo
 from parchment.llm.shared import Memo
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -62,6 +63,7 @@ class OrdinalModel:
     index: dict[str, int]
     weights: np.ndarray
     thresholds: np.ndarray
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def severity(self, active) -> float:
         z = sum(self.weights[f] * x for f, x in active.items())
@@ -173,9 +175,7 @@ def expected_severity(docs: DataFrame, model: OrdinalModel, text: str = "text",
 
     def severity(texts: pd.Series) -> pd.Series:
         own = shared.value
-        if _WORKER.get("toxicity", (None,))[0] is not own:
-            _WORKER["toxicity"] = own, feature_memo(own.index)
-        memo, out = _WORKER["toxicity"][1], []
+        memo, out = worker_memo(("toxicity", own.key), lambda: feature_memo(own.index)), []
         for text in texts:
             out.append(own.severity(document_features(text, memo)))
             memo.trim()

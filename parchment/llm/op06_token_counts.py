@@ -18,6 +18,15 @@ from parchment.llm.shared import Memo
 _WORKER: dict = {}
 
 
+def worker_memo(key, make):
+    """The memo of this name in this Python worker; memos of other operators are dropped, so that one is held at a time."""
+    for k in [k for k in _WORKER if isinstance(k, tuple) and k != key]:
+        del _WORKER[k]
+    if key not in _WORKER:
+        _WORKER[key] = make()
+    return _WORKER[key]
+
+
 def encoder(path: str):
     """A function from a list of byte strings to lists of token ids; one tokenizer per worker and file."""
     if path not in _WORKER:
@@ -100,7 +109,7 @@ def token_counts(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
 
     def count(batches):
         encode = encoder(tokenizer)
-        tier, rest = table.value, _WORKER.setdefault(("lengths", tokenizer), Memo(None))
+        tier, rest = table.value, worker_memo(("lengths", tokenizer), lambda: Memo(None))
         for batch in batches:
             out = []
             for text in batch.column(2):

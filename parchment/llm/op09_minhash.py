@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchment.llm.op06_token_counts import _WORKER, as_bytes
+from parchment.llm.op06_token_counts import as_bytes, worker_memo
 from parchment.llm.shared import Memo, components, cut
 
 BANDS, ROWS = 32, 7  # at similarity 0.85 a pair is missed with chance (1 - 0.85^7)^32 = 4e-6
@@ -69,7 +69,7 @@ def band_keys(items: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def word_memo() -> Memo:
-    return _WORKER.setdefault("words", Memo(xxhash.xxh3_64_intdigest))
+    return worker_memo(("words",), lambda: Memo(xxhash.xxh3_64_intdigest, 500_000))
 
 
 def sketched(docs: DataFrame, doc_id: str, text: str, bands: int, rows: int) -> DataFrame:
