@@ -4,7 +4,9 @@ multiplicative weights with knapsack dynamic programming as pricing, rounded dow
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -105,19 +107,30 @@ def pack_histogram(histogram: dict[int, int], room: int) -> list[tuple[Pattern,
     return out + [(p, t) for c in open_bins.values() for p, t in c.items()]
 
 
+def packed_ids(ids: list[int]) -> bytes:
+    """Unsigned little-endian 32-bit numbers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", room: int = 2048, end: int = 0, fold: bool = True) -> DataFrame:
     """Documents as token ids plus `end`, cut into pieces of `room`: doc_id, piece, start, length, ids_crc32."""
 
     def pieces(batches):
         encode = encoder(tokenizer)
         ids = worker_memo(("ids", tokenizer), lambda: Memo(None))
-        tail = np.array([end], dtype="<u4").tobytes()
+        tail = packed_ids([end])
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = pretokens(data.as_py(), fold)
-                learn(ids, words, encode, lambda x: np.array(x, dtype="<u4").tobytes(), fold)
-                packed = b"".join([*map(ids.__getitem__, words), tail])
+                parts = list(map(ids.get, words))
+                if None in parts:
+                    learn(ids, [w for w, p in zip(words, parts, strict=True) if p is None], encode, packed_ids, fold)
+                    parts = map(ids.__getitem__, words)
+                packed = b"".join([*parts, tail])
                 for k, at in enumerate(range(0, len(packed), 4 * room)):
                     part = packed[at : at + 4 * room]
                     for column, value in zip(out, (key, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
