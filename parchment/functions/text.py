@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-GREEK = {"α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta"}
+from parchment.functions.matching import GREEK
 
 
 def word_list(text: Column) -> Column:
@@ -93,3 +93,53 @@ def clock(seconds: Column) -> Column:
 def short_number(n: Column) -> Column:
     """1.2K, 3.4M; plain below a thousand."""
     return F.when(n >= 1e6, F.format_string("%.1fM", n / 1e6)).when(n >= 1e3, F.format_string("%.1fK", n / 1e3)).otherwise(n.cast("int").cast("string"))
+
+
+def structured_text(html: Column) -> Column:
+    """Ends of blocks and line breaks to new lines, other tags dropped, spaces tidied, at most one blank line in a row."""
+    s = F.regexp_replace(html, r"(?i)<br[ ]*/?>|</(p|div|li|h[1-6]|tr)>", "\n")
+    s = F.replace(F.regexp_replace(s, "<[^>]*>", ""), F.lit("&nbsp;"), F.lit(" "))
+    s = F.regexp_replace(F.regexp_replace(s, r"[ \t]+", " "), r" ?\n ?", "\n")
+    return F.regexp_replace(F.regexp_replace(s, r"\n{3,}", "\n\n"), r"^\s+|\s+\z", "")
+
+
+def plain_markdown(text: Column) -> Column:
+    """Markdown without its marks: headings, quotes, list marks, emphasis, code; links to their text."""
+    s = F.regexp_replace(text, r"!?\[([^\]]*)\]\([^)]*\)", "$1")
+    s = F.regexp_replace(s, r"(?m)^[ ]{0,3}(#{1,6}[ ]+|>[ ]?|[-*+][ ]+)", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(s, r"[*_`~]+", ""), r"\n{3,}", "\n\n"))
+
+
+def selected(text: Column) -> Column:
+    """A selection without runs of dots or underscores that lead to page numbers, on one line."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[._]{3,}", " "), r"\s+", " "))
+
+
+def video_id(url: Column) -> Column:
+    """Parameter v of a url, else an id of 11 characters at the path's end, else null."""
+    return F.coalesce(F.nullif(F.regexp_extract(url, r"[?&]v=([^&#]+)", 1), F.lit("")), F.nullif(F.regexp_extract(url, r"/([A-Za-z0-9_-]{11})(?:[?#].*)?\z", 1), F.lit("")))
+
+
+def initials(name: Column, default: str = "P") -> Column:
+    """Capital first letters of the first two words."""
+    letters = F.array_join(F.transform(F.slice(word_list(name), 1, 2), lambda w: F.upper(F.substring(w, 1, 1))), "")
+    return F.coalesce(F.nullif(letters, F.lit("")), F.lit(default))
+
+
+def lines_to_list(text: Column) -> Column:
+    """Trimmed lines that are not empty."""
+    return F.filter(F.transform(F.split(text, "\r?\n"), lambda s: F.trim(s)), lambda s: s != "")
+
+
+def noun_key(text: Column) -> Column:
+    """Trimmed, lower case, single spaces, no final punctuation."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), r"\s+", " "), r"[.,;:]+\z", "")
+
+
+def word_before(text: Column) -> Column:
+    """The word a text ends in; empty if it does not end in one."""
+    return F.regexp_extract(text, r"([\p{L}\p{N}'-]+)\z", 1)
+
+
+def first_heading(markdown: Column) -> Column:
+    return F.nullif(F.regexp_extract(markdown, r"(?m)^#{1,6}\s+(.+)$", 1), F.lit(""))
