@@ -17,12 +17,16 @@ _SQL: dict[str, str] = {}
 c = F.col
 
 
-def query(sql: str):
+def query(sql: str | None, session: bool = False):
+    """Registers a query of a reader of tables or, with `session`, of the session and the folder."""
+
     def add(f: Callable) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+            return f(spark, sf_dir) if session else f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
-        _QUERIES[f.__name__], _SQL[f.__name__] = run, sql
+        _QUERIES[f.__name__] = run
+        if sql is not None:
+            _SQL[f.__name__] = sql
         return f
 
     return add
