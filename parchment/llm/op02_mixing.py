@@ -66,7 +66,7 @@ def sainte_lague(votes: DataFrame, party: Sequence[str], group: Sequence[str] =
 
 
 def mix_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (5.0, 2.0, 1.0), most: float = 3.0,
-             seed: int = 17, block: int | None = None, shard_docs: int = 50_000) -> DataFrame:
+             seed: int = 17, block: int | None = None, shard_docs: int = 50_000, row: str | None = None) -> DataFrame:
     """One row per row of docs: doc_id, size, source, source_size, target, taken, and where its words lie: start,
     passes (full passes), chosen, blocks, phase, block.
 
@@ -74,10 +74,11 @@ def mix_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     rounding to blocks moves no source's share by more than about half a percent. Shards hold about shard_docs
     documents of one source, so a source with most rows is many shards. Null text has size 0 and is taken 0
     times; null is a source of its own, after all others; an empty table gives an empty table; extra columns are ignored;
-    repeated rows are documents each for itself.
+    repeated rows are documents each for itself. row: a column that comes along under its name.
     """
-    sizes = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"),
-                            F.xxhash64(F.col(doc_id), F.lit(seed)).alias("h")), "sizes")
+    carried = [row] if row else []
+    sizes = cut(docs.select(*carried, F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"),
+                            F.xxhash64(F.col(doc_id), F.lit(seed)).alias("h"), F.xxhash64(F.col(text)).alias("tie")), "sizes")
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.ceil(F.count("*") / shard_docs).alias("shards"))
     per = cut(source_targets(per, weights, most), "sources")
     totals = per.agg(F.min(F.when(F.col("target") > 0, F.col("target"))).alias("least"), F.sum("target").alias("all")).first()
@@ -98,11 +99,11 @@ def mix_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     cells = cells.withColumn("passes", F.when(F.col("words") > 0, F.floor(asked_words / F.col("words"))).otherwise(0))
     cells = cells.withColumn("blocks", F.ceil(F.col("words") / block)).withColumn("chosen", F.when(F.col("words") > 0, F.round((asked_words - F.col("passes") * F.col("words")) / block)).otherwise(0).cast("long"))
     cells = cells.withColumn("phase", F.pmod(F.xxhash64("key", "shard", F.lit(seed)), F.greatest("blocks", F.lit(1))))
-    line = Window.partitionBy("key", "shard").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    line = Window.partitionBy("key", "shard").orderBy("h", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     p = placed.withColumn("start", F.coalesce(F.sum("size").over(line), F.lit(0))).join(cells, ["key", "shard"])
     p = p.withColumn("block", F.lit(block).cast("long"))
     taken = F.col("passes") * F.col("size") + chosen_before(F.col("start") + F.col("size")) - chosen_before(F.col("start"))
-    return p.select("doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"), "start", "passes", "chosen", "blocks", "phase", "block")
+    return p.select("doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"), "start", "passes", "chosen", "blocks", "phase", "block", *carried)
 
 
 def block_chosen(index: Column) -> Column:
@@ -120,11 +121,13 @@ def chosen_before(word: Column) -> Column:
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The mixed documents, with the columns of docs: a row for each full pass over a document, and one with the
-    words (and the white space after each) of its chosen blocks where the partial pass takes some. doc_id must be unique."""
-    plan = mix_plan(docs, doc_id, text, source, **options).where("taken > 0").select(F.col("doc_id").alias(doc_id), "size", "taken", "start", "passes", "chosen", "blocks", "phase", "block")
+    words (and the white space after each) of its chosen blocks where the partial pass takes some. Rows are told apart by a
+    number of their own in a written table, so null and repeated ids neither vanish nor multiply."""
+    numbered = cut(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.monotonically_increasing_id().alias("_row")), "rows")
+    flat = numbered.select("_row", *(F.col(f"_doc.`{c}`").alias(f"_{c}") for c in dict.fromkeys((doc_id, text, source))))
+    plan = mix_plan(flat, f"_{doc_id}", f"_{text}", f"_{source}", row="_row", **options).where("taken > 0").select("_row", "size", "taken", "start", "passes", "chosen", "blocks", "phase", "block")
     plan = plan.withColumn("part", F.col("taken") - F.col("passes") * F.col("size"))
-    own = F.struct(*(F.col(c) for c in docs.columns)).alias("_doc")
-    both = docs.select(F.col(doc_id), own).join(plan, doc_id)
+    both = numbered.join(plan, "_row")
     words = F.regexp_extract_all(F.col(f"_doc.{text}"), F.lit(f"({WORD}[\\x20\\x09-\\x0D]*)"), F.lit(1))
     cut_text = F.array_join(F.filter(words, lambda w, i: block_chosen(F.floor((F.col("start") + i) / F.col("block")))), "")
     whole = F.col("passes") + (F.col("part") == F.col("size")).cast("long")
