@@ -23,3 +23,19 @@ def test_stages(spark, sf):
     numbered = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     check_packing(corpus_pipeline.packing(spark, numbered, sf).collect(), dict(enumerate(texts)))
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_rows_without_or_with_equal_ids(spark, sf):
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    long = " ".join(f"w{i}" for i in range(400))
+    docs = spark.createDataFrame([(None, "no id at all", "en", "a", 12), (None, None, None, None, None), (1, long, "en", "a", 9), (1, long, "en", "a", 9), (2, f"{long} more", "en", "a", 9), (3, "", "en", None, 0)], schema)
+    kept = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()), key=repr)
+    assert kept == [(1, long), (3, ""), (None, "no id at all"), (None, None)]
+    mixed = corpus_pipeline.mixing(spark, docs, sf)
+    assert mixed.columns == docs.columns
+    rows = mixed.collect()
+    words = sum(len(r.text.split()) for r in rows)
+    assert abs(words - (400 + 400 + 401 + 4)) <= 3 and any(r.doc_id is None for r in rows)
+    assert sum(r.doc_id == 1 for r in rows) <= 6
+    assert all(corpus_pipeline.STAGES[k][1](spark, docs, sf).columns == docs.columns for k in range(2))
+    assert corpus_pipeline.packing(spark, docs, sf).count() == 6
