@@ -7,6 +7,18 @@ from pyspark.sql import functions as F
 
 from parchment.functions.matching import GREEK
 
+#: Words that fill pauses, and the rule by which a spoken phrase replaces the one before.
+FILLERS = "uh|um|erm|er|ah|hmm|mm+|uhh+|umm+"
+NEAR, LEAST_WORDS, FEWER, MORE = 0.82, 5, 3, 5
+#: Elements whose end is the end of a line.
+BLOCKS = "h1|h2|h3|h4|h5|h6|p|li|div|tr|section|article|ol|ul"
+SPACE = r"[\s\p{Z}\uFEFF]"
+
+
+def stripped(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
+
 
 def word_list(text: Column) -> Column:
     """Words between white space; no empty ones."""
@@ -25,7 +37,7 @@ def distinct_words(text: Column) -> Column:
 
 def strip_html(html: Column) -> Column:
     """Tags to spaces, &nbsp; to a space, runs of white space to one space, trimmed."""
-    plain = F.regexp_replace(F.regexp_replace(html, "<[^>]*>", " "), "&nbsp;", " ")
+    plain = F.regexp_replace(F.regexp_replace(html, "<[^>]+>", " "), "&nbsp;", " ")
     return F.trim(F.regexp_replace(plain, r"\s+", " "))
 
 
@@ -69,8 +81,24 @@ def ocr_canonical(text: Column) -> Column:
 
 
 def dictation_key(text: Column) -> Column:
-    """Lower case, all but letters and digits to spaces, collapsed and trimmed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9À-ɏ ]", " "), " +", " "))
+    """Lower case, without words that fill pauses, all but letters and digits to spaces, collapsed and trimmed."""
+    s = F.regexp_replace(F.lower(text), f"(?<![A-Za-z0-9_])({FILLERS})(?![A-Za-z0-9_])", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(s, r"[^\p{L}\p{N}\s\p{Z}﻿]", " "), f"{SPACE}+", " "))
+
+
+def replaces_phrase(before: Column, now: Column) -> Column:
+    """Whether a phrase takes the place of the one before: both have enough words, share most of them and are about as
+    long. Both are dictation keys; null counts as empty."""
+    a, b = word_list(F.coalesce(before, F.lit(""))), word_list(F.coalesce(now, F.lit("")))
+    n, m = F.size(a), F.size(b)
+    return (n >= LEAST_WORDS) & (m >= LEAST_WORDS) & (set_similarity(a, b) >= NEAR) & (m >= n - FEWER) & (m <= n + MORE)
+
+
+def needs_correction(text: Column) -> Column:
+    """A dictation with words that fill pauses, four very short words in a row, or fourteen words."""
+    key = dictation_key(text)
+    filled = F.lower(text).rlike(f"(?<![A-Za-z0-9_])({FILLERS})(?![A-Za-z0-9_])")
+    return F.coalesce((stripped(text) != "") & (filled | key.rlike(r"(?i)(?<![a-z0-9_])[a-z]{1,2}(?:\s+[a-z]{1,2}){3,}(?![a-z0-9_])") | (words(key) >= 14)), F.lit(False))
 
 
 def set_similarity(a: Column, b: Column) -> Column:
@@ -90,34 +118,69 @@ def clock(seconds: Column) -> Column:
     return F.when(s <= 0, "").when(h > 0, F.format_string("%d:%02d:%02d", h, m, s % 60)).otherwise(F.format_string("%d:%02d", m, s % 60))
 
 
-def short_number(n: Column) -> Column:
-    """1.2K, 3.4M; plain below a thousand."""
-    return F.when(n >= 1e6, F.format_string("%.1fM", n / 1e6)).when(n >= 1e3, F.format_string("%.1fK", n / 1e3)).otherwise(n.cast("int").cast("string"))
+def short_number(n: Column, unit: str = "views") -> Column:
+    """1.2K views, 3.4M views; plain below a thousand, empty for 0 and null."""
+    some = F.when(n >= 1e6, F.format_string("%.1fM", n / 1e6)).when(n >= 1e3, F.format_string("%.1fK", n / 1e3)).otherwise(n.cast("string"))
+    return F.when(F.coalesce(n, F.lit(0)) == 0, "").otherwise(F.concat(some, F.lit(f" {unit}")))
 
 
 def structured_text(html: Column) -> Column:
-    """Ends of blocks and line breaks to new lines, other tags dropped, spaces tidied, at most one blank line in a row."""
-    s = F.regexp_replace(html, r"(?i)<br[ ]*/?>|</(p|div|li|h[1-6]|tr)>", "\n")
-    s = F.replace(F.regexp_replace(s, "<[^>]*>", ""), F.lit("&nbsp;"), F.lit(" "))
-    s = F.regexp_replace(F.regexp_replace(s, r"[ \t]+", " "), r" ?\n ?", "\n")
-    return F.regexp_replace(F.regexp_replace(s, r"\n{3,}", "\n\n"), r"^\s+|\s+\z", "")
+    """Ends of blocks and line breaks to new lines, tags to spaces, no spaces before a line's end, at most one blank line in a row."""
+    s = F.regexp_replace(F.regexp_replace(html, f"(?i)</({BLOCKS})>", " \n"), r"(?i)<br\s*/?>", "\n")
+    s = F.replace(F.replace(F.regexp_replace(s, "<[^>]+>", " "), F.lit("&nbsp;"), F.lit(" ")), F.lit("\r"), F.lit(""))
+    s = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n"), r"[ \t]{2,}", " ")
+    return stripped(s)
+
+
+def sentence_units(html: Column) -> Column:
+    """The sentences of each paragraph of a marked-up text."""
+    flat = F.transform(F.split(structured_text(html), r"\n{2,}"), lambda b: F.regexp_replace(b, r"\n+", " "))
+    parts = F.flatten(F.transform(flat, lambda b: F.regexp_extract_all(b, F.lit(r"([^.!?]+[.!?]+|[^.!?]+\z)"), F.lit(1))))
+    return F.filter(F.transform(parts, lambda x: stripped(x)), lambda x: x != "")
+
+
+#: Marks of Markdown and what stands for them, in the order in which they go.
+MARKDOWN = (
+    (r"```\s*([\s\S]*?)\s*```", "$1"), (r"(?m)^\s{0,3}#{1,6}\s*", ""), (r"(?m)^\s*>\s?", ""), (r"(?m)^\s*[-*+]\s+", ""), (r"(?m)^\s*\d+\.\s+", ""), (r"\[([^\]]+)\]\(([^)]+)\)", "$1"),
+    (r"`([^`]+)`", "$1"), (r"\*\*\*(.*?)\*\*\*|___(.*?)___", "$1$2"), (r"\*\*(.*?)\*\*|__(.*?)__", "$1$2"), (r"\*(.*?)\*|_(.*?)_", "$1$2"), (r"(?m)^\s*---+\s*$", ""), (r"\n{3,}", "\n\n"),
+)
+SPOKEN = (
+    (r"```[\s\S]*?```", ", code block,"), (r"`([^`]+)`", "$1"), (r"(?m)^#{1,6}\s+", ""), (r"\*{1,3}([^*]+)\*{1,3}", "$1"), (r"(?m)^\s*[-*]\s", ""), (r"(?m)^\s*\d+\.\s", ""),
+    (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"(?m)^>\s*", ""), (r"---+", ""), (r"\s+", " "),
+)
 
 
 def plain_markdown(text: Column) -> Column:
-    """Markdown without its marks: headings, quotes, list marks, emphasis, code; links to their text."""
-    s = F.regexp_replace(text, r"!?\[([^\]]*)\]\([^)]*\)", "$1")
-    s = F.regexp_replace(s, r"(?m)^[ ]{0,3}(#{1,6}[ ]+|>[ ]?|[-*+][ ]+)", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(s, r"[*_`~]+", ""), r"\n{3,}", "\n\n"))
+    """Markdown without its marks; links and code keep their text."""
+    for pattern, stands in MARKDOWN:
+        text = F.regexp_replace(text, pattern, stands)
+    return stripped(text)
+
+
+def spoken_markdown(text: Column) -> Column:
+    """Markdown as it is read aloud: one line, without marks."""
+    for pattern, stands in SPOKEN:
+        text = F.regexp_replace(text, pattern, stands)
+    return stripped(text)
+
+
+def ocr_text(text: Column) -> Column:
+    """Lines trimmed and joined by single spaces; empty ones go."""
+    return stripped(F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\r"), F.lit("")), f"{SPACE}+", " "))
 
 
 def selected(text: Column) -> Column:
-    """A selection without runs of dots or underscores that lead to page numbers, on one line."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[._]{3,}", " "), r"\s+", " "))
+    """A selection without runs of leader marks at the start of a line, spaces and blank lines tidied."""
+    s = F.regexp_replace(text, r"(^|\n)[ \t]*[.\-_=*~]{4,}(?=\s|[\p{L}\p{N}]|\z)", "$1")
+    s = F.regexp_replace(F.regexp_replace(s, r"[ \t]+\n", "\n"), r"\n[ \t]+", "\n")
+    return stripped(F.regexp_replace(F.regexp_replace(s, r"[ \t]{2,}", " "), r"\n{3,}", "\n\n"))
 
 
 def video_id(url: Column) -> Column:
-    """Parameter v of a url, else an id of 11 characters at the path's end, else null."""
-    return F.coalesce(F.nullif(F.regexp_extract(url, r"[?&]v=([^&#]+)", 1), F.lit("")), F.nullif(F.regexp_extract(url, r"/([A-Za-z0-9_-]{11})(?:[?#].*)?\z", 1), F.lit("")))
+    """Parameter v of a url, else the id of 11 characters after a short, embedded or brief address; null without either or without a scheme."""
+    given = F.nullif(F.regexp_extract(url, r"^[^?#]*\?(?:[^#]*?&)?v=([^&#]*)", 1), F.lit(""))
+    path = F.nullif(F.regexp_extract(url, r"(?:youtu\.be/|/embed/|/shorts/)([A-Za-z0-9_-]{11})", 1), F.lit(""))
+    return F.when(url.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.coalesce(F.try_url_decode(given), given, path))
 
 
 def initials(name: Column, default: str = "P") -> Column:
@@ -143,3 +206,12 @@ def word_before(text: Column) -> Column:
 
 def first_heading(markdown: Column) -> Column:
     return F.nullif(F.regexp_extract(markdown, r"(?m)^#{1,6}\s+(.+)$", 1), F.lit(""))
+
+
+def selection_key(text: Column) -> Column:
+    """As noun_key, but final punctuation goes before white space is tidied."""
+    return stripped(F.regexp_replace(F.regexp_replace(F.lower(text), r"[.,;:]+\z", ""), r"\s+", " "))
+
+
+def campaign_label(text: Column, default: str = "brand post") -> Column:
+    return F.upper(F.replace(F.coalesce(F.nullif(text, F.lit("")), F.lit(default)), F.lit("-"), F.lit(" ")))

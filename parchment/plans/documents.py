@@ -7,26 +7,36 @@ from pyspark.sql.window import Window
 
 from parchment.functions import geometry as G
 from parchment.functions import text as T
-from parchment.operators import correction, documents, search
+from parchment.operators import correction, documents, search, strokes
 from parchment.operators import relational as R
-from parchment.plans.reference import WORDS, query
+from parchment.plans.reference import SPOKEN, WORDS, query
 from parchment.streaming import events
 
 c = F.col
 
 
-@query(r"""WITH a AS (SELECT page_id, replace(regexp_replace(regexp_replace(html, '(?i)<br[ ]*/?>|</(p|div|li|h[1-6]|tr)>', chr(10), 'g'), '<[^>]*>', '', 'g'), '&nbsp;', ' ') AS s FROM pages)
-SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+\z', '', 'g') AS plain FROM a""")
+@query(r"""WITH a AS (SELECT page_id, replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '</(h1|h2|h3|h4|h5|h6|p|li|div|tr|section|article|ol|ul)>', ' ' || chr(10), 'gi'), '<br\s*/?>', chr(10), 'gi'), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), chr(13), '') AS s FROM pages)
+SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]{2,}', ' ', 'g'), '^\s+|\s+\z', '', 'g') AS plain FROM a""")
 def page_structured_text(t):
     return t("pages").select("page_id", T.structured_text(c("html")).alias("plain"))
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '!?\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '(?m)^[ ]{0,3}(#{1,6}[ ]+|>[ ]?|[-*+][ ]+)', '', 'g'), '[*_`~]+', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g')) AS plain FROM documents")
+def _markdown_sql() -> str:
+    s = "text"
+    for pattern, stands in T.MARKDOWN:
+        s = f"regexp_replace({s}, '{pattern}', '{stands.replace('$', chr(92))}', 'g')"
+    return f"SELECT doc_id, regexp_replace({s}, '^\\s+|\\s+\\z', '', 'g') AS plain FROM documents"
+
+
+@query(_markdown_sql())
 def markdown_clean(t):
     return t("documents").select("doc_id", T.plain_markdown(c("text")).alias("plain"))
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[._]{3,}', ' ', 'g'), '\s+', ' ', 'g')) AS plain FROM documents")
+_LEADER = r"regexp_replace({}, '(^|\n)[ \t]*[.\-_=*~]{{4,}}(\s|[\p{{L}}\p{{N}}]|\z)', '\1\2', 'g')"
+
+
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(" + _LEADER.format(_LEADER.format("text")) + r", '[ \t]+\n', chr(10), 'g'), '\n[ \t]+', chr(10), 'g'), '[ \t]{2,}', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+\z', '', 'g') AS plain FROM documents")
 def selection_clean(t):
     return t("documents").select("doc_id", T.selected(c("text")).alias("plain"))
 
@@ -42,7 +52,7 @@ def text_keys(t):
     return t("documents").select("doc_id", T.noun_key(text).alias("noun"), T.word_before(text).alias("last_word"), T.first_heading(text).alias("heading"), F.size(T.lines_to_list(text)).alias("n_lines"))
 
 
-@query(r"SELECT page_id, coalesce(nullif(regexp_extract(url, '[?&]v=([^&#]+)', 1), ''), nullif(regexp_extract(url, '/([A-Za-z0-9_-]{11})(?:[?#].*)?\z', 1), '')) AS video FROM pages")
+@query(r"SELECT page_id, CASE WHEN regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN coalesce(nullif(regexp_extract(url, '^[^?#]*\?(?:[^#]*?&)?v=([^&#]*)', 1), ''), nullif(regexp_extract(url, '(?:youtu\.be/|/embed/|/shorts/)([A-Za-z0-9_-]{11})', 1), '')) END AS video FROM pages")
 def video_ids(t):
     return t("pages").select("page_id", T.video_id(c("url")).alias("video"))
 
@@ -52,12 +62,12 @@ def initials(t):
     return t("part").select("p_partkey", T.initials(c("p_name")).alias("initials"))
 
 
-@query(f"""WITH w AS (SELECT conv_id, turn, list_distinct({WORDS.format('lower(text)')}) AS a FROM conversations),
+@query(f"""WITH w AS (SELECT conv_id, turn, list_distinct({WORDS.format(SPOKEN)}) AS a FROM conversations),
 l AS (SELECT *, lag(a) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM w)
 SELECT conv_id, turn, CASE WHEN b IS NULL OR len(a) = 0 OR len(b) = 0 THEN 0.0::DOUBLE ELSE round(len(list_intersect(a, b)) / greatest(len(a), len(b)), 6) END AS similarity FROM l""")
 def lag_similarity(t):
     w = Window.partitionBy("conv_id").orderBy("turn")
-    d = t("conversations").select("conv_id", "turn", F.array_distinct(T.word_list(F.lower("text"))).alias("a"))
+    d = t("conversations").select("conv_id", "turn", F.array_distinct(T.word_list(T.dictation_key(c("text")))).alias("a"))
     d = d.withColumn("b", F.lag("a").over(w))
     return d.select("conv_id", "turn", F.coalesce(F.round(T.set_similarity(c("a"), F.coalesce("b", F.array().cast("array<string>"))), 6), F.lit(0.0)).alias("similarity"))
 
@@ -146,9 +156,29 @@ def stream_dedupe(spark, sf_dir):
     return events.run_available(spark, f"{sf_dir}/events.parquet", lambda s: events.first_seen(s.select("user_id", "event_type"), ["user_id", "event_type"]))
 
 
-@query(f"""WITH w AS (SELECT conv_id AS key, turn AS ord, text, list_distinct({WORDS.format('lower(text)')}) AS a FROM conversations),
-l AS (SELECT *, lag(a) OVER (PARTITION BY key ORDER BY ord) AS b FROM w),
-m AS (SELECT *, coalesce(len(a) > 0 AND len(b) > 0 AND len(list_intersect(a, b)) >= 0.75 * greatest(len(a), len(b)), false) AS replaces FROM l)
+@query(f"""WITH w AS (SELECT conv_id AS key, turn AS ord, text, {WORDS.format(SPOKEN)} AS a FROM conversations),
+l AS (SELECT *, coalesce(lag(a) OVER (PARTITION BY key ORDER BY ord), []) AS b FROM w),
+m AS (SELECT *, len(a) >= 5 AND len(b) >= 5 AND len(a) >= len(b) - 3 AND len(a) <= len(b) + 5 AND len(list_intersect(list_distinct(a), list_distinct(b))) / greatest(len(list_distinct(a)), len(list_distinct(b))) >= 0.82 AS replaces FROM l)
 SELECT key, (sum(CASE WHEN replaces THEN 0 ELSE 1 END) OVER (PARTITION BY key ORDER BY ord))::BIGINT AS phrase, ord, replaces, text FROM m""", session=True)
 def stream_phrases(spark, sf_dir):
     return events.run_available(spark, f"{sf_dir}/conversations.parquet", lambda s: events.phrases(s, "conv_id", "turn", "text"))
+
+
+@query("""WITH s AS (SELECT event_id, user_id, epoch_us(ts) AS t, value FROM events),
+f AS (SELECT *, first_value(t) OVER w AS ft, first_value(value) OVER w AS fv FROM s WINDOW w AS (PARTITION BY user_id ORDER BY t RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW))
+SELECT event_id, CASE WHEN t > ft THEN round((value - fv) / (t - ft) * 1e9, 6) ELSE 0.0 END AS vx FROM f""")
+def rolling_velocity(t):
+    d = t("events").select("event_id", "user_id", F.unix_micros(c("ts").cast("timestamp")).alias("t"), "value")
+    return strokes.velocity(d, ["user_id"], "t", "event_id", "value", "value", 86_400_000_000).select("event_id", F.when(c("vx") != 0, F.round(c("vx") * 1e9, 6)).otherwise(F.lit(0.0)).alias("vx"))
+
+
+@query("SELECT conv_id, arg_max(text, turn) AS caption FROM conversations GROUP BY conv_id HAVING arg_max(role, turn) <> 'assistant'")
+def open_captions(t):
+    return events.captions(t("conversations").withColumn("final", c("role") == "assistant"), "conv_id", "turn", "text", "final")
+
+
+@query(None)
+def pen_strokes(t):
+    point = F.struct(c("l_linenumber").cast("double").alias("t"), c("l_quantity").alias("x"), (c("l_discount") * 100).alias("y"), F.lit(0.5).alias("pressure"))
+    points = F.transform(F.sort_array(F.collect_list(point)), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["t"].alias("t"), p["pressure"].alias("pressure")))
+    return t("lineitem").groupBy("l_orderkey").agg(points.alias("points")).select("l_orderkey", strokes.finish_strokes(c("points"), dynamic=True).alias("points"))

@@ -43,6 +43,9 @@ def oracle_sql() -> dict[str, str]:
 WORDS = "list_filter(regexp_split_to_array({}, '\\s+'), lambda w: w <> '')"
 
 
+SPOKEN = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '\b(uh|um|erm|er|ah|hmm|mm+|uhh+|umm+)\b', ' ', 'g'), '[^\p{L}\p{N}\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
 @query(f"SELECT doc_id, len({WORDS.format('text')}) AS n_words FROM documents WHERE contains(lower(text), 'the') ORDER BY n_words DESC, doc_id LIMIT 20")
 def top_documents(t):
     return t("documents").where(R.contains_any_case("the", "text")).select("doc_id", T.words(c("text")).alias("n_words")).orderBy(F.desc("n_words"), "doc_id").limit(20)
@@ -58,7 +61,7 @@ def doc_unique_words(t):
     return t("documents").select("doc_id", T.distinct_words(c("text")).alias("n_words"))
 
 
-@query("SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&nbsp;', ' ', 'g'), '\\s+', ' ', 'g')) AS plain FROM pages")
+@query("SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&nbsp;', ' ', 'g'), '\\s+', ' ', 'g')) AS plain FROM pages")
 def page_strip_html(t):
     return t("pages").select("page_id", T.strip_html(c("html")).alias("plain"))
 
@@ -214,7 +217,7 @@ def slugs(t):
     return t("supplier").select("s_suppkey", T.slug(c("s_name")).alias("slug"))
 
 
-@query("SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9À-ɏ ]', ' ', 'g'), ' +', ' ', 'g')) AS key FROM conversations")
+@query(f"SELECT conv_id, turn, {SPOKEN} AS key FROM conversations")
 def dictation_clean(t):
     return t("conversations").select("conv_id", "turn", T.dictation_key(c("text")).alias("key"))
 

@@ -10,9 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-#: Fixed value: a phrase that shares this part of its words with the one before replaces it.
-NEAR = 0.75
-
+from parchment.functions import text as T
 
 def data_events(lines: DataFrame, line: str, schema: str, into: str = "event") -> DataFrame:
     """`data: {json}` lines parsed; other lines, the end mark and broken JSON go."""
@@ -30,26 +28,36 @@ def first_seen(stream: DataFrame, keys: list[str], time: str | None = None, late
     return stream.dropDuplicates(keys) if time is None else stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
+def captions(events: DataFrame, speaker: str, time: str, text: str, final: str) -> DataFrame:
+    """What each speaker is saying: the latest text unless it is final. One row of state per speaker, so it also serves a stream
+    in update mode. Of equal times, the final one is the latest."""
+    last = events.groupBy(speaker).agg(F.max(F.struct(F.col(time).alias("time"), F.coalesce(final, F.lit(False)).alias("final"), F.col(text).alias("text"))).alias("_l"))
+    return last.where("not _l.final").select(speaker, F.col("_l.text").alias("caption"))
+
+
 def still_current(request: Column, latest: Column, page: Column, current_page: Column) -> Column:
     """Whether an answer is to the latest request and still for the page shown."""
     return request.eqNullSafe(latest) & page.eqNullSafe(current_page)
 
 
-def near(a: str, b: str) -> bool:
-    x, y = set(a.lower().split()), set(b.lower().split())
-    return bool(x and y) and len(x & y) / max(len(x), len(y)) >= NEAR
+def near(before: str, now: str) -> bool:
+    """replaces_phrase() of two dictation keys, for the state of a stream."""
+    a, b = before.split(), now.split()
+    if min(len(a), len(b)) < T.LEAST_WORDS or not len(a) - T.FEWER <= len(b) <= len(a) + T.MORE:
+        return False
+    x, y = set(a), set(b)
+    return len(x & y) / max(len(x), len(y)) >= T.NEAR
 
 
 def _fold(key, batches, state: GroupState):
-    """State: the last phrase and its number. Rows of a batch are taken in order of `ord`."""
+    """State: the dictation key of the last phrase and its number. Rows of a batch are taken in order of `ord`."""
     last, n = state.get if state.exists else ("", 0)
     rows = pd.concat(list(batches)).sort_values("ord", kind="stable")
     out = []
-    for t, o in zip(rows["text"], rows["ord"]):
-        t = t or ""
-        again = near(last, t)
+    for t, o, said in zip(rows["text"], rows["ord"], rows["said"]):
+        again = near(last, said)
         n += not again
-        last = t
+        last = said
         out.append((*key, n, int(o), again, t))
     state.update((last, n))
     yield pd.DataFrame(out, columns=["key", "phrase", "ord", "replaces", "text"])
@@ -58,7 +66,8 @@ def _fold(key, batches, state: GroupState):
 def phrases(stream: DataFrame, key: str, ord: str, text: str) -> DataFrame:
     """Each row with the number of its phrase in its key (bigint); one that is near the row before replaces that. The
     state of a key is one phrase, so it does not grow with the stream."""
-    rows = stream.select(F.col(key).cast("long").alias("key"), F.col(ord).cast("long").alias("ord"), F.col(text).alias("text"))
+    rows = stream.select(F.col(key).cast("long").alias("key"), F.col(ord).cast("long").alias("ord"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = rows.withColumn("said", T.dictation_key(F.col("text")))
     return rows.groupBy("key").applyInPandasWithState(_fold, "key long, phrase long, ord long, replaces boolean, text string", "last string, n long", "append", GroupStateTimeout.NoTimeout)
 
 
