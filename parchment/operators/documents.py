@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -42,6 +43,28 @@ def reading_order(elements: DataFrame, page: Sequence[str]) -> DataFrame:
     return top.withColumn("flow_rank", F.dense_rank().over(Window.partitionBy(*page).orderBy("_first", "_at"))).drop("_i", "_first", "_at")
 
 
+def list_tree(elements: DataFrame) -> DataFrame:
+    """Elements (id, kind, child_ids) to the items of their nested lists: root (outermost list), item_id, place array<int> (from 0, one
+    number per level), depth. A list's items are its children of kind list_item; an item's own list is its first child of kind
+    list. Unknown children do not count; a cycle ends where it would meet a list again."""
+    named = elements.dropDuplicates(["id"])
+    children = named.select("id", "kind", F.posexplode("child_ids").alias("at", "child"))
+    kinds = named.select(F.col("id").alias("child"), F.col("kind").alias("child_kind"))
+    links = children.join(kinds, "child")
+    items, nested = f"_items_{uuid.uuid4().hex}", f"_nested_{uuid.uuid4().hex}"
+    own = links.where("kind = 'list' and child_kind = 'list_item'")
+    at = F.row_number().over(Window.partitionBy("id").orderBy("at")) - 1
+    own.select(F.col("id").alias("list_id"), F.col("child").alias("item_id"), at.alias("at")).createOrReplaceTempView(items)
+    links.where("kind = 'list_item' and child_kind = 'list'").groupBy(F.col("id").alias("item_id")).agg(F.min_by("child", "at").alias("list_id")).createOrReplaceTempView(nested)
+    return elements.sparkSession.sql(f"""
+        WITH RECURSIVE tree(root, item_id, place, met) AS (
+            SELECT list_id, item_id, array(at), array(list_id) FROM {items} i WHERE NOT EXISTS (SELECT 1 FROM {nested} n WHERE n.list_id = i.list_id)
+            UNION ALL
+            SELECT t.root, i.item_id, t.place || array(i.at), t.met || array(n.list_id)
+            FROM tree t JOIN {nested} n ON n.item_id = t.item_id JOIN {items} i ON i.list_id = n.list_id WHERE NOT array_contains(t.met, n.list_id))
+        SELECT root, item_id, place, size(place) AS depth FROM tree""")
+
+
 def entity_series(log: DataFrame) -> DataFrame:
     """Readings of a log (id, type, name, domain, parent_schema, trace_name, value, unit, created_at, ord), one row each: domain,
     schema, trace, id, value, unit, created_at, place (by time within schema; bad times last). A schema is the first of its name in any

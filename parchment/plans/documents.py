@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from parchment.functions import geometry as G
 from parchment.functions import text as T
-from parchment.operators import correction, documents, search, strokes
+from parchment.operators import correction, documents, layout, search, strokes
 from parchment.operators import relational as R
 from parchment.plans.reference import SPOKEN, WORDS, query
 from parchment.streaming import events
@@ -138,14 +138,14 @@ def flow_order(t):
 
 
 @query("""WITH s AS (SELECT n_name AS schema, CASE WHEN r_name = 'ASIA' THEN 'Unassigned Domain' ELSE r_name END AS domain, s_suppkey FROM nation JOIN region ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey WHERE n_nationkey < 20),
-v AS (SELECT l_orderkey * 10 + l_linenumber AS ord, l_suppkey, l_shipdate, l_quantity FROM lineitem)
+v AS (SELECT ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS ord, l_suppkey, l_shipdate, l_quantity FROM lineitem)
 SELECT domain, schema, 'TRACE ' || l_suppkey AS trace, v.ord::VARCHAR AS id, l_quantity::BIGINT::VARCHAR AS value, row_number() OVER (PARTITION BY schema ORDER BY l_shipdate, v.ord) AS place FROM v LEFT JOIN s ON l_suppkey = s_suppkey""")
 def entity_series(t):
     n, s = t("nation").where("n_nationkey < 20"), t("supplier")
     text = lambda e, name: F.expr(e).cast("string").alias(name)
     schemas = n.join(t("region"), c("n_regionkey") == c("r_regionkey")).select(text("n_nationkey", "id"), F.lit("schema").alias("type"), c("n_name").alias("name"), F.nullif("r_name", F.lit("ASIA")).alias("domain"), c("n_nationkey").cast("long").alias("ord"))
     traces = s.join(n, c("s_nationkey") == c("n_nationkey")).select(text("s_suppkey", "id"), F.lit("trace").alias("type"), text("'Trace ' || s_suppkey", "name"), F.lower("n_name").alias("parent_schema"), c("s_suppkey").alias("ord"))
-    number = c("l_orderkey") * 10 + c("l_linenumber")
+    number = ((c("l_orderkey") * 10 + c("l_linenumber")) * 100_000 + c("l_partkey")) * 10_000 + c("l_suppkey")  # order and line alone repeat
     values = t("lineitem").select(number.cast("string").alias("id"), F.lit("trace_value").alias("type"), text("'TRACE ' || l_suppkey", "trace_name"), text("cast(l_quantity as bigint)", "value"), F.lit(None).cast("string").alias("unit"), c("l_shipdate").alias("created_at"), number.alias("ord"))
     log = schemas.unionByName(traces, allowMissingColumns=True).unionByName(values, allowMissingColumns=True)
     return documents.entity_series(log).select("domain", "schema", "trace", "id", "value", "place")
@@ -182,3 +182,9 @@ def pen_strokes(t):
     point = F.struct(c("l_linenumber").cast("double").alias("t"), c("l_quantity").alias("x"), (c("l_discount") * 100).alias("y"), F.lit(0.5).alias("pressure"))
     points = F.transform(F.sort_array(F.collect_list(point)), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["t"].alias("t"), p["pressure"].alias("pressure")))
     return t("lineitem").groupBy("l_orderkey").agg(points.alias("points")).select("l_orderkey", strokes.finish_strokes(c("points"), dynamic=True).alias("points"))
+
+
+@query(None)
+def page_layout(t):
+    x, y = c("l_partkey") % 400, c("l_quantity") * 12
+    return layout.page_layout(t("lineitem").select("l_orderkey", x.alias("x1"), (x + 40).alias("x2"), y.alias("y1"), (y + 10).alias("y2"), c("l_returnflag").alias("text"), c("l_linenumber").alias("ord")), ["l_orderkey"])

@@ -51,6 +51,6 @@ def test_server_events(spark):
     assert got[1].m.text == "data: [DONE]"
 
 
-@pytest.mark.parametrize("name", ["search_hits", "text_correction", "page_lines"])
+@pytest.mark.parametrize("name", ["search_hits", "text_correction", "page_lines", "pen_strokes", "page_layout"])
 def test_runs(spark, sf, name):
     assert reference.queries()[name](spark, sf).count() > 0
