@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Sequence
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,39 +19,52 @@ from parchment.operators.documents import LEAST_TOLERANCE, SHARE
 GUTTER, BUCKET, VOTES, SECOND, MARGIN = (16.0, 1.7), (20.0, 2.0), (3, 0.3), 0.6, (4.0, 0.5)
 #: Fixed value: what stands alone at a tab stop, in at most five characters.
 PAGE_NUMBER = re.compile("[ivxlcdm0-9]+", re.IGNORECASE)
-ITEM = ("x1", "x2", "y1", "y2", "text", "ord")
+
+
+class Item(NamedTuple):
+    x1: float
+    x2: float
+    y1: float
+    y2: float
+    text: str
+    ord: int | None
 
 
 class Line:
     """Items of one height, from left to right, and the columns they come from."""
 
-    def __init__(self, items: pd.DataFrame, columns: frozenset[int] = frozenset()):
-        self.items, self.columns = items.sort_values("x1", kind="stable"), columns
-        self.y1, self.y2 = float(items["y1"].min()), float(items["y2"].max())
-        self.x1, self.x2 = float(items["x1"].min()), float(items["x2"].max())
+    def __init__(self, items: list[Item], columns: frozenset[int] = frozenset()):
+        self.items, self.columns = sorted(items, key=lambda i: i.x1), columns
+        self.x1, self.x2 = self.items[0].x1, max(i.x2 for i in items)
+        self.y1, self.y2 = min(i.y1 for i in items), max(i.y2 for i in items)
 
     def parts(self, gap: float) -> list[Line]:
         """Cut where an item starts further than `gap` to the right of all before it."""
-        reach = self.items["x2"].cummax().shift()
-        island = (self.items["x1"] > reach + gap).cumsum()
-        return [Line(own) for _, own in self.items.groupby(island, sort=True)]
+        out: list[list[Item]] = []
+        reach = 0.0
+        for item in self.items:
+            if not out or item.x1 > reach + gap:
+                out.append([])
+                reach = item.x2
+            out[-1].append(item)
+            reach = max(reach, item.x2)
+        return [Line(own) for own in out]
 
     def text(self) -> str:
-        return " ".join(t for t in self.items["text"] if t)
+        return " ".join(i.text for i in self.items if i.text)
 
 
-def lines_of(items: pd.DataFrame, column: int | None = None) -> list[Line]:
+def lines_of(items: list[Item], column: int | None = None) -> list[Line]:
     """A line ends at the first item whose top is further than the tolerance from that of the line's first item."""
-    if items.empty:
+    if not items:
         return []
-    tolerance = max(LEAST_TOLERANCE, SHARE * (float((items["y2"] - items["y1"]).mean()) or 1.0))
-    items = items.sort_values(["y1", "ord"], kind="stable")
-    number, top, n = [], None, -1
-    for y in items["y1"]:
-        if top is None or abs(y - top) > tolerance:
-            top, n = y, n + 1
-        number.append(n)
-    return [Line(own, frozenset() if column is None else frozenset({column})) for _, own in items.groupby(np.array(number), sort=True)]
+    tolerance = max(LEAST_TOLERANCE, SHARE * (float(np.mean([i.y2 - i.y1 for i in items])) or 1.0))
+    groups: list[list[Item]] = []
+    for item in sorted(items, key=lambda i: (i.y1, i.ord is None, i.ord or 0)):
+        if not groups or abs(item.y1 - groups[-1][0].y1) > tolerance:
+            groups.append([])
+        groups[-1].append(item)
+    return [Line(own, frozenset() if column is None else frozenset({column})) for own in groups]
 
 
 def gutters_of(lines: list[Line], height: float) -> list[float]:
@@ -62,7 +76,7 @@ def gutters_of(lines: list[Line], height: float) -> list[float]:
         parts = line.parts(gap)
         voters += len(parts) > 1
         for a, b in zip(parts, parts[1:]):
-            alone = "".join(b.items["text"]).strip()
+            alone = "".join(i.text for i in b.items).strip()
             if not (len(alone) <= 5 and PAGE_NUMBER.fullmatch(alone)):
                 middle = (a.x2 + b.x1) / 2
                 votes[int(np.floor(middle / width + 0.5))].append((middle, b.x1 - a.x2))
@@ -85,26 +99,30 @@ def joined_lines(lines: list[Line], height: float) -> list[Line]:
         line = rest.pop(0)
         while (k := next((k for k, other in enumerate(rest) if one(line, other)), None)) is not None:
             other = rest.pop(k)
-            line = Line(pd.concat([line.items, other.items]), line.columns | other.columns)
+            line = Line(line.items + other.items, line.columns | other.columns)
         out.append(line)
     return sorted(out, key=lambda x: x.y1)
 
 
-def blocks_of(items: pd.DataFrame) -> tuple[list[float], list[tuple[Line, int | None]]]:
+def blocks_of(items: list[Item]) -> tuple[list[float], list[tuple[Line, int | None]]]:
     """Gutters, and blocks in reading order with their column (None: as wide as the page)."""
     rough = lines_of(items)
     height = float(np.mean([x.y2 - x.y1 for x in rough])) or 1.0
     gutters = gutters_of(rough, height)
     if gutters:
-        column = np.searchsorted(gutters, (items["x1"] + items["x2"]) / 2, side="left")
-        lines = joined_lines([x for k in range(len(gutters) + 1) for x in lines_of(items[column == k], k)], height)
+        own: list[list[Item]] = [[] for _ in range(len(gutters) + 1)]
+        for item in items:
+            own[sum((item.x1 + item.x2) / 2 > g for g in gutters)].append(item)
+        lines = joined_lines([x for k, column in enumerate(own) for x in lines_of(column, k)], height)
         margin = max(MARGIN[0], MARGIN[1] * height)
         wide = lambda x: len(x.columns) > 1 or any(x.x1 < g - margin and x.x2 > g + margin for g in gutters)
         blocks = [(x, None if wide(x) else min(x.columns)) for x in lines]
     else:
-        blocks = [(part, 0) for x in rough for part in x.parts(max(GUTTER[0], GUTTER[1] * height))]
-        for part, line in zip(blocks, [x for x in rough for _ in x.parts(max(GUTTER[0], GUTTER[1] * height))]):
-            part[0].y1, part[0].y2 = line.y1, line.y2
+        blocks = []
+        for line in rough:
+            for part in line.parts(max(GUTTER[0], GUTTER[1] * height)):
+                part.y1, part.y2 = line.y1, line.y2
+                blocks.append((part, 0))
     blocks.sort(key=lambda b: (b[0].y1, b[0].x1))
     zone, placed = 0, []
     for block, column in blocks:
@@ -120,15 +138,17 @@ def page_layout(items: DataFrame, page: Sequence[str]) -> DataFrame:
     texts are empty; extra columns go. One shuffle by page; a task holds one page at a time."""
     kinds = ", ".join(f"`{k}` {items.schema[k].dataType.simpleString()}" for k in page)
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        gutters, blocks = blocks_of(rows)
-        out = [(*key, n, column, len(gutters) + 1, gutters, b.x1, b.x2, b.y1, b.y2, b.text()) for n, (b, column) in enumerate(blocks)]
-        names = [*page, "place", "column", "columns", "gutters", "x1", "x2", "y1", "y2", "text"]
-        return pd.DataFrame(out, columns=names).astype({"column": "Int64"})
+    def run(table: pa.Table) -> pa.Table:
+        gutters, blocks = blocks_of([Item(*row) for row in zip(*(table[n].to_pylist() for n in Item._fields))])
+        n = len(blocks)
+        columns = [pa.array([table[k][0].as_py()] * n, table.schema.field(k).type) for k in page]
+        columns += [pa.array(range(n), pa.int32()), pa.array([column for _, column in blocks], pa.int32()), pa.array([len(gutters) + 1] * n, pa.int32()), pa.array([gutters] * n, pa.list_(pa.float64()))]
+        columns += [pa.array([getattr(b, side) for b, _ in blocks], pa.float64()) for side in ("x1", "x2", "y1", "y2")]
+        return pa.Table.from_arrays([*columns, pa.array([b.text() for b, _ in blocks], pa.string())], names=[*page, "place", "column", "columns", "gutters", "x1", "x2", "y1", "y2", "text"])
 
-    rows = items.select(*page, *(F.col(n).cast("double").alias(n) for n in ITEM[:4]), F.coalesce("text", F.lit("")).alias("text"), F.col("ord").cast("long").alias("ord"))
+    rows = items.select(*page, *(F.col(n).cast("double").alias(n) for n in Item._fields[:4]), F.coalesce("text", F.lit("")).alias("text"), F.col("ord").cast("long").alias("ord"))
     rows = rows.where("x1 is not null and x2 is not null and y1 is not null and y2 is not null")
-    done = rows.groupBy(*page).applyInPandas(run, f"{kinds}, place int, column int, columns int, gutters array<double>, x1 double, x2 double, y1 double, y2 double, text string")
+    done = rows.groupBy(*page).applyInArrow(run, f"{kinds}, place int, column int, columns int, gutters array<double>, x1 double, x2 double, y1 double, y2 double, text string")
     return done.withColumn("n_words", F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")))
 
 
