@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = op01_line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = op01_line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), extend=True)
     return docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_kept"), "n_chunks_removed", "n_lines_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

@@ -183,6 +183,37 @@ def test_chunks_resist_shifts():
     assert len(set(a) & set(b)) >= len(a) - 6
 
 
+def repeated_passages(texts):
+    """Line numbers by text of all that a passage of two visible lines, or a line of over 50 words, repeats of an earlier place."""
+    seen, out = set(), {}
+    for key in sorted(texts):
+        lines = texts[key].split("\n")
+        visible = [i for i, x in enumerate(lines) if x.strip(" \t\n\v\f\r")]
+        gone = out[key] = set()
+        places = [(a, b + 1) for a, b in zip(visible, visible[1:])] + [(i, i + 1) for i in visible if len(lines[i].encode().split()) > 50]
+        for a, b in sorted(places):
+            passage = tuple(lines[a:b])
+            if passage in seen:
+                gone.update(range(a, b))
+            seen.add(passage)
+    return out
+
+
+def test_line_dedup_finds_all_passages(spark, sf):
+    texts = {r.doc_id: r.text for r in documents(spark, sf).collect()}
+    for k in range(40):
+        texts[90_000 + k] = "\n".join([f"before {k}", *(f"{k // 2} shared {j}" for j in range(2 + k // 2 % 4)), f"after {k}"])
+    texts[91_000] = texts[91_001] = "word " * 60
+    texts[91_002] = "first of a pair\n\nsecond of a pair\nown end"
+    texts[91_003] = "own start\nfirst of a pair\n\nsecond of a pair"
+    got = {r.doc_id: r.text for r in line.dedup_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), extend=True).collect()}
+    gone = repeated_passages(texts)
+    for key, text in texts.items():
+        kept = [x for i, x in enumerate(text.split("\n")) if i not in gone[key] and x.strip()]
+        assert [x for x in got[key].split("\n") if x.strip()] == kept
+    assert got[91_003] == "own start\n" and got[91_001] == "" and got[90_001] == "before 1\nafter 1"
+
+
 # 9
 
 def brute_near(texts, percent=85):
