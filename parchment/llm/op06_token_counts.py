@@ -49,9 +49,15 @@ def encoder(path: str):
 
 
 def pretokens(text: bytes, fold: bool) -> list[bytes]:
-    """The pre-tokens of a text; with `fold`, A-Z are lower-cased (as the tokenizer does anyway, so that one entry serves
-    both), unless the text might hold a special string, whose case counts."""
-    return (text.lower() if fold and b"<|" not in text else text).split()
+    """The pre-tokens of a text; with `fold`, A-Z are lower-cased in those of pure ASCII (as the tokenizer does anyway, so that
+    one entry serves both), unless the text might hold a special string, whose case counts. Others stay as they are: the
+    tokenizer composes letters before it lower-cases them, and some compose in lower case only."""
+    if not fold or b"<|" in text:
+        return text.split()
+    low = text.lower()
+    if low.isascii() or low == text:
+        return low.split()
+    return [w if w.isascii() else o for w, o in zip(low.split(), text.split(), strict=True)]
 
 
 def learn(known: Memo, words, encode, value, fold: bool) -> None:

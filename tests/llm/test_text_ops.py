@@ -71,6 +71,15 @@ def test_token_counts_odd_texts(spark):
     assert counts.token_counts(odd(spark, []), PATH).collect() == []
 
 
+DECOMPOSED = [f"{a}{mark} {a}{mark}x. Plain {a}{mark}" for a, mark in zip("HJTWYhjtwy", "\u0331\u030c\u0308\u030a\u030a" * 2)]
+
+
+def test_letters_that_compose_in_lower_case_only(spark):
+    got = {r.doc_id: r.n_tokens for r in counts.token_counts(odd(spark, DECOMPOSED), PATH).collect()}
+    assert got == {i: len(library(t)) for i, t in enumerate(DECOMPOSED)}
+    check_packing(packing.pack(odd(spark, DECOMPOSED), PATH).collect(), dict(enumerate(DECOMPOSED)))
+
+
 def test_token_counts_by_pieces(spark):
     import sentencepiece
 
