@@ -108,52 +108,53 @@ def slot_of(key: bytes) -> int:
     return int.from_bytes(key[:4], "big") >> (32 - SLOTS)
 
 
-def repeated_chunks(docs: DataFrame, doc_id: str, text: str, extend: bool = False) -> DataFrame:
-    """What to remove: (doc, units array<struct<at int, n int, chunk boolean>>), lines by number. A chunk is repeated if another chunk
-    of any document has the same bytes; the first by (doc_id, place) stays. With `extend`, so are windows of two visible lines.
+def repeated_chunks(rows: DataFrame, extend: bool = False) -> DataFrame:
+    """What to remove of rows (row long, doc, t binary): (row, units array<struct<at int, n int, chunk boolean>>), lines by number. A chunk
+    is repeated if another chunk of any row has the same bytes; the first by (doc, row, place) stays, null ids last. With `extend`, so are windows of two visible lines.
     Bytes are compared by the smallest and the largest text under each 128-bit key, which a map-side aggregate finds; keys whose
     texts differ remove nothing. As a line goes only for an equal one in an earlier place, one of equal lines always stays."""
-    kind = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), as_bytes(text).alias("t"))
+    kind = rows.schema["doc"].dataType.simpleString()
 
     def hashed(batches):
         for batch in batches:
             key = [u[3] for t in batch.column(0) for u in units_of(t.as_py(), extend)]
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(map(slot_of, key), pa.int32())], ["key", "slot"])
 
-    twice = docs.sparkSession.sparkContext.broadcast(keys_seen_twice(rows.select("t").mapInArrow(hashed, "key binary, slot int")))
+    twice = rows.sparkSession.sparkContext.broadcast(keys_seen_twice(rows.select("t").mapInArrow(hashed, "key binary, slot int")))
 
     def explode(batches):
         bits = twice.value
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            out: list[list] = [[], [], [], [], [], [], []]
+            for r, d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 for u in units_of(t.as_py(), extend):
                     slot = slot_of(u[3])
                     if int(bits[slot >> 6]) >> (slot & 63) & 1:
-                        for column, value in zip(out, (d, *u), strict=True):
+                        for column, value in zip(out, (r, d, *u), strict=True):
                             column.append(value)
-            kinds = (batch.schema.field(0).type, pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["doc", "at", "n", "chunk", "key", "body"])
+            kinds = (pa.int64(), batch.schema.field(1).type, pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["row", "doc", "at", "n", "chunk", "key", "body"])
 
-    rows = rows.mapInArrow(explode, f"doc {kind}, at int, n int, chunk boolean, key binary, body binary")
-    keys = rows.groupBy("key").agg(F.count("*").alias("times"), F.min(F.struct("doc", "at")).alias("first"), F.min("body").alias("lo"), F.max("body").alias("hi"))
-    keys = cut(keys.where("times > 1 and lo = hi").select("key", "first"), "chunks")
-    found = rows.select("doc", "at", "n", "chunk", "key").join(keys, "key").where(F.struct("doc", "at") != F.col("first"))
-    return found.groupBy("doc").agg(F.collect_set(F.struct("at", "n", "chunk")).alias("units"))
+    place = F.struct(F.isnull("doc").alias("none"), "doc", "row", "at")
+    rows = rows.mapInArrow(explode, f"row long, doc {kind}, at int, n int, chunk boolean, key binary, body binary")
+    keys = rows.groupBy("key").agg(F.count("*").alias("times"), F.min(place).alias("first"), F.min("body").alias("lo"), F.max("body").alias("hi"))
+    keys = cut(keys.where("times > 1 and lo = hi").select("key", F.col("first.row").alias("first_row"), F.col("first.at").alias("first_at")), "chunks")
+    found = rows.select("row", "at", "n", "chunk", "key").join(keys, "key").where("row <> first_row or at <> first_at")
+    return found.groupBy("row").agg(F.collect_set(F.struct("at", "n", "chunk")).alias("units"))
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunks: str = "n_chunks_removed", lines: str = "n_lines_removed", extend: bool = False) -> DataFrame:
     """docs with repeated chunks cut from `text`, and two added columns (replaced where they exist): chunks and lines removed.
     extend: also the lines of every other repeated passage of two or more visible lines; they count as lines, not as chunks.
 
-    Null text stays null; a text that loses everything becomes empty; texts of one line that is not long, empty texts and rows
-    with a null id keep their text. Rows with equal doc_id are one document: decisions hold for each of
-    them. Two equal chunks of one document count as repeated. An empty table gives an empty table.
+    Null text stays null; a text that loses everything becomes empty; texts of one line that is not long and empty texts
+    stay. Rows are told apart by a number of their own in a written table: those with a null or the same id are documents each for
+    itself, and of equal ones the first row keeps its text. Two equal chunks of one document count as repeated. An empty table gives an empty table.
     """
-    removed = repeated_chunks(docs, doc_id, text, extend)
     own = docs.drop(chunks, lines)
-    joined = own.select(F.struct(*own.columns).alias("own"), F.col(doc_id).alias("doc")).join(removed, "doc", "left").select("own", "units")
+    numbered = cut(own.select(F.struct(*(F.col(f"`{c}`") for c in own.columns)).alias("own"), F.monotonically_increasing_id().alias("row")), "rows")
+    texts = numbered.where(F.col(f"own.`{text}`").isNotNull()).select("row", F.col(f"own.`{doc_id}`").alias("doc"), as_bytes(f"own.`{text}`").alias("t"))
+    joined = numbered.join(repeated_chunks(texts, extend), "row", "left").select("own", "units")
 
     def strip(batches):
         for batch in batches:

@@ -223,6 +223,20 @@ def test_line_dedup_finds_all_passages(spark, sf):
     assert got[91_003] == "own start\n" and got[91_001] == "" and got[90_001] == "before 1\nafter 1"
 
 
+@pytest.mark.parametrize("extend", [False, True])
+def test_line_dedup_null_and_equal_ids(spark, extend):
+    block = "\n".join(f"line {i}" for i in range(40))
+    rows = [(1, block), (1, f"{block}\nother words\nof the second row"), (1, None), (1, "short"), (None, block), (None, f"{block}\nnew"), (2, "x\ny"), (2, "x\ny"), (None, None)]
+    got = line.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), extend=extend).collect()
+    by_id = {k: [r.text for r in got if r.doc_id == k] for k in (1, 2, None)}
+    assert {k: len(v) for k, v in by_id.items()} == {1: 4, 2: 2, None: 3}
+    assert block in by_id[1] and None in by_id[1] and "short" in by_id[1]
+    assert sorted(by_id[2]) == ["", "x\ny"]
+    assert None in by_id[None] and any(t == "" for t in by_id[None])
+    texts = [t for v in by_id.values() for t in v if t]
+    assert sum(t.count("line 20") for t in texts) == 1 and sum("of the second row" in t for t in texts) == 1
+
+
 # 9
 
 def brute_near(texts, percent=85):
