@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parchment.llm.op06_token_counts import as_bytes, worker_memo
@@ -73,7 +73,7 @@ def word_memo() -> Memo:
 
 
 def sketched(docs: DataFrame, doc_id: str, text: str, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles long, digest binary (of the set; null if empty), bands array<long>."""
+    """doc_id, h long (of the text), n_shingles long, digest binary (of the set; null if empty), bands array<long>."""
 
     def run(batches):
         memo = word_memo()
@@ -86,10 +86,14 @@ def sketched(docs: DataFrame, doc_id: str, text: str, bands: int, rows: int) ->
                     digest.append(xxhash.xxh3_128_digest(items.tobytes()) if len(items) else None)
                     keys.append(band_keys(items, bands, rows) if len(items) else np.zeros(0, np.int64))
                     memo.trim()
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "h", "n_shingles", "digest", "bands"])
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), as_bytes(text).alias("t")).mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, bands array<long>")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), as_bytes(text).alias("t"), text_hash(text).alias("h")).mapInArrow(run, "doc_id long, h long, n_shingles long, digest binary, bands array<long>")
+
+
+def text_hash(text: str) -> Column:
+    """Tells texts of one id apart."""
+    return F.xxhash64(F.col(text).cast("binary"))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -114,82 +118,153 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def block_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, comp: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Spanning links between documents of different components on different sides (side 0 and 1; all equal: within). Sizes of
-    intersections are products of rows of the incidence matrix over the hashes that two or more sets hold."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = often[column] > 1
-    row, column = np.repeat(np.arange(len(sets)), sizes)[shared], (np.cumsum(often > 1) - 1)[column[shared]]
-    width = int((often > 1).sum())
-    common = np.zeros((len(sets), len(sets)), np.float32)
-    for at in range(0, width, 8192):
-        part = np.zeros((len(sets), min(8192, width - at)), np.float32)
-        own = (column >= at) & (column < at + 8192)
-        part[row[own], column[own] - at] = 1
-        common += part @ part.T
-    hit = 100 * common >= percent * (sizes[:, None] + sizes[None] - common)
-    hit &= comp[:, None] != comp[None]
-    if side.any() and not side.all():
-        hit &= side[:, None] != side[None]
-    label, out = np.arange(len(sets)), []
-    for i, j in zip(*np.nonzero(np.triu(hit, 1)), strict=True):
-        if label[i] != label[j]:
-            label[label == label[j]] = label[i]
-            out.append((int(ids[i]), int(ids[j])))
-    return out
-
-
-def family_links(rows: DataFrame, texts: DataFrame, percent: int, part_docs: int) -> DataFrame:
-    """Links between different components of each family. rows(doc, comp, top): documents and a document of their bucket. A
-    family's largest component needs no comparison within itself."""
+def spanning(u: np.ndarray, v: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """As few pairs (member, smallest member) as connect what the pairs u, v of numbers below n connect."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[u], label[v])
+        if (low == label[u]).all() and (low == label[v]).all():
+            moved = np.flatnonzero(label != np.arange(n))
+            return moved, label[moved]
+        np.minimum.at(label, label[u], low)
+        np.minimum.at(label, label[v], low)
+        label = np.minimum(label, label[label])
+
+
+def block_links(gaps: tuple[list[np.ndarray], list[np.ndarray]], sizes: tuple[np.ndarray, np.ndarray], pivot: int, comp: tuple[np.ndarray, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of side 0 and side 1 that are linked and in different components. gaps: of each document, what it and the family's
+    pivot (of `pivot` shingles) do not share; sizes: of its own set. With k shingles in the pivot, two documents share
+    k0 + k1 - pivot and what their gaps share. The latter is at most what each gap shares with the whole other side, which
+    settles most pairs; for the rest it is a product of rows of the incidence matrix, exact in blocks of 2048 columns."""
+    lens = [np.array([len(g) for g in gs], np.int64) for gs in gaps]
+    flat = [np.concatenate([*gs, np.zeros(0, np.int64)]) for gs in gaps]
+    row = [np.repeat(np.arange(len(n)), n) for n in lens]
+    inside = [np.isin(flat[0], flat[1]), np.isin(flat[1], flat[0])]
+    most = [np.bincount(r[i], minlength=len(n)) for r, i, n in zip(row, inside, lens, strict=True)]
+    k = [(size + pivot - n) // 2 for size, n in zip(sizes, lens, strict=True)]
+    base = k[0][:, None] + k[1][None] - pivot
+    need = -(-percent * (sizes[0][:, None] + sizes[1][None]) // (100 + percent)) - base  # shared in the gaps, at least
+    open_pairs = (need <= np.minimum(most[0][:, None], most[1][None])) & (comp[0][:, None] != comp[1][None])
+    at = [np.flatnonzero(open_pairs.any(1)), np.flatnonzero(open_pairs.any(0))]
+    if not len(at[0]):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    place = [np.full(len(n), -1) for n in lens]
+    cells = []
+    for side in (0, 1):
+        place[side][at[side]] = np.arange(len(at[side]))
+        own = inside[side] & (place[side][row[side]] >= 0)
+        cells.append((place[side][row[side][own]], flat[side][own]))
+    known = np.intersect1d(cells[0][1], cells[1][1])
+    common = np.zeros((len(at[0]), len(at[1])), np.int64)
+    for first in range(0, len(known), 2048):
+        part = known[first : first + 2048]
+        ones = []
+        for side in (0, 1):
+            r, v = cells[side]
+            c = np.minimum(np.searchsorted(part, v), len(part) - 1)
+            hit = part[c] == v
+            m = np.zeros((len(at[side]), len(part)), np.float32)
+            m[r[hit], c[hit]] = 1
+            ones.append(m)
+        common += (ones[0] @ ones[1].T).astype(np.int64)
+    grid = np.ix_(*at)
+    i, j = np.nonzero(open_pairs[grid] & (common >= need[grid]))
+    return at[0][i], at[1][j]
+
+
+def gaps_to_pivot(docs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """docs(family, doc, comp, pivot) -> (family, doc, comp, pivot, n, pivot_n, near, gap): sizes of both sets, whether they are linked, and
+    the shingles that only one of them has."""
+    own = docs.join(texts.select(F.col("id").alias("doc"), "text"), "doc")
+    pivots = docs.select("pivot").distinct().join(texts.select(F.col("id").alias("pivot"), F.col("text").alias("pivot_text")), "pivot")
+    both = own.join(pivots, "pivot").select("family", "doc", "comp", "pivot", "text", "pivot_text")
+
+    def run(batches):
+        memo, last = word_memo(), (None, None)
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                n, m, near, gap = [], [], [], []
+                for pivot, t, p in zip(batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
+                    if last[0] != pivot:
+                        last = pivot, shingle_set(p.as_py(), memo)
+                    x = shingle_set(t.as_py(), memo)
+                    memo.trim()
+                    apart = np.setxor1d(x, last[1], assume_unique=True)
+                    common = (len(x) + len(last[1]) - len(apart)) // 2
+                    n.append(len(x))
+                    m.append(len(last[1]))
+                    near.append(100 * common >= percent * (len(x) + len(last[1]) - common))
+                    gap.append(apart.view(np.int64))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(near, pa.bool_()), pa.array(gap, pa.list_(pa.int64()))], ["family", "doc", "comp", "pivot", "n", "pivot_n", "near", "gap"])
+
+    return both.mapInArrow(run, "family long, doc long, comp long, pivot long, n long, pivot_n long, near boolean, gap array<long>")
+
+
+def family_links(rows: DataFrame, texts: DataFrame, percent: int, part_docs: int, part_items: int) -> DataFrame:
+    """Links between different components of each family. rows(doc, comp, deg, top): documents and a document of their bucket. Every
+    document is compared with the family's pivot, that of the largest degree. What is near the pivot is one component; the rest
+    is compared with it and within itself by the gaps to the pivot, in blocks of two parts of part_docs documents and part_items
+    shingles: the texts are read once, and a gap is a fraction of a set."""
     families = components(rows.select(F.col("doc").alias("a"), F.col("top").alias("b"))).withColumnRenamed("component", "family")
-    docs = rows.select("doc", "comp").distinct().join(families, F.col("doc") == F.col("id")).select("family", "doc", "comp")
-    sizes = docs.groupBy("family", "comp").agg(F.count("*").alias("n"))
-    tops = sizes.groupBy("family").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"))
-    parts = lambda n: F.greatest(F.ceil(n / part_docs), F.lit(1)).cast("int")
-    docs = docs.join(tops, "family").select("family", "doc", "comp", (F.col("comp") == F.col("top.comp")).alias("big"), parts(F.col("top.n")).alias("nb"), parts(F.col("all") - F.col("top.n")).alias("nr"))
+    docs = rows.select("doc", "comp", "deg").distinct().join(families, F.col("doc") == F.col("id")).select("family", "doc", "comp", "deg")
+    pivots = docs.groupBy("family").agg(F.max(F.struct("deg", "doc")).alias("top")).select("family", F.col("top.doc").alias("pivot"))
+    gaps = cut(gaps_to_pivot(docs.join(pivots, "family").select("family", "doc", "comp", "pivot"), texts, percent), "gaps")
+    to_pivot = gaps.where("near and doc <> pivot").select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b"))
+    sizes = gaps.groupBy("family", "comp").agg(F.max("near").alias("big"), F.count("*").alias("docs"), F.sum(F.size("gap")).alias("items"))
+    parts = lambda big: F.greatest(F.ceil(F.sum(F.when(F.col("big") == big, F.col("docs"))) / part_docs), F.ceil(F.sum(F.when(F.col("big") == big, F.col("items"))) / part_items), F.lit(1)).cast("int")
+    counts = sizes.groupBy("family").agg(parts(True).alias("nb"), parts(False).alias("nr"), F.max(~F.col("big")).alias("open")).where("open")
     own = F.pmod(F.xxhash64("doc"), F.when(F.col("big"), F.col("nb")).otherwise(F.col("nr"))).cast("int")
+    docs = gaps.join(sizes.select("family", "comp", "big"), ["family", "comp"]).join(counts, "family").withColumn("own", own)
     block = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
-    across = F.when(F.col("big"), F.transform(F.sequence(F.lit(0), F.col("nr") - 1), lambda j: block("x", own, j, F.lit(0)))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda i: block("x", i, own, F.lit(1))))
+    across = F.when(F.col("big"), F.transform(F.sequence(F.lit(0), F.col("nr") - 1), lambda j: block("x", F.col("own"), j, F.lit(0)))).otherwise(
+        F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda i: block("x", i, F.col("own"), F.lit(1))))
     within = F.when(F.col("big"), F.array().cast("array<struct<kind:string,i:int,j:int,side:int>>")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("nr") - 1), lambda k: block("r", F.least(own, k), F.greatest(own, k), (k < own).cast("int"))))
-    dealt = docs.select("family", "doc", "comp", F.explode(F.concat(across, within)).alias("b")).select("family", "b.kind", "b.i", "b.j", "b.side", "doc", "comp")
-    dealt = dealt.join(texts.select(F.col("id").alias("doc"), "text"), "doc")
+        F.transform(F.sequence(F.lit(0), F.col("nr") - 1), lambda k: block("r", F.least("own", k), F.greatest("own", k), (k < F.col("own")).cast("int"))))
+    comp = F.when(F.col("big"), F.lit(-1)).otherwise(F.col("comp"))
+    dealt = docs.select("family", "doc", comp.alias("comp"), "n", "pivot_n", "gap", F.explode(F.concat(across, within)).alias("b")).select("family", "b.kind", "b.i", "b.j", "b.side", "doc", "comp", "n", "pivot_n", "gap")
 
     def work(table: pa.Table) -> pa.Table:
-        memo = word_memo()
-        with np.errstate(over="ignore"):
-            sets = [shingle_set(t.as_py(), memo) for t in table["text"]]
-            memo.trim()
-            got = block_links(table["doc"].to_numpy(), sets, table["side"].to_numpy(), table["comp"].to_numpy(), percent)
-        return pa.table({"a": pa.array([min(p) for p in got], pa.int64()), "b": pa.array([max(p) for p in got], pa.int64())})
-
-    return dealt.groupBy("family", "kind", "i", "j").applyInArrow(work, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85, bands: int = BANDS, rows: int = ROWS, part_docs: int = 500) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles long, component_id long, kept boolean.
-
-    Equal sets form one class, of which the smallest id goes on. In each bucket (classes that share a band) all are
+        side, alone = table["side"].to_numpy(), table["kind"][0].as_py() == "r" and table["i"][0] == table["j"][0]
+        masks = [np.ones(len(side), bool)] * 2 if alone else [side == 0, side == 1]
+        doc, comp, n = (table[c].to_numpy() for c in ("doc", "comp", "n"))
+        column = table["gap"].combine_chunks()
+        ends, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+        every = [flat[a:b] for a, b in zip(ends, ends[1:])]
+        at = [np.flatnonzero(m) for m in masks]
+        i, j = block_links(tuple([every[k] for k in own] for own in at), tuple(n[own] for own in at), table["pivot_n"][0].as_py(), tuple(comp[own] for own in at), percent)
+        a, b = spanning(at[0][i], at[1][j], len(doc))
+        a, b = doc[a], doc[b]
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+    return to_pivot.unionByName(dealt.groupBy("family", "kind", "i", "j").applyInArrow(work, "a long, b long"))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85, bands: int = BANDS, rows: int = ROWS, part_docs: int = 2_000, part_items: int = 1_000_000, detail: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles long, component_id long, kept boolean; with `detail` also text_hash long (see
+    text_hash) and group long (a number of its own for each component; null where nothing is linked: no shingles or no id).
+
+    Equal sets form one class, which goes on under a number of its own. In each bucket (classes that share a band) all are
     compared with the one that shares most bands with others, so a bucket of any size costs its length. Buckets that
     then still hold several components are joined into families, and within a family all documents of different
-    components are compared, in blocks of part_docs against part_docs: each task holds two blocks and returns a
-    spanning set of links. Every pair that shares a band is thus either confirmed, refuted or already connected.
+    components are compared by what they do not share with the family's pivot (see family_links). Every pair that
+    shares a band is thus either confirmed, refuted or already connected.
 
     Null and empty texts have no shingles and link with nothing; texts of fewer than five words are one
-    shingle; rows with equal ids count as one document; a null id is a component of its own (null). doc_id must be
+    shingle. Rows with equal ids are documents each for itself; of a component the smallest id is named, and all its rows with
+    that id are kept. A null id is a component of its own (null). doc_id must be
     whole numbers. Extra columns are ignored; an empty table gives an empty table.
     """
-    all_docs = cut(sketched(docs.withColumn(doc_id, F.col(doc_id).cast("long")), doc_id, text, bands, rows), "sketches")
-    classes = all_docs.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    all_docs = cut(sketched(docs, doc_id, text, bands, rows), "sketches")
+    classes = all_docs.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "h")).alias("least"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = cut(classes.select(F.monotonically_increasing_id().alias("doc"), "digest", "least", "n", "bands"), "classes")
     keyed = classes.select("doc", "n", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     members = cut(keyed.join(shared, "key"), "members")
     degree = members.groupBy("doc").agg(F.sum(F.col("c") - 1).alias("deg"))
     open_rows = cut(members.join(degree, "doc").select("key", "doc", "n", "deg", F.col("doc").alias("comp")), "open")
-    texts = cut(docs.select(F.col(doc_id).cast("long").alias("id"), as_bytes(text).alias("text")).join(degree.select(F.col("doc").alias("id")), "id").dropDuplicates(["id"]), "texts")
+    wanted = classes.select("doc", "least.*").join(degree.select("doc"), "doc")
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_hash(text).alias("h"), as_bytes(text).alias("text"))
+    texts = cut(texts.join(wanted, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select(F.col("doc").alias("id"), "text"), "texts")
 
     alike = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)  # noqa: E731  sets of too different sizes can't reach it
     per = open_rows.groupBy("key").agg(F.max(F.struct("deg", "doc", "n")).alias("top"))
@@ -199,12 +274,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     joined = components(links)
     open_rows = open_rows.select("key", "doc", "deg").join(joined, open_rows["doc"] == joined["id"], "left").select("key", "doc", "deg", F.coalesce("component", "doc").alias("comp"))
     per = open_rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("deg", "doc")).alias("top")).where("lo <> hi")
-    left = cut(open_rows.join(per.select("key", "top"), "key").select("doc", "comp", F.col("top.doc").alias("top")), "left")
+    left = cut(open_rows.join(per.select("key", "top"), "key").select("doc", "comp", "deg", F.col("top.doc").alias("top")), "left")
     if not left.isEmpty():
-        links = links.unionByName(family_links(left, texts, percent, part_docs))
+        links = links.unionByName(family_links(left, texts, percent, part_docs, part_items))
         joined = components(cut(links, "links"))
-    by_class = classes.select("digest", F.col("doc")).join(joined.withColumnRenamed("id", "doc"), "doc", "left").select("digest", F.coalesce("component", "doc").alias("component"))
-    out = all_docs.where("digest is not null").join(by_class, "digest", "left").select("doc_id", "n_shingles", "component")
-    out = out.unionByName(all_docs.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component")))
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = joined.join(classes.select(F.col("doc").alias("id"), F.col("least.doc_id").alias("first")), "id")
+    named = named.join(named.groupBy("component").agg(F.min("first").alias("component_id")), "component").select(F.col("id").alias("doc"), "component", "component_id")
+    by_class = classes.select("digest", "doc", "least").join(named, "doc", "left").select("digest", F.coalesce("component", "doc").alias("group"), F.coalesce("component_id", "least.doc_id").alias("component_id"))
+    with_id = all_docs.where("digest is not null and doc_id is not null").join(by_class, "digest", "left").select("doc_id", "n_shingles", "component_id", "h", "group")
+    none = all_docs.where("digest is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "h", F.lit(None).cast("long").alias("group"))
+    out = with_id.unionByName(none).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), F.col("h").alias("text_hash"), "group")
+    return out if detail else out.drop("text_hash", "group")

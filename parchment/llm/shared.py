@@ -5,17 +5,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 #: The word class of the contracts is the complement of these six characters; bytes.split() parts at exactly them.
 BLANKS = r"\x20\x09-\x0D"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one if all run on one
+    machine (as in tests), else an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = f"file://{tempfile.mkdtemp(prefix='parchment-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -32,6 +36,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_key(docs: DataFrame, doc_id: str, text: str) -> tuple[Column, Column]:
+    """Two columns (long, int) that tell documents apart where ids are null or repeated, so that only rows with the same id and text have
+    the same: the id and a checksum of the text; for a null id a hash of the text and that checksum."""
+    content = F.col(text).cast("binary")
+    whole = isinstance(docs.schema[doc_id].dataType, ByteType | ShortType | IntegerType | LongType)
+    own = F.col(doc_id).cast("long") if whole else F.xxhash64(doc_id)
+    return F.when(F.isnull(doc_id), F.xxhash64(content)).otherwise(own), (F.crc32(F.coalesce(content, F.lit(b""))) - (1 << 31)).cast("int")
+
+
 class Memo(dict):
     """A dict that computes what it lacks. Call trim() between batches: it forgets all beyond `most` entries."""
 
@@ -48,30 +61,42 @@ class Memo(dict):
             self.clear()
 
 
+def lowest_joined(links: DataFrame, key: str, lowest: DataFrame, total: int, share: int = 256) -> DataFrame:
+    """links with `low`, what `lowest`(k, low) has for links[key] (null where it has nothing). Rows of a key that holds more than
+    one in `share` of all links stay where they are and get theirs from a broadcast of at most `share` rows; only the others
+    are shuffled by key, so no task holds a hub. Up to 20,000 links are joined as they are."""
+    if total <= 20_000:
+        return links.join(lowest.withColumnRenamed("k", "other"), F.col(key) == F.col("other"), "left").drop("other")
+    most = total // share + 1
+    hot = links.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n")).where(F.col("n") > most).select("k")
+    hubs = F.broadcast(hot.join(lowest, "k", "left").select(F.col("k").alias("hub"), F.col("low").alias("hub_low")))
+    marked = links.join(hubs, F.col(key) == F.col("hub"), "left")
+    plain = marked.where("hub is null").drop("hub", "hub_low").join(lowest.withColumnRenamed("k", "other"), F.col(key) == F.col("other"), "left").drop("other")
+    return plain.unionByName(marked.where("hub is not null").withColumn("low", F.col("hub_low")).drop("hub", "hub_low"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a long, b long): one row (id, component) per node, component its smallest id.
 
-    Alternates large-star and small-star steps: each joins the edges with the smallest neighbour of a
-    node, which a map-side min finds, so a hub of any degree costs one row per task. Edges stay in
-    shared tables; only two numbers per round reach the driver. No edges: no rows.
+    Alternates large-star steps (a link to a node that has a smaller neighbour goes to that neighbour) and small-star steps
+    (all smaller neighbours of a node are linked to the smallest), until a round moves no link: every link
+    carries whether it moved, so the end is exact. Links stay in written tables; one boolean per round reaches the
+    driver. Null ids link nothing; no edges: no rows.
     """
-
-    def smallest(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-
-    links = edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).distinct()
-    links = cut(links, "links")
-    before = None
+    links = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).distinct(), "links")
     while True:
-        both = links.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(links.select(F.col("m").alias("u"), "v"))
-        large = both.join(smallest(both), "u").where("v > u").select("v", "m").distinct()
-        down = large.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = down.join(smallest(down), "u")
-        links = small.select("v", "m").unionByName(small.select(F.col("u").alias("v"), "m")).where("v <> m").distinct()
-        links = cut(links, "links")
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("v", "m") % 1_000_003), F.countDistinct("m")).first()
-        if now == before:
+        lowest = links.groupBy(F.col("v").alias("k")).agg(F.min("m").alias("low"))
+        total = links.count()
+        large = lowest_joined(links, "m", lowest, total).select("v", F.coalesce("low", "m").alias("m"), F.col("low").isNotNull().alias("moved"))
+        large = large.groupBy("v", "m").agg(F.max("moved").alias("moved"))
+        if total > 20_000:
+            large = cut(large, "links")
+        small = lowest_joined(large, "v", large.groupBy(F.col("v").alias("k")).agg(F.min("m").alias("low")), total)
+        apart = F.col("m") > F.col("low")
+        pairs = F.array(F.struct("v", F.col("low").alias("m"), (F.col("moved") | apart).alias("moved")), F.when(apart, F.struct(F.col("m").alias("v"), F.col("low").alias("m"), F.lit(True).alias("moved"))))
+        small = small.select(F.explode(pairs).alias("p")).where("p is not null").select("p.*")
+        links = cut(small.groupBy("v", "m").agg(F.max("moved").alias("moved")), "links")
+        if links.where("moved").isEmpty():
             break
-        before = now
-    return links.groupBy("v").agg(F.min("m").alias("component")).select(F.col("v").alias("id"), "component").unionByName(
-        links.select(F.col("m").alias("id"), F.col("m").alias("component")).distinct())
+        links = links.select("v", "m")
+    return links.select(F.col("v").alias("id"), F.col("m").alias("component")).unionByName(links.select(F.col("m").alias("id"), F.col("m").alias("component")).distinct())
