@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from parchment.functions.matching import GREEK
+from parchment.functions.matching import GREEK, PUNCTUATION
 
 #: Words that fill pauses, and the rule by which a spoken phrase replaces the one before.
 FILLERS = "uh|um|erm|er|ah|hmm|mm+|uhh+|umm+"
 NEAR, LEAST_WORDS, FEWER, MORE = 0.82, 5, 3, 5
 #: Elements whose end is the end of a line.
 BLOCKS = "h1|h2|h3|h4|h5|h6|p|li|div|tr|section|article|ol|ul"
+#: White space as browsers know it, what is invisible, and letters printed as one sign.
 SPACE = r"[\s\p{Z}\uFEFF]"
+INVISIBLE = r"[\u200B\u200C\u200D\uFEFF\u00AD]"
+LIGATURES = {"\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\ufb05": "st", "\ufb06": "st"}
 
 
 def stripped(text: Column) -> Column:
@@ -22,7 +25,7 @@ def stripped(text: Column) -> Column:
 
 def word_list(text: Column) -> Column:
     """Words between white space; no empty ones."""
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return F.filter(F.split(text, f"{SPACE}+"), lambda w: w != "")
 
 
 def words(text: Column) -> Column:
@@ -38,17 +41,27 @@ def distinct_words(text: Column) -> Column:
 def strip_html(html: Column) -> Column:
     """Tags to spaces, &nbsp; to a space, runs of white space to one space, trimmed."""
     plain = F.regexp_replace(F.regexp_replace(html, "<[^>]+>", " "), "&nbsp;", " ")
-    return F.trim(F.regexp_replace(plain, r"\s+", " "))
+    return stripped(F.regexp_replace(plain, f"{SPACE}+", " "))
 
 
 def collapse(text: Column) -> Column:
     """Each run of white space to one space; not trimmed."""
-    return F.regexp_replace(text, r"\s+", " ")
+    return F.regexp_replace(text, f"{SPACE}+", " ")
+
+
+def normalized(text: Column) -> Column:
+    """As search sees a text: each run of white space one space (not trimmed), invisible signs gone, ligatures parted, quotes, dashes and dots
+    in their plain form. Other compatibility forms are left to matching.Folded."""
+    s = F.regexp_replace(F.regexp_replace(text, r"[\s\p{Z}]+", " "), INVISIBLE, "")
+    for sign, letters in (*LIGATURES.items(), *((k, v) for k, v in PUNCTUATION.items() if len(v) > 1)):
+        s = F.replace(s, F.lit(sign), F.lit(letters))
+    single = [k for k, v in PUNCTUATION.items() if len(v) == 1]
+    return F.translate(s, "".join(single), "".join(PUNCTUATION[k] for k in single))
 
 
 def compact(text: Column) -> Column:
     """No white space at all; a hyphen at a line break before a lower-case letter goes too."""
-    return F.regexp_replace(F.regexp_replace(text, r"-\s*\n\s*(?=\p{Ll})", ""), r"\s+", "")
+    return F.regexp_replace(F.regexp_replace(text, rf"-(?={SPACE}*[\n\r]){SPACE}+(?=\p{{Ll}})", ""), f"{SPACE}+", "")
 
 
 def tokens(text: Column) -> Column:
@@ -83,7 +96,7 @@ def ocr_canonical(text: Column) -> Column:
 def dictation_key(text: Column) -> Column:
     """Lower case, without words that fill pauses, all but letters and digits to spaces, collapsed and trimmed."""
     s = F.regexp_replace(F.lower(text), f"(?<![A-Za-z0-9_])({FILLERS})(?![A-Za-z0-9_])", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(s, r"[^\p{L}\p{N}\s\p{Z}﻿]", " "), f"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(s, r"[^\p{L}\p{N}\s\p{Z}\uFEFF]", " "), f"{SPACE}+", " "))
 
 
 def replaces_phrase(before: Column, now: Column) -> Column:
@@ -112,10 +125,10 @@ def slug(text: Column, default: str = "untitled") -> Column:
 
 
 def clock(seconds: Column) -> Column:
-    """h:mm:ss, or m:ss below an hour; empty for 0."""
+    """h:mm:ss, or m:ss below an hour; empty for 0 and null."""
     s = F.floor(seconds).cast("int")
     h, m = F.floor(s / 3600).cast("int"), F.floor(s % 3600 / 60).cast("int")
-    return F.when(s <= 0, "").when(h > 0, F.format_string("%d:%02d:%02d", h, m, s % 60)).otherwise(F.format_string("%d:%02d", m, s % 60))
+    return F.when(F.coalesce(seconds, F.lit(0)) == 0, "").when(h > 0, F.format_string("%d:%02d:%02d", h, m, s % 60)).otherwise(F.format_string("%d:%02d", m, s % 60))
 
 
 def short_number(n: Column, unit: str = "views") -> Column:
@@ -178,7 +191,7 @@ def selected(text: Column) -> Column:
 
 def video_id(url: Column) -> Column:
     """Parameter v of a url, else the id of 11 characters after a short, embedded or brief address; null without either or without a scheme."""
-    given = F.nullif(F.regexp_extract(url, r"^[^?#]*\?(?:[^#]*?&)?v=([^&#]*)", 1), F.lit(""))
+    given = F.nullif(F.regexp_extract(url, r"^[^?#]*\?(?:(?!v=)[^&#]*&)*v=([^&#]*)", 1), F.lit(""))
     path = F.nullif(F.regexp_extract(url, r"(?:youtu\.be/|/embed/|/shorts/)([A-Za-z0-9_-]{11})", 1), F.lit(""))
     return F.when(url.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.coalesce(F.try_url_decode(given), given, path))
 
@@ -191,12 +204,12 @@ def initials(name: Column, default: str = "P") -> Column:
 
 def lines_to_list(text: Column) -> Column:
     """Trimmed lines that are not empty."""
-    return F.filter(F.transform(F.split(text, "\r?\n"), lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, "\r?\n"), stripped), lambda s: s != "")
 
 
 def noun_key(text: Column) -> Column:
     """Trimmed, lower case, single spaces, no final punctuation."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), r"\s+", " "), r"[.,;:]+\z", "")
+    return F.regexp_replace(F.regexp_replace(F.lower(stripped(text)), f"{SPACE}+", " "), r"[.,;:]+\z", "")
 
 
 def word_before(text: Column) -> Column:
@@ -208,10 +221,157 @@ def first_heading(markdown: Column) -> Column:
     return F.nullif(F.regexp_extract(markdown, r"(?m)^#{1,6}\s+(.+)$", 1), F.lit(""))
 
 
+def context_before(text: Column, n: int = 1200) -> Column:
+    """The first n characters, trimmed."""
+    return stripped(F.substring(text, 1, n))
+
+
 def selection_key(text: Column) -> Column:
     """As noun_key, but final punctuation goes before white space is tidied."""
-    return stripped(F.regexp_replace(F.regexp_replace(F.lower(text), r"[.,;:]+\z", ""), r"\s+", " "))
+    return stripped(F.regexp_replace(F.regexp_replace(F.lower(text), r"[.,;:]+\z", ""), f"{SPACE}+", " "))
 
 
 def campaign_label(text: Column, default: str = "brand post") -> Column:
     return F.upper(F.replace(F.coalesce(F.nullif(text, F.lit("")), F.lit(default)), F.lit("-"), F.lit(" ")))
+
+
+def plain_tags(html: Column) -> Column:
+    """Tags to spaces; nothing else changes."""
+    return F.regexp_replace(html, "<[^>]*>", " ")
+
+
+def without_fence(text: Column) -> Column:
+    """Without the fence of a code block around the whole text."""
+    return stripped(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\A```[a-zA-Z0-9_-]*\n?", ""), r"\n?```\z", ""))
+
+
+def listed(text: Column) -> Column:
+    """The strings of the JSON array in a text (from its first opening to its last closing bracket), trimmed; null where there is none."""
+    inside = F.regexp_extract(without_fence(text), r"(\[[\s\S]*\])", 1)
+    return F.transform(F.from_json(F.nullif(inside, F.lit("")), "array<string>"), lambda x: stripped(F.coalesce(x, F.lit(""))))
+
+
+def quoted(text: str) -> str:
+    """A pattern that fits this text only."""
+    return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+
+
+def replace_first(text: Column, target: str, stands: str) -> Column:
+    """The first place of `target`, in any case, replaced; a blank target changes nothing."""
+    key = target.strip()
+    at = F.locate(key.lower(), F.lower(text))
+    return text if not key else F.when(at > 0, F.concat(F.substring(text, F.lit(1), at - 1), F.lit(stands), text.substr(at + len(key), F.length(text)))).otherwise(text)
+
+
+def delete_text(text: Column, target: str) -> Column:
+    """Without the first place of `target` in any case and the white space around it; one space stays."""
+    key = target.strip()
+    if not key:
+        return text
+    hit = text.rlike(f"(?i){SPACE}*{quoted(key)}{SPACE}*")
+    cut = F.regexp_replace(text, f"(?is)\\A(.*?){SPACE}*{quoted(key)}{SPACE}*", "$1 ")
+    return F.when(hit, F.regexp_replace(cut, f"{SPACE}{{2,}}", " ")).otherwise(text)
+
+
+def without_last_word(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(text, rf"{SPACE}*[^\s\p{{Z}}\uFEFF]+{SPACE}*\z", " "), f"{SPACE}{{2,}}", " ")
+
+
+def without_last_sentence(text: Column) -> Column:
+    """Without the sentence a text ends in, if it ends in one."""
+    return F.regexp_replace(F.regexp_replace(text, rf"{SPACE}*[^.!?]*[.!?][\"']?{SPACE}*\z", " "), f"{SPACE}{{2,}}", " ")
+
+
+def title_words(name: Column) -> Column:
+    """snake_case to words that start with a capital; the rest of each word stays as it is."""
+    words = F.split(F.coalesce(name, F.lit("")), "_")
+    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000))), " ")
+
+
+def escaped_html(text: Column) -> Column:
+    for sign, stands in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(sign), F.lit(stands))
+    return text
+
+
+def draft_paragraphs(markdown: Column) -> Column:
+    """Markdown as blocks of escaped lines; one empty block for nothing."""
+    parts = F.filter(F.transform(F.split(plain_markdown(markdown), r"\n{2,}"), stripped), lambda p: p != "")
+    blocks = F.transform(parts, lambda p: F.concat(F.lit("<div>"), F.array_join(F.transform(F.split(p, "\n"), escaped_html), "<br />"), F.lit("</div>")))
+    return F.when(F.size(parts) > 0, F.array_join(blocks, "")).otherwise("<div><br></div>")
+
+
+def flag_of(label: Column) -> Column:
+    """What stands before the first white space."""
+    return F.regexp_extract(label, r"^(\S+)", 1)
+
+
+def country_of(label: Column) -> Column:
+    """A label without its flag and its dialling code in brackets."""
+    return F.regexp_replace(F.regexp_replace(label, r"^\S+\s", ""), r"\s*\(\+\d+\)\z", "")
+
+
+def asset_kind(url: Column, format: Column) -> Column:
+    film = F.lower(F.coalesce(url, F.lit(""))).rlike(r"\.(mp4|mov|m4v|webm)(\?|\z)") | (F.lower(stripped(F.coalesce(format, F.lit("")))) == "reel")
+    return F.when(film, "video").otherwise("image")
+
+
+def preset_of(format: Column) -> Column:
+    f = F.lower(F.coalesce(format, F.lit("")))
+    return F.when(f.contains("story") | f.contains("reel"), "story").when(f.contains("single"), "square").otherwise("portrait")
+
+
+def first_place(text: Column, spoken: Column) -> Column:
+    """Where `spoken` is found in any case: struct(start from 0, end), else null."""
+    at = F.locate(F.lower(spoken), F.lower(text)) if isinstance(spoken, str) else F.instr(F.lower(text), F.lower(spoken))
+    return F.when(at > 0, F.struct((at - 1).alias("start"), (at - 1 + F.length(spoken)).alias("end")))
+
+
+#: What a host says of files that are too large, sounds and the shapes of a mouth, how a name is spoken.
+TOO_LARGE = "(?i)cloudinary|file size|too large|payload too large|maximum|max size|limit exceeded"
+NAME_SPOKEN = ("(?i)AMCTOSHS", "Amek Tosh Ess")
+SILENT = "mouthClose"
+
+
+def is_size_error(message: Column, status: Column) -> Column:
+    return F.coalesce(status == 413, F.lit(False)) | F.coalesce(message, F.lit("")).rlike(TOO_LARGE)
+
+
+def speakable(text: Column) -> Column:
+    return F.regexp_replace(F.coalesce(text, F.lit("")), *NAME_SPOKEN)
+
+
+def viseme(code: Column, shapes: dict[str, str]) -> Column:
+    """The shape of a sound by its code in any case; closed for unknown ones and none."""
+    table = F.create_map(*(F.lit(x) for pair in shapes.items() for x in pair))
+    return F.coalesce(F.element_at(table, F.upper(code)), F.lit(SILENT))
+
+
+def list_marker(ordered: Column, style: Column, index: Column) -> Column:
+    """A bullet, a letter or a number; index from 0."""
+    letter = F.concat(F.char(97 + index % 26), F.lit("."))
+    return F.when(~ordered, "\u2022").when(F.lower(F.coalesce(style, F.lit(""))).contains("alpha"), letter).otherwise(F.concat((index + 1).cast("string"), F.lit(".")))
+
+
+def arabic_share(html: Column) -> Column:
+    """Arabic letters among all Latin and Arabic ones; 0 without letters."""
+    s = strip_html(F.coalesce(html, F.lit("")))
+    n = F.regexp_count(s, F.lit(r"[A-Za-z\u0600-\u06FF]"))
+    return F.when(n == 0, 0.0).otherwise(F.regexp_count(s, F.lit(r"[\u0600-\u06FF]")) / n)
+
+
+def markdown_counts(markdown: Column) -> Column:
+    """struct(words, chars) of Markdown without its marks."""
+    s = plain_markdown(markdown)
+    return F.struct(words(s).alias("words"), F.length(s).alias("chars"))
+
+
+def trimmed_list(text: Column, by: str = ",") -> Column:
+    """Parts between separators, trimmed, without empty ones."""
+    return F.filter(F.transform(F.split(text, by), stripped), lambda x: x != "")
+
+
+def joined_captures(texts: Column, most: int) -> Column:
+    """Texts that are not blank, trimmed, a blank line between them, cut to `most` characters."""
+    some = F.filter(F.transform(texts, lambda t: stripped(F.coalesce(t, F.lit("")))), lambda t: t != "")
+    return F.left(F.array_join(some, "\n\n"), F.lit(most))

@@ -15,9 +15,10 @@ def contains_any_case(needle: str, *columns: str) -> Column:
     return F.lit(True) if not key else F.lower(F.concat_ws(" ", *columns)).contains(key)
 
 
-def lookup(rows: DataFrame, dimension: DataFrame, on: Sequence[str], column: str, default=None) -> DataFrame:
-    """Left join to one column of a dimension with a default."""
-    return rows.join(dimension.select(*on, column).dropDuplicates(list(on)), list(on), "left").withColumn(column, F.coalesce(column, F.lit(default)))
+def lookup(rows: DataFrame, dimension: DataFrame, on: Sequence[str], column: str, order: Sequence[str], default=None) -> DataFrame:
+    """Left join to one column of a dimension with a default; of several rows of a key the last in `order` counts."""
+    last = dimension.groupBy(*on).agg(F.max_by(column, F.struct(*order)).alias(column))
+    return rows.join(last, list(on), "left").withColumn(column, F.coalesce(column, F.lit(default)))
 
 
 def first_by(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -45,13 +46,15 @@ def islands(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], new:
     return rows.withColumn(into, F.sum(F.coalesce(new.cast("int"), F.lit(1))).over(Window.partitionBy(*keys).orderBy(*order)))
 
 
-def as_of(rows: DataFrame, states: DataFrame, keys: Sequence[str], time: str, value: str, into: str) -> DataFrame:
-    """For each row the value of the last state of its key at or before its time: one sort of both sides together
-    instead of a range join."""
+def as_of(rows: DataFrame, states: DataFrame, keys: Sequence[str], time: str, value: str, into: str, order: str | None = None) -> DataFrame:
+    """For each row the value of the last state of its key at or before its time: one sort of both sides together instead of a range
+    join. With `order`, of all states that have begun the one with the largest order counts, however late it began."""
+    rank = F.col(order) if order else F.col(time)
     both = rows.withColumn("_s", F.lit(None)).withColumn("_side", F.lit(1)).unionByName(
-        states.select(*keys, time, F.col(value).alias("_s"), F.lit(0).alias("_side")), allowMissingColumns=True)
+        states.select(*keys, time, F.struct(rank.alias("_o"), F.col(value).alias("_v")).alias("_s"), F.lit(0).alias("_side")), allowMissingColumns=True)
     w = Window.partitionBy(*keys).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(into, F.last("_s", ignorenulls=True).over(w)).where("_side = 1").drop("_s", "_side")
+    last = F.max("_s").over(w) if order else F.last("_s", ignorenulls=True).over(w)
+    return both.withColumn(into, last["_v"]).where("_side = 1").drop("_s", "_side")
 
 
 def overlaps(a: DataFrame, b: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
@@ -68,19 +71,55 @@ def upsert(rows: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return rows.join(changes.select(key), key, "left_anti").select(*rows.columns).unionByName(changes.select(*rows.columns))
 
 
-def ancestors(edges: DataFrame, child: str, parent: str) -> DataFrame:
-    """Transitive closure (node, ancestor, depth), by recursion in SQL; edges must hold no cycle."""
-    edges.createOrReplaceTempView("_edges")
-    return edges.sparkSession.sql(f"""
-        WITH RECURSIVE up(node, ancestor, depth) AS (
-            SELECT {child}, {parent}, 1 FROM _edges WHERE {parent} IS NOT NULL
-            UNION ALL
-            SELECT up.node, e.{parent}, up.depth + 1 FROM up JOIN _edges e ON e.{child} = up.ancestor WHERE e.{parent} IS NOT NULL)
-        SELECT node, ancestor, depth FROM up""")
-
-
 def grid(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Cells (row, col, row_span, col_span, ord) expanded to grid places; the later cell wins, owner marks its corner."""
     at = cells.withColumn("r", F.explode(F.sequence(F.col("row"), F.col("row") + F.col("row_span") - 1))).withColumn("c", F.explode(F.sequence(F.col("col"), F.col("col") + F.col("col_span") - 1)))
     at = at.groupBy(*keys, "r", "c").agg(F.max_by(F.struct("ord", "row", "col"), "ord").alias("o"))
     return at.select(*keys, "r", "c", F.col("o.ord").alias("ord"), ((F.col("r") == F.col("o.row")) & (F.col("c") == F.col("o.col"))).alias("owner"))
+
+
+def last_titles(rows: DataFrame, id: Column, title: Column, order: Sequence[str]) -> DataFrame:
+    """Different pairs of trimmed id and title that are not both empty, by title as people sort it, the last occurrence's place as `place`."""
+    pairs = rows.select(F.trim(F.coalesce(id.cast("string"), F.lit(""))).alias("id"), F.trim(F.coalesce(title, F.lit(""))).alias("title"), F.struct(*order).alias("_o"))
+    return pairs.where("id <> '' or title <> ''").groupBy("id", "title").agg(F.max("_o").alias("_o")).orderBy(F.collate("title", "UNICODE"), "id").select("id", "title")
+
+
+def by_flag_and_name(rows: DataFrame, flag: Column, name: str, ties: Sequence[str] = ()) -> list[Column]:
+    """An order: rows with the flag first, then by name as people sort it."""
+    return [F.desc(flag), F.collate(F.col(name), "UNICODE"), *map(F.col, ties)]
+
+
+def any_hint(name: Column, hints: Sequence[str]) -> Column:
+    """Whether a name holds one of some words, in any case."""
+    out = F.lit(False)
+    for h in hints:
+        out = out | F.lower(name).contains(h)
+    return out
+
+
+def prefixed(words: DataFrame, word: str, often: str, prefix: str, most: int = 6) -> DataFrame:
+    """The most frequent words that start with a prefix of two letters or more, in any case."""
+    if len(prefix) < 2:
+        return words.limit(0)
+    return words.where(F.lower(word).startswith(prefix.lower())).orderBy(F.desc(often), word).limit(most)
+
+
+def picked_voice(voices: DataFrame, wanted: DataFrame) -> DataFrame:
+    """For each wish (wish, uri, lang) the best voice (ord, uri, lang, local): its very uri, else its language here, else a local one of the language's
+    first part, else any of that, else the first; of equals the first by ord. Voices are few: they are one array beside each wish."""
+    every = voices.agg(F.sort_array(F.collect_list(F.struct("ord", "uri", "lang", "local"))).alias("_v"))
+    lang = F.coalesce(F.nullif(F.col("lang"), F.lit("")), F.lit("en-US"))
+    first = F.split_part(lang, F.lit("-"), F.lit(1))
+
+    def rank(v: Column) -> Column:
+        return F.when(v["uri"] == F.col("uri"), 0).when((v["lang"] == lang) & v["local"], 1).when(v["lang"].startswith(first) & v["local"], 2).when(v["lang"].startswith(first), 3).otherwise(4)
+
+    best = F.array_min(F.transform("_v", lambda v: F.struct(rank(v).alias("r"), v["ord"].alias("o"), v["uri"].alias("uri"))))
+    return wanted.withColumn("_one", F.lit(1)).join(F.broadcast(every.withColumn("_one", F.lit(1))), "_one").select("wish", best["uri"].alias("voice"))
+
+
+def first_alias(names: DataFrame, aliases: DataFrame) -> DataFrame:
+    """For each standard name the first of its aliases (standard, alias, at) that is among the available names in any case; of names that differ only in
+    case the last by ord."""
+    real = names.groupBy(F.lower("name").alias("_k")).agg(F.max_by("name", "ord").alias("name"))
+    return aliases.join(real, F.lower("alias") == F.col("_k")).groupBy("standard").agg(F.min_by("name", "at").alias("name"))

@@ -9,7 +9,7 @@ from parchment.functions import geometry as G
 from parchment.functions import text as T
 from parchment.operators import correction, documents, layout, search, strokes
 from parchment.operators import relational as R
-from parchment.plans.reference import SPOKEN, WORDS, query
+from parchment.plans.reference import SPOKEN, WIDE, WORDS, query
 from parchment.streaming import events
 
 c = F.col
@@ -25,7 +25,7 @@ def _markdown_sql() -> str:
     s = "text"
     for pattern, stands in T.MARKDOWN:
         s = f"regexp_replace({s}, '{pattern}', '{stands.replace('$', chr(92))}', 'g')"
-    return f"SELECT doc_id, regexp_replace({s}, '^\\s+|\\s+\\z', '', 'g') AS plain FROM documents"
+    return f"SELECT doc_id, regexp_replace({s}, '^{WIDE}+|{WIDE}+\\z', '', 'g') AS plain FROM documents"
 
 
 @query(_markdown_sql())
@@ -46,13 +46,13 @@ def sentence_chunks(t):
     return t("documents").select("doc_id", F.size(T.sentence_chunks(c("text"))).alias("n_chunks"))
 
 
-@query(r"SELECT doc_id, regexp_replace(regexp_replace(lower(trim(text)), '\s+', ' ', 'g'), '[.,;:]+\z', '') AS noun, regexp_extract(text, '([\p{L}\p{N}''-]+)\z', 1) AS last_word, nullif(regexp_extract(text, '(?m)^#{1,6}\s+(.+)$', 1), '') AS heading, len(list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s)), lambda s: s <> '')) AS n_lines FROM documents")
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(lower(regexp_replace(text, '^\s+|\s+\z', '', 'g')), '\s+', ' ', 'g'), '[.,;:]+\z', '') AS noun, regexp_extract(text, '([\p{L}\p{N}''-]+)\z', 1) AS last_word, nullif(regexp_extract(text, '(?m)^#{1,6}\s+(.+)$', 1), '') AS heading, len(list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s)), lambda s: s <> '')) AS n_lines FROM documents")
 def text_keys(t):
     text = c("text")
     return t("documents").select("doc_id", T.noun_key(text).alias("noun"), T.word_before(text).alias("last_word"), T.first_heading(text).alias("heading"), F.size(T.lines_to_list(text)).alias("n_lines"))
 
 
-@query(r"SELECT page_id, CASE WHEN regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN coalesce(nullif(regexp_extract(url, '^[^?#]*\?(?:[^#]*?&)?v=([^&#]*)', 1), ''), nullif(regexp_extract(url, '(?:youtu\.be/|/embed/|/shorts/)([A-Za-z0-9_-]{11})', 1), '')) END AS video FROM pages")
+@query(r"SELECT page_id, CASE WHEN regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN coalesce(nullif(substr(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda q: starts_with(q, 'v='))[1], 3), ''), nullif(regexp_extract(url, '(?:youtu\.be/|/embed/|/shorts/)([A-Za-z0-9_-]{11})', 1), '')) END AS video FROM pages")
 def video_ids(t):
     return t("pages").select("page_id", T.video_id(c("url")).alias("video"))
 

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from parchment.functions import text as T
 from parchment.operators import relational as R
+from parchment.operators import trees
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -40,6 +41,8 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+#: White space in SQL as text.SPACE has it.
+WIDE = r"[\s\x0B\p{Z}\x{FEFF}]"
 WORDS = "list_filter(regexp_split_to_array({}, '\\s+'), lambda w: w <> '')"
 
 
@@ -88,7 +91,7 @@ def haystack_filter(t):
 
 @query("SELECT doc_id, coalesce(l.quality, -1) AS quality FROM documents LEFT JOIN labels l USING (doc_id)")
 def left_lookup_default(t):
-    return R.lookup(t("documents").select("doc_id"), t("labels"), ["doc_id"], "quality", -1)
+    return R.lookup(t("documents").select("doc_id"), t("labels"), ["doc_id"], "quality", ["toxic", "quality"], -1)
 
 
 @query("SELECT 'semi' AS kind, count(*) AS n FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) UNION ALL SELECT 'anti', count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
@@ -175,7 +178,7 @@ _EDGES = "SELECT 'n' || n_nationkey AS child, 'r' || n_regionkey AS parent FROM
 def ancestor_closure(t):
     label = lambda p, k: F.concat(F.lit(p), c(k).cast("string"))
     edges = t("nation").select(label("n", "n_nationkey").alias("child"), label("r", "n_regionkey").alias("parent"))
-    return R.ancestors(edges.unionByName(t("supplier").select(label("s", "s_suppkey").alias("child"), label("n", "s_nationkey").alias("parent"))), "child", "parent")
+    return trees.ancestors(edges.unionByName(t("supplier").select(label("s", "s_suppkey").alias("child"), label("n", "s_nationkey").alias("parent"))), "child", "parent")
 
 
 @query("SELECT floor(l_extendedprice / 1000)::BIGINT AS bucket, count(*) AS votes FROM lineitem GROUP BY 1 HAVING count(*) >= greatest(3, ceil(0.01 * (SELECT count(*) FROM lineitem))) ORDER BY votes DESC, bucket LIMIT 2")
@@ -207,7 +210,7 @@ def date_labels(t):
     return t("events").select("event_id", F.coalesce(F.date_format("ts", "yyyy-MM-dd HH:mm"), F.lit("—")).alias("label"))
 
 
-@query("SELECT doc_id, CASE WHEN n_chars // 3600 > 0 THEN printf('%d:%02d:%02d', n_chars // 3600, n_chars % 3600 // 60, n_chars % 60) WHEN n_chars <= 0 THEN '' ELSE printf('%d:%02d', n_chars // 60, n_chars % 60) END AS clock FROM documents")
+@query("SELECT doc_id, CASE WHEN n_chars // 3600 > 0 THEN printf('%d:%02d:%02d', n_chars // 3600, n_chars % 3600 // 60, n_chars % 60) WHEN n_chars = 0 THEN '' ELSE printf('%d:%02d', n_chars // 60, n_chars % 60) END AS clock FROM documents")
 def durations(t):
     return t("documents").select("doc_id", T.clock(c("n_chars")).alias("clock"))
 

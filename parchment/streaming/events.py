@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
 from parchment.functions import text as T
+from parchment.sources.scratch import new_path
+
 
 def data_events(lines: DataFrame, line: str, schema: str, into: str = "event") -> DataFrame:
     """`data: {json}` lines parsed; other lines, the end mark and broken JSON go."""
@@ -71,10 +73,93 @@ def phrases(stream: DataFrame, key: str, ord: str, text: str) -> DataFrame:
     return rows.groupBy("key").applyInPandasWithState(_fold, "key long, phrase long, ord long, replaces boolean, text string", "last string, n long", "append", GroupStateTimeout.NoTimeout)
 
 
+def until_terminal(polls: DataFrame, job: str, ord: Sequence[str], status: str, terminal: Sequence[str]) -> DataFrame:
+    """Polls of each job up to and with the first that says it is over; what comes after is not asked for."""
+    w = Window.partitionBy(job).orderBy(*ord).rowsBetween(Window.unboundedPreceding, -1)
+    over = F.lower(F.coalesce(F.col(status), F.lit("queued"))).isin(*terminal)
+    return polls.withColumn("_over", F.coalesce(F.sum(over.cast("int")).over(w), F.lit(0))).where("_over = 0").drop("_over")
+
+
+def settled(queries: DataFrame, keys: Sequence[str], time: str, ord: Sequence[str], wait_us: int, text: str | None = None, least: int = 0) -> DataFrame:
+    """Queries that no other of their key replaces within `wait_us` microseconds, with at least so many letters: what a search that waits for the typing to
+    end is asked, and whose answers count."""
+    w = Window.partitionBy(*keys).orderBy(*ord)
+    rows = queries.withColumn("_next", F.lead(F.unix_micros(F.col(time).cast("timestamp"))).over(w)).withColumn("_now", F.unix_micros(F.col(time).cast("timestamp")))
+    rows = rows.where(F.col("_next").isNull() | (F.col("_next") - F.col("_now") > wait_us)).drop("_next", "_now")
+    return rows.where(F.length(text) >= least) if text else rows
+
+
+def _lines(key, batches, state: GroupState):
+    """State: what came after the last line end, and how many lines there were."""
+    rest, n = state.get if state.exists else ("", 0)
+    out = []
+    for chunk in pd.concat(list(batches)).sort_values("ord", kind="stable")["chunk"]:
+        *whole, rest = (rest + chunk).split("\n")
+        for line in whole:
+            out.append((*key, n, line))
+            n += 1
+    state.update((rest, n))
+    yield pd.DataFrame(out, columns=["key", "n", "line"])
+
+
+def chunk_lines(stream: DataFrame, key: str, ord: str, chunk: str) -> DataFrame:
+    """Whole lines of a stream of chunks of text: key, n (from 0), line. A line may cross chunks and batches; what has no end yet is kept in the state."""
+    rows = stream.select(F.col(key).cast("long").alias("key"), F.col(ord).cast("long").alias("ord"), F.coalesce(F.col(chunk), F.lit("")).alias("chunk"))
+    return rows.groupBy("key").applyInPandasWithState(_lines, "key long, n long, line string", "rest string, n long", "append", GroupStateTimeout.NoTimeout)
+
+
+def told(events: DataFrame, keys: Sequence[str], ord: str, delta: Column, error: Column) -> DataFrame:
+    """What is told so far: deltas one after the other; an error replaces what stands before it."""
+    rows = events.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(ord).alias("ord"), delta.alias("delta"), error.alias("error")))).alias("_e"))
+    step = lambda said, e: F.when(e["error"].isNotNull(), F.concat(F.lit("Error: "), e["error"])).otherwise(F.concat(said, F.coalesce(e["delta"], F.lit(""))))
+    return rows.select(*keys, F.aggregate("_e", F.lit(""), step).alias("content"))
+
+
+def _numbers(key, batches, state: GroupState):
+    """State: the nouns of a document, and how many each place holds."""
+    seen, places, counts = state.get if state.exists else ([], [], [])
+    known, last = set(seen), dict(zip(places, counts))
+    out = []
+    for row in pd.concat(list(batches)).sort_values("ord", kind="stable").itertuples():
+        if row.noun not in known:
+            known.add(row.noun)
+            last[row.place] = last.get(row.place, 0) + 1
+            out.append((*key, row.place, row.noun, last[row.place]))
+    state.update((list(known), list(last), list(last.values())))
+    yield pd.DataFrame(out, columns=["key", "place", "noun", "num"])
+
+
+def numbered_nouns(stream: DataFrame, key: str, ord: str, place: Column, noun: str) -> DataFrame:
+    """The first sight of each noun of a document, numbered within its place (card and mode) as they come. The state of a document is its nouns."""
+    rows = stream.select(F.col(key).cast("long").alias("key"), F.col(ord).cast("long").alias("ord"), place.alias("place"), F.col(noun).alias("noun"))
+    return rows.groupBy("key").applyInPandasWithState(_numbers, "key long, place string, noun string, num long", "seen array<string>, places array<string>, counts array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
+def _speeds(window: float):
+    def run(key, batches, state: GroupState):
+        """State: the samples of the last `window` units of time."""
+        kept = list(zip(*state.get)) if state.exists else []
+        out = []
+        for s in pd.concat(list(batches)).sort_values(["t", "ord"], kind="stable").itertuples():
+            kept = [k for k in kept if k[0] >= s.t - window]
+            kept.append((s.t, s.x))
+            t, x = kept[0]
+            out.append((*key, s.ord, (s.x - x) / (s.t - t) if s.t > t else 0.0))
+        state.update(tuple(map(list, zip(*kept))))
+        yield pd.DataFrame(out, columns=["key", "ord", "vx"])
+
+    return run
+
+
+def tracked(stream: DataFrame, key: str, t: str, ord: str, x: str, window: float) -> DataFrame:
+    """Velocity of each sample over the last `window` units of time, for samples that come in order of time within their key."""
+    rows = stream.select(F.col(key).cast("long").alias("key"), F.col(t).cast("double").alias("t"), F.col(ord).cast("long").alias("ord"), F.col(x).cast("double").alias("x"))
+    return rows.groupBy("key").applyInPandasWithState(_speeds(window), "key long, ord long, vx double", "t array<double>, x array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
 def run_available(spark: SparkSession, path: str, transform: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """All that a Parquet path holds now, read as a stream, transformed and written as Parquet in the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    out = f"{base}/stream-{uuid.uuid4().hex}"
+    out = new_path(spark, "stream")
     source = spark.readStream.schema(spark.read.parquet(path).schema)
     # A stream reads folders; a single file is reached through its parent by name.
     parent, name = path.rstrip("/").rsplit("/", 1)
