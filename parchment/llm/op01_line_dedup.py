@@ -11,9 +11,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from parchment.llm.op06_token_counts import as_bytes
-from parchment.llm.shared import cut
+from parchment.llm.shared import cut, row_key
 
 LEAST, MOST, MASK = 2, 16, 1  # lines in a chunk; a boundary follows one window in MASK + 1
 LONG = 50  # a line of more words is a chunk of its own
@@ -109,8 +110,9 @@ def slot_of(key: bytes) -> int:
 
 
 def repeated_chunks(rows: DataFrame, extend: bool = False) -> DataFrame:
-    """What to remove of rows (row long, doc, t binary): (row, units array<struct<at int, n int, chunk boolean>>), lines by number. A chunk
-    is repeated if another chunk of any row has the same bytes; the first by (doc, row, place) stays, null ids last. With `extend`, so are windows of two visible lines.
+    """What to remove of rows (d, e: the row key, doc, t binary): (d, e, units array<struct<at int, n int, chunk boolean, first boolean>>), lines by
+    number. A chunk is repeated if another chunk of any row has the same bytes; `first` tells the first by (doc, length, key, place), null ids
+    last, which stays but in further rows of the same key. With `extend`, so are windows of two visible lines.
     Bytes are compared by the smallest and the largest text under each 128-bit key, which a map-side aggregate finds; keys whose
     texts differ remove nothing. As a line goes only for an equal one in an earlier place, one of equal lines always stays."""
     kind = rows.schema["doc"].dataType.simpleString()
@@ -125,22 +127,27 @@ def repeated_chunks(rows: DataFrame, extend: bool = False) -> DataFrame:
     def explode(batches):
         bits = twice.value
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], [], []]
-            for r, d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                for u in units_of(t.as_py(), extend):
+            row, size, out = [], [], [[], [], [], [], []]
+            for i, t in enumerate(batch.column(3)):
+                t = t.as_py()
+                for u in units_of(t, extend):
                     slot = slot_of(u[3])
                     if int(bits[slot >> 6]) >> (slot & 63) & 1:
-                        for column, value in zip(out, (r, d, *u), strict=True):
+                        row.append(i)
+                        size.append(len(t))
+                        for column, value in zip(out, u, strict=True):
                             column.append(value)
-            kinds = (pa.int64(), batch.schema.field(1).type, pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["row", "doc", "at", "n", "chunk", "key", "body"])
+            take = pa.array(row, pa.int64())
+            kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(3)), pa.array(size, pa.int32()), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], ["d", "e", "doc", "size", "at", "n", "chunk", "key", "body"])
 
-    place = F.struct(F.isnull("doc").alias("none"), "doc", "row", "at")
-    rows = rows.mapInArrow(explode, f"row long, doc {kind}, at int, n int, chunk boolean, key binary, body binary")
+    place = F.struct(F.isnull("doc").alias("none"), "doc", "size", "d", "e", "at")
+    rows = rows.select("d", "e", "doc", "t").mapInArrow(explode, f"d long, e int, doc {kind}, size int, at int, n int, chunk boolean, key binary, body binary")
     keys = rows.groupBy("key").agg(F.count("*").alias("times"), F.min(place).alias("first"), F.min("body").alias("lo"), F.max("body").alias("hi"))
-    keys = cut(keys.where("times > 1 and lo = hi").select("key", F.col("first.row").alias("first_row"), F.col("first.at").alias("first_at")), "chunks")
-    found = rows.select("row", "at", "n", "chunk", "key").join(keys, "key").where("row <> first_row or at <> first_at")
-    return found.groupBy("row").agg(F.collect_set(F.struct("at", "n", "chunk")).alias("units"))
+    keys = cut(keys.where("times > 1 and lo = hi").select("key", F.col("first.d").alias("first_d"), F.col("first.e").alias("first_e"), F.col("first.at").alias("first_at")), "chunks")
+    first = (F.col("d") == F.col("first_d")) & (F.col("e") == F.col("first_e")) & (F.col("at") == F.col("first_at"))
+    found = rows.select("d", "e", "at", "n", "chunk", "key").join(keys, "key").withColumn("first", first)
+    return found.groupBy("d", "e").agg(F.collect_set(F.struct("at", "n", "chunk", "first")).alias("units"))
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunks: str = "n_chunks_removed", lines: str = "n_lines_removed", extend: bool = False) -> DataFrame:
@@ -148,25 +155,32 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chu
     extend: also the lines of every other repeated passage of two or more visible lines; they count as lines, not as chunks.
 
     Null text stays null; a text that loses everything becomes empty; texts of one line that is not long and empty texts
-    stay. Rows are told apart by a number of their own in a written table: those with a null or the same id are documents each for
-    itself, and of equal ones the first row keeps its text. Two equal chunks of one document count as repeated. An empty table gives an empty table.
+    stay. Rows with a null or the same id are documents each for itself (see row_key): of equal ids the shorter text comes
+    first, of rows equal in id and text the one with the smallest hash of its columns. Two equal chunks of one document count as repeated. An
+    empty table gives an empty table.
     """
     own = docs.drop(chunks, lines)
-    numbered = cut(own.select(F.struct(*(F.col(f"`{c}`") for c in own.columns)).alias("own"), F.monotonically_increasing_id().alias("row")), "rows")
-    texts = numbered.where(F.col(f"own.`{text}`").isNotNull()).select("row", F.col(f"own.`{doc_id}`").alias("doc"), as_bytes(f"own.`{text}`").alias("t"))
-    joined = numbered.join(repeated_chunks(texts, extend), "row", "left").select("own", "units")
+    d, e = row_key(own, doc_id, text)
+    keyed = own.select(F.struct(*(F.col(f"`{c}`") for c in own.columns)).alias("own"), d.alias("d"), e.alias("e"))
+    texts = keyed.where(F.col(f"own.`{text}`").isNotNull()).select("d", "e", F.col(f"own.`{doc_id}`").alias("doc"), as_bytes(f"own.`{text}`").alias("t"))
+    joined = keyed.join(repeated_chunks(texts, extend), ["d", "e"], "left")
+    order = F.xxhash64(*(F.col(f"own.`{c}`") for c in own.columns))
+    joined = joined.withColumn("again", F.row_number().over(Window.partitionBy("d", "e").orderBy(order)) > 1).select("own", "again", "units")
 
     def strip(batches):
         for batch in batches:
             kept, n_chunks, n_lines = [], [], []
-            for t, units in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for t, units, again in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                units = [u for u in units if again or not u["first"]]
                 gone = {k for u in units for k in range(u["at"], u["at"] + u["n"])}
                 kept.append(b"".join(x for k, x in enumerate(lines_of(t)) if k not in gone).decode("utf-8", "replace"))
                 n_chunks.append(sum(u["chunk"] for u in units))
                 n_lines.append(len(gone))
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(kept, pa.string()), pa.array(n_chunks, pa.int32()), pa.array(n_lines, pa.int32())], ["own", "kept", "nc", "nl"])
 
-    some = joined.where("units is not null").select(as_bytes(f"own.{text}").alias("t"), "units", "own")
+    touched = F.exists("units", lambda u: F.col("again") | ~u.first)
+    joined = joined.withColumn("touched", F.coalesce(touched, F.lit(False)))
+    some = joined.where("touched").select(as_bytes(f"own.{text}").alias("t"), "units", "own", "again")
     schema = f"own {some.schema['own'].dataType.simpleString()}, kept string, nc int, nl int"
-    done = some.mapInArrow(strip, schema).unionByName(joined.where("units is null").select("own", F.lit(None).cast("string").alias("kept"), F.lit(0).alias("nc"), F.lit(0).alias("nl")))
+    done = some.mapInArrow(strip, schema).unionByName(joined.where("not touched").select("own", F.lit(None).cast("string").alias("kept"), F.lit(0).alias("nc"), F.lit(0).alias("nl")))
     return done.select(*(F.coalesce("kept", f"own.{c}").alias(c) if c == text else F.col(f"own.`{c}`").alias(c) for c in own.columns), F.col("nc").alias(chunks), F.col("nl").alias(lines))
