@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_left
+from collections import Counter
 from functools import lru_cache
 
 import regex
@@ -25,12 +27,36 @@ def fold(ch: str) -> str:
     return ch if ord(ch) > 0xFFFF else PUNCTUATION.get(ch) or "".join(PUNCTUATION.get(x, x) for x in unicodedata.normalize("NFKC", ch))
 
 
+RUN = regex.compile("[" + "".join(map(regex.escape, sorted(SPACE))) + "]+")
+#: A hyphen at a line break before a letter, which a compact text may lose.
+BROKEN = regex.compile(r"-[^\S\n\r]*[\n\r]")
+
+
 class Folded:
-    """A text without invisible characters, each run of white space one space, characters folded. `place[i]` is where character i of
-    `text` comes from, as (start, end) in the original; places count code points. `compact` has no spaces, nor a hyphen at a line
-    break before a lower-case letter; `compact_at[i]` is its place in `text`."""
+    """A text without invisible characters, each run of white space one space, characters folded; span() gives the place in the original of
+    a part of `text`, in code points. `compact` has no spaces, nor a hyphen at a line break before a lower-case letter.
+
+    Where every character is its own folded form, only runs of white space move places: those of other lengths than one are noted, and the
+    rest is found by bisection. Other texts are walked sign by sign."""
 
     def __init__(self, original: str):
+        self.place = self._at = None
+        signs = set(original)
+        if signs & INVISIBLE or any(fold(x) != x for x in signs - SPACE) or BROKEN.search(original):
+            self._walk(original)
+            return
+        self.text = RUN.sub(" ", original)
+        self.compact = self.text.replace(" ", "")
+        # where a run of another length stands in the text, and how far places behind it are moved
+        self._runs, self._moved, moved = [], [], 0
+        if len(self.text) != len(original):
+            for m in RUN.finditer(original):
+                if m.end() - m.start() > 1:
+                    self._runs.append(m.start() - moved)
+                    moved += m.end() - m.start() - 1
+                    self._moved.append(moved)
+
+    def _walk(self, original: str) -> None:
         out, place, breaks, i, n = [], [], set(), 0, len(original)
         while i < n:
             ch, start = original[i], i
@@ -55,11 +81,22 @@ class Folded:
                 at.append(k)
             elif at and out[at[-1]] == "-" and k in breaks and k + 1 < len(out) and out[k + 1].islower():
                 at.pop()
-        self.compact_at, self.compact = at, "".join(out[k] for k in at)
+        self._at, self.compact = at, "".join(out[k] for k in at)
+
+    @property
+    def compact_at(self) -> list[int]:
+        """The place in `text` of each sign of `compact`."""
+        if self._at is None:
+            self._at = [k for k, x in enumerate(self.text) if x != " "]
+        return self._at
 
     def span(self, start: int, end: int) -> tuple[int, int]:
         """Places in the original of text[start:end]."""
-        return self.place[start][0], self.place[end - 1][1]
+        if self.place is not None:
+            return self.place[start][0], self.place[end - 1][1]
+        before = bisect_left(self._runs, start)  # runs before `start` move it; those up to `end` move the end
+        upto = bisect_left(self._runs, end)
+        return start + (self._moved[before - 1] if before else 0), end + (self._moved[upto - 1] if upto else 0)
 
     def compact_span(self, start: int, end: int) -> tuple[int, int]:
         return self.span(self.compact_at[start], self.compact_at[end - 1] + 1)
@@ -107,9 +144,20 @@ def weighted_distance(a: str, b: str, limit: float = float("inf")) -> float:
     return row[-1]
 
 
+@lru_cache(maxsize=65_536)
+def bag(text: str) -> Counter:
+    """How often each letter stands in a text as scans read it, letters alike in print as one."""
+    return Counter(scan_fold(text).translate({ord("l"): "1", ord("i"): "1", ord("o"): "0"}))
+
+
+@lru_cache(maxsize=65_536)
 def similarity(a: str, b: str, floor: float = 0.0) -> float:
-    """1 less the distance over the longer, not folded, length; 0 where it is below `floor`."""
+    """1 less the distance over the longer, not folded, length; 0 where it is below `floor`. The distance is at least what letters one text has more
+    of than the other, which settles most pairs before it is computed."""
     longest = max(len(a), len(b), 1)
+    x, y = bag(a), bag(b)
+    if max((x - y).total(), (y - x).total()) > (1 - floor) * longest + 1e-9:
+        return 0.0
     value = max(0.0, 1 - weighted_distance(a, b, (1 - floor) * longest + 1e-9) / longest)
     return value if value >= floor else 0.0
 

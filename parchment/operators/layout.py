@@ -135,20 +135,31 @@ def blocks_of(items: list[Item]) -> tuple[list[float], list[tuple[Line, int | No
 def page_layout(items: DataFrame, page: Sequence[str]) -> DataFrame:
     """items (page keys, x1, x2, y1, y2, text, ord; y grows downward) to one row per block: page keys, place (reading order from 0),
     column (null: as wide as the page), columns, gutters, x1, x2, y1, y2, text, n_words. Items without a place do not count; null
-    texts are empty; extra columns go. One shuffle by page; a task holds one page at a time."""
+    texts are empty; extra columns go. One shuffle by page, which gathers a page's items in an array; then batches of pages go to Python."""
     kinds = ", ".join(f"`{k}` {items.schema[k].dataType.simpleString()}" for k in page)
-
-    def run(table: pa.Table) -> pa.Table:
-        gutters, blocks = blocks_of([Item(*row) for row in zip(*(table[n].to_pylist() for n in Item._fields))])
-        n = len(blocks)
-        columns = [pa.array([table[k][0].as_py()] * n, table.schema.field(k).type) for k in page]
-        columns += [pa.array(range(n), pa.int32()), pa.array([column for _, column in blocks], pa.int32()), pa.array([len(gutters) + 1] * n, pa.int32()), pa.array([gutters] * n, pa.list_(pa.float64()))]
-        columns += [pa.array([getattr(b, side) for b, _ in blocks], pa.float64()) for side in ("x1", "x2", "y1", "y2")]
-        return pa.Table.from_arrays([*columns, pa.array([b.text() for b, _ in blocks], pa.string())], names=[*page, "place", "column", "columns", "gutters", "x1", "x2", "y1", "y2", "text"])
-
-    rows = items.select(*page, *(F.col(n).cast("double").alias(n) for n in Item._fields[:4]), F.coalesce("text", F.lit("")).alias("text"), F.col("ord").cast("long").alias("ord"))
-    rows = rows.where("x1 is not null and x2 is not null and y1 is not null and y2 is not null")
-    done = rows.groupBy(*page).applyInArrow(run, f"{kinds}, place int, column int, columns int, gutters array<double>, x1 double, x2 double, y1 double, y2 double, text string")
+    sides = ("x1", "x2", "y1", "y2")
+
+    def run(batches):
+        for batch in batches:
+            of, place, column, count, gutters, text = [], [], [], [], [], []
+            box: list[list] = [[], [], [], []]
+            for row, own in enumerate(batch.column(len(page)).to_pylist()):
+                cuts, blocks = blocks_of([Item(**item) for item in own])
+                of += [row] * len(blocks)
+                place += range(len(blocks))
+                column += [c for _, c in blocks]
+                count += [len(cuts) + 1] * len(blocks)
+                gutters += [cuts] * len(blocks)
+                text += [b.text() for b, _ in blocks]
+                for k, side in enumerate(sides):
+                    box[k] += [getattr(b, side) for b, _ in blocks]
+            take = pa.array(of, pa.int64())
+            columns = [*(batch.column(k).take(take) for k in range(len(page))), pa.array(place, pa.int32()), pa.array(column, pa.int32()), pa.array(count, pa.int32()), pa.array(gutters, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(b, pa.float64()) for b in box), pa.array(text, pa.string())], [*page, "place", "column", "columns", "gutters", *sides, "text"])
+
+    item = F.struct(*(F.col(n).cast("double").alias(n) for n in sides), F.coalesce("text", F.lit("")).alias("text"), F.col("ord").cast("long").alias("ord"))
+    rows = items.where("x1 is not null and x2 is not null and y1 is not null and y2 is not null").groupBy(*page).agg(F.sort_array(F.collect_list(item)).alias("_items"))
+    done = rows.mapInArrow(run, f"{kinds}, place int, column int, columns int, gutters array<double>, x1 double, x2 double, y1 double, y2 double, text string")
     return done.withColumn("n_words", F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")))
 
 

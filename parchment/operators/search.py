@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -58,6 +59,8 @@ def token_hits(page: M.Folded, q: Query) -> list[Hit]:
     """Runs of words that, joined, are the query's words joined."""
     words, whole, found = page.tokens(), "".join(q.words), []
     for i in range(len(words) if whole else 0):
+        if not whole.startswith(words[i][0]):
+            continue
         joined, j = "", i
         while j < len(words) and len(joined) < len(whole):
             joined += words[j][0]
@@ -69,19 +72,24 @@ def token_hits(page: M.Folded, q: Query) -> list[Hit]:
 
 
 def fuzzy_hits(page: M.Folded, q: Query, floor: float) -> list[Hit]:
-    """Windows of words nearly like the query; not where a prefix or a negation turns the meaning round."""
-    words, found, seen = page.tokens(), [], {}
-    for size in window_sizes(len(q.words)) if q.words else ():
+    """Windows of words nearly like the query; not where a prefix or a negation turns the meaning round. Lengths alone rule out most windows before
+    any is put together."""
+    if not q.words:
+        return []
+    words, found = page.tokens(), []
+    ends = [0, *accumulate(len(w) for w, _, _ in words)]
+    room = max(4, len(q.compact) * 0.5)
+    low, high = len(q.compact) - room, len(q.compact) + room
+    for size in window_sizes(len(q.words)):
         for i in range(len(words) - size + 1):
+            if not low <= ends[i + size] - ends[i] <= high:
+                continue
             window = [w for w, _, _ in words[i : i + size]]
             joined = "".join(window)
-            if abs(len(joined) - len(q.compact)) > max(4, len(q.compact) * 0.5) or M.opposite(q.compact, joined) or M.negation_differs(q.words, window):
-                continue
-            if joined not in seen:
-                seen[joined] = M.similarity(q.compact, joined, floor)
-            if seen[joined] >= floor:
+            sure = M.similarity(q.compact, joined, floor)
+            if sure >= floor and not M.opposite(q.compact, joined) and not M.negation_differs(q.words, window):
                 a, b = words[i][1], words[i + size - 1][2]
-                found.append(("fuzzy", seen[joined], *page.span(a, b), page.text[a:b]))
+                found.append(("fuzzy", sure, *page.span(a, b), page.text[a:b]))
     return found
 
 
