@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from parchment.llm import op01_line_dedup, op02_mixing, op04_packing, op05_toxicity, op09_minhash
 from parchment.llm.shared import cut
@@ -26,10 +28,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest id; of rows with equal id and text, one.
-    Rows without an id belong to no group and stay."""
-    kept = op09_minhash.near_duplicates(docs, percent=80, rows=6).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """One document of each group of near-duplicates, that with the smallest id; of rows with that id and the same text, the one
+    with the smallest hash of all its columns. Rows without an id or without words belong to no group and stay."""
+    found = op09_minhash.near_duplicates(docs, percent=80, rows=6, detail=True).where("group is not null")
+    least = found.groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("least")).select("least.*")
+    keys = [F.col("doc_id").alias("doc_id"), op09_minhash.text_hash("text").alias("text_hash")]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), *keys)
+    same = Window.partitionBy("doc_id", "text_hash").orderBy(F.xxhash64(*(F.col(f"own.`{c}`") for c in docs.columns)))
+    kept = rows.join(least, ["doc_id", "text_hash"], "left_semi").withColumn("nth", F.row_number().over(same)).where("nth = 1").select("own.*")
+    wordless = F.coalesce(F.trim(F.translate("text", "\t\n\x0b\x0c\r", "     ")), F.lit("")) == ""
+    return kept.unionByName(docs.where(F.col("doc_id").isNull() | wordless))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
