@@ -81,5 +81,11 @@ def entity_series(log: DataFrame) -> DataFrame:
     own = schemas.select(F.col("_k").alias("_own"), F.lit(True).alias("_has"))
     rows = rows.join(traces, "_t", "left").join(own, "_own", "left").withColumn("_k", F.when(F.col("_has"), F.col("_own")).otherwise(F.col("_via")))
     rows = rows.join(schemas, "_k", "left")
-    place = F.row_number().over(Window.partitionBy("schema").orderBy(F.asc_nulls_last("created_at"), "ord"))
-    return rows.withColumn("place", place).select("domain", "schema", "trace", "id", "value", "unit", "created_at", "place")
+    # numbers within days and sums over days: no task sorts all readings of a schema, or all that have none
+    rows = rows.withColumn("_day", F.to_date("created_at"))
+    days = rows.groupBy(F.col("schema").alias("_s"), F.col("_day").alias("_e")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_s").orderBy(F.asc_nulls_last("_e")))
+    days = days.withColumn("_before", before - F.col("_n")).drop("_n")
+    rows = rows.withColumn("_in", F.row_number().over(Window.partitionBy("schema", "_day").orderBy(F.asc_nulls_last("created_at"), "ord")))
+    rows = rows.join(days, rows["schema"].eqNullSafe(days["_s"]) & rows["_day"].eqNullSafe(days["_e"]))
+    return rows.withColumn("place", (F.col("_before") + F.col("_in")).cast("int")).select("domain", "schema", "trace", "id", "value", "unit", "created_at", "place")

@@ -151,13 +151,12 @@ def asof_state(t):
     return R.as_of(e.where("event_type = 'click'").select("user_id", "ts", "event_id"), states, ["user_id"], "ts", "state", "last_purchase").select("event_id", "last_purchase")
 
 
-_SPANS = "SELECT l_orderkey % 50 AS k, l_partkey AS {0}_from, l_partkey + 40 AS {0}_to, l_orderkey * 10 + l_linenumber AS {0}_id FROM lineitem WHERE l_linenumber = {1}"
-
-
-@query(f"WITH a AS ({_SPANS.format('a', 1)}), b AS ({_SPANS.format('b', 2)}) SELECT k, count(*) AS n, sum(least(a_to, b_to) - greatest(a_from, b_from))::BIGINT AS common FROM a JOIN b USING (k) WHERE a_from < b_to AND b_from < a_to GROUP BY k")
+@query("""WITH a AS (SELECT l_orderkey % 50 AS k, l_partkey AS a_from, l_partkey + 40 AS a_to FROM lineitem), b AS (SELECT o_orderkey % 50 AS k, o_custkey AS b_from, o_custkey + 25 AS b_to FROM orders)
+SELECT k, count(*) AS n, sum(least(a_to, b_to) - greatest(a_from, b_from))::BIGINT AS common FROM a JOIN b USING (k) WHERE a_from < b_to AND b_from < a_to GROUP BY k""")
 def overlap_ranges(t):
-    side = lambda p, n: t("lineitem").where(c("l_linenumber") == n).select((c("l_orderkey") % 50).alias("k"), c("l_partkey").alias(f"{p}_from"), (c("l_partkey") + 40).alias(f"{p}_to"))
-    return R.overlaps(side("a", 1), side("b", 2), ["k"], 64).groupBy("k").agg(F.count("*").alias("n"), F.sum(c("to") - c("from")).alias("common"))
+    a = t("lineitem").select((c("l_orderkey") % 50).alias("k"), c("l_partkey").alias("a_from"), (c("l_partkey") + 40).alias("a_to"))
+    b = t("orders").select((c("o_orderkey") % 50).alias("k"), c("o_custkey").alias("b_from"), (c("o_custkey") + 25).alias("b_to"))
+    return R.overlaps(a, b, ["k"], 64).groupBy("k").agg(F.count("*").alias("n"), F.sum(c("to") - c("from")).alias("common"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate, o_orderkey LIMIT 4")
