@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parchment.llm.op06_token_counts import as_bytes
-from parchment.llm.shared import cut
+from parchment.llm.shared import cut, row_key
 
 GRAM = 24
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -254,64 +254,69 @@ def shard_repeats(hashes: list[int], segments: list[bytes], span: int, parts: li
 
 
 def duplicate_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = 200, shard_bytes: int = 4_000_000, hot: int = 12_000) -> tuple[DataFrame, DataFrame]:
-    """The documents (doc, t), dealt by id, and the byte ranges (doc, a, b) that repeated strings cover."""
-    kind = docs.schema[doc_id].dataType.simpleString()
-    base = docs.select(F.col(doc_id).alias("doc"), as_bytes(text).alias("t"))
+    """The documents (doc_id, d, e, t), dealt by their row key d, e, and the byte ranges (d, e, a, b) that repeated strings cover. Of a hash
+    with more than `hot` runs or 2 * shard_bytes bytes the runs are dealt to parts."""
+    d, e = row_key(docs, doc_id, text)
+    base = docs.select(F.col(doc_id).alias("doc_id"), d.alias("d"), e.alias("e"), as_bytes(text).alias("t"))
 
     def scan(batches):
         with np.errstate(over="ignore"):
             for batch in batches:
-                ids, column = batch.column(0), batch.column(1)
+                column = batch.column(2)
                 lens = np.fromiter(map(len, column.to_pylist()), np.int64, len(column))
                 at = 0
                 while at < len(lens):  # about a quarter of a megabyte at a time stays in the processor's cache
                     to = at + max(1, int(np.searchsorted(np.cumsum(lens[at:]), 1 << 18, side="right")))
                     data = np.frombuffer(b"".join(column[at:to].to_pylist()), np.uint8)
-                    d, s0, s1, h, often = runs_of(data, np.cumsum(lens[at:to]), span)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(d + at)), pa.array(h.view(np.int64)), pa.array(s0.astype(np.int32)), pa.array(s1.astype(np.int32)), pa.array(np.minimum(often, 2).astype(np.int32))], ["doc", "h", "s0", "s1", "often"])
+                    doc, s0, s1, h, often = runs_of(data, np.cumsum(lens[at:to]), span)
+                    key = pa.array(doc + at)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(key), batch.column(1).take(key), pa.array(h.view(np.int64)), pa.array(s0.astype(np.int32)), pa.array(s1.astype(np.int32)), pa.array(np.minimum(often, 2).astype(np.int32))], ["d", "e", "h", "s0", "s1", "often"])
                     at = to
 
-    runs = base.where(F.col("doc").isNotNull() & (F.octet_length("t") >= span)).mapInArrow(scan, f"doc {kind}, h long, s0 int, s1 int, often int")
-    again = runs.groupBy("h").agg(F.sum("often").alias("c")).where("c > 1")
-    mine = runs.select("doc", "h", "s0", "s1").join(again, "h")
-    mine = cut(mine.groupBy("doc").agg(F.collect_list(F.struct("h", "s0", "s1", "c")).alias("runs")), "runs")
+    runs = base.where(F.octet_length("t") >= span).select("d", "e", "t").mapInArrow(scan, "d long, e int, h long, s0 int, s1 int, often int")
+    again = runs.groupBy("h").agg(F.sum("often").alias("c"), F.sum(F.col("s1") - F.col("s0") + span).alias("bytes")).where("c > 1")
+    parts = F.greatest(F.ceil(F.col("c") / hot), F.ceil(F.col("bytes") / (2 * shard_bytes))).cast("int")
+    mine = runs.select("d", "e", "h", "s0", "s1").join(again.select("h", parts.alias("parts")), "h")
+    # a set: rows with the same key have the same runs, which each of them gets once
+    mine = cut(mine.groupBy("d", "e").agg(F.collect_set(F.struct("h", "s0", "s1", "parts")).alias("runs")), "runs")
     total = mine.agg(F.sum(F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r.s1 - r.s0 + span))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    dealt = base.repartition("doc")
+    dealt = base.repartition("d", "e")
 
     def segments(batches):
         for batch in batches:
-            doc, h, s0, n, seg = [], [], [], [], []
-            for d, t, rows in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            row, h, s0, n, seg = [], [], [], [], []
+            for i, (t, rows) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                 t = t.as_py()
                 for r in rows.as_py():
-                    doc.append(d)
+                    row.append(i)
                     h.append(r["h"])
                     s0.append(r["s0"])
-                    n.append(r["c"])
+                    n.append(r["parts"])
                     seg.append(t[r["s0"] : r["s1"] + span])
-            yield pa.RecordBatch.from_arrays([pa.array(doc, batch.schema.field(0).type), pa.array(h, pa.int64()), pa.array(s0, pa.int32()), pa.array(n, pa.int64()), pa.array(seg, pa.binary())], ["doc", "h", "s0", "c", "seg"])
+            key = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(key), batch.column(1).take(key), pa.array(h, pa.int64()), pa.array(s0, pa.int32()), pa.array(n, pa.int32()), pa.array(seg, pa.binary())], ["d", "e", "h", "s0", "parts", "seg"])
 
-    pieces = dealt.join(mine, "doc").select("doc", "t", "runs").mapInArrow(segments, f"doc {kind}, h long, s0 int, c long, seg binary")
-    parts = F.ceil(F.col("c") / hot).cast("int")
-    part = F.pmod(F.xxhash64("doc", "s0"), parts).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct(F.least(part, k).alias("i"), F.greatest(part, k).alias("j")))
-    cold = pieces.where(F.col("c") <= hot).select(F.pmod("h", F.lit(shards)).alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(-1).alias("p"), "doc", "h", "s0", "seg")
-    split = pieces.where(F.col("c") > hot).select("doc", "h", "s0", "seg", part.alias("p"), F.explode(pairs).alias("pair")).select(F.col("h").alias("g"), "pair.i", "pair.j", "p", "doc", "h", "s0", "seg")
+    pieces = dealt.join(mine, ["d", "e"]).select("d", "e", "t", "runs").mapInArrow(segments, "d long, e int, h long, s0 int, parts int, seg binary")
+    part = F.pmod(F.xxhash64("d", "e", "s0"), F.col("parts")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(part, k).alias("i"), F.greatest(part, k).alias("j")))
+    cold = pieces.where("parts = 1").select(F.pmod("h", F.lit(shards)).alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(-1).alias("p"), "d", "e", "h", "s0", "seg")
+    split = pieces.where("parts > 1").select("d", "e", "h", "s0", "seg", part.alias("p"), F.explode(pairs).alias("pair")).select(F.col("h").alias("g"), "pair.i", "pair.j", "p", "d", "e", "h", "s0", "seg")
 
     def work(table: pa.Table) -> pa.Table:
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         by_part = [int(p == j) for p in table["p"].to_pylist()] if i != j else None
         got = shard_repeats(table["h"].to_pylist(), table["seg"].to_pylist(), span, by_part)
-        doc, a, b = [], [], []
-        for d, at, ranges in zip(table["doc"].to_pylist(), table["s0"].to_pylist(), got, strict=True):
+        row, a, b = [], [], []
+        for k, (at, ranges) in enumerate(zip(table["s0"].to_pylist(), got, strict=True)):
             for x, y in ranges:
-                doc.append(d)
+                row.append(k)
                 a.append(at + x)
                 b.append(at + y)
-        return pa.table({"doc": pa.array(doc, table.schema.field("doc").type), "a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32())})
+        key = pa.array(row, pa.int64())
+        return pa.table({"d": table["d"].take(key), "e": table["e"].take(key), "a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32())})
 
-    return dealt, cold.unionByName(split).groupBy("g", "i", "j").applyInArrow(work, f"doc {kind}, a int, b int")
+    return dealt, cold.unionByName(split).groupBy("g", "i", "j").applyInArrow(work, "d long, e int, a int, b int")
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = 200, keep_text: bool = False, **options) -> DataFrame:
@@ -319,12 +324,12 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if keep_text. A byte goes if a `span`-byte string that covers it also starts elsewhere, in this or another
     document; all occurrences go. Strings never cross documents.
 
-    Null text counts as empty; texts shorter than `span` keep every byte. doc_id should be unique: rows with equal ids and
-    texts are copies of each other and lose what both hold. Rows with a null id take no part and keep
-    everything. Extra columns are ignored; an empty table gives an empty table.
+    Null text counts as empty; texts shorter than `span` keep every byte. Rows with null or equal ids are documents each for
+    itself (see row_key): copies of each other lose what they hold, others only what repeats.
+    Extra columns are ignored; an empty table gives an empty table.
     """
     dealt, found = duplicate_spans(docs, doc_id, text, span, **options)
-    ranges = found.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    ranges = found.groupBy("d", "e").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def strip(batches):
@@ -346,6 +351,6 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.string()), pa.array(out[4], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    rows = dealt.join(ranges, "doc", "left").select("doc", "t", "ranges")
+    rows = dealt.join(ranges, ["d", "e"], "left").select("doc_id", "t", "ranges")
     out = rows.mapInArrow(strip, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out if keep_text else out.drop("kept")
