@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parchment.llm.shared import components, cut
-from parchment.llm.vectors import of_common_length
+from parchment.llm.vectors import usable
 
 SLACK = 1e-9
 
@@ -181,15 +181,16 @@ def pivots_of(rows: DataFrame, cell: int, most: int) -> dict[object, np.ndarray]
 def near_vectors(embeddings: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = 0.98, cell: int = 1_500, most_pivots: int = 8_192, part_rows: int = 4_000) -> DataFrame:
     """One row per row of embeddings: vec_id, n_links long, component_id long, kept boolean.
 
-    Vectors are compared only where labels are equal and not null. Unusable vectors (null, empty, zero, or with a null
-    or non-finite component), those of another length than most, and rows with a null id link with nothing.
+    Vectors are compared only where labels (whole numbers or texts) are equal and not null, and only with those of their own length.
+    Unusable vectors (null, empty, zero, or with a null or non-finite component) and rows with a null id link with nothing.
     Equal vectors of a label are one class with a count; they are linked with each other. vec_id must be whole
-    numbers and unique: rows with equal ids count as separate vectors. Extra columns are ignored; an empty
+    numbers; rows with equal ids are vectors each for itself, and all of them get the largest number of links and the smallest component. Extra columns are ignored; an empty
     table gives an empty table. A cell of more than part_rows vectors and guests is split into parts that are compared
     two by two, so no task holds more than twice that.
     """
     ids = embeddings.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).alias("label"), F.col(vector).alias("v"))
-    good = of_common_length(ids.where("label is not null and vec_id is not null"), "v").withColumn("v", F.transform("v", lambda x: x + 0))
+    good = ids.where(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & usable("v"))
+    good = good.select("vec_id", F.concat_ws("/", F.size("v"), "label").alias("label"), F.transform("v", lambda x: x + 0).alias("v"))
     classes = cut(good.groupBy("label", "v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("times")), "classes")
     pivots = embeddings.sparkSession.sparkContext.broadcast(pivots_of(classes, cell, most_pivots))
     label_kind, vector_kind = classes.schema["label"].dataType.simpleString(), classes.schema["v"].dataType.simpleString()
@@ -201,7 +202,7 @@ def near_vectors(embeddings: DataFrame, vec_id: str = "vec_id", vector: str = "e
 
     def deal(batches):
         for batch in batches:
-            labels, x = batch.column(0).to_pylist(), unit(batch.column(1))
+            labels = batch.column(0).to_pylist()
             row, cells, home = [], [], []
             for key in set(labels):
                 own = np.array([i for i, k in enumerate(labels) if k == key])
@@ -211,7 +212,7 @@ def near_vectors(embeddings: DataFrame, vec_id: str = "vec_id", vector: str = "e
                     cells.append(np.zeros(len(own), np.int64))
                     home.append(np.ones(len(own), bool))
                     continue
-                c = x[own] @ p.T
+                c = unit(batch.column(1).take(pa.array(own))) @ p.T
                 nearest = c.argmax(1)
                 apart = np.sqrt(np.maximum(0.0, 2 - 2 * (p @ p.T)))[nearest]
                 reach = c.max(1)[:, None] - c <= eps * apart + SLACK
