@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from parchment.llm.op06_token_counts import as_bytes, encoder, learn, pretokens, worker_memo
+from parchment.llm.op06_token_counts import as_bytes, encoder, learn, pretokens, reading, worker_memo
 from parchment.llm.shared import Memo, cut
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), by falling length
@@ -115,8 +115,9 @@ def packed_ids(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", room: int = 2048, end: int = 0, fold: bool = True) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", room: int = 2048, end: int = 0) -> DataFrame:
     """Documents as token ids plus `end`, cut into pieces of `room`: doc_id, piece, start, length, ids_crc32."""
+    how = reading(tokenizer)
 
     def pieces(batches):
         encode = encoder(tokenizer)
@@ -125,10 +126,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = pretokens(data.as_py(), fold)
-                parts = list(map(ids.get, words))
+                words = pretokens(data.as_py(), how)
+                parts = list(map(packed_ids, encode(words))) if how.whole and words else list(map(ids.get, words))
                 if None in parts:
-                    learn(ids, [w for w, p in zip(words, parts, strict=True) if p is None], encode, packed_ids, fold)
+                    learn(ids, [w for w, p in zip(words, parts, strict=True) if p is None], encode, packed_ids, how.fold)
                     parts = map(ids.__getitem__, words)
                 packed = b"".join([*parts, tail])
                 for k, at in enumerate(range(0, len(packed), 4 * room)):
@@ -144,11 +145,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
     return rows.mapInArrow(pieces, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", room: int = 2048, end: int = 0, fold: bool = True, shard_rows: int = 200_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", room: int = 2048, end: int = 0, shard_rows: int = 200_000) -> DataFrame:
     """One row per piece: doc_id, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long.
 
-    tokenizer: a .json file whose pre-tokenizer drops white space, at the same path on every executor. fold: it
-    lower-cases and parts letters from punctuation.
+    tokenizer: a file for the tokenizers library or sentencepiece, at the same path on every executor.
     Null and empty text: one piece of the end id alone. Documents longer than `room` are cut into full
     pieces and a rest; no other document is cut. Repeated rows are packed each by itself, also when their
     ids are equal. Extra columns are ignored; an empty table gives an empty table. Only the histogram of
@@ -156,7 +156,7 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     are counted in shards of about shard_rows rows, so a common length never meets in one task.
     """
     spark = docs.sparkSession
-    salted = cut(token_pieces(docs, tokenizer, doc_id, text, room, end, fold), "pieces")
+    salted = cut(token_pieces(docs, tokenizer, doc_id, text, room, end).withColumn("row", F.monotonically_increasing_id()), "pieces")
     histogram = {r["length"]: r["n"] for r in salted.groupBy("length").agg(F.count("*").alias("n")).collect()}
     keys, starts = [], []
     sequence, seen = 0, Counter()
@@ -172,11 +172,11 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     table = spark.sparkContext.broadcast((np.array(keys, dtype=np.int64)[order], np.array(starts, dtype=np.int64).reshape(-1, 3)[order]))
 
     shards = max(1, -(-sum(histogram.values()) // shard_rows))
-    salted = salted.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
+    salted = salted.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
     counts = salted.groupBy("length", "shard").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("shard")) - F.col("n")
     counts = counts.select("length", "shard", before.alias("before"))
-    within = F.row_number().over(Window.partitionBy("length", "shard").orderBy("doc_id", "piece", "ids_crc32"))
+    within = F.row_number().over(Window.partitionBy("length", "shard").orderBy("doc_id", "piece", "ids_crc32", "row"))
     ranked = salted.withColumn("within", within).join(counts, ["length", "shard"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("within") - 1).alias("rank"))
 

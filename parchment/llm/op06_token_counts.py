@@ -8,6 +8,7 @@ and none of its matches spans any, so the lengths of the pre-tokens add up to th
 from __future__ import annotations
 
 from collections import Counter
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -48,13 +49,43 @@ def encoder(path: str):
     return _WORKER[path]
 
 
-def pretokens(text: bytes, fold: bool) -> list[bytes]:
-    """The pre-tokens of a text; with `fold`, A-Z are lower-cased in those of pure ASCII (as the tokenizer does anyway, so that
-    one entry serves both), unless the text might hold a special string, whose case counts. Others stay as they are: the
+@dataclass(frozen=True)
+class Reading:
+    """How a tokenizer file reads texts. whole: texts can't be parted at white space. fold: it lower-cases, and parts letters from full
+    stops and commas. marks: its added strings in lower case, which it finds inside words."""
+
+    whole: bool
+    fold: bool
+    marks: tuple[bytes, ...]
+
+
+def reading(path: str) -> Reading:
+    """Asked of the tokenizer itself: whether its pre-tokens ever hold white space, and what it does to capitals and punctuation."""
+    if path.endswith(".model"):
+        return Reading(True, False, ())
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    split = (lambda t: tok.pre_tokenizer.pre_tokenize_str(t)) if tok.pre_tokenizer else (lambda t: [(t, (0, len(t)))])
+    kinds = ("a", "B", "1", ".", "(", "'s", "\u00e9", "\u4e2d")
+    probe = "".join(f"{x}{blank}{y}" for x in kinds for y in kinds for blank in (*" \t\n\x0b\x0c\r", "  "))
+    marks = tuple(sorted(t.content.lower().encode() for t in tok.get_added_tokens_decoder().values() if t.content))
+    whole = any(set(probe[a:b]) & set(" \t\n\x0b\x0c\r") for _, (a, b) in split(probe)) or any(len(m.split()) != 1 for m in marks)
+    lower = tok.normalizer is not None and tok.normalizer.normalize_str("AZaz") == "azaz"
+    return Reading(whole, lower and all(len(split(f"a{x}")) == 2 for x in ".,"), marks)
+
+
+def pretokens(text: bytes, how: Reading) -> list[bytes]:
+    """The pre-tokens of a text; where the tokenizer folds, A-Z are lower-cased in those of pure ASCII (so that
+    one entry serves both), unless the text might hold an added string, whose case counts. Others stay as they are: the
     tokenizer composes letters before it lower-cases them, and some compose in lower case only."""
-    if not fold or b"<|" in text:
+    if how.whole:
+        return [text] if text else []
+    if not how.fold:
         return text.split()
     low = text.lower()
+    if any(m in low for m in how.marks):
+        return text.split()
     if low.isascii() or low == text:
         return low.split()
     return [w if w.isascii() else o for w, o in zip(low.split(), text.split(), strict=True)]
@@ -79,38 +110,51 @@ def as_bytes(column: str) -> Column:
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
 
 
-def frequent_pretokens(docs: DataFrame, text: str = "text", fold: bool = True, most: int = 32_768, per_task: int = 4_096) -> list[bytes]:
-    """The `most` pre-tokens with the largest counts over all documents. Each task counts all it reads and
-    hands on its `per_task` largest, so what is summed and what reaches the driver is bounded per task and in all.
-    The choice affects speed only, never a count."""
+def frequent_pretokens(docs: DataFrame, how: Reading, text: str = "text", most: int = 32_768, per_task: int = 4_096, fan_in: int = 64) -> list[bytes]:
+    """The `most` pre-tokens with the largest counts over all documents. Each task counts all it reads and hands on a table
+    of its `per_task` largest; tables are merged `fan_in` at a time, by the numbers of their tasks, until one is left. No
+    pre-token is ever the key of a shuffle, and what a merge or the driver holds is bounded. The choice affects speed only, never a count."""
+    schema = "g int, w binary, n long"
+
+    def table(g: int, seen: Counter, size: int) -> pa.Table:
+        top = [(k, n) for k, n in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:size]]
+        return pa.table({"g": pa.array([g] * len(top), pa.int32()), "w": pa.array([k for k, _ in top], pa.binary()), "n": pa.array([n for _, n in top], pa.int64())})
 
     def largest(batches):
         seen: Counter = Counter()
         for batch in batches:
             for text in batch.column(0):
-                seen.update(pretokens(text.as_py(), fold))
+                seen.update(pretokens(text.as_py(), how))
             if len(seen) > 500_000:
                 seen = Counter(dict(seen.most_common(100_000)))
-        top = [(k, n) for k, n in seen.most_common(per_task) if len(k) <= 64 and n > 1]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.binary()), pa.array([n for _, n in top], pa.int64())], ["w", "n"])
+        yield from table(0, Counter({k: n for k, n in seen.items() if n > 1 and len(k) <= 64}), per_task).to_batches()
+
+    def merge(part: pa.Table) -> pa.Table:
+        seen: Counter = Counter()
+        for w, n in zip(part["w"].to_pylist(), part["n"].to_pylist(), strict=True):
+            seen[w] += n
+        return table(part["g"][0].as_py(), seen, most)
 
-    counts = docs.select(as_bytes(text).alias("t")).mapInArrow(largest, "w binary, n long")
-    rows = counts.groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(most).collect()
-    return [bytes(r.w) for r in rows]
+    rows = docs.select(as_bytes(text).alias("t"))
+    tables = rows.rdd.getNumPartitions()
+    counts = rows.mapInArrow(largest, schema).withColumn("g", F.spark_partition_id())
+    while tables > 1:
+        counts = counts.withColumn("g", F.floor(F.col("g") / fan_in).cast("int")).groupBy("g").applyInArrow(merge, schema)
+        tables = -(-tables // fan_in)
+    return [bytes(r.w) for r in counts.orderBy(F.desc("n"), "w").collect()]
 
 
-def token_counts(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", limit: int = 2048, fold: bool = True) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", limit: int = 2048) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes long, n_tokens long, over_limit boolean.
 
-    tokenizer: a file for the tokenizers library (.json, white space dropped by its pre-tokenizer) or for
-    sentencepiece (.model, whose pieces cross white space: there the whole text is one pre-token). It must
-    be at the same path on every executor. fold: the tokenizer lower-cases and parts letters from punctuation. Null text: 0 bytes, 0 tokens. Nulls in other columns and extra
+    tokenizer: a file for the tokenizers library (.json) or for sentencepiece (.model), at the same path on every executor.
+    Where its pieces cross white space the whole text is one pre-token (see reading). Null text: 0 bytes, 0 tokens. Nulls in other columns and extra
     columns play no part; repeated rows are counted each by itself; an empty table gives an empty table.
     Special strings inside a text are tokens, as the library reads them by default.
     """
     spark = docs.sparkSession
-    whole = tokenizer.endswith(".model")
-    common = [] if whole else frequent_pretokens(docs, text, fold)
+    how = reading(tokenizer)
+    common = [] if how.whole else frequent_pretokens(docs, how, text)
     table = spark.sparkContext.broadcast({w: len(ids) for w, ids in zip(common, encoder(tokenizer)(common), strict=True)} if common else {})
 
     def count(batches):
@@ -120,13 +164,13 @@ def token_counts(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
             out = []
             for text in batch.column(2):
                 text = text.as_py()
-                if whole:
+                if how.whole:
                     out.append(len(encode([text])[0]) if text else 0)
                     continue
-                words = pretokens(text, fold)
+                words = pretokens(text, how)
                 counts = list(map(tier.get, words))
                 misses = [w for w, n in zip(words, counts, strict=True) if n is None]
-                learn(rest, misses, encode, len, fold)
+                learn(rest, misses, encode, len, how.fold)
                 out.append(sum(filter(None, counts)) + sum(map(rest.__getitem__, misses)))
                 rest.trim()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
