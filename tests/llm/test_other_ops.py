@@ -55,6 +55,22 @@ def test_near_vectors(spark, options):
     assert sum(n > 0 for _, n, _, _ in got.values()) > 100
 
 
+@pytest.mark.parametrize("options", [{}, {"cell": 2, "part_rows": 3}])
+def test_near_vectors_of_several_lengths(spark, options):
+    rng = np.random.default_rng(3)
+    a, b = (rng.standard_normal(n).tolist() for n in (8, 16))
+    rows = [(1, a, 1), (2, a, 1), (3, b, 1), (4, b, 1), (5, b, 2), (6, a, None), (7, [2 * x for x in b], 1)] + [(100 + i, rng.standard_normal(16).tolist(), 1) for i in range(20)]
+    got = {r.vec_id: tuple(r) for r in near.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), **options).collect()}
+    assert {k: got[k][1:3] for k in range(1, 8)} == {1: (1, 1), 2: (1, 1), 3: (2, 3), 4: (2, 3), 5: (0, 5), 6: (0, 6), 7: (2, 3)}
+
+
+def test_near_vectors_with_equal_ids(spark):
+    v = [[1.0, 0.0], [0.0, 1.0], [1.0, 0.01]]
+    rows = [(1, v[0], 1), (1, v[1], 1), (2, v[2], 1), (None, v[2], 1)]
+    got = [tuple(r) for r in near.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()]
+    assert sorted(got, key=str) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (None, 0, None, True)]
+
+
 def test_near_vectors_empty(spark):
     assert near.near_vectors(spark.createDataFrame([], KIND)).collect() == []
     assert near.near_vectors(spark.createDataFrame(vectors()[-7:-1], KIND)).count() == 6
@@ -104,6 +120,24 @@ def test_nearest_recall_on_the_table(spark):
     assert hit >= 0.9 * total
 
 
+@pytest.mark.parametrize("options", [{}, {"shard_rows": 40, "block_rows": 3}])
+def test_nearest_ties_lengths_and_visits(spark, options):
+    rng = np.random.default_rng(6)
+    some = [rng.standard_normal(8).tolist() for _ in range(30)]
+    rows = [(i, some[i % 30]) for i in range(240)] + [(240 + i, [*some[i % 30], 1.0]) for i in range(60)] + [(20, some[0]), (None, some[0]), (400, [3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, k=10, visits="n_verified", sure=0.999, **options).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert 0 < r.n_verified <= 300
+    used = {i: v for i, v in rows if i is not None}
+    used[20] = min(some[0], some[20])
+    assert got.keys() == {i for i in used if i % 20 == 0} - {400}
+    for q, found in got.items():
+        scores = sorted(((-float((np.array(v) * np.array(used[q])).sum()), i) for i, v in used.items() if i != q and len(v) == len(used[q])))[:10]
+        assert [i for i, _ in found] == [i for _, i in scores] and np.allclose([s for _, s in found], [-s for s, _ in scores])
+
+
 def test_nearest_few_rows(spark):
     assert ann.nearest(spark.createDataFrame([], KIND)).collect() == []
     rows = [(i, [1.0, float(i)], 0, "a", "b", "c", "d") for i in (0, 1, 20)]

@@ -89,6 +89,29 @@ def test_token_counts_by_pieces(spark):
     assert got == {i: len(model.encode(t or "")) for i, t in enumerate(ODD)}
 
 
+def test_how_tokenizers_read():
+    assert counts.reading(PATH) == counts.Reading(False, True, (b"<|endoftext|>", b"<|startoftext|>"))
+    assert counts.reading(public_tokenizers.path("byte_bpe_50k.json")).whole and counts.reading(public_tokenizers.path("piece_bpe_32k.model")).whole
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json"])
+def test_tokens_of_whole_texts(spark, name):
+    path = public_tokenizers.path(name)
+    tok = Tokenizer.from_file(path)
+    got = {r.doc_id: r.n_tokens for r in counts.token_counts(odd(spark), path).collect()}
+    assert got == {i: len(tok.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(ODD)}
+    lengths = Counter()
+    for r in packing.pack(odd(spark), path).collect():
+        lengths[r.doc_id] += r.length
+    assert lengths == {i: n + 1 for i, n in got.items()}
+
+
+def test_frequent_pretokens_are_merged_in_a_tree(spark):
+    docs = spark.createDataFrame([(f"a b{i % 3} c{i}",) for i in range(90)], "text string").repartition(4)
+    got = counts.frequent_pretokens(docs, counts.Reading(False, True, ()), most=3, fan_in=2)
+    assert got == [b"a", b"b0", b"b1"]
+
+
 # 4
 
 def check_packing(rows, texts):
@@ -264,6 +287,36 @@ def test_near_duplicates(spark, sf):
     assert got == brute_near(texts)
 
 
+@pytest.mark.parametrize("part", [dict(part_docs=25), dict(part_items=4_000)])
+def test_near_duplicates_of_large_families(spark, part):
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 250)]
+    second = [f"v{i}" if rng.random() < 0.03 else w for i, w in enumerate(base)]  # much like the first
+    texts = {}
+    for k in range(240):
+        copy = list(base if k % 2 else second)
+        for at in rng.integers(0, len(copy), k % 12):
+            copy[at] = f"edit{rng.integers(0, 60)}"
+        if k % 5 == 0:
+            del copy[3 : 3 + k % 14]
+        if k % 7 == 0:
+            copy[9:9] = [f"more{i}" for i in range(k % 11)]
+        texts[k * 3] = " ".join(copy)
+    rows = minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), bands=64, rows=4, **part).collect()
+    assert {r.doc_id: tuple(r) for r in rows} == brute_near(texts)
+
+
+@pytest.mark.parametrize("order", [1, -1])
+def test_near_duplicates_with_equal_and_null_ids(spark, order):
+    a, b = (" ".join(f"{x}{i}" for i in range(100)) for x in "ab")
+    rows = [(1, a), (1, b), (2, f"{b} more"), (3, "other words that are like none of these at all"), (None, a), (None, a), (4, None), (4, ""), (5, a), (3, a)][::order]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), detail=True).collect()
+    assert sorted((r.doc_id or -1, r.component_id or -1, r.kept, r.n_shingles) for r in got) == sorted(
+        [(1, 1, True, 96), (1, 1, True, 96), (2, 1, False, 97), (3, 3, True, 6), (-1, -1, True, 96), (-1, -1, True, 96), (4, 4, True, 0), (4, 4, True, 0), (5, 1, False, 96), (3, 1, False, 96)])
+    assert len({r.group for r in got if r.group is not None}) == 3
+    assert len({r.text_hash for r in got if r.doc_id == 1}) == 2
+
+
 def test_near_duplicates_odd_texts(spark):
     texts = [*ODD, "One two Three", "one  two\tthree", "one two three four five", "ONE two three four five six", "a"]
     rows = minhash.near_duplicates(odd(spark, texts)).collect()
@@ -285,12 +338,12 @@ def test_sketch_is_filled_and_unbiased():
 
 def brute_suffix(texts, span=200):
     data = {k: (t or "").encode() for k, t in texts.items()}
-    seen = Counter(d[i : i + span] for d in data.values() for i in range(len(d) - span + 1))
+    seen = Counter(hash(d[i : i + span]) for d in data.values() for i in range(len(d) - span + 1))  # 64 bits
     out = {}
     for k, d in data.items():
         gone = np.zeros(len(d) + 1, bool)
         for i in range(len(d) - span + 1):
-            if seen[d[i : i + span]] > 1:
+            if seen[hash(d[i : i + span])] > 1:
                 gone[i : i + span] = True
         kept = bytes(b for b, g in zip(d, gone, strict=False) if not g)
         edges = np.diff(np.r_[0, gone.astype(int)])
@@ -301,7 +354,7 @@ def brute_suffix(texts, span=200):
 @pytest.mark.parametrize("options", [{}, {"hot": 3, "shard_bytes": 20_000}])
 def test_suffix_dedup(spark, sf, options):
     docs = documents(spark, sf)
-    texts = {r.doc_id: r.text[:6000] for r in docs.collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
     rng = np.random.default_rng(3)
     passage = "".join(rng.choice(list("abcdef "), 420))
     for k in range(12):
@@ -314,11 +367,24 @@ def test_suffix_dedup(spark, sf, options):
 
 
 def test_suffix_dedup_odd_texts(spark):
-    texts = [t if t is None or len(t) < 1000 else t[:3000] for t in ODD] + ["q" * 199, "q" * 200, "\u00e9" * 150]
+    texts = [*ODD, "q" * 199, "q" * 200, "\u00e9" * 150]
     assert {r.doc_id: tuple(r) for r in suffix.remove_repeats(odd(spark, texts)).collect()} == brute_suffix(dict(enumerate(texts)))
     assert suffix.remove_repeats(odd(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("options", [{}, {"hot": 2, "shard_bytes": 1_000}])
+def test_suffix_dedup_with_null_and_equal_ids(spark, options):
+    rng = np.random.default_rng(5)
+    noise = lambda n: "".join(rng.choice(list("mnopqr "), n))
+    passage = noise(500)
+    rows = [(1, passage + noise(80)), (1, noise(900)), (2, passage), (None, f"{passage}{noise(50)}"), (None, noise(400)), (3, twin := noise(300)), (3, twin), (None, ""), (None, None)]
+    want = brute_suffix({i: t for i, (_, t) in enumerate(rows)})
+    got = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), **options).collect()
+    assert sorted(map(str, got)) == sorted(str(got[0].__class__(doc_id=rows[i][0], n_bytes=w[1], n_removed=w[2], n_spans=w[3], kept_sha256=w[4])) for i, w in want.items())
+    names = suffix.remove_repeats(spark.createDataFrame([(f"{k}", t) for k, t in rows], "doc_id string, text string"), **options).collect()
+    assert sorted(tuple(r)[1:] for r in names) == sorted(tuple(r)[1:] for r in got)
+
+
 # 2
 
 def brute_targets(sizes):
