@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from parchment.functions.matching import GREEK, PUNCTUATION
+from parchment.functions.matching import GREEK, NEGATIONS, OPPOSITES, PUNCTUATION
 
 #: Words that fill pauses, and the rule by which a spoken phrase replaces the one before.
 FILLERS = "uh|um|erm|er|ah|hmm|mm+|uhh+|umm+"
@@ -375,3 +375,22 @@ def joined_captures(texts: Column, most: int) -> Column:
     """Texts that are not blank, trimmed, a blank line between them, cut to `most` characters."""
     some = F.filter(F.transform(texts, lambda t: stripped(F.coalesce(t, F.lit("")))), lambda t: t != "")
     return F.left(F.array_join(some, "\n\n"), F.lit(most))
+
+
+def opposite(a: Column, b: Column) -> Column:
+    """Whether two words begin with prefixes that turn the meaning round."""
+    out = F.lit(False)
+    for x, y in OPPOSITES:
+        out = out | (a.startswith(x) & b.startswith(y)) | (a.startswith(y) & b.startswith(x))
+    return out
+
+
+def negation_differs(a: Column, b: Column) -> Column:
+    """Whether one of two lists of words holds a negation and the other does not."""
+    words = F.array(*map(F.lit, sorted(NEGATIONS)))
+    return F.arrays_overlap(a, words) != F.arrays_overlap(b, words)
+
+
+def similarity_of(distance: Column, a: Column, b: Column) -> Column:
+    """1 less a distance over the longer length; never below 0."""
+    return F.greatest(F.lit(0.0), 1 - distance / F.greatest(F.length(a), F.length(b), F.lit(1)))

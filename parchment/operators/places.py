@@ -107,3 +107,25 @@ def first_enough(hits: DataFrame, page: str, most: int, order: Sequence[Column])
     before = F.coalesce(F.sum("_n").over(Window.orderBy(page).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     read = counts.withColumn("_before", before).where(F.col("_before") < most).select(page)
     return hits.join(F.broadcast(read), page, "left_semi").orderBy(*order).limit(most)
+
+
+def without_overlaps(hits: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Of the hits (confidence, start, end) of a page the surest that do not overlap: by falling confidence, of equals in `order`, each is kept unless it
+    meets one kept before. A fold over the page's hits inside the JVM."""
+    hit = F.struct((-F.col("confidence")).alias("_c"), *order, "confidence", "start", "end")
+    pages = hits.groupBy(*keys).agg(F.sort_array(F.collect_list(hit)).alias("_h"))
+    none = F.slice("_h", 1, 0)
+    step = lambda kept, h: F.when(F.exists(kept, lambda k: (h["start"] < k["end"]) & (h["end"] > k["start"])), kept).otherwise(F.concat(kept, F.array(h)))
+    return pages.select(*keys, F.explode(F.aggregate("_h", none, step)).alias("_k")).select(*keys, "_k.confidence", "_k.start", "_k.end")
+
+
+def sampled_density(pages: DataFrame, keys: Sequence[str], page: str, chars: str, most: int = 10) -> DataFrame:
+    """How much text the pages (numbered from 1) of each document hold, by every n-th of them, at most `most`: chars_per_page and kind. That sample is the
+    rule itself."""
+    w = Window.partitionBy(*keys)
+    rows = pages.withColumn("_all", F.max(page).over(w))
+    count = F.least(F.lit(most), F.col("_all"))
+    step = F.greatest(F.lit(1), F.floor(F.col("_all") / count))
+    rows = rows.where(((F.col(page) - 1) % step == 0) & ((F.col(page) - 1) / step < count))
+    out = rows.groupBy(*keys).agg(F.avg(chars).alias("chars_per_page"))
+    return out.withColumn("kind", F.when(F.col("chars_per_page") < 50, "scanned").when(F.col("chars_per_page") < 300, "mixed").otherwise("text-based"))

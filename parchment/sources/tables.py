@@ -87,3 +87,26 @@ def cached_or(cache: DataFrame, source: DataFrame, key: Sequence[str], value: st
     """What the cache has, else what the source has, by key."""
     c, s = cache.select(*key, F.col(value).alias("_c")), source.select(*key, F.col(value).alias("_s"))
     return c.join(s, list(key), "full").select(*key, F.coalesce("_c", "_s").alias(value))
+
+
+def migrated(rows: DataFrame, path: str, key: str, marker: str) -> DataFrame:
+    """The table at `path` after a one-time move of rows into it: those whose key it has not are appended, and a marker beside it ends the move for good. A
+    run that was cut off moves the rest next time."""
+    spark = rows.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(marker)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        append(rows.join(spark.read.parquet(path).select(key), key, "left_anti"), path)
+        files.create(at).close()
+    return spark.read.parquet(path)
+
+
+def autosaved(stream: DataFrame, path: str, log: str, key: str, order: str, trigger: dict | None = None):
+    """A stream of states saved as it comes: of each micro-batch the last state of each key is appended. trigger: processingTime="1500 milliseconds" for a
+    running query; all that is there by default."""
+
+    def save(batch: DataFrame, _number: int) -> None:
+        last = batch.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("_n = 1").drop("_n")
+        append(last, path)
+
+    return stream.writeStream.foreachBatch(save).option("checkpointLocation", log).trigger(**(trigger or {"availableNow": True})).start()

@@ -66,9 +66,9 @@ def _fold(key, batches, state: GroupState):
 
 
 def phrases(stream: DataFrame, key: str, ord: str, text: str) -> DataFrame:
-    """Each row with the number of its phrase in its key (bigint); one that is near the row before replaces that. The
+    """Each row with the number of its phrase in its key (bigint), a row without a place in the order first (-1); one that is near the row before replaces that. The
     state of a key is one phrase, so it does not grow with the stream."""
-    rows = stream.select(F.col(key).cast("long").alias("key"), F.col(ord).cast("long").alias("ord"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = stream.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(ord).cast("long"), F.lit(-1)).alias("ord"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("said", T.dictation_key(F.col("text")))
     return rows.groupBy("key").applyInPandasWithState(_fold, "key long, phrase long, ord long, replaces boolean, text string", "last string, n long", "append", GroupStateTimeout.NoTimeout)
 

@@ -61,8 +61,13 @@ def test_strokes(spark):
     arc = np.array([[math.cos(a), math.sin(a), a, 0.5] for a in np.linspace(0, 3, 12)])
     curve = S.smoothed(arc, 0.5, 1)
     assert np.abs(np.hypot(*curve[:, :2].T) - 1).max() < 0.02 and np.allclose(curve[-1], arc[-1])
-    soft = S.pressed(arc * [1, 1, 1000, 1], "ball", 0, 1)
-    assert soft[0, 3] < soft[5, 3] and soft[:, 3].min() >= 0.08
+    soft = S.pressures(arc * [1, 1, 1000, 1], "ball", 0, 1)
+    assert soft[0] < soft[5] and soft.min() >= 0.08
+    felt = np.array([[k, 0, k, v] for k, v in enumerate((0.2, 0.6, 0.9))], float)
+    by_hand = [0.2 + (0.5 - 0.2) * 0.35, 0.6 + (0.68 - 0.6) * 0.35, 0.9 + (0.5 - 0.9) * 0.35]
+    assert np.allclose(S.pressures(felt, "ball", 100, 1), [by_hand[0] * 0.92, by_hand[1], by_hand[2] * 0.92])
+    made = S.pressures(np.array([[0, 0, 0, 0.5], [3, 4, 10, 0.5], [6, 8, 20, 0.5]]), "fountain", 50, 2)
+    assert np.allclose(made, np.clip([0.7 + 0.08 + 0.18 * r - 0.5 * 2 * (0.34 + 0.08) for r in (0, 1, 0)], 0.08, 0.94))
     df = spark.createDataFrame([(1, [(float(k), 0.0, float(k), None) for k in range(5)]), (2, [(1.0, None, None, None)]), (3, None), (4, [])], "id long, p array<struct<x:double,y:double,t:double,pressure:double>>")
     got = {r.id: r.q for r in df.select("id", S.finish_strokes(F.col("p")).alias("q")).collect()}
     assert got[1][0].x == 0 and abs(got[1][-1].x - 4) < 0.24 and {p.pressure for p in got[1]} == {0.5}
