@@ -186,6 +186,35 @@ def test_url_classifier_learns(spark):
     assert sum((got[i] == "block") == bool(y) for i, (_, _, y) in enumerate(test)) >= 95
 
 
+def test_url_classifier_by_brute_force(spark, sf):
+    """Weights by plain stochastic gradient descent over the same features, and the score of every page."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
+    host, path = urls.url_parts(F.col("url"))
+    rows = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("f", urls.ngram_features(F.col("host"), F.col("path"), 512)).withColumn("k", F.xxhash64("host", "path")).collect()
+    train = {}
+    for r in rows:
+        train.setdefault((r.host, r.path), r)
+    labelled = [(h, p, int(i % 3 == 0)) for i, (h, p) in enumerate(sorted(train))]
+    got = urls.fit(spark.createDataFrame(labelled, "host string, path string, label int"), epochs=3)
+    data = sorted((train[h, p].k, float(y), train[h, p].f) for h, p, y in labelled)
+    share = np.mean([y for _, y, _ in data])
+    w = np.zeros(513)
+    for _ in range(3):
+        for _, y, f in data:
+            x = np.zeros(513)
+            x[0] = 1.0
+            x[f] = 1 / np.sqrt(max(1, len(f)))
+            move = 0.5 * (0.5 / share if y else 0.5 / (1 - share)) * (y - 1 / (1 + np.exp(-(w @ x))))
+            w = w * (1 - 0.5e-4) + move * x
+    assert np.allclose(got, w, atol=1e-9)
+    scored = urls.url_verdicts(pages, (), labelled=spark.createDataFrame(labelled, "host string, path string, label int")).collect()
+    full = np.array(urls.fit(spark.createDataFrame(labelled, "host string, path string, label int")))
+    by_id = {r.page_id: r for r in rows}
+    for r in scored:
+        f = by_id[r.page_id].f
+        assert r.p_block == pytest.approx(1 / (1 + np.exp(-(full[0] + full[f].sum() / np.sqrt(max(1, len(f)))))), abs=1e-9)
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(7, 2000 + i) for i in range(50)] + [(5, 5)]

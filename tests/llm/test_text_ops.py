@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -260,6 +261,31 @@ def test_line_dedup_null_and_equal_ids(spark, extend):
     assert sum(t.count("line 20") for t in texts) == 1 and sum("of the second row" in t for t in texts) == 1
 
 
+def brute_starts(lines):
+    """Chunk boundaries by the rule as it is told, with plain numbers."""
+    mask = 2**64 - 1
+    out, before = [0], 0
+    for i, x in enumerate(lines):
+        h = xxhash.xxh3_64_intdigest(x)
+        rolled = ((h * int(line.MIX) + before) & mask) * int(line.MIX) & mask
+        before = h
+        long, size = len(x.split()) > line.LONG and len(x) > 2 * line.LONG, i + 1 - out[-1]
+        next_long = i + 1 < len(lines) and len(lines[i + 1].split()) > line.LONG and len(lines[i + 1]) > 2 * line.LONG
+        if long or next_long or (size >= line.LEAST and (rolled >> 40) & line.MASK == 0) or size == line.MOST:
+            out.append(i + 1)
+    return out if out[-1] == len(lines) else [*out, len(lines)]
+
+
+def test_chunk_boundaries():
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 3, 17, 40, 200):
+        for _ in range(30):
+            lines = [b" ".join(b"w%d" % k for k in rng.integers(0, 9, 60 if rng.random() < 0.05 else 3)) for _ in range(n)]
+            assert line.chunk_starts(lines) == brute_starts(lines)
+    text = b"\n".join(lines)
+    assert b"".join(line.chunks_of(text)) == text
+
+
 # 9
 
 def brute_near(texts, percent=85):
@@ -452,6 +478,33 @@ def test_toxicity_on_held_out_documents(spark):
     assert right >= 0.93 and false <= 2
 
 
+def brute_severity(text, model):
+    """Expected severity from the model's weights, with features counted in the plainest way."""
+    chunks = [x for x in re.split(rb"[\x20\x09-\x0d]+", (text or "").encode()) if x]
+    seen = Counter()
+    for chunk in chunks:
+        for w in re.findall(r"[^\W\d_]+", chunk.decode("utf-8", "replace").lower()):
+            seen.update([w] + [w[:n] + "*" for n in (4, 5, 6, 7, 8) if len(w) > n])
+    z = sum(model.weights[model.index[f]] * (np.log1p(200 * n / max(1, len(chunks))) if f.endswith("*") else 1.0) for f, n in seen.items() if f in model.index)
+    return float(sum(1 / (1 + np.exp(np.clip(t - z, -40, 40))) for t in model.thresholds))
+
+
+def test_severity_by_brute_force(spark, sf):
+    docs = documents(spark, sf).select("doc_id", "text").unionByName(odd(spark).select((F.col("doc_id") + 100_000).alias("doc_id"), "text"))
+    model = toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    assert model.index and len(model.thresholds) == 3
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in toxicity.expected_severity(docs, model).collect():
+        assert r.severity == pytest.approx(brute_severity(texts[r.doc_id], model), abs=1e-9) and r.severity_toxic == (r.severity >= 0.5)
+
+
+def test_training_sample_is_settled(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, "x" * 30), (3, None), (None, "n")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (3, 0), (None, 1), (4, 1), (3, None)], "doc_id long, toxic int")
+    assert toxicity.labelled_texts(docs, labels, 10, 20) == [(b"a", 1), (b"", 0)]
+    assert toxicity.labelled_texts(docs, labels, 10, 64) == [(b"a", 1), (b"x" * 30, 1), (b"", 0)]
+
+
 def test_ordinal_grades_are_ordered(spark):
     rng = np.random.default_rng(0)
     texts, grades = [], []
