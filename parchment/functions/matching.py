@@ -17,6 +17,8 @@ GREEK = {"α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "ε": "epsil
 OPPOSITES = (("brady", "tachy"), ("hyper", "hypo"), ("anti", "pro"), ("intra", "extra"), ("endo", "exo"))
 NEGATIONS = frozenset(["no", "not", "without", "denies", "negative", "absent", "never"])
 ALIKE = (frozenset("li1"), frozenset("o0"))
+#: Pairs of letters that scans read for one, in the order in which they go.
+SCANS = (("rn", "m"), ("vv", "w"), ("cl", "d"))
 
 TOKEN = regex.compile(r"[\p{L}\p{N}][\p{L}\p{N}'-]*")
 
@@ -124,7 +126,9 @@ def named_greek(text: str) -> tuple[str, list[int]]:
 
 
 def scan_fold(text: str) -> str:
-    return text.replace("rn", "m").replace("vv", "w").replace("cl", "d")
+    for pair, one in SCANS:
+        text = text.replace(pair, one)
+    return text
 
 
 def weighted_distance(a: str, b: str, limit: float = float("inf")) -> float:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from parchment.functions.matching import GREEK, NEGATIONS, OPPOSITES, PUNCTUATION
+from parchment.functions.matching import GREEK, NEGATIONS, OPPOSITES, PUNCTUATION, SCANS
 
 #: Words that fill pauses, and the rule by which a spoken phrase replaces the one before.
 FILLERS = "uh|um|erm|er|ah|hmm|mm+|uhh+|umm+"
@@ -69,9 +69,15 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}][\p{L}\p{N}'-]*)"), F.lit(1))
 
 
+#: Where sentences part, leader marks at the start of a line, and what a video's address holds.
+SENTENCE_END = r"(?<=[.!?])\s+(?=[A-Z(])"
+LEADER = r"(^|\n)[ \t]*[.\-_=*~]{4,}(?=\s|[\p{L}\p{N}]|\z)"
+VIDEO_PARAMETER, VIDEO_PATH = r"^[^?#]*\?(?:(?!v=)[^&#]*&)*v=([^&#]*)", r"(?:youtu\.be/|/embed/|/shorts/)([A-Za-z0-9_-]{11})"
+
+
 def sentence_chunks(text: Column) -> Column:
     """Cut after . ! or ? and white space, before A-Z or an opening parenthesis."""
-    return F.split(collapse(text), r"(?<=[.!?])\s+(?=[A-Z(])")
+    return F.split(collapse(text), SENTENCE_END)
 
 
 def occurrences(text: Column, needle: str) -> Column:
@@ -88,7 +94,7 @@ def alias_fold(text: Column) -> Column:
 
 def ocr_canonical(text: Column) -> Column:
     """Pairs of letters that scans confuse with one: rn, vv, cl, in this order."""
-    for pair, one in (("rn", "m"), ("vv", "w"), ("cl", "d")):
+    for pair, one in SCANS:
         text = F.replace(text, F.lit(pair), F.lit(one))
     return text
 
@@ -152,7 +158,8 @@ def sentence_units(html: Column) -> Column:
     return F.filter(F.transform(parts, lambda x: stripped(x)), lambda x: x != "")
 
 
-#: Marks of Markdown and what stands for them, in the order in which they go.
+#: Marks of Markdown and what stands for them, in the order in which they go; as text, and as it is spoken. Pairs of equal marks are
+#: written out as alternatives, as SQL engines have no references back.
 MARKDOWN = (
     (r"```\s*([\s\S]*?)\s*```", "$1"), (r"(?m)^\s{0,3}#{1,6}\s*", ""), (r"(?m)^\s*>\s?", ""), (r"(?m)^\s*[-*+]\s+", ""), (r"(?m)^\s*\d+\.\s+", ""), (r"\[([^\]]+)\]\(([^)]+)\)", "$1"),
     (r"`([^`]+)`", "$1"), (r"\*\*\*(.*?)\*\*\*|___(.*?)___", "$1$2"), (r"\*\*(.*?)\*\*|__(.*?)__", "$1$2"), (r"\*(.*?)\*|_(.*?)_", "$1$2"), (r"(?m)^\s*---+\s*$", ""), (r"\n{3,}", "\n\n"),
@@ -184,15 +191,15 @@ def ocr_text(text: Column) -> Column:
 
 def selected(text: Column) -> Column:
     """A selection without runs of leader marks at the start of a line, spaces and blank lines tidied."""
-    s = F.regexp_replace(text, r"(^|\n)[ \t]*[.\-_=*~]{4,}(?=\s|[\p{L}\p{N}]|\z)", "$1")
+    s = F.regexp_replace(text, LEADER, "$1")
     s = F.regexp_replace(F.regexp_replace(s, r"[ \t]+\n", "\n"), r"\n[ \t]+", "\n")
     return stripped(F.regexp_replace(F.regexp_replace(s, r"[ \t]{2,}", " "), r"\n{3,}", "\n\n"))
 
 
 def video_id(url: Column) -> Column:
     """Parameter v of a url, else the id of 11 characters after a short, embedded or brief address; null without either or without a scheme."""
-    given = F.nullif(F.regexp_extract(url, r"^[^?#]*\?(?:(?!v=)[^&#]*&)*v=([^&#]*)", 1), F.lit(""))
-    path = F.nullif(F.regexp_extract(url, r"(?:youtu\.be/|/embed/|/shorts/)([A-Za-z0-9_-]{11})", 1), F.lit(""))
+    given = F.nullif(F.regexp_extract(url, VIDEO_PARAMETER, 1), F.lit(""))
+    path = F.nullif(F.regexp_extract(url, VIDEO_PATH, 1), F.lit(""))
     return F.when(url.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.coalesce(F.try_url_decode(given), given, path))
 
 

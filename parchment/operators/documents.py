@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from parchment.operators.trees import last_by_id
+
 #: The least tolerance between items of one line, and its share of the mean height.
 LEAST_TOLERANCE, SHARE = 4.0, 0.6
 
@@ -46,8 +48,8 @@ def reading_order(elements: DataFrame, page: Sequence[str]) -> DataFrame:
 def list_tree(elements: DataFrame) -> DataFrame:
     """Elements (id, kind, child_ids) to the items of their nested lists: root (outermost list), item_id, place array<int> (from 0, one
     number per level), depth. A list's items are its children of kind list_item; an item's own list is its first child of kind
-    list. Unknown children do not count; a cycle ends where it would meet a list again."""
-    named = elements.dropDuplicates(["id"])
+    list. Of elements with one id the last by `ord` counts, if they have it. Unknown children do not count; a cycle ends where it would meet a list again."""
+    named = last_by_id(elements, "id", "ord") if "ord" in elements.columns else elements.dropDuplicates(["id"])
     children = named.select("id", "kind", F.posexplode("child_ids").alias("at", "child"))
     kinds = named.select(F.col("id").alias("child"), F.col("kind").alias("child_kind"))
     links = children.join(kinds, "child")
@@ -82,7 +84,8 @@ def entity_series(log: DataFrame) -> DataFrame:
     rows = rows.join(traces, "_t", "left").join(own, "_own", "left").withColumn("_k", F.when(F.col("_has"), F.col("_own")).otherwise(F.col("_via")))
     rows = rows.join(schemas, "_k", "left")
     # numbers within days and sums over days: no task sorts all readings of a schema, or all that have none
-    rows = rows.withColumn("_day", F.to_date("created_at"))
+    kind = dict(rows.dtypes)["created_at"]
+    rows = rows.withColumn("_day", F.to_date("created_at") if kind.startswith("timestamp") else F.substring("created_at", 1, 10) if kind == "string" else F.col("created_at"))
     days = rows.groupBy(F.col("schema").alias("_s"), F.col("_day").alias("_e")).agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("_s").orderBy(F.asc_nulls_last("_e")))
     days = days.withColumn("_before", before - F.col("_n")).drop("_n")

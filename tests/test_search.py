@@ -73,3 +73,12 @@ def test_correct_texts(spark):
     vocabulary = spark.createDataFrame([("infarction",), (None,)], "word string")
     got = {r.k: (r.corrected, r.n_changes) for r in C.correct_texts(rows, "k", "t", vocabulary).collect()}
     assert got == {1: ("infarction", 1), 2: ("", 0)}
+
+
+def test_a_large_vocabulary_is_joined_to_the_same_results(spark):
+    texts = ["infar ction.", "cardio-\nvascular", "well-\ncontrolled", "the heart", "the hearp", "bradyc ard1a", "", None, "Infarctlon of the renaI artery", "heart  the", "eﬃcient hearts", "re nal hear t", "The HEART", "card-\nio vascular", "infarc tion infarction"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    words = spark.createDataFrame([(w,) for w in ("infarction", "Cardiovascular", "heart", "the", "renal", "bradycardia", None, "hearth", "hearty", "artery")], "word string")
+    small = sorted(map(tuple, C.correct_texts(rows, "id", "t", words).collect()))
+    assert sorted(map(tuple, C.correct_texts(rows, "id", "t", words, most=3).collect())) == small
+    assert len(small) == len(texts) and any(r[6] for r in small)
