@@ -241,3 +241,12 @@ def steadied_strokes(t):
     d = t("events").groupBy(c("user_id").alias("k")).agg(F.transform(F.sort_array(F.collect_list(point)), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), F.lit(0.0).alias("t"), F.lit(0.5).alias("pressure"))).alias("points"))
     d = d.select("k", strokes.steadied(c("points"), F.lit(50.0), F.lit(1.0)).alias("p"))
     return d.select("k", F.size("p").alias("n"), F.round(F.aggregate("p", F.lit(0.0), lambda s, p: s + p["x"]), 3).alias("sum_x"))
+
+
+@query("""WITH RECURSIVE p AS (SELECT l_orderkey AS k, l_quantity * 10 AS x, (l_partkey % 500)::DOUBLE AS y, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS n FROM lineitem),
+f AS (SELECT k, n, x, y, TRUE AS kept FROM p WHERE n = 1 UNION ALL
+ SELECT p.k, p.n, CASE WHEN sqrt((p.x - f.x) ** 2 + (p.y - f.y) ** 2) < 150 THEN f.x ELSE p.x END, CASE WHEN sqrt((p.x - f.x) ** 2 + (p.y - f.y) ** 2) < 150 THEN f.y ELSE p.y END, sqrt((p.x - f.x) ** 2 + (p.y - f.y) ** 2) >= 150 FROM f JOIN p ON p.k = f.k AND p.n = f.n + 1)
+SELECT k, count(*) FILTER (kept) AS n, sum(x) FILTER (kept) AS sum_x FROM f GROUP BY k""")
+def thinned_strokes(t):
+    d = pens(t).select(c("id").alias("k"), strokes.thinned_points(c("points"), F.lit(150.0)).alias("p"))
+    return d.select("k", F.size("p").alias("n"), F.aggregate("p", F.lit(0.0), lambda s, p: s + p["x"]).alias("sum_x"))
