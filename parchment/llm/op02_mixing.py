@@ -21,7 +21,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def word_count(text: Column) -> Column:
-    """Number of words [^\\x20\\x09-\\x0D]+: the non-blanks that start the text or follow a blank. Null: 0."""
+    """Number of words [^\\x20\\x09-\\x0D]+: the parts between blanks that are not empty. Null: 0."""
     blanks = " \t\n\x0b\x0c\r"
     plain = F.translate(F.concat(F.lit(" "), text), blanks[1:], " " * 5)
     parts = F.filter(F.split(plain, " ", -1), lambda w: w != "")
@@ -66,7 +66,7 @@ def sainte_lague(votes: DataFrame, party: Sequence[str], group: Sequence[str] =
 
 
 def mix_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (5.0, 2.0, 1.0), most: float = 3.0,
-             seed: int = 17, block: int | None = None, shard_docs: int = 50_000, row: str | None = None) -> DataFrame:
+             seed: int = 17, block: int | None = None, shard_docs: int = 4_096, row: str | None = None) -> DataFrame:
     """One row per row of docs: doc_id, size, source, source_size, target, taken, and where its words lie: start,
     passes (full passes), chosen, blocks, phase, block.
 
@@ -74,11 +74,11 @@ def mix_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     rounding to blocks moves no source's share by more than about half a percent. Shards hold about shard_docs
     documents of one source, so a source with most rows is many shards. Null text has size 0 and is taken 0
     times; null is a source of its own, after all others; an empty table gives an empty table; extra columns are ignored;
-    repeated rows are documents each for itself. row: a column that comes along under its name.
+    repeated rows are documents each for itself, dealt to shards by id and text. row: a column that comes along under its name.
     """
     carried = [row] if row else []
     sizes = cut(docs.select(*carried, F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"),
-                            F.xxhash64(F.col(doc_id), F.lit(seed)).alias("h"), F.xxhash64(F.col(text)).alias("tie")), "sizes")
+                            F.xxhash64(F.col(doc_id), F.col(text), F.lit(seed)).alias("h"), F.xxhash64(F.col(text)).alias("tie")), "sizes")
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.ceil(F.count("*") / shard_docs).alias("shards"))
     per = cut(source_targets(per, weights, most), "sources")
     totals = per.agg(F.min(F.when(F.col("target") > 0, F.col("target"))).alias("least"), F.sum("target").alias("all")).first()
@@ -90,7 +90,9 @@ def mix_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
 
     key = F.struct(F.coalesce("source", F.lit("")).alias("s"), F.isnull("source").alias("none"))  # joins where null equals null
     q = q.withColumn("key", key)
-    placed = sizes.withColumn("key", key).join(q.select("key", "shards"), "key").withColumn("shard", F.pmod("h", "shards"))
+    # only sources of several shards are looked up, at most one for shard_docs documents, so the hot ones are not shuffled
+    several = F.broadcast(q.where("shards > 1").select("key", "shards"))
+    placed = sizes.withColumn("key", key).join(several, "key", "left").withColumn("shard", F.pmod("h", F.coalesce("shards", F.lit(1))))
     cells = placed.groupBy("key", "shard").agg(F.sum("size").alias("words"))
     asked = cells.join(q.select("key", "quota"), "key")
     by_shard = sainte_lague(asked.select("key", "shard", F.col("words").cast("double").alias("votes"), F.col("quota").alias("seats")), ["shard"], ["key"])
