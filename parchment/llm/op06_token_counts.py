@@ -76,9 +76,9 @@ def reading(path: str) -> Reading:
 
 
 def pretokens(text: bytes, how: Reading) -> list[bytes]:
-    """The pre-tokens of a text; where the tokenizer folds, A-Z are lower-cased in those of pure ASCII (so that
-    one entry serves both), unless the text might hold an added string, whose case counts. Others stay as they are: the
-    tokenizer composes letters before it lower-cases them, and some compose in lower case only."""
+    """The pre-tokens of a text; where the tokenizer folds, A-Z are lower-cased (so that one entry serves both), unless the text might hold
+    an added string, whose case counts. The tokenizer composes letters before it lower-cases them, and some compose in lower case only: where a
+    text holds marks that A-Z compose with (U+0300 to U+036F, bytes CC and CD), only pre-tokens of pure ASCII are folded."""
     if how.whole:
         return [text] if text else []
     if not how.fold:
@@ -86,7 +86,7 @@ def pretokens(text: bytes, how: Reading) -> list[bytes]:
     low = text.lower()
     if any(m in low for m in how.marks):
         return text.split()
-    if low.isascii() or low == text:
+    if low.isascii() or (b"\xcc" not in low and b"\xcd" not in low):
         return low.split()
     return [w if w.isascii() else o for w, o in zip(low.split(), text.split(), strict=True)]
 
