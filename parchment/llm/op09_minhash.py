@@ -176,8 +176,13 @@ def gaps_to_pivot(docs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """docs(family, doc, comp, pivot) -> (family, doc, comp, pivot, n, pivot_n, near, gap): sizes of both sets, whether they are linked, and
     the shingles that only one of them has."""
     own = docs.join(texts.select(F.col("id").alias("doc"), "text"), "doc")
-    pivots = docs.select("pivot").distinct().join(texts.select(F.col("id").alias("pivot"), F.col("text").alias("pivot_text")), "pivot")
-    both = own.join(pivots, "pivot").select("family", "doc", "comp", "pivot", "text", "pivot_text")
+    many = docs.groupBy("pivot").agg(F.count("*").alias("n"))
+    pivots = many.join(texts.select(F.col("id").alias("pivot"), F.col("text").alias("pivot_text")), "pivot")
+    # pivots of more than one document in 256 are at most 256, and those of up to 64 KB 16 MB: their documents stay where they are
+    hot = (F.col("n") > docs.count() // 256) & (F.octet_length("pivot_text") <= 65_536)
+    some = own.join(F.broadcast(pivots.where(hot).drop("n")), "pivot", "left")
+    rest = some.where("pivot_text is null").drop("pivot_text").join(pivots.where(~hot).drop("n"), "pivot")
+    both = some.where("pivot_text is not null").unionByName(rest).select("family", "doc", "comp", "pivot", "text", "pivot_text")
 
     def run(batches):
         memo, last = word_memo(), (None, None)
