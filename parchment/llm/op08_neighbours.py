@@ -205,11 +205,12 @@ def nearest(embeddings: DataFrame, vec_id: str = "vec_id", vector: str = "embedd
     good = good.groupBy("vec_id").agg(F.min("v").alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     good = cut(good.select("vec_id", "v", F.size("v").alias("dim"), norm.alias("norm")), "vectors")
-    top = good.groupBy("dim").agg(F.max("norm").alias("top"))
-    good = good.join(top, "dim").select("vec_id", "v", "dim", "norm", F.least(F.floor(F.log2(F.col("top") / F.col("norm")) * 2), F.lit(15)).cast("int").alias("class"))
+    top = cut(good.groupBy("dim").agg(F.max("norm").alias("top")), "lengths")
+    small = F.broadcast if top.count() <= 100_000 else (lambda d: d)  # tables of lengths, at most 16 rows each; where these are many they are joined
+    good = good.join(small(top), "dim").select("vec_id", "v", "dim", "norm", F.least(F.floor(F.log2(F.col("top") / F.col("norm")) * 2), F.lit(15)).cast("int").alias("class"))
     groups = good.groupBy("dim", "class").agg(F.count("*").alias("n"), F.max("norm").alias("longest"))
     groups = cut(groups.withColumn("cells", F.ceil(F.col("n") / shard_rows).cast("int")), "groups")
-    good = cut(good.join(groups.select("dim", "class", "longest", "cells"), ["dim", "class"]), "vectors")
+    good = cut(good.join(small(groups.select("dim", "class", "longest", "cells")), ["dim", "class"]), "vectors")
 
     lay = lambda column: np.asarray(column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten(), dtype=float).reshape(len(column), -1)
     # cells: the tops of the kd-trees, from a share of each class that needs more than one
@@ -289,7 +290,7 @@ def nearest(embeddings: DataFrame, vec_id: str = "vec_id", vector: str = "embedd
 
     bounds = first.where("vec_id is null").select("query_id", "bound", *(F.col(c).alias(f"home_{c}") for c in shard[1:]))
     asking = good.select("vec_id", "v", "dim", "norm").where(F.col("vec_id") % every == 0).join(bounds, F.col("vec_id") == F.col("query_id"))
-    asking = asking.join(groups.select("dim", "class", "longest"), "dim").select("dim", "class", "longest", "norm", "bound", "v", "query_id", "home_class", "home_cell", "home_part")
+    asking = asking.join(small(groups.select("dim", "class", "longest")), "dim").select("dim", "class", "longest", "norm", "bound", "v", "query_id", "home_class", "home_cell", "home_part")
     asking = asking.mapInArrow(visit, "dim int, class int, bound double, v array<double>, query_id long, home_class int, home_cell int, home_part int, cell int")
     asking = asking.join(parts, ["dim", "class", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     asking = cut(asking.where("not (class = home_class and cell = home_cell and part = home_part)").select(*shard, "query_id", "v", "bound"), "visits")
