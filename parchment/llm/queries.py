@@ -8,9 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchment.llm import op01_line_dedup, op02_mixing, op03_embeddings, op04_packing, op05_toxicity, op06_token_counts, op07_url_filter, op08_neighbours, op09_minhash, op10_suffix
+from parchment.llm import op01_line_dedup, op02_mixing, op03_embeddings, op04_packing, op05_toxicity, op06_token_counts, op07_url_filter, op08_neighbours, op09_minhash, op10_suffix, op11_embedding_whitening, op12_tokenizer_alignment, op13_token_ids
+from parchment.llm.shared import own_path
 
 TOKENIZER = "word_bpe_49k.json"
+ALIGNED = ("byte_bpe_50k.json", "piece_bpe_32k.model")
+FILED = "byte_bpe_50k.json"
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
 
@@ -62,8 +65,26 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_suffix.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    done = op11_embedding_whitening.whiten(rows.select("vec_id", "embedding"), op11_embedding_whitening.fit(rows))
+    return done.select("vec_id", F.posexplode("whitened").alias("at", "whitened"), "n", F.expr("try_cast(deviation as bigint)").alias("deviation"), "shares", "identity_error").selectExpr(
+        "vec_id", "at + 1 as component", "n", "deviation", "whitened", "shares[at] as explained", "identity_error")
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = op12_tokenizer_alignment.alignments(table(spark, sf_dir, "documents"), *map(public_tokenizers.path, ALIGNED), shape=lambda groups: F.coalesce(F.sha2(groups, 256), F.lit("")))
+    return done.withColumnRenamed("groups", "groups_sha256")
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = own_path(spark, "token-files")
+    op13_token_ids.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(FILED), path)
+    return op13_token_ids.read_tokens(spark, path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_mixing, op3_embedding_near_dedup, op4_packing, op5_toxicity, op6_token_counts, op7_url_filter, op8_nearest_neighbours, op9_minhash, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_mixing, op3_embedding_near_dedup, op4_packing, op5_toxicity, op6_token_counts, op7_url_filter, op8_nearest_neighbours, op9_minhash, op10_suffix_dedup, op11_whitening, op12_alignment, op13_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -25,15 +25,20 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it: ends the lineage, survives lost executors."""
-    spark = df.sparkSession
+def own_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, deleted when the session ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     jvm = spark.sparkContext._jvm
     there = jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Write df as a table in the shared folder and read it: ends the lineage, survives lost executors."""
+    path = own_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def row_key(docs: DataFrame, doc_id: str, text: str) -> tuple[Column, Column]:
