@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,9 +20,13 @@ INVISIBLE = r"[\u200B\u200C\u200D\uFEFF\u00AD]"
 LIGATURES = {"\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\ufb05": "st", "\ufb06": "st"}
 
 
+#: The signs of SPACE, one by one.
+BLANKS = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
+
+
 def stripped(text: Column) -> Column:
-    """Without white space at both ends."""
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
+    """Without white space at both ends; one look at each sign, however long the runs of blanks inside."""
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def word_list(text: Column) -> Column:
@@ -263,11 +269,25 @@ def quoted(text: str) -> str:
     return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
+def _first_parts(text: Column, key: str) -> tuple[Column, Column, Column]:
+    """Whether a text holds `key` in any case, and what stands before and behind its first place; one scan from the start."""
+    pattern = f"(?isu)\\A(.*?)({quoted(key)})"
+    head = F.regexp_extract(text, pattern, 1)
+    return text.rlike(f"(?iu){quoted(key)}"), head, text.substr(F.length(head) + F.length(F.regexp_extract(text, pattern, 2)) + 1, F.length(text))
+
+
 def replace_first(text: Column, target: str, stands: str) -> Column:
     """The first place of `target`, in any case, replaced; a blank target changes nothing."""
     key = target.strip()
-    at = F.locate(key.lower(), F.lower(text))
-    return text if not key else F.when(at > 0, F.concat(F.substring(text, F.lit(1), at - 1), F.lit(stands), text.substr(at + len(key), F.length(text)))).otherwise(text)
+    if not key:
+        return text
+    hit, before, behind = _first_parts(text, key)
+    return F.when(hit, F.concat(before, F.lit(stands), behind)).otherwise(text)
+
+
+def single_spaced(text: Column) -> Column:
+    """Runs of two or more blanks as one space."""
+    return F.regexp_replace(text, f"{SPACE}{{2,}}", " ")
 
 
 def delete_text(text: Column, target: str) -> Column:
@@ -275,18 +295,61 @@ def delete_text(text: Column, target: str) -> Column:
     key = target.strip()
     if not key:
         return text
-    hit = text.rlike(f"(?i){SPACE}*{quoted(key)}{SPACE}*")
-    cut = F.regexp_replace(text, f"(?is)\\A(.*?){SPACE}*{quoted(key)}{SPACE}*", "$1 ")
-    return F.when(hit, F.regexp_replace(cut, f"{SPACE}{{2,}}", " ")).otherwise(text)
+    hit, before, behind = _first_parts(text, key)
+    left = F.concat(F.rtrim(before, F.lit(BLANKS)), F.lit(" "), F.ltrim(behind, F.lit(BLANKS)))
+    return F.when(hit, single_spaced(left)).otherwise(text)
+
+
+def _cut_end(text: Column, reversed_end: str) -> Column:
+    """Without what the text ends in (white space apart), as a pattern for the reversed text: read from the end, so it is one scan whatever stands
+    before. A space stands for what goes; where nothing fits, only runs of blanks change."""
+    whole = F.rtrim(text, F.lit(BLANKS))
+    end = F.length(F.regexp_extract(F.reverse(whole), reversed_end, 0))
+    return single_spaced(F.when(end > 0, F.concat(F.rtrim(F.left(whole, F.length(whole) - end), F.lit(BLANKS)), F.lit(" "))).otherwise(text))
 
 
 def without_last_word(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, rf"{SPACE}*[^\s\p{{Z}}\uFEFF]+{SPACE}*\z", " "), f"{SPACE}{{2,}}", " ")
+    return _cut_end(text, r"\A[^\s\p{Z}\uFEFF]+")
 
 
 def without_last_sentence(text: Column) -> Column:
-    """Without the sentence a text ends in, if it ends in one."""
-    return F.regexp_replace(F.regexp_replace(text, rf"{SPACE}*[^.!?]*[.!?][\"']?{SPACE}*\z", " "), f"{SPACE}{{2,}}", " ")
+    """Without the sentence a text ends in, if it ends in one, a quote behind its stop or not."""
+    return _cut_end(text, r"""\A["']?[.!?][^.!?]*""")
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used, also for each element of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def edit_recent(nodes: Column, hit: Callable[[Column], Column], change: Callable[[Column], Column], first: Column | None = None) -> Column:
+    """An array of nodes of text with the most recent one that `hit` takes changed: the one numbered `first` (from 0; the node last dictated to) if it is hit, else the
+    last that is. Blank and null nodes are never taken, but for `first`; without any hit nothing changes."""
+    def edited(n: Column) -> Column:
+        taken = F.transform(n, lambda x: F.coalesce(hit(x) & (stripped(x) != ""), F.lit(False)))
+        at = F.size(n) - F.array_position(F.reverse(taken), F.lit(True)).cast("int")  # as many as there are nodes where none is taken
+        if first is not None:
+            at = F.when(F.coalesce(hit(F.get(n, first)), F.lit(False)), first).otherwise(at)
+        return once(at, lambda k: F.transform(n, lambda x, i: F.when(i == k, change(x)).otherwise(x)))
+
+    return once(nodes, edited)
+
+
+def replace_recent(nodes: Column, target: str, stands: str, first: Column | None = None) -> Column:
+    """replace_first() in the most recent node that holds `target` in any case; a blank target changes nothing."""
+    key = target.strip()
+    return edit_recent(nodes, lambda x: x.rlike(f"(?iu){quoted(key)}"), lambda x: replace_first(x, key, stands), first) if key else nodes
+
+
+def delete_recent(nodes: Column, target: str, first: Column | None = None) -> Column:
+    """delete_text() in the most recent node that holds `target` in any case."""
+    key = target.strip()
+    return edit_recent(nodes, lambda x: x.rlike(f"(?iu){quoted(key)}"), lambda x: delete_text(x, key), first) if key else nodes
+
+
+def without_recent_word(nodes: Column, first: Column | None = None) -> Column:
+    """without_last_word() of the most recent node that it changes."""
+    return edit_recent(nodes, lambda x: without_last_word(x) != x, without_last_word, first)
 
 
 def title_words(name: Column) -> Column:

@@ -58,27 +58,43 @@ def stroke_distance(points: Column, x: Column, y: Column) -> Column:
     return F.when(F.size(points) > 1, F.array_min(pairs))
 
 
+def dealt_segments(strokes: DataFrame, stroke: str, radius: Column, size: float) -> DataFrame:
+    """The segments (ax, ay, bx, by) of strokes, each once for every square of a grid that it passes within `radius` or nearly so: _cx, _cy. Column by column of the grid:
+    a segment goes to the squares of the part of it that lies over the column, not to all of its box."""
+    p = F.col(stroke)
+    ends = F.transform(F.sequence(F.lit(0), F.size(p) - 2), lambda i: F.struct(F.get(p, i)["x"].alias("ax"), F.get(p, i)["y"].alias("ay"), F.get(p, i + 1)["x"].alias("bx"), F.get(p, i + 1)["y"].alias("by")))
+    rows = strokes.where(F.size(p) > 1).withColumn("_r", radius).withColumn("_s", F.explode(ends)).drop(stroke)
+    rows = rows.select("*", *(F.col(f"_s.{n}").cast("double").alias(n) for n in ("ax", "ay", "bx", "by"))).drop("_s")
+    rows = rows.withColumn("_cx", F.explode(_cells(F.least("ax", "bx") - F.col("_r"), F.greatest("ax", "bx") + F.col("_r"), size)))
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    at = lambda edge: F.when(dx == 0, None).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (edge - F.col("ax")) / F.nullif(dx, F.lit(0.0)))))
+    near, far = (F.col("ay") + F.coalesce(at(edge), F.lit(t)) * dy for edge, t in ((F.col("_cx") * size - F.col("_r"), 0.0), ((F.col("_cx") + 1) * size + F.col("_r"), 1.0)))
+    return rows.withColumn("_cy", F.explode(_cells(F.least(near, far) - F.col("_r"), F.greatest(near, far) + F.col("_r"), size)))
+
+
 def topmost_stroke(points: DataFrame, strokes: DataFrame, keys: Sequence[str], point: Sequence[str], stroke: str, z: str, id: str, radius: Column, size: float, into: str = "hit") -> DataFrame:
-    """Each point with the id of the topmost stroke within `radius`; null if there is none. Strokes are dealt to squares by their extent
-    widened by the radius (a column of strokes, or a number)."""
-    s = F.col(stroke)
-    axis = lambda f, k: f(F.transform(s, lambda p: p[k]))
-    extent = F.struct(*((axis(F.array_min, k) - radius).alias(k) for k in "xy"), *((axis(F.array_max, k) - axis(F.array_min, k) + 2 * radius).alias(n) for k, n in (("x", "w"), ("y", "h"))))
+    """Each point with the id of the topmost stroke within `radius` (a column of strokes, or a number); null if there is none. An equi-join of points and
+    segments on squares of a grid, so a point meets the segments near it."""
     x, y = map(F.col, point)
     at = points.withColumn("_cx", F.floor(x / size)).withColumn("_cy", F.floor(y / size))
-    near = at.join(dealt(strokes.select(*keys, stroke, z, id, radius.alias("_r"), extent.alias("_e")), "_e", size), [*keys, "_cx", "_cy"])
-    best = near.where(stroke_distance(s, x, y) <= F.col("_r")).groupBy(*keys, "point_id").agg(F.max_by(id, z).alias(into))
+    near = at.join(dealt_segments(strokes.select(*keys, stroke, z, id), stroke, radius, size), [*keys, "_cx", "_cy"])
+    hit = near.where(segment_distance(x, y, *map(F.col, ("ax", "ay", "bx", "by"))) <= F.col("_r"))
+    best = hit.groupBy(*keys, "point_id").agg(F.max_by(id, z).alias(into))
     return points.join(best, [*keys, "point_id"], "left")
 
 
-def spans_under(strokes: DataFrame, spans: DataFrame, keys: Sequence[str], points: str, box: str) -> DataFrame:
+def spans_under(strokes: DataFrame, spans: DataFrame, keys: Sequence[str], points: str, box: str, size: float = 256.0) -> DataFrame:
     """Pairs of a stroke and a span of text that it marks: their ranges of x overlap, and the span's middle lies within the stroke's range of y
-    widened by half the span's height. Keys should be pages: a page's strokes meet its spans."""
-    p, b = F.col(points), F.col(box)
+    widened by half the span's height, that is, their ranges of y touch. Both are dealt to squares of a grid; a pair is kept in that of its common corner."""
+    p, b, e = F.col(points), F.col(box), F.col("_e")
     edge = lambda f, k: f(F.transform(p, lambda q: q[k]))
+    extent = F.struct(*(edge(F.array_min, k).alias(k) for k in "xy"), *((edge(F.array_max, k) - edge(F.array_min, k)).alias(n) for k, n in (("x", "w"), ("y", "h"))))
+    ink = dealt(strokes.where(F.size(p) > 0).withColumn("_e", extent), "_e", size)
+    pairs = ink.join(dealt(spans.where(F.trim("text") != ""), box, size), [*keys, "_cx", "_cy"])
+    corner = lambda k: F.floor(F.greatest(e[k], b[k]) / size)
     mid = b["y"] + b["h"] / 2
-    pairs = strokes.where(F.size(p) > 0).join(spans.where(F.trim("text") != ""), list(keys))
-    return pairs.where((b["x"] + b["w"] > edge(F.array_min, "x")) & (b["x"] < edge(F.array_max, "x")) & (mid >= edge(F.array_min, "y") - b["h"] / 2) & (mid <= edge(F.array_max, "y") + b["h"] / 2))
+    pairs = pairs.where((corner("x") == F.col("_cx")) & (corner("y") == F.col("_cy")))
+    return pairs.where((b["x"] + b["w"] > e["x"]) & (b["x"] < e["x"] + e["w"]) & (mid >= e["y"] - b["h"] / 2) & (mid <= e["y"] + e["h"] + b["h"] / 2)).drop("_cx", "_cy", "_e")
 
 
 def nearest_row(points: DataFrame, spans: DataFrame, keys: Sequence[str], y: str, row: str, box: str, ord: str) -> DataFrame:
@@ -195,10 +211,6 @@ def point_distance(a: Column, b: Column) -> Column:
     return F.coalesce(F.hypot(a["x"] - b["x"], a["y"] - b["y"]), F.lit(0.0))
 
 
-def bounded(x: Column, low: float, high: float) -> Column:
-    return clamp(x, low, high)
-
-
 def level_bounds(levels: DataFrame, keys: Sequence[str], order: str, weight: str) -> DataFrame:
     """Where each level begins, as a share of all weights (0.1 at least each)."""
     w = F.greatest(F.lit(0.1), F.col(weight))

@@ -39,4 +39,4 @@ class Rows:
 ODD_TEXTS = Rows("doc_id long, text string", [
     (-1, ""), (-2, "   \t\n "), (-3, "Foo.\n"), (-4, "\u00a0wide\u2003blanks\u3000here\ufeff"), (-5, "cardio-\nvascular and well-\nBeing"), (-6, "e\ufb03cient \ufb01n \u201cquoted\u201d \u2018it\u2019s\u2019 a—b\u2026"),
     (-7, "zero\u200bwidth so\u00adft"), (-8, "a \u200b b"), (-9, "# Head\n\n- **bold** `code`\n\n[link](http://x.y) _it_"), (-10, "line one\r\n\u00a0\r\nline three\u2028same"), (-11, "UPPER lower The the THE"), (-12, "one two. Three? \"Four!\" "),
-    (-13, "x < y & z > w"), (-14, "it's o'clock - don't; 12.5 'q'"), (-15, "end,;:. "), (-16, "\u0391\u03b2 \u4e2d\u6587 café cafe\u0301")])
+    (-13, "x < y & z > w"), (-14, "it's o'clock - don't; 12.5 'q'"), (-15, "end,;:. "), (-16, "\u0391\u03b2 \u4e2d\u6587 café cafe\u0301"), (-17, "\u0130 the end\n\n \nof The line\n "), (-18, "He said \"Hi!\" Then left.'  "), (-19, "No stop.\"' here"), (-20, "two  blanks   only")])

@@ -62,7 +62,7 @@ d AS (SELECT point_id, id, px, py, x, y, x2, y2, CASE WHEN (x2 - x) ** 2 + (y2 -
 h AS (SELECT point_id, max(id) AS hit FROM d WHERE {_DISTANCE} <= 6 GROUP BY point_id) SELECT o.point_id, h.hit FROM o LEFT JOIN h USING (point_id)""")
 def stroke_hits(t):
     points = t("orders").select(c("o_orderkey").alias("point_id"), (c("o_orderkey") % 500).alias("k"), (c("o_custkey") * 13 % 500).cast("double").alias("px"), (c("o_orderkey") * 7 % 500).cast("double").alias("py"))
-    return B.topmost_stroke(points, pens(t).withColumn("z", c("id")), ["k"], ["px", "py"], "points", "z", "id", F.lit(6.0), 128.0).select("point_id", "hit")
+    return B.topmost_stroke(points, pens(t).withColumn("z", c("id")), ["k"], ["px", "py"], "points", "z", "id", F.lit(6.0), 32.0).select("point_id", "hit")
 
 
 @query(f"""WITH {_SEGMENTS}, r AS (SELECT *, 250.0 AS px, 200.0 AS py, CASE WHEN (x2 - x) ** 2 + (y2 - y) ** 2 = 0 THEN 0 ELSE least(1, greatest(0, ((250.0 - x) * (x2 - x) + (200.0 - y) * (y2 - y)) / ((x2 - x) ** 2 + (y2 - y) ** 2))) END AS t FROM g),

@@ -90,11 +90,15 @@ def spoken_rules(spark, sf_dir):
     return texts(spark, sf_dir).select("doc_id", T.spoken_markdown(text).alias("spoken"), T.ocr_text(text).alias("ocr"), T.plain_tags(text).alias("untagged"), T.needs_correction(text).alias("corrected"))
 
 
-@query(f"""WITH s AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\\n{{2,}}')) AS p, generate_subscripts(regexp_split_to_array(text, '\\n{{2,}}'), 1) AS n FROM documents WHERE NOT contains(text, '<') AND NOT contains(text, '&nbsp;')),
-b AS (SELECT doc_id, n, unnest(regexp_extract_all(regexp_replace(p, '\\n+', ' ', 'g'), '[^.!?]+[.!?]+|[^.!?]+\\z')) AS u FROM s) SELECT doc_id, count(*) FILTER ({trim_sql('u')} <> '') AS n_units FROM b GROUP BY doc_id HAVING count(*) FILTER ({trim_sql('u')} <> '') > 0""")
-def sentence_counts(t):
-    d = t("documents").where(~c("text").contains("<") & ~c("text").contains("&nbsp;"))
-    return d.select("doc_id", F.size(T.sentence_units(c("text"))).cast("long").alias("n_units")).where("n_units > 0")
+_BLOCKED = r"""regexp_replace(regexp_replace(regexp_replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)</(h1|h2|h3|h4|h5|h6|p|li|div|tr|section|article|ol|ul)>', ' ' || chr(10), 'g'), '(?i)<br\s*/?>', chr(10), 'g'), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), chr(13), ''),
+ '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]{2,}', ' ', 'g')"""
+
+
+@query(f"""WITH p AS (SELECT doc_id, {trim_sql(_BLOCKED)} AS text FROM {ALL_TEXTS}), s AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\\n{{2,}}')) AS p FROM p),
+b AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(p, '\\n+', ' ', 'g'), '[^.!?]+[.!?]+|[^.!?]+\\z')) AS u FROM s) SELECT doc_id, count(*) FILTER ({trim_sql('u')} <> '') AS n_units, sum(length({trim_sql('u')}))::BIGINT AS n_signs FROM b GROUP BY doc_id HAVING count(*) FILTER ({trim_sql('u')} <> '') > 0""", session=True)
+def sentence_counts(spark, sf_dir):
+    d = texts(spark, sf_dir).select("doc_id", T.sentence_units(c("text")).alias("u"))
+    return d.select("doc_id", F.size("u").cast("long").alias("n_units"), F.length(F.array_join("u", "")).cast("long").alias("n_signs")).where("n_units > 0")
 
 
 _SIGNS = Rows("id long, text string", [(1, "β-blocker and αΔ"), (2, "modern corn clever"), (3, "vvrn cl-rn"), (4, ""), (5, "μ-π σ τφω")])
@@ -126,14 +130,18 @@ def number_settings(spark, sf_dir):
     return _SETTINGS.frame(spark).select("id", G.number_setting(c("text"), 0.0, 10.0, 0.25).alias("setting"))
 
 
-_SAID = Rows("id long, body string", [(1, '{"type": "end"}'), (2, "hello"), (3, '{"text": "json", "type": "say"}'), (4, "{broken"), (5, '"quoted"')])
+_SAID = Rows("id long, body string", [(-1, '{"type": "end"}'), (-2, " hello "), (-3, '{"text": "json", "role": "user", "type": "say"}'), (-4, "{broken"), (-5, '"quoted"'), (-6, "12"), (-7, "[1]"), (-8, "null"), (-9, " "), (-10, None), (-11, '{"text": ""}'), (-12, '{"text": 0}'),
+                                        (-13, '{"text": 12, "interrupted": true}'), (-14, '{"text": "cut", "interrupted": "true"}'), (-15, '{"text": "cut", "role": "nobody", "interrupted": true}'), (-16, '{"text": false}'), (-17, '{"type": "end", "text": "x", "role": "user"}'), (-18, '{"role": "user"}'), (-19, '{"text": null}')])
 
 
-@query(f"""WITH m AS (SELECT id, body, CASE WHEN json_valid(body) THEN body::JSON END AS j FROM {_SAID.sql}) SELECT id, j->>'type' AS type, CASE WHEN j IS NULL THEN body ELSE j->>'text' END AS text, coalesce((j->>'type') = 'end', FALSE) AS control FROM m WHERE id < 5""", session=True)
+@query(f"""WITH b AS (SELECT conv_id * 1000 + turn AS id, CASE WHEN turn % 2 = 1 THEN to_json({{'role': role, 'text': text, 'interrupted': turn % 3 = 0}})::VARCHAR ELSE text END AS body FROM conversations UNION ALL SELECT * FROM {_SAID.sql}),
+r AS (SELECT id, {trim_sql('body')} AS raw FROM b), m AS (SELECT *, CASE WHEN json_valid(raw) AND json_type(raw) = 'OBJECT' THEN raw::JSON END AS j FROM r WHERE raw <> ''),
+f AS (SELECT *, coalesce(j->>'type' = 'end' AND json_type(j->'type') = 'VARCHAR', FALSE) AS control, coalesce(j->>'text', '') <> '' AND NOT (json_type(j->'text') = 'BOOLEAN' AND j->>'text' = 'false') AND NOT (json_type(j->'text') NOT IN ('VARCHAR', 'BOOLEAN') AND coalesce(try_cast(j->>'text' AS DOUBLE), 1) = 0) AS told FROM m)
+SELECT id, control, CASE WHEN told AND NOT control AND j->>'role' = 'user' THEN 'user' ELSE 'assistant' END AS who, CASE WHEN told AND NOT control THEN j->>'text' ELSE raw END AS text, coalesce(told AND NOT control AND json_type(j->'interrupted') = 'BOOLEAN' AND j->>'interrupted' = 'true', FALSE) AS interrupted FROM f""", session=True)
 def typed_messages(spark, sf_dir):
-    m = events.message(c("body"), "type string, text string", "text")
-    d = _SAID.frame(spark).where("id < 5").select("id", m.alias("m"))
-    return d.select("id", "m.type", "m.text", F.coalesce(c("m.type") == "end", F.lit(False)).alias("control"))
+    d = table(spark, sf_dir, "conversations").select((c("conv_id") * 1000 + c("turn")).alias("id"), F.when(c("turn") % 2 == 1, F.to_json(F.struct("role", "text", (c("turn") % 3 == 0).alias("interrupted")))).otherwise(c("text")).alias("body"))
+    m = d.unionByName(_SAID.frame(spark)).select("id", events.message(c("body"), "end").alias("m")).where("m is not null")
+    return m.select("id", "m.control", "m.who", "m.text", "m.interrupted")
 
 
 @query("""WITH RECURSIVE h AS (SELECT l_orderkey AS k, round(l_discount * 10) / 10 + 0.5 AS confidence, l_partkey % 60 AS s, l_partkey % 60 + 3 + l_suppkey % 12 AS e, l_linenumber AS ord FROM lineitem), n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY confidence DESC, ord, s, e) AS n FROM h),

@@ -42,7 +42,7 @@ def page_index(spark, sf_dir):
 
 
 @query(f"""SELECT doc_id, replace(regexp_replace(replace(regexp_replace(text, '-({WIDE}*[\\n\\r]{WIDE}*)(\\p{{Ll}})', chr(1) || '\\2', 'g'), chr(1), ''), '{WIDE}+', '', 'g'), chr(1), '') AS compact,
- regexp_replace(regexp_replace(lower({trim_sql('text')}), '{WIDE}+', ' ', 'g'), '[.,;:]+\\z', '') AS noun, {trim_sql("substr(text, 1, 1200)")} AS context FROM {ALL_TEXTS}""", session=True)
+ regexp_replace(regexp_replace(lower(replace({trim_sql('text')}, '\u0130', 'i\u0307')), '{WIDE}+', ' ', 'g'), '[.,;:]+\\z', '') AS noun, {trim_sql("substr(text, 1, 1200)")} AS context FROM {ALL_TEXTS}""", session=True)
 def compact_and_keys(spark, sf_dir):
     text = c("text")
     return texts(spark, sf_dir).select("doc_id", T.compact(text).alias("compact"), T.noun_key(text).alias("noun"), T.context_before(text).alias("context"))
@@ -73,10 +73,14 @@ def draft_html(spark, sf_dir):
     return d.select("doc_id", "n.words", "n.chars", "html")
 
 
-@query(f"""WITH d AS (SELECT *, strpos(lower(text), 'the') AS spot FROM {ALL_TEXTS})
-SELECT doc_id, CASE WHEN spot > 0 THEN substr(text, 1, spot - 1) || '(x$1)' || substr(text, spot + 3) ELSE text END AS replaced,
- CASE WHEN spot > 0 THEN regexp_replace(regexp_replace(text, '(?is)\\A(.*?){WIDE}*the{WIDE}*', '\\1 '), '{WIDE}{{2,}}', ' ', 'g') ELSE text END AS deleted,
- regexp_replace(regexp_replace(text, '{WIDE}*[^\\s\\x0B\\p{{Z}}\\x{{FEFF}}]+{WIDE}*\\z', ' '), '{WIDE}{{2,}}', ' ', 'g') AS less_word,
+_RECENT = "(CASE WHEN list_contains(taken, TRUE) THEN len(nodes) + 1 - list_position(list_reverse(taken), TRUE) END)"
+_LESS_WORD = f"regexp_replace(regexp_replace(%s, '{WIDE}*[^\\s\\x0B\\p{{Z}}\\x{{FEFF}}]+{WIDE}*\\z', ' '), '{WIDE}{{2,}}', ' ', 'g')"
+
+
+@query(f"""WITH d AS (SELECT *, strpos(lower(replace(text, '\u0130', 'i\u0307')), 'the') AS spot FROM {ALL_TEXTS})
+SELECT doc_id, regexp_replace(text, '(?i)the', '(x$1)') AS replaced,
+ CASE WHEN regexp_matches(text, '(?i)the') THEN regexp_replace(regexp_replace(text, '(?is)\\A(.*?){WIDE}*the{WIDE}*', '\\1 '), '{WIDE}{{2,}}', ' ', 'g') ELSE text END AS deleted,
+ {_LESS_WORD % 'text'} AS less_word,
  regexp_replace(regexp_replace(text, '{WIDE}*[^.!?]*[.!?]["'']?{WIDE}*\\z', ' '), '{WIDE}{{2,}}', ' ', 'g') AS less_sentence,
  CASE WHEN spot > 0 THEN spot - 1 END AS from_place, CASE WHEN spot > 0 THEN spot + 2 END AS to_place FROM d""", session=True)
 def dictated_changes(spark, sf_dir):
@@ -85,6 +89,20 @@ def dictated_changes(spark, sf_dir):
     return texts(spark, sf_dir).select("doc_id", T.replace_first(text, " The ", "(x$1)").alias("replaced"), T.delete_text(text, "THE").alias("deleted"), T.without_last_word(text).alias("less_word"), T.without_last_sentence(text).alias("less_sentence"), place["start"].alias("from_place"), place["end"].alias("to_place"))
 
 
+@query(f"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS nodes FROM {ALL_TEXTS}), v AS (SELECT *, list_transform(nodes, lambda x: {trim_sql('x')} <> '') AS seen FROM d),
+t AS (SELECT *, list_transform(nodes, lambda x, i: seen[i] AND regexp_matches(x, '(?i)the')) AS taken FROM v), r AS (SELECT *, {_RECENT} AS spot FROM t),
+u AS (SELECT doc_id, nodes, seen, list_transform(nodes, lambda x, i: CASE WHEN i = spot THEN regexp_replace(x, '(?i)the', '$0/') ELSE x END) AS replaced,
+ CASE WHEN regexp_matches(nodes[1], '(?i)the') THEN 1 ELSE spot END AS opened FROM r),
+w AS (SELECT *, list_transform(nodes, lambda x, i: seen[i] AND {_LESS_WORD % 'x'} <> x) AS taken FROM u), y AS (SELECT *, {_RECENT} AS last_word FROM w)
+SELECT doc_id, array_to_string(replaced, '|') AS replaced,
+ array_to_string(list_transform(nodes, lambda x, i: CASE WHEN i = opened THEN regexp_replace(regexp_replace(x, '(?is)\\A(.*?){WIDE}*the{WIDE}*', '\\1 '), '{WIDE}{{2,}}', ' ', 'g') ELSE x END), '|') AS deleted,
+ array_to_string(list_transform(nodes, lambda x, i: CASE WHEN i = last_word THEN {_LESS_WORD % 'x'} ELSE x END), '|') AS less_word FROM y""", session=True)
+def recent_edits(spark, sf_dir):
+    """The lines of a text as the nodes of an editor: replaced in the most recent node, deleted in the first if it fits, the last word gone."""
+    nodes = F.split("text", "\n")
+    return texts(spark, sf_dir).select("doc_id", *(F.array_join(x, "|").alias(n) for n, x in (("replaced", T.replace_recent(nodes, "the ", "$0/")), ("deleted", T.delete_recent(nodes, "THE", F.lit(0))), ("less_word", T.without_recent_word(nodes)))))
+
+
 _FENCED = Rows("id long, text string", [(1, "```html\n<p>x</p>\n```"), (2, "```\n[\"a\", \" b \"]\n```"), (3, "say [\"x\", null, 3] now"), (4, "no array"), (5, None), (6, "[1,"), (7, "``` \nx```\n")])
 
 

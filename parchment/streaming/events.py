@@ -20,9 +20,21 @@ def data_events(lines: DataFrame, line: str, schema: str, into: str = "event") -
     return lines.withColumn(into, F.from_json(body, schema)).where(F.col(line).startswith("data:") & (body != "[DONE]")).where(F.try_parse_json(body).isNotNull())
 
 
-def message(text: Column, schema: str, plain: str) -> Column:
-    """A JSON message, or one that holds plain text in field `plain`."""
-    return F.coalesce(F.when(F.try_parse_json(text).isNotNull(), F.from_json(text, schema)), F.from_json(F.to_json(F.struct(text.alias(plain))), schema))
+def message(body: Column, control: str) -> Column:
+    """A message of a chat as struct(control, who, text, interrupted); null for blank ones. A JSON object of type `control` is no message but a request, marked so. One with
+    a text that is not empty, 0 or false gives its text, who (user; all else is assistant) and whether it was cut off (true itself, nothing like it). Everything else, JSON
+    or not, is the assistant's text as it stands, trimmed."""
+    raw = T.stripped(body)
+    v = F.try_parse_json(raw)
+    get = lambda name: F.try_variant_get(v, f"$.{name}", "string")
+    kind = lambda name: F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant"))
+    empty = get("text").isNull() | (get("text") == "") | ((kind("text") == "BOOLEAN") & (get("text") == "false")) | (~kind("text").isin("STRING", "BOOLEAN") & (get("text").try_cast("double") == 0))
+    told = ~F.coalesce(empty, F.lit(True))
+    asked = F.coalesce((get("type") == control) & (kind("type") == "STRING"), F.lit(False))
+    own = lambda then, other: F.when(told & ~asked, then).otherwise(other)
+    who = F.when((get("role") == "user") & (kind("role") == "STRING"), "user").otherwise("assistant")
+    cut_off = F.coalesce((kind("interrupted") == "BOOLEAN") & (get("interrupted") == "true"), F.lit(False))
+    return F.when(raw != "", F.struct(asked.alias("control"), own(who, F.lit("assistant")).alias("who"), own(get("text"), raw).alias("text"), own(cut_off, F.lit(False)).alias("interrupted")))
 
 
 def first_seen(stream: DataFrame, keys: list[str], time: str | None = None, late: str = "1 hour") -> DataFrame:
