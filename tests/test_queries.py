@@ -4,7 +4,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from parchment.plans import documents, reference, shapes, shaping, small, texts  # noqa: F401 - all register their queries
+from parchment.plans import documents, reference, searching, shapes, shaping, small, texts  # noqa: F401 - all register their queries
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
