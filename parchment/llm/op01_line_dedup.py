@@ -142,7 +142,7 @@ def repeated_chunks(rows: DataFrame, extend: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(3)), pa.array(size, pa.int32()), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], ["d", "e", "doc", "size", "at", "n", "chunk", "key", "body"])
 
     place = F.struct(F.isnull("doc").alias("none"), "doc", "size", "d", "e", "at")
-    rows = rows.select("d", "e", "doc", "t").mapInArrow(explode, f"d long, e int, doc {kind}, size int, at int, n int, chunk boolean, key binary, body binary")
+    rows = rows.select("d", "e", "doc", "t").mapInArrow(explode, f"d long, e long, doc {kind}, size int, at int, n int, chunk boolean, key binary, body binary")
     rows = cut(rows, "units")  # read twice below
     keys = rows.groupBy("key").agg(F.count("*").alias("times"), F.min(place).alias("first"), F.min("body").alias("lo"), F.max("body").alias("hi"))
     keys = cut(keys.where("times > 1 and lo = hi").select("key", F.col("first.d").alias("first_d"), F.col("first.e").alias("first_e"), F.col("first.at").alias("first_at")), "chunks")

@@ -136,11 +136,13 @@ def fit_ordinal(texts: list[bytes], grades: list[int], most: int = 6_000, least:
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, rows: int, text_bytes: int, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> list[tuple[bytes, int]]:
-    """At most `rows` labelled documents, those with the smallest hash of their id, of at most `text_bytes` bytes each. Rows without id or
-    label are left out; an id with several labels counts as toxic if one says so; of several texts of an id the smallest is used."""
-    few = labels.where(F.col(doc_id).isNotNull() & F.col(toxic).isin(0, 1)).groupBy(F.col(doc_id).alias("k")).agg(F.max(F.col(toxic).cast("int")).alias("y"))
+    """At most `rows` labelled documents of at most `text_bytes` bytes each, those with the smallest hash of their id. Rows without id or
+    label are left out; an id with several labels counts as toxic if one says so; of several texts of an id the smallest is used. Labels without such
+    a document take no place in the sample."""
+    told = labels.where(F.col(doc_id).isNotNull() & F.col(toxic).isin(0, 1)).groupBy(F.col(doc_id).alias("k")).agg(F.max(F.col(toxic).cast("int")).alias("y"))
     short = docs.select(F.col(doc_id).alias("k"), as_bytes(text).alias("t")).where(F.octet_length("t") <= text_bytes)
-    got = short.join(F.broadcast(few.orderBy(F.xxhash64("k"), "k").limit(rows)), "k").groupBy("k", "y").agg(F.min("t").alias("t"))
+    few = told.join(short.select("k"), "k", "left_semi").orderBy(F.xxhash64("k"), "k").limit(rows)
+    got = short.join(F.broadcast(few), "k").groupBy("k", "y").agg(F.min("t").alias("t"))
     return [(bytes(r.t), r.y) for r in sorted(got.collect(), key=lambda r: r.k)]
 
 
@@ -161,7 +163,7 @@ def severity_grades(texts: list[bytes], toxic: list[int]) -> list[int]:
     return [(1 + (r > low) + (r > high)) if y else 0 for r, y in zip(rate, toxic, strict=True)]
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = 4_000, text_bytes: int = 65_536) -> OrdinalModel:
+def train(docs: DataFrame, labels: DataFrame, rows: int = 6_000, text_bytes: int = 65_536) -> OrdinalModel:
     """The model from at most `rows` labelled documents of at most `text_bytes` bytes (documented bounds of the sample it is fitted on:
     the driver holds their texts). Documents of any length are scored whole."""
     got = labelled_texts(docs, labels, rows, text_bytes)

@@ -273,7 +273,7 @@ def duplicate_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(key), batch.column(1).take(key), pa.array(h.view(np.int64)), pa.array(s0.astype(np.int32)), pa.array(s1.astype(np.int32)), pa.array(np.minimum(often, 2).astype(np.int32))], ["d", "e", "h", "s0", "s1", "often"])
                     at = to
 
-    runs = base.where(F.octet_length("t") >= span).select("d", "e", "t").mapInArrow(scan, "d long, e int, h long, s0 int, s1 int, often int")
+    runs = base.where(F.octet_length("t") >= span).select("d", "e", "t").mapInArrow(scan, "d long, e long, h long, s0 int, s1 int, often int")
     again = runs.groupBy("h").agg(F.sum("often").alias("c"), F.sum(F.col("s1") - F.col("s0") + span).alias("bytes")).where("c > 1")
     parts = F.greatest(F.ceil(F.col("c") / hot), F.ceil(F.col("bytes") / (2 * shard_bytes))).cast("int")
     mine = runs.select("d", "e", "h", "s0", "s1").join(again.select("h", parts.alias("parts")), "h")
@@ -297,7 +297,7 @@ def duplicate_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             key = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(key), batch.column(1).take(key), pa.array(h, pa.int64()), pa.array(s0, pa.int32()), pa.array(n, pa.int32()), pa.array(seg, pa.binary())], ["d", "e", "h", "s0", "parts", "seg"])
 
-    pieces = dealt.join(mine, ["d", "e"]).select("d", "e", "t", "runs").mapInArrow(segments, "d long, e int, h long, s0 int, parts int, seg binary")
+    pieces = dealt.join(mine, ["d", "e"]).select("d", "e", "t", "runs").mapInArrow(segments, "d long, e long, h long, s0 int, parts int, seg binary")
     part = F.pmod(F.xxhash64("d", "e", "s0"), F.col("parts")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(part, k).alias("i"), F.greatest(part, k).alias("j")))
     cold = pieces.where("parts = 1").select(F.pmod("h", F.lit(shards)).alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(-1).alias("p"), "d", "e", "h", "s0", "seg")
@@ -316,7 +316,7 @@ def duplicate_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         key = pa.array(row, pa.int64())
         return pa.table({"d": table["d"].take(key), "e": table["e"].take(key), "a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32())})
 
-    return dealt, cold.unionByName(split).groupBy("g", "i", "j").applyInArrow(work, "d long, e int, a int, b int")
+    return dealt, cold.unionByName(split).groupBy("g", "i", "j").applyInArrow(work, "d long, e long, a int, b int")
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = 200, keep_text: bool = False, **options) -> DataFrame:

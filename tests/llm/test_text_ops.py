@@ -521,3 +521,41 @@ def test_ordinal_grades_are_ordered(spark):
     assert len(rows) == len(ODD) and all(r.severity < 0.5 and r.key == "k" for r in rows)
     assert toxicity.expected_severity(odd(spark, []), model).collect() == []
     assert toxicity.fit_ordinal([], []).severity({}) < 0.01
+
+
+def forged_pair():
+    """Two unrelated texts of equal length with the same CRC-32, and the passage that the first begins with."""
+    r = np.random.default_rng(4)
+    passage = "\n".join(f"shared line {k} {k * k % 89}" for k in range(30))
+    other = "".join(r.choice(list("abcdefgh \n"), len(passage)))
+    tails = ["".join(x) for x in r.choice(list("klmnopqr"), (300_000, 9))]
+    first = {zlib.crc32(t.encode(), zlib.crc32(passage.encode() + b"\n")): t for t in tails}
+    tail, same = next((t, first[c]) for t in tails if (c := zlib.crc32(t.encode(), zlib.crc32(other.encode() + b"\n"))) in first)
+    return f"{passage}\n{same}", f"{other}\n{tail}", passage
+
+
+def test_texts_of_one_id_and_checksum_are_told_apart(spark):
+    a, b, passage = forged_pair()
+    assert zlib.crc32(a.encode()) == zlib.crc32(b.encode()) and a != b
+    for doc_id in (1, None):
+        docs = spark.createDataFrame([(doc_id, a), (doc_id, b), (2, passage)], "doc_id long, text string")
+        got = Counter((r.n_bytes, r.n_removed) for r in suffix.remove_repeats(docs).collect())
+        assert got == Counter([(len(a), len(passage)), (len(b), 0), (len(passage), len(passage))])
+        for extend in (False, True):
+            kept = Counter(r.text for r in line.dedup_lines(docs, extend=extend).collect())
+            assert kept[b] == 1 and sum(kept.values()) == 3
+
+
+@pytest.mark.parametrize("blank", [" ", "\n"])
+def test_texts_of_over_a_megabyte(spark, blank):
+    r = np.random.default_rng(6)
+    words = ["".join(x) for x in r.choice(list("abcdefghij"), (150_000, 7))]
+    long = blank.join(words)
+    docs = spark.createDataFrame([(1, long), (2, long), (3, blank.join(words[:5000])), (4, "short")], "doc_id long, text string")
+    assert len(long) > 1_000_000
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix.remove_repeats(docs).collect()}
+    assert got == {1: (len(long), 1), 2: (len(long), 1), 3: (39_999, 1), 4: (0, 0)}
+    kept = {r.doc_id: r.text for r in line.dedup_lines(docs, extend=True).collect()}
+    assert kept[1] == long and kept[4] == "short" and kept[2] == "" and kept[3].strip() == ("" if blank == "\n" else blank.join(words[:5000]))
+    near = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()}
+    assert near == {1: 1, 2: 1, 3: 3, 4: 4}
