@@ -13,9 +13,8 @@ from parchment.llm.shared import Memo
 
 #: A part begins at a space that follows anything but white space.
 PART = re.compile(r"(?<=\S)(?= )")
-#: Where byte-level pre-tokens certainly end within a part: a letter before punctuation, a single line end before a letter.
-FINE = re.compile(r"(?<=[A-Za-z])(?=[.,;:!?)\n-])|(?<=\S\n)(?=[A-Za-z])")
 BATCH = 8_192
+TOGETHER = 512  # parts that are encoded as one text
 
 
 def byte_letters() -> dict[str, int]:
@@ -44,13 +43,14 @@ class TextEncoder:
     A text is cut before spaces where the file allows it: byte-level files that part texts by their own pattern and change nothing,
     and pieces of which none holds a space after another sign, without normalisation. Otherwise whole texts are encoded.
     exact: parts whose tokens do not add up to their bytes have no ids, so that ids that add up to as many bytes as the text are those of its bytes.
-    A worker remembers `most` parts, and starts anew when it has more.
+    A worker remembers `most` parts; when it has more, it forgets the half that came last, as frequent parts come early.
     """
 
-    def __init__(self, path: str, plain: bool = False, exact: bool = False, most: int = 600_000):
-        self.led, self.raw, self.fine = (Memo(None, most) for _ in range(3))
+    def __init__(self, path: str, plain: bool = False, exact: bool = False, most: int = 1_000_000):
+        self.led, self.raw = Memo(None, most), Memo(None, most)
         self.exact = exact
         self.stands: list[bytes] = []
+        self.sizes: np.ndarray | None = None
         self.pieces = path.endswith(".model")
         if self.pieces:
             import sentencepiece
@@ -107,21 +107,33 @@ class TextEncoder:
         return out
 
     def _learn(self, memo: Memo, keys: set[str], lead: str) -> None:
-        """Ids of parts. Pieces get their leading space from the model itself, so a part is encoded without it."""
+        """Ids of parts. Parts that a space leads are encoded many at a time: each begins where a token does, so token lengths tell them apart. Pieces get
+        their leading space from the model itself."""
         keys = list(keys)
+        alone = keys
+        if lead:
+            alone = []
+            for at in range(0, len(keys), TOGETHER):
+                alone += self._learn_together(memo, keys[at : at + TOGETHER])
+        memo.update(zip(alone, self.whole([k if lead else k[1:] for k in alone] if self.pieces else [lead + k for k in alone]), strict=True))
         if self.pieces:
-            memo.update(zip(keys, self.whole(keys if lead else [k[1:] for k in keys]), strict=True))
-            for k in keys:
-                if (lead + k) == " ":
-                    memo[k] = packed([self.space])
-            self._drop_changed(memo, keys, lead)
-            return
-        split = [FINE.split(lead + k) for k in keys]
-        new = list({x for s in split for x in s if x not in self.fine})
-        self.fine.update(zip(new, self.whole(new), strict=True))
-        memo.update(zip(keys, (b"".join(map(self.fine.__getitem__, s)) for s in split), strict=True))
+            memo.update((k, packed([self.space])) for k in alone if lead + k == " ")
         self._drop_changed(memo, keys, lead)
 
+    def _learn_together(self, memo: Memo, keys: list[str]) -> list[str]:
+        """Remember the ids of these words; returns those that must be encoded alone, as lengths of tokens do not add up to those of the words."""
+        if self.sizes is None:
+            self.sizes = self.lengths()
+        text = " ".join(keys)
+        (ids,) = self.whole([text if self.pieces else f" {text}"])
+        ends, want = np.cumsum(self.sizes[np.frombuffer(ids, "<u4")]), np.cumsum([1 + len(k.encode()) for k in keys])
+        at = np.searchsorted(ends, want)
+        if not len(ends) or ends[-1] != want[-1] or (ends[at] != want).any():
+            return keys
+        cuts = (4 * (at + 1)).tolist()
+        memo.update((k, ids[a:b]) for k, a, b in zip(keys, [0, *cuts], cuts))
+        return []
+
     def _drop_changed(self, memo: dict, keys: list, lead: str) -> None:
         """Parts whose tokens are other bytes get no ids."""
         if self.exact:
@@ -139,7 +151,7 @@ class TextEncoder:
             return self._wholes(texts)
         led, raw, get = self.led, self.raw, self.led.get
         out: list = [b""] * len(texts)
-        late, missing, whole = [], set(), []
+        late, slow, missing, heads, whole = [], [], set(), set(), []
         for i, text in enumerate(texts):
             if not text:
                 continue
@@ -147,37 +159,38 @@ class TextEncoder:
                 whole.append(i)
                 continue
             words = text.split(" ")
-            if self.pieces:
-                parts = list(map(get, words))
-                first = words
-            else:
-                parts = [raw.get(words[0]) if words[0] else None, *map(get, words[1:])]
-                first = words[1:]
+            parts = list(map(get, words))
+            if not self.pieces:
+                parts[0] = raw.get(words[0]) if words[0] else None
             if None not in parts:
                 out[i] = b"".join(parts)
                 continue
-            lost = {w for w in first if w not in led}
+            gaps = [k for k, p in enumerate(parts) if p is None]
             # an empty word or one that ends in white space: spaces meet white space, and the quick cut does not hold
-            if any(not w or w[-1].isspace() for w in lost) or (not self.pieces and (not words[0] or words[0][-1].isspace())):
-                late.append((i, PART.split(f" {text}" if self.pieces else text), True))
+            if any(not words[k] or words[k][-1].isspace() for k in gaps):
+                words = PART.split(f" {text}" if self.pieces else text)
+                heads.update(w for w in words if w not in raw)
+                slow.append((i, words))
+                continue
+            if not self.pieces and gaps[0] == 0:
+                heads.add(words[0])
+                missing.update(words[k] for k in gaps[1:])
             else:
-                missing |= lost
-                late.append((i, words, False))
+                missing.update(words[k] for k in gaps)
+            late.append((i, words, parts, gaps))
         self._learn(led, missing, " ")
-        heads = {w for _, words, slow in late for w in (words if slow else () if self.pieces else words[:1]) if w not in raw}
         self._learn(raw, heads, "")
-        for i, words, slow in late:
-            if slow:
-                out[i] = b"".join(map(raw.__getitem__, words))
-            elif self.pieces:
-                out[i] = b"".join(map(led.__getitem__, words))
-            else:
-                out[i] = b"".join((raw[words[0]], *map(led.__getitem__, words[1:])))
+        for i, words, parts, gaps in late:
+            for k in gaps:
+                parts[k] = led[words[k]] if k or self.pieces else raw[words[0]]
+            out[i] = b"".join(parts)
+        for i, words in slow:
+            out[i] = b"".join(map(raw.__getitem__, words))
         if whole:
             for i, x in zip(whole, self._wholes([texts[i] for i in whole]), strict=True):
                 out[i] = x
-        for memo in (led, raw, self.fine):
-            memo.trim()
+        led.trim()
+        raw.trim()
         return out
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,7 +51,8 @@ def row_key(docs: DataFrame, doc_id: str, text: str) -> tuple[Column, Column]:
 
 
 class Memo(dict):
-    """A dict that computes what it lacks. Call trim() between batches: it forgets all beyond `most` entries."""
+    """A dict that computes what it lacks. Call trim() between batches: with more than `most` entries it forgets the half that came last;
+    what is frequent comes early and stays."""
 
     def __init__(self, compute, most: int = 1_000_000):
         super().__init__()
@@ -62,7 +64,8 @@ class Memo(dict):
 
     def trim(self) -> None:
         if len(self) > self.most:
-            self.clear()
+            for key in list(islice(self, self.most // 2, None)):
+                del self[key]
 
 
 def lowest_joined(links: DataFrame, key: str, lowest: DataFrame, total: int, share: int = 256) -> DataFrame:
