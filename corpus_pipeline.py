@@ -14,17 +14,34 @@ from parchment.llm.shared import cut
 ORACLE_SQL = None
 
 
+def _packed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """doc_id, text and a struct `rest` of all other columns, and the columns as they were: what a stage adds can't clash with any."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*others).alias("rest") if others else F.lit(None).alias("rest")), docs.columns
+
+
+def _unpacked(done: DataFrame, columns: list[str], **instead) -> DataFrame:
+    """The columns of before, with some replaced."""
+    return done.select(*((instead[c] if c in instead else F.col(c) if c in ("doc_id", "text") else F.col(f"rest.`{c}`")).alias(c) for c in columns))
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose expected severity is below one half."""
+    """Documents whose expected severity is below one half. Null and empty texts have no features and stay, unless the model rejects a text
+    without any; repeated rows share their fate; without labels, and of no documents, all stay. Extra columns of any name come back as they were."""
     model = op05_toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return op05_toxicity.expected_severity(docs, model, into="_severity").where("not _severity_toxic").select(*docs.columns)
+    rows, columns = _packed(docs)
+    return _unpacked(op05_toxicity.expected_severity(rows, model).where("not severity_toxic"), columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated chunks of lines; n_chars follows. Documents that lose all visible text go."""
-    done = op01_line_dedup.dedup_lines(docs, chunks="_chunks", lines="_lines")
-    done = done.where("_chunks = 0 or trim(text) <> ''").selectExpr("*", "case when _chunks > 0 then cast(char_length(text) as bigint) else n_chars end as _n")
-    return done.selectExpr(*("_n as n_chars" if c == "n_chars" else f"`{c}`" for c in docs.columns))
+    """Texts without repeated chunks of lines and other repeated passages of lines, of which the first place stays; n_chars follows. Documents that
+    lose all visible text go. Null and empty texts stay as they are; rows with null or equal ids are documents each for itself, so of rows
+    equal in id and text one keeps its lines. No documents: none. Extra columns of any name come back as they were."""
+    rows, columns = _packed(docs)
+    done = op01_line_dedup.dedup_lines(rows, extend=True).where(rf"n_lines_removed = 0 or text rlike '[^\\x20\\x09-\\x0D]'")
+    if "n_chars" not in columns:
+        return _unpacked(done, columns)
+    return _unpacked(done, columns, n_chars=F.when(F.col("n_lines_removed") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("rest.n_chars")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,13 +58,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources mixed to their targets: documents repeated, kept, cut to their chosen blocks or left out."""
+    """Sources mixed to their targets: documents repeated, kept, cut to their chosen blocks or left out. A null source is a source; null and empty
+    texts have no words and stay or go without changing any share; repeated rows are documents each for itself; no documents: none. n_chars follows."""
     mixed = op02_mixing.mix(docs)
     return mixed.selectExpr(*("cast(char_length(text) as bigint) as n_chars" if c == "n_chars" else f"`{c}`" for c in docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences of 2048 tokens."""
+    """The pieces of all documents and their places in sequences of 2048 tokens. Null and empty texts are one piece of the end id; repeated rows, also of
+    null or equal ids, are packed each by itself; equal lengths are placed in the same way in every run; no documents: none. Extra columns are dropped."""
     return op04_packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
