@@ -7,6 +7,7 @@ from bisect import bisect_left
 from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 import regex
 
 # What is invisible, white space, punctuation folds, Greek names, pairs of opposite prefixes, words of negation.
@@ -166,6 +167,33 @@ def similarity(a: str, b: str, floor: float = 0.0) -> float:
     return value if value >= floor else 0.0
 
 
+def weighted_distances(a: str, texts: list[str]) -> np.ndarray:
+    """weighted_distance(a, b) of many texts at once: one step of the table is a vector over all of them."""
+    a, folded = scan_fold(a), [scan_fold(t) for t in texts]
+    size = np.fromiter(map(len, folded), np.int64, len(folded))
+    width = int(size.max(initial=0))
+    codes = np.zeros((len(folded), width), np.uint32)
+    codes[np.arange(width) < size[:, None]] = np.frombuffer("".join(folded).encode("utf-32-le", "surrogatepass"), "<u4")
+    row = np.repeat(np.arange(width + 1, dtype=float)[:, None], len(folded), axis=1)
+    for i, x in enumerate(a, 1):
+        near = np.zeros(codes.shape, bool)
+        for same in (s for s in ALIKE if x in s):
+            near |= np.isin(codes, list(map(ord, same)))
+        cost = np.where(codes == ord(x), 0.0, np.where(near, 0.4, 1.0)).T
+        last = row
+        row = np.empty_like(last)
+        row[0] = i
+        for j in range(1, width + 1):
+            row[j] = np.minimum(np.minimum(last[j - 1] + cost[j - 1], last[j] + 1), row[j - 1] + 1)
+    return row[size, np.arange(len(folded))] if a else size.astype(float)
+
+
+def similarities(a: str, texts: list[str]) -> np.ndarray:
+    """similarity(a, b) of many texts at once."""
+    longest = np.maximum(np.fromiter(map(len, texts), np.int64, len(texts)), max(len(a), 1))
+    return np.maximum(0.0, 1 - weighted_distances(a, texts) / longest)
+
+
 def opposite(a: str, b: str) -> bool:
     return any((a.startswith(x) and b.startswith(y)) or (a.startswith(y) and b.startswith(x)) for x, y in OPPOSITES)
 

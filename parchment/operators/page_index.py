@@ -125,7 +125,7 @@ def with_maps(pages: DataFrame, text: str) -> DataFrame:
     return done.select(*(F.col(f"own.`{c}`").alias(c) for c in own), *added)
 
 
-def _through(segments: pa.Array, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def through(segments: pa.Array, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ranges of documents through the segments of each: start, end, and whether the document has a segment at all. The first and the last sign are looked
     up; a place in a gap takes the segment behind it, one beyond all the last."""
     counts = np.diff(segments.offsets.to_numpy())
@@ -162,7 +162,7 @@ def mapped(pages: DataFrame, ranges: str, maps: Sequence[str], into: str) -> Dat
             start, end = (c.fill_null(0).to_numpy().astype(np.int64) for c in flat.flatten())
             good = start < end
             for i in range(len(maps)):
-                start, end, known = _through(batch.column(2 + i), doc, start, np.maximum(end, start + 1))
+                start, end, known = through(batch.column(2 + i), doc, start, np.maximum(end, start + 1))
                 good &= known
             pairs = pa.StructArray.from_arrays([pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["start", "end"], mask=pa.array(~good))
             offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parchment.operators import page_index as P
+from parchment.operators import search
 from parchment.plans.inline import Rows
 from parchment.plans.reference import WIDE, query
 from parchment.plans.texts import ALL_TEXTS, texts
@@ -12,12 +13,19 @@ from parchment.plans.texts import ALL_TEXTS, texts
 c = F.col
 
 #: Compatibility forms, hyphens at line breaks, invisible signs beside blanks.
-FORMS = Rows("doc_id long, text string", [(-101, "H²O ½ cup ①\n㎏ ¨ ǆ eﬃcient"), (-102, "wide Ａ１　end…"), (-103, "cardio- \n vascular well-\r\n-known IL-\n6 COVID-\nX a-\nb"), (-104, "a ​\n b­-\nc ﻿"), (-105, "-\na--\nb"), (-106, "😀 smile 😀- \n x"), (-107, "\n\n\nx\n\n")])
+FORMS = Rows("doc_id long, text string", [(-101, "H²O ½ cup ①\n㎏ ¨ ǆ eﬃcient"), (-102, "wide Ａ１　end…"), (-103, "cardio- \n vascular well-\r\n-known IL-\n6 COVID-\nX a-\nb"), (-104, "a ​\n b­-\nc ﻿"), (-105, "-\na--\nb"), (-106, "😀 smile 😀- \n x"), (-107, "\n\n\nx\n\n"),
+                                                 (-108, "x OF\u00a0the y Of \n The"), (-109, "o f t h e and oft he"), (-110, "of-the of -the"), (-111, "of • the, o; f. the of\u200b the"), (-112, "OF—THE o-f-t-h-e")])
 ALL_FORMS = f"(SELECT * FROM {ALL_TEXTS} UNION ALL SELECT * FROM {FORMS.sql})"
 
 #: Signs of the odd texts and their folded forms, written out for SQL.
 _FOLDS = ", ".join(f"('{a}', '{b}')" for a, b in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("…", "..."), ("‘", "''"), ("’", "''"), ("“", '"'), ("”", '"'), ("—", "-"), ("–", "-"), ("²", "2"), ("½", "1⁄2"), ("①", "1"), ("㎏", "kg"), ("¨", " ̈"), ("ǆ", "dž"), ("Ａ", "A"), ("１", "1")))
 
+
+def _key(form: str, place: str) -> str:
+    """SQL of one number for a form of a text and a place in it, so that joins on two places do not meet on the text alone."""
+    return f"((doc_id * 2 + ({form} = 'normal')::INT)::HUGEINT * 1000000000 + {place})"
+
+
 #: The signs of each text in order: sign, original place, runs of blanks put together, folded form; then normalized signs n and compact ones z.
 SIGNS = f"""t AS (SELECT doc_id, text, regexp_extract_all(text, '(?s).') AS l FROM {ALL_FORMS}), s AS (SELECT doc_id, unnest(l) AS ch, generate_subscripts(l, 1) - 1 AS i FROM t),
 k AS (SELECT *, regexp_matches(ch, '[\\x{{200B}}\\x{{200C}}\\x{{200D}}\\x{{FEFF}}\\x{{00AD}}]') AS inv, regexp_matches(ch, '{WIDE}') AND ch <> chr(65279) AS sp FROM s),
@@ -30,9 +38,9 @@ y AS (SELECT *, ch = '-' AND coalesce(lead(ch) OVER w = ' ' AND lead(brk) OVER w
 z AS (SELECT doc_id, p AS np, row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS p FROM y WHERE ch <> ' ' AND NOT soft)"""
 
 
-@query(f"""WITH {SIGNS}, m AS (SELECT 'normal' AS form, doc_id, p, os, oe FROM n UNION ALL SELECT 'compact', z.doc_id, z.p, os, oe FROM z JOIN n ON n.doc_id = z.doc_id AND n.p = z.np),
+@query(f"""WITH {SIGNS}, m AS (SELECT *, {_key('form', 'p')} AS place FROM (SELECT 'normal' AS form, doc_id, p, os, oe FROM n UNION ALL SELECT 'compact', z.doc_id, z.p, os, oe FROM z JOIN n ON n.doc_id = z.doc_id AND n.p = z.np)),
 h AS (SELECT form, doc_id, max(p) + 1 AS size FROM m GROUP BY ALL), r AS (SELECT form, doc_id, unnest(range(0, size, 53)) AS a, size FROM h),
-b AS (SELECT form, doc_id, a, least(size, a + 1 + a * 7 % 61) AS b FROM r), o AS (SELECT b.*, x.os, y.oe FROM b JOIN m x ON x.form = b.form AND x.doc_id = b.doc_id AND x.p = a JOIN m y ON y.form = b.form AND y.doc_id = b.doc_id AND y.p = b - 1),
+b AS (SELECT form, doc_id, a, least(size, a + 1 + a * 7 % 61) AS b FROM r), bk AS (SELECT *, {_key('form', 'a')} AS ka, {_key('form', 'b - 1')} AS kb FROM b), o AS (SELECT bk.*, x.os, y.oe FROM bk JOIN m x ON x.place = ka JOIN m y ON y.place = kb),
 li AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM t),
 lo AS (SELECT doc_id, n - 1 AS item, length(line) AS wide, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n) - length(line) - 1 AS start FROM li)
 SELECT o.form, o.doc_id, a AS start_at, b AS end_at, os AS from_at, oe AS to_at, count(item)::INT AS n_items, min(item)::INT AS first_item, max(item)::INT AS last_item, arg_min(greatest(os, start) - start, item)::INT AS first_from, arg_max(least(oe, start + wide) - start, item)::INT AS last_to
@@ -50,3 +58,48 @@ def page_ranges(spark, sf_dir):
         out = rows if out is None else out.unionByName(rows)
     first, last = F.get("i", F.lit(0)), F.try_element_at("i", F.lit(-1))
     return out.select("form", "doc_id", c("given.start").alias("start_at"), c("given.end").alias("end_at"), c("found.start").alias("from_at"), c("found.end").alias("to_at"), F.size("i").alias("n_items"), first["item"].alias("first_item"), last["item"].alias("last_item"), first["local_start"].alias("first_from"), last["local_end"].alias("last_to"))
+
+
+def _places(stage: int, text: str, needle: str, form: str) -> str:
+    """SQL of the places of a text that do not overlap, by what stands between them."""
+    return f"""SELECT doc_id, {stage} AS stage, '{form}' AS form, spot + (n - 1) * {len(needle)} AS a, spot + n * {len(needle)} AS b FROM (SELECT doc_id, n, last, sum(length(part)) OVER (PARTITION BY doc_id ORDER BY n) AS spot
+ FROM (SELECT doc_id, unnest(l) AS part, generate_subscripts(l, 1) AS n, len(l) AS last FROM (SELECT doc_id, string_split({text}, '{needle}') AS l FROM x))) WHERE n < last"""
+
+
+_LEADS = " UNION ALL ".join(f"SELECT doc_id, a, (lead(b, {k}) OVER w) AS b, {' || '.join(['w', *(f'lead(w, {i}) OVER w' for i in range(1, k + 1))])} AS joined FROM tk WINDOW w AS (PARTITION BY doc_id ORDER BY a)" for k in range(5))
+
+#: Hits h of 'of the' in each text by the first stage that has any: stage, original places os to oe.
+HITS = f"""{SIGNS}, zc AS (SELECT z.*, n.ch FROM z JOIN n ON n.doc_id = z.doc_id AND n.p = z.np), al AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS q FROM zc WHERE ch <> '-'),
+x AS (SELECT * FROM (SELECT doc_id, string_agg(ch, '' ORDER BY p) AS normal FROM n GROUP BY doc_id) LEFT JOIN (SELECT doc_id, string_agg(lower(ch), '' ORDER BY p) AS compact FROM zc GROUP BY doc_id) USING (doc_id) LEFT JOIN (SELECT doc_id, string_agg(lower(ch), '' ORDER BY p) AS alias FROM al GROUP BY doc_id) USING (doc_id)),
+wc AS (SELECT *, regexp_matches(ch, '[\\p{{L}}\\p{{N}}]') AS core, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS island FROM n WHERE regexp_matches(ch, '[\\p{{L}}\\p{{N}}''-]')), wf AS (SELECT *, bool_or(core) OVER (PARTITION BY doc_id, island ORDER BY p) AS begun FROM wc),
+tk AS (SELECT doc_id, min(p) AS a, max(p) + 1 AS b, lower(string_agg(ch, '' ORDER BY p)) AS w FROM wf WHERE begun GROUP BY doc_id, island),
+al_hits AS ({_places(4, 'alias', 'ofthe', 'compact')}),
+every AS ({_places(1, 'normal', 'of the', 'normal')} UNION ALL {_places(2, 'lower(normal)', 'of the', 'normal')} UNION ALL {_places(3, 'compact', 'ofthe', 'compact')} UNION ALL SELECT h.doc_id, 4, 'compact', i.p, j.p + 1 FROM (SELECT *, {_key("'x'", 'a')} AS ka, {_key("'x'", 'b - 1')} AS kb FROM al_hits) h JOIN (SELECT p, {_key("'x'", 'q')} AS place FROM al) i ON i.place = ka JOIN (SELECT p, {_key("'x'", 'q')} AS place FROM al) j ON j.place = kb
+ UNION ALL SELECT doc_id, 5, 'normal', a, b FROM ({_LEADS}) WHERE joined = 'ofthe'), best AS (SELECT *, min(stage) OVER (PARTITION BY doc_id) AS least FROM every),
+m AS (SELECT *, {_key('form', 'p')} AS place FROM (SELECT 'normal' AS form, doc_id, p, os, oe FROM n UNION ALL SELECT 'compact', z.doc_id, z.p, os, oe FROM z JOIN n ON n.doc_id = z.doc_id AND n.p = z.np)),
+bk AS (SELECT *, {_key('form', 'a')} AS ka, {_key('form', 'b - 1')} AS kb FROM best WHERE stage = least), h AS (SELECT bk.doc_id, stage, u.os, v.oe FROM bk JOIN m u ON u.place = ka JOIN m v ON v.place = kb)"""
+_STAGE = "CASE stage WHEN 1 THEN 'exact' WHEN 2 THEN 'case_insensitive' WHEN 3 THEN 'compact' WHEN 4 THEN 'alias' ELSE 'token' END"
+_SURE = "CASE stage WHEN 1 THEN 1.0 WHEN 2 THEN 0.97 WHEN 3 THEN 0.93 WHEN 4 THEN 0.9 ELSE 0.85 END::DOUBLE"
+
+
+def _pages(spark, sf_dir):
+    return texts(spark, sf_dir).unionByName(FORMS.frame(spark))
+
+
+@query(f"""WITH {HITS}, li AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM t), lo AS (SELECT doc_id, k - 1 AS item, length(line) AS wide, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(line) - 1 AS start FROM li)
+SELECT h.doc_id, {_STAGE} AS stage, {_SURE} AS confidence, os AS start_at, oe AS end_at, count(item)::INT AS n_items, min(item)::INT AS first_item, arg_min(greatest(os, start) - start, item)::INT AS first_from, arg_max(least(oe, start + wide) - start, item)::INT AS last_to
+ FROM h LEFT JOIN lo ON lo.doc_id = h.doc_id AND wide > 0 AND os < start + wide AND oe > start GROUP BY ALL""", session=True)
+def search_stages(spark, sf_dir):
+    """Every page searched, from exact to word by word, with the lines that each hit touches."""
+    pages = _pages(spark, sf_dir)
+    hits = search.search_pages(pages, "doc_id", "text", "of the", fuzzy=False)
+    d = search.hits_with_items(hits, pages.withColumn("lines", P.line_items(c("text"))), "doc_id", "lines")
+    first, last = F.get("items", F.lit(0)), F.try_element_at("items", F.lit(-1))
+    return d.select("doc_id", "stage", "confidence", c("start").alias("start_at"), c("end").alias("end_at"), F.size("items").alias("n_items"), first["item"].alias("first_item"), first["local_start"].alias("first_from"), last["local_end"].alias("last_to"))
+
+
+@query(f"""WITH {HITS}, b AS (SELECT doc_id, coalesce(sum(count(*)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM h GROUP BY doc_id)
+SELECT h.doc_id, {_STAGE} AS stage, os AS start_at, oe AS end_at FROM h JOIN b USING (doc_id) WHERE before < 50 ORDER BY {_SURE} DESC, h.doc_id, os LIMIT 50""", session=True)
+def search_topk(spark, sf_dir):
+    """The first fifty hits of a reader who goes page by page; later pages are not searched."""
+    return search.first_hits(_pages(spark, sf_dir), "doc_id", "text", "of the", 50, fuzzy=False).select("doc_id", "stage", c("start").alias("start_at"), c("end").alias("end_at"))

@@ -249,16 +249,6 @@ def numeric_keys(spark, sf_dir):
     return _KEYS.frame(spark).select("key", F.row_number().over(w).alias("place"), F.first("key").over(w).alias("first"))
 
 
-@query("""WITH p AS (SELECT doc_id, regexp_replace(text, '\\s+', ' ', 'g') AS s FROM documents WHERE text <> ''), h AS (SELECT doc_id, CASE WHEN contains(s, 'of the') THEN 1.0 WHEN contains(lower(s), 'of the') THEN 0.97 WHEN contains(lower(replace(s, ' ', '')), 'ofthe') THEN 0.93 END AS confidence,
- CASE WHEN contains(s, 'of the') THEN (length(s) - length(replace(s, 'of the', ''))) // 6 WHEN contains(lower(s), 'of the') THEN (length(s) - length(replace(lower(s), 'of the', ''))) // 6 WHEN contains(lower(replace(s, ' ', '')), 'ofthe') THEN (length(replace(s, ' ', '')) - length(replace(lower(replace(s, ' ', '')), 'ofthe', ''))) // 5 ELSE 0 END AS n FROM p),
-e AS (SELECT doc_id, confidence, unnest(range(n)) AS i FROM h WHERE n > 0), b AS (SELECT doc_id, coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM h)
-SELECT doc_id, confidence::DOUBLE AS confidence, count(*) AS n FROM (SELECT e.doc_id, e.confidence FROM e JOIN b USING (doc_id) WHERE before < 50 ORDER BY confidence DESC, e.doc_id, i LIMIT 50) GROUP BY ALL""")
-def search_topk(t):
-    hits = search.search_pages(t("documents"), "doc_id", "text", "of the", fuzzy=False)
-    first = places.first_enough(hits.where("stage <> 'token' and stage <> 'alias'"), "doc_id", 50, [F.desc("confidence"), c("doc_id"), c("start")])
-    return first.groupBy("doc_id", "confidence").agg(F.count("*").alias("n"))
-
-
 @query("""WITH d AS (SELECT * FROM (VALUES ('AFRICA'), ('AMERICA'), ('EUROPE'), ('OCEANIA')) v(domain)), s AS (SELECT r_name AS domain, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name)
 SELECT domain, coalesce(n, 0) AS n, TRUE AS known FROM d LEFT JOIN s USING (domain) UNION ALL SELECT domain, n, FALSE FROM s WHERE domain NOT IN (SELECT domain FROM d)""", session=True)
 def domain_tabs(spark, sf_dir):

@@ -1,7 +1,12 @@
+import random
+
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from parchment.functions import matching as M
 from parchment.operators import correction as C
+from parchment.operators import page_index as P
 from parchment.operators import search as S
 
 
@@ -82,3 +87,60 @@ def test_a_large_vocabulary_is_joined_to_the_same_results(spark):
     small = sorted(map(tuple, C.correct_texts(rows, "id", "t", words).collect()))
     assert sorted(map(tuple, C.correct_texts(rows, "id", "t", words, most=3).collect())) == small
     assert len(small) == len(texts) and any(r[6] for r in small)
+
+
+def brute_fuzzy(text, q, floor):
+    page = M.Folded(text)
+    words, found = page.tokens(), []
+    for size in S.window_sizes(len(q.words)):
+        for i in range(len(words) - size + 1):
+            window = [w for w, _, _ in words[i : i + size]]
+            joined = "".join(window)
+            if abs(len(joined) - len(q.compact)) <= max(4, len(q.compact) * 0.5) and not M.opposite(q.compact, joined) and not M.negation_differs(q.words, window):
+                sure = max(0.0, 1 - M.weighted_distance(q.compact, joined) / max(len(joined), len(q.compact), 1))
+                if sure >= floor:
+                    found.append(("fuzzy", sure, words[i][1], words[i + size - 1][2]))
+    return found
+
+
+@pytest.mark.parametrize("query", ["burnt clover", "vvvow", "no pain", "hypotension", "l0cal", "a", "modern clinic"])
+def test_fuzzy_windows_equal_brute_force(query):
+    r = random.Random(query)
+    bits = ["burn", "bum", "t", "clover", "dover", "vv", "v", "w", "wow", "no", "pain", "pains", "hypo", "hyper", "tension", "local", "10cal", "lo", "cal", "a", "rn", "r", "n", "c", "l", "d", "modern", "modem", "clinic", "dinic", "'s", "-", "x2"]
+    pages = [" ".join(r.choice(bits) + r.choice(["", "", r.choice(bits)]) for _ in range(r.randint(0, 30))) for _ in range(150)]
+    q = S.Query(query)
+    got = S.fuzzy_hits([S.tokens_of(M.Folded(p).text) for p in pages], q, 0.75)
+    assert [[(h[0], h[1], h[3], h[4]) for h in page] for page in got] == [brute_fuzzy(p, q, 0.75) for p in pages]
+    assert sum(map(len, got)) >= 2
+
+
+def test_index_equals_one_sign_at_a_time():
+    r = random.Random(4)
+    signs = ["a", "B", " ", "  ", "\n", "-\n", "-", "​", "ﬃ", "²", "½", "¨", " ", "­", "…", "“", "x", "é", "İ", "😀", "﻿", "　", "\r\n", "ǆ"]
+    texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 25))) for _ in range(800)]
+    normal, compact, to_original, to_normal = P.indexed(texts)
+    for form, maps in ((normal, (to_original,)), (compact, (to_normal, to_original))):
+        some = [(i, a, r.randint(a + 1, len(t))) for i, t in enumerate(form.to_pylist()) if t for a in (r.randrange(len(t)),)]
+        doc, start, end = map(np.array, zip(*some))
+        for m in maps:
+            start, end, known = P.through(m, doc, start, end)
+            assert known.all()
+        for (i, a, b), x, y in zip(some, start.tolist(), end.tolist()):
+            page = M.Folded(texts[i])
+            assert (form[i].as_py(), (x, y)) == ((page.text, page.span(a, b)) if form is normal else (page.compact, page.compact_span(a, b)))
+
+
+def test_pages_are_read_in_waves(spark):
+    pages = spark.createDataFrame([(i if i else None, "the heart" if i % 3 == 0 else "no", "x") for i in range(400)], "id long, body string, _n string")
+    got = S.first_hits(pages, "id", "body", "heart", 5, wave=4)
+    assert [r.id for r in got.collect()] == [3, 6, 9, 12, 15]
+    assert S.first_hits(pages, "id", "body", "heart", 500, wave=4).count() == 134
+    assert S.first_hits(pages, "id", "body", "nothing", 5).count() == 0 and S.first_hits(pages.limit(0), "id", "body", "heart", 5).count() == 0
+
+
+def test_hits_know_their_items(spark):
+    page = [(1, "first heart\n\nhe\nart and heart")]
+    pages = spark.createDataFrame(page, "id long, body string").withColumn("lines", P.line_items(F.col("body")))
+    hits = S.search_pages(pages, "id", "body", "heart", always_fuzzy=False).unionByName(S.search_pages(pages, "id", "body", "he art"))
+    got = sorted((r.stage, r.start, r.end, [tuple(x) for x in r.items]) for r in S.hits_with_items(hits, pages, "id", "lines").collect())
+    assert got == [("exact", 6, 11, [(0, 6, 11, 11)]), ("exact", 13, 19, [(2, 0, 2, 2), (3, 0, 3, 13)]), ("exact", 24, 29, [(3, 8, 13, 13)])]
