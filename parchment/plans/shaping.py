@@ -11,7 +11,7 @@ from parchment.operators import places, search, trees
 from parchment.operators import relational as R
 from parchment.plans.inline import Rows
 from parchment.plans.reference import query
-from parchment.sources import tables
+from parchment.sources import tables, versions
 from parchment.sources.scratch import new_path
 from parchment.streaming import events
 
@@ -295,12 +295,29 @@ def entity_log(spark, sf_dir):
     """A log that is appended to, then corrected and thinned by id."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     path = new_path(spark, "log")
-    tables.append(e, path)
-    tables.append(e.where("user_id = 1").withColumn("event_id", c("event_id") + 1_000_000), path, {"event_type": F.lit("added")})
-    log = spark.read.parquet(path)
+    versions.commit(e, path)
+    for _ in range(2):  # the second time is a try again
+        versions.commit(e.where("user_id = 1").withColumns({"event_id": c("event_id") + 1_000_000, "event_type": F.lit("added")}), path, tag="added")
+    log = versions.current(spark, path)
     changes = log.select("event_id", F.when(c("event_id") % 10 == 0, "fixed").alias("event_type"), (c("event_id") % 15 == 7).alias("gone")).where("event_type is not null or gone")
-    tables.replace_table(tables.corrected(log, changes, "event_id", "gone"), path)
-    return spark.read.parquet(path).select("event_id", "event_type", "value")
+    versions.commit(tables.corrected(log, changes, "event_id", "gone"), path, replace=True)
+    return versions.current(spark, path).select("event_id", "event_type", "value")
+
+
+@query("""WITH d AS (SELECT user_id, max(event_id) AS page, max_by(event_type, event_id) AS body FROM events GROUP BY user_id), a AS (SELECT *, user_id % 6 AS way FROM d)
+SELECT user_id, CASE WHEN way IN (2, 4) THEN 'saved' ELSE 'draft' END AS state, CASE WHEN way = 4 THEN body WHEN way = 5 THEN body || ' twice' ELSE body || ' again' END AS body FROM a WHERE way <> 3""", session=True)
+def page_structures(spark, sf_dir):
+    """Drafts of pages saved, drafted again, saved, discarded or deleted, each step a version of one table. Way 0 and 1 are drafts over what is saved, 2 is saved again, 3 deleted, 4 discarded, 5 drafted twice."""
+    path, key, schema = new_path(spark, "structures"), ["user_id"], "user_id long, state string, body string"
+    first = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("body"))
+    again = first.withColumn("body", F.concat("body", F.lit(" again")))
+    of = lambda way: first.where(c("user_id") % 6 == way)
+    steps = [lambda t: versions.drafted(t, first, key), lambda t: versions.saved(t, first, key), lambda t: versions.drafted(t, again, key), lambda t: versions.saved(t, of(2), key), lambda t: versions.deleted(t, of(3), key),
+             lambda t: versions.discarded(t, of(4), key), lambda t: versions.drafted(t, of(5).withColumn("body", F.concat("body", F.lit(" twice"))), key)]
+    for n, step in enumerate(steps):
+        for _ in range(1 + n % 2):  # some are tried again
+            versions.changed(spark, path, step, schema, tag=str(n))
+    return versions.shown(versions.current(spark, path), key).select("user_id", "state", "body")
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49) AND p_brand = (SELECT min(p_brand) FROM part)", session=True)

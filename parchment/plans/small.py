@@ -12,7 +12,7 @@ from parchment.operators import relational as R
 from parchment.plans.inline import Rows
 from parchment.plans.reference import SPOKEN, WIDE, WORDS, query
 from parchment.plans.texts import ALL_TEXTS, texts, trim_sql
-from parchment.sources import tables
+from parchment.sources import tables, versions
 from parchment.sources.scratch import new_path
 from parchment.streaming import events
 
@@ -173,9 +173,9 @@ def landed_snapshots(spark, sf_dir):
 def moved_history(spark, sf_dir):
     """Rows moved to a table once, however often the move is asked for."""
     s, path = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), new_path(spark, "history")
-    tables.append(s.where("s_suppkey % 3 = 0"), path)
+    versions.commit(s.where("s_suppkey % 3 = 0"), path)
     for _ in range(2):
-        out = tables.migrated(s, path, "s_suppkey", f"{path}-moved")
+        out = tables.migrated(s, path, "s_suppkey")
     return out
 
 
@@ -186,7 +186,7 @@ def autosaves(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", "event_id")
     e.write.parquet(source)
     tables.autosaved(spark.readStream.schema(e.schema).parquet(source), path, f"{path}-log", "user_id", "event_id").awaitTermination()
-    return spark.read.parquet(path).groupBy("user_id").agg(F.max("event_id").alias("event_id"))
+    return versions.current(spark, path).groupBy("user_id").agg(F.max("event_id").alias("event_id"))
 
 
 @query("SELECT l_orderkey, count(*) AS n, sum(l_quantity)::BIGINT AS total FROM lineitem GROUP BY l_orderkey", session=True)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from parchment.sources.scratch import new_path
+from parchment.sources import versions
 
 
 def append(rows: DataFrame, path: str, into: Mapping[str, Column] | None = None) -> None:
@@ -24,14 +24,6 @@ def corrected(log: DataFrame, changes: DataFrame, key: str, deleted: str | None
     return both.where("not coalesce(_gone, false)").select(*(F.coalesce(f"_new_{c}", c).alias(c) if c in columns else F.col(c) for c in log.columns))
 
 
-def replace_table(rows: DataFrame, path: str) -> None:
-    """Writes rows over a table that they may be made from: written beside it first, then moved by a second write."""
-    spark = rows.sparkSession
-    beside = new_path(spark, "replace")
-    rows.write.parquet(beside)
-    spark.read.parquet(beside).write.mode("overwrite").parquet(path)
-
-
 def where_equal(table: DataFrame, filters: Mapping[str, object], limit: int | None = None, order: Sequence[Column] = ()) -> DataFrame:
     """Rows that equal all filters; a filter without a value passes all. The conditions reach the scan. limit: the first in `order`."""
     for name, value in filters.items():
@@ -89,24 +81,20 @@ def cached_or(cache: DataFrame, source: DataFrame, key: Sequence[str], value: st
     return c.join(s, list(key), "full").select(*key, F.coalesce("_c", "_s").alias(value))
 
 
-def migrated(rows: DataFrame, path: str, key: str, marker: str) -> DataFrame:
-    """The table at `path` after a one-time move of rows into it: those whose key it has not are appended, and a marker beside it ends the move for good. A
-    run that was cut off moves the rest next time."""
+def migrated(rows: DataFrame, path: str, key: str) -> DataFrame:
+    """The versioned table at `path` after a one-time move of rows into it: those whose key it has not. The move is one write under a tag, so however often it is asked for, or
+    cut off, it is done once and as a whole."""
     spark = rows.sparkSession
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(marker)
-    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(at):
-        append(rows.join(spark.read.parquet(path).select(key), key, "left_anti"), path)
-        files.create(at).close()
-    return spark.read.parquet(path)
+    versions.commit(rows.join(versions.current(spark, path).select(key), key, "left_anti"), path, tag="moved")
+    return versions.current(spark, path)
 
 
 def autosaved(stream: DataFrame, path: str, log: str, key: str, order: str, trigger: dict | None = None):
-    """A stream of states saved as it comes: of each micro-batch the last state of each key is appended. trigger: processingTime="1500 milliseconds" for a
-    running query; all that is there by default."""
+    """A stream of states saved as it comes to a versioned table: of each micro-batch the last state of each key is added under the number of the batch, so that a batch that is run
+    again after a failure is not saved twice. trigger: processingTime="1500 milliseconds" for a running query; all that is there by default."""
 
-    def save(batch: DataFrame, _number: int) -> None:
+    def save(batch: DataFrame, number: int) -> None:
         last = batch.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("_n = 1").drop("_n")
-        append(last, path)
+        versions.commit(last, path, tag=f"{log} {number}")
 
     return stream.writeStream.foreachBatch(save).option("checkpointLocation", log).trigger(**(trigger or {"availableNow": True})).start()
