@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from parchment.operators.trees import last_by_id
+from parchment.sources.scratch import staged
 
 #: The least tolerance between items of one line, and its share of the mean height.
 LEAST_TOLERANCE, SHARE = 4.0, 0.6
@@ -48,23 +48,23 @@ def reading_order(elements: DataFrame, page: Sequence[str]) -> DataFrame:
 def list_tree(elements: DataFrame) -> DataFrame:
     """Elements (id, kind, child_ids) to the items of their nested lists: root (outermost list), item_id, place array<int> (from 0, one
     number per level), depth. A list's items are its children of kind list_item; an item's own list is its first child of kind
-    list. Of elements with one id the last by `ord` counts, if they have it. Unknown children do not count; a cycle ends where it would meet a list again."""
-    named = last_by_id(elements, "id", "ord") if "ord" in elements.columns else elements.dropDuplicates(["id"])
+    list. Of elements with one id the last by `ord` counts, if they have it. Unknown children do not count; a way that would meet a list again is none. Ways
+    upward double in each round, so a thousand nested lists take ten."""
+    named = staged(last_by_id(elements, "id", "ord") if "ord" in elements.columns else elements.dropDuplicates(["id"]))
     children = named.select("id", "kind", F.posexplode("child_ids").alias("at", "child"))
-    kinds = named.select(F.col("id").alias("child"), F.col("kind").alias("child_kind"))
-    links = children.join(kinds, "child")
-    items, nested = f"_items_{uuid.uuid4().hex}", f"_nested_{uuid.uuid4().hex}"
-    own = links.where("kind = 'list' and child_kind = 'list_item'")
+    links = children.join(named.select(F.col("id").alias("child"), F.col("kind").alias("child_kind")), "child")
     at = F.row_number().over(Window.partitionBy("id").orderBy("at")) - 1
-    own.select(F.col("id").alias("list_id"), F.col("child").alias("item_id"), at.alias("at")).createOrReplaceTempView(items)
-    links.where("kind = 'list_item' and child_kind = 'list'").groupBy(F.col("id").alias("item_id")).agg(F.min_by("child", "at").alias("list_id")).createOrReplaceTempView(nested)
-    return elements.sparkSession.sql(f"""
-        WITH RECURSIVE tree(root, item_id, place, met) AS (
-            SELECT list_id, item_id, array(at), array(list_id) FROM {items} i WHERE NOT EXISTS (SELECT 1 FROM {nested} n WHERE n.list_id = i.list_id)
-            UNION ALL
-            SELECT t.root, i.item_id, t.place || array(i.at), t.met || array(n.list_id)
-            FROM tree t JOIN {nested} n ON n.item_id = t.item_id JOIN {items} i ON i.list_id = n.list_id WHERE NOT array_contains(t.met, n.list_id))
-        SELECT root, item_id, place, size(place) AS depth FROM tree""")
+    own = links.where("kind = 'list' and child_kind = 'list_item'").select(F.col("id").alias("list_id"), F.col("child").alias("item_id"), at.alias("at"))
+    nested = links.where("kind = 'list_item' and child_kind = 'list'").groupBy(F.col("id").alias("item_id")).agg(F.min_by("child", "at").alias("list_id"))
+    # each item with the way up as far as known: the item above (`up`, null at the outermost list), the list the way begins in, places and lists on the way
+    ways = own.join(nested.select("list_id", F.col("item_id").alias("up")), "list_id", "left")
+    ways = staged(ways.select("item_id", "up", F.col("list_id").alias("root"), F.array("at").alias("place"), F.array("list_id").alias("met")), "ways")
+    while not ways.where("up is not null").isEmpty():
+        above = ways.select(F.col("item_id").alias("up"), F.col("up").alias("_up"), F.col("root").alias("_root"), F.col("place").alias("_place"), F.col("met").alias("_met"))
+        longer = ways.where("up is not null").join(above, "up").where(~F.arrays_overlap("met", "_met"))
+        longer = longer.select("item_id", F.col("_up").alias("up"), F.col("_root").alias("root"), F.concat("_place", "place").alias("place"), F.concat("_met", "met").alias("met"))
+        ways = staged(ways.where("up is null").unionByName(longer), "ways", instead_of=ways)
+    return ways.select("root", "item_id", "place", F.size("place").alias("depth"))
 
 
 def entity_series(log: DataFrame) -> DataFrame:

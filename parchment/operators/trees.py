@@ -39,29 +39,47 @@ def forest(elements: DataFrame, id: str = "id", child_ids: str = "child_ids", pa
 
 
 def ancestors(edges: DataFrame, child: str, parent: str) -> DataFrame:
-    """Transitive closure (node, ancestor, depth) by doubling: the ways of up to 2 n steps are those of up to n and any two of them in a row, so a
-    chain of a million takes twenty rounds. Of several ways the shortest counts; a cycle ends where nothing new is found."""
+    """Transitive closure (node, ancestor, depth) by doubling: the ways of up to 2 n steps are those of up to n and any two of them in a row. It holds every pair, half the square of a
+    chain's length, so it is for those who ask for all pairs; what lies above some nodes is marked by reached(). Of several ways the shortest counts; a cycle ends where nothing
+    new is found."""
     known = edges.where(F.col(parent).isNotNull()).groupBy(F.col(child).alias("node"), F.col(parent).alias("ancestor")).agg(F.lit(1).alias("depth"))
     known, before = staged(known), -1
     total = known.count()
     while total != before:
         far = known.join(known.select(F.col("node").alias("_mid"), F.col("ancestor").alias("_far"), F.col("depth").alias("_d")), F.col("ancestor") == F.col("_mid"))
         more = far.select("node", F.col("_far").alias("ancestor"), (F.col("depth") + F.col("_d")).alias("depth"))
-        known = staged(known.unionByName(more).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")))
+        known = staged(known.unionByName(more).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")), instead_of=known)
         before, total = total, known.count()
     return known
 
 
+def reached(seeds: DataFrame, edges: DataFrame, start: str, end: str) -> DataFrame:
+    """The nodes (node) that some seed (node) reaches along edges, seeds included. Round k marks what lies 2 ** k steps from what is marked and then makes steps twice as long, so a way of a
+    million steps takes twenty rounds; where a node has one edge, steps are at most one row per node in each round. A round that marks nothing new ends it: what it would
+    reach next lies a step from what is marked. Nulls are no nodes; cycles do no harm. Each round is written; the one before is deleted."""
+    steps = edges.select(F.col(start).alias("node"), F.col(end).alias("to")).where("node is not null and to is not null and node <> to").distinct()
+    steps, marked = staged(steps, "steps"), staged(seeds.select("node").where("node is not null").distinct(), "marked")
+    total, before = marked.count(), -1
+    while total != before:
+        more = marked.join(steps, "node").select(F.col("to").alias("node"))
+        marked = staged(marked.unionByName(more).distinct(), "marked", instead_of=marked)
+        before, total = total, marked.count()
+        if total != before:
+            further = steps.select("node", F.col("to").alias("_mid")).join(steps.select(F.col("node").alias("_mid"), "to"), "_mid")
+            steps = staged(further.select("node", "to").distinct(), "steps", instead_of=steps)
+    return marked
+
+
 def term_matches(label: Column, synonyms: Column, query: str) -> Column:
     """Whether a query stands in a label or its synonyms, in any case."""
     return F.lower(F.array_join(F.concat(F.array(label), F.coalesce(synonyms, F.array().cast("array<string>"))), " ")).contains(query.strip().lower())
 
 
 def visible_terms(terms: DataFrame, query: str, id: str = "id", parent: str = "parent") -> DataFrame:
-    """Terms (id, label, synonyms, parent) that match a query and all above them, with `matched`. Ancestors that are no terms do not count."""
+    """Terms (id, label, synonyms, parent) that match a query and all above them, with `matched`. Ancestors that are no terms do not count. Only what lies above a match is
+    looked at."""
     hits = terms.where(term_matches(F.col("label"), F.col("synonyms"), query)).select(F.col(id).alias("node"))
     known = terms.select(F.col(id).alias("_id"))
     edges = terms.select(F.col(id).alias("node"), F.col(parent).alias("above")).join(known, F.col("above") == F.col("_id"), "left_semi")
-    above = ancestors(edges, "node", "above").join(hits, "node", "left_semi").select(F.col("ancestor").alias("node"))
-    seen = hits.withColumn("matched", F.lit(True)).unionByName(above.withColumn("matched", F.lit(False)))
-    return seen.groupBy(F.col("node").alias(id)).agg(F.max("matched").alias("matched"))
+    seen = reached(hits, edges, "node", "above").join(hits.distinct().withColumn("matched", F.lit(True)), "node", "left")
+    return seen.select(F.col("node").alias(id), F.coalesce("matched", F.lit(False)).alias("matched"))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from parchment.operators import documents, search
 from parchment.operators import page_index as P
-from parchment.operators import search
 from parchment.plans.inline import Rows
 from parchment.plans.reference import WIDE, query
 from parchment.plans.texts import ALL_TEXTS, texts
@@ -103,3 +103,18 @@ SELECT h.doc_id, {_STAGE} AS stage, os AS start_at, oe AS end_at FROM h JOIN b U
 def search_topk(spark, sf_dir):
     """The first fifty hits of a reader who goes page by page; later pages are not searched."""
     return search.first_hits(_pages(spark, sf_dir), "doc_id", "text", "of the", 50, fuzzy=False).select("doc_id", "stage", c("start").alias("start_at"), c("end").alias("end_at"))
+
+
+_LISTS = Rows("id long, kind string, child_ids array<bigint>", [(-1, "list", [-2, -3, -2, -99]), (-2, "list_item", [-4]), (-3, "list_item", [-5, -4]), (-4, "list", [-6]), (-5, "text", []), (-6, "list_item", None), (-7, "list", [-8]), (-8, "list_item", [-7]), (-10, "list", []), (-11, "list_item", [-1])])
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 1 THEN 'list' ELSE 'list_item' END AS kind, [3 * p_partkey - 1, 3 * p_partkey + 1] AS child_ids FROM part UNION ALL SELECT * FROM {_LISTS.sql}),
+c AS (SELECT id, kind, unnest(child_ids) AS child, generate_subscripts(child_ids, 1) AS n FROM p), l AS (SELECT c.*, k.kind AS child_kind FROM c JOIN p k ON k.id = c.child),
+i AS (SELECT id AS list_id, child AS item_id, row_number() OVER (PARTITION BY id ORDER BY n) - 1 AS n FROM l WHERE kind = 'list' AND child_kind = 'list_item'), d AS (SELECT id AS item_id, arg_min(child, n) AS list_id FROM l WHERE kind = 'list_item' AND child_kind = 'list' GROUP BY id),
+t AS (SELECT list_id AS root, item_id, n::VARCHAR AS place, 1 AS depth, [list_id] AS met FROM i WHERE list_id NOT IN (SELECT list_id FROM d) UNION ALL SELECT t.root, i.item_id, t.place || '.' || i.n, t.depth + 1, list_append(t.met, d.list_id) FROM t JOIN d ON d.item_id = t.item_id JOIN i ON i.list_id = d.list_id WHERE NOT list_contains(t.met, d.list_id))
+SELECT root, item_id, place, depth FROM t""", session=True)
+def list_trees(spark, sf_dir):
+    """Parts as lists and items by turns, each part n with the children 3 n - 1 and 3 n + 1, beside lists with repeats, strangers and a circle."""
+    p = c("p_partkey").cast("long")
+    d = spark.read.parquet(f"{sf_dir}/part.parquet").select(p.alias("id"), F.when(p % 2 == 1, "list").otherwise("list_item").alias("kind"), F.array(3 * p - 1, 3 * p + 1).alias("child_ids"))
+    return documents.list_tree(d.unionByName(_LISTS.frame(spark))).select("root", "item_id", F.array_join(F.transform("place", lambda x: x.cast("string")), ".").alias("place"), "depth")

@@ -29,8 +29,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def staged(df: DataFrame, name: str = "stage") -> DataFrame:
-    """df as a written table: its plan is run once, and lost executors lose nothing of it."""
+def staged(df: DataFrame, name: str = "stage", instead_of: DataFrame | None = None) -> DataFrame:
+    """df as a written table: its plan is run once, and lost executors lose nothing of it. instead_of: a staged table that nothing reads once this one is written; it is
+    deleted, so that a loop holds two tables, not one for each round."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    for old in instead_of.inputFiles()[:1] if instead_of is not None else ():
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(old).getParent()
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
     return df.sparkSession.read.schema(df.schema).parquet(path)

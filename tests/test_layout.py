@@ -7,6 +7,7 @@ from parchment.functions import text as T
 from parchment.operators import documents as D
 from parchment.operators import layout as L
 from parchment.operators import strokes as S
+from parchment.operators import trees
 
 SCHEMA = "page long, x1 double, x2 double, y1 double, y2 double, text string, ord long"
 
@@ -92,3 +93,18 @@ def test_texts(spark):
     assert show(lambda s: T.short_number(s.cast("long")), "0", "999", "1500", None) == ["", "999 views", "1.5K views", ""]
     said = spark.range(1).select(*(T.replaces_phrase(F.lit(a), F.lit(b)) for a, b in (("a b c d e", "a b c d e f"), ("a b c d", "a b c d"), ("a b c d e", "a b c x y"), ("a b c d e f g h i", "a b c d e")))).first()
     assert list(said) == [True, False, False, False]
+
+
+def test_marks_double_their_steps(spark):
+    chain = spark.range(3000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    more = spark.createDataFrame([(5, 9000), (9000, 9001), (9001, 9000), (9002, None), (None, 4), (7, 7)], "a long, b long")
+    seeds = spark.createDataFrame([(2,), (9001,), (None,), (2,), (-1,)], "node long")
+    got = sorted(r.node for r in trees.reached(seeds, chain.unionByName(more), "a", "b").collect())
+    assert got == [-1, *range(2, 3001), 9000, 9001]
+    assert trees.reached(seeds.limit(0), chain, "a", "b").count() == 0
+
+
+def test_deeply_nested_lists(spark):
+    rows = [(f"l{k}", "list", [f"x{k}", f"i{k}"]) for k in range(200)] + [(f"i{k}", "list_item", [f"l{k + 1}"]) for k in range(200)] + [(f"x{k}", "list_item", []) for k in range(200)]
+    got = {r.item_id: (r.root, r.place) for r in D.list_tree(spark.createDataFrame(rows, "id string, kind string, child_ids array<string>")).collect()}
+    assert len(got) == 400 and all(got[f"i{k}"] == ("l0", [1] * (k + 1)) and got[f"x{k}"] == ("l0", [1] * k + [0]) for k in range(200))
