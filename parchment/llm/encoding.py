@@ -43,12 +43,13 @@ class TextEncoder:
     A text is cut before spaces where the file allows it: byte-level files that part texts by their own pattern and change nothing,
     and pieces of which none holds a space after another sign, without normalisation. Otherwise whole texts are encoded.
     exact: parts whose tokens do not add up to their bytes have no ids, so that ids that add up to as many bytes as the text are those of its bytes.
-    A worker remembers `most` parts; when it has more, it forgets the half that came last, as frequent parts come early.
+    space: read a space before each text; pieces always are. A worker remembers `most` parts; when it has more, it forgets the half that came last, as frequent parts come early.
     """
 
-    def __init__(self, path: str, plain: bool = False, exact: bool = False, most: int = 1_000_000):
+    def __init__(self, path: str, plain: bool = False, exact: bool = False, most: int = 1_000_000, space: bool = False):
         self.led, self.raw = Memo(None, most), Memo(None, most)
         self.exact = exact
+        self.spaced = space or path.endswith(".model")
         self.stands: list[bytes] = []
         self.sizes: np.ndarray | None = None
         self.pieces = path.endswith(".model")
@@ -118,7 +119,7 @@ class TextEncoder:
         memo.update(zip(alone, self.whole([k if lead else k[1:] for k in alone] if self.pieces else [lead + k for k in alone]), strict=True))
         if self.pieces:
             memo.update((k, packed([self.space])) for k in alone if lead + k == " ")
-        self._drop_changed(memo, keys, lead)
+        self._drop_changed(memo, alone, lead)
 
     def _learn_together(self, memo: Memo, keys: list[str]) -> list[str]:
         """Remember the ids of these words; returns those that must be encoded alone, as lengths of tokens do not add up to those of the words."""
@@ -128,25 +129,26 @@ class TextEncoder:
         (ids,) = self.whole([text if self.pieces else f" {text}"])
         ends, want = np.cumsum(self.sizes[np.frombuffer(ids, "<u4")]), np.cumsum([1 + len(k.encode()) for k in keys])
         at = np.searchsorted(ends, want)
-        if not len(ends) or ends[-1] != want[-1] or (ends[at] != want).any():
+        if not len(ends) or ends[-1] != want[-1] or (ends[at] != want).any() or (self.exact and self.pieces and self.spelled(ids) != f" {text}".encode()):
             return keys
         cuts = (4 * (at + 1)).tolist()
         memo.update((k, ids[a:b]) for k, a, b in zip(keys, [0, *cuts], cuts))
         return []
 
     def _drop_changed(self, memo: dict, keys: list, lead: str) -> None:
-        """Parts whose tokens are other bytes get no ids."""
-        if self.exact:
+        """Parts whose tokens are other bytes get no ids. Byte-level tokens are the bytes of the text or fewer, which their lengths tell."""
+        if self.exact and (self.pieces or not self.parted):
             memo.update((k, b"") for k in keys if self.spelled(memo[k]) != (lead + k).encode())
 
     def _wholes(self, texts: list[str | None]) -> list[bytes]:
         some = [t for t in texts if t]
-        memo = dict(zip(some, self.whole(some), strict=True))
-        self._drop_changed(memo, list(memo), " " if self.pieces else "")
+        lead = " " if self.spaced else ""
+        memo = dict(zip(some, self.whole(some if self.pieces else [lead + t for t in some]), strict=True))
+        self._drop_changed(memo, list(memo), lead)
         return [memo[t] if t else b"" for t in texts]
 
     def packed(self, texts: list[str | None]) -> list[bytes]:
-        """Packed ids of each text, b"" for a null or empty one. Pieces: of the text as the model reads it, a space before it."""
+        """Packed ids of each text, b"" for a null or empty one."""
         if not self.parted:
             return self._wholes(texts)
         led, raw, get = self.led, self.raw, self.led.get
@@ -160,7 +162,7 @@ class TextEncoder:
                 continue
             words = text.split(" ")
             parts = list(map(get, words))
-            if not self.pieces:
+            if not self.spaced:
                 parts[0] = raw.get(words[0]) if words[0] else None
             if None not in parts:
                 out[i] = b"".join(parts)
@@ -168,11 +170,11 @@ class TextEncoder:
             gaps = [k for k, p in enumerate(parts) if p is None]
             # an empty word or one that ends in white space: spaces meet white space, and the quick cut does not hold
             if any(not words[k] or words[k][-1].isspace() for k in gaps):
-                words = PART.split(f" {text}" if self.pieces else text)
+                words = PART.split(f" {text}" if self.spaced else text)
                 heads.update(w for w in words if w not in raw)
                 slow.append((i, words))
                 continue
-            if not self.pieces and gaps[0] == 0:
+            if not self.spaced and gaps[0] == 0:
                 heads.add(words[0])
                 missing.update(words[k] for k in gaps[1:])
             else:
@@ -182,7 +184,7 @@ class TextEncoder:
         self._learn(raw, heads, "")
         for i, words, parts, gaps in late:
             for k in gaps:
-                parts[k] = led[words[k]] if k or self.pieces else raw[words[0]]
+                parts[k] = led[words[k]] if k or self.spaced else raw[words[0]]
             out[i] = b"".join(parts)
         for i, words in slow:
             out[i] = b"".join(map(raw.__getitem__, words))

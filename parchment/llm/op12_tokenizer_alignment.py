@@ -114,18 +114,16 @@ def token_table(docs: DataFrame, first: str, second: str, doc_id: str = "doc_id"
     bytes of either are not the space and the text."""
 
     def load():
-        both = (TextEncoder(first, plain=True, exact=True, most=300_000), TextEncoder(second, plain=True, exact=True, most=300_000))
+        both = tuple(TextEncoder(p, plain=True, exact=True, most=400_000, space=True) for p in (first, second))
         return both, tuple(e.lengths() for e in both)
 
     def tokens(batches):
         (one, two), lengths = worker_memo(("aligned", first, second), load)
         for batch in batches:
             texts = batch.column(1)
-            for p, q in batched(texts, pc.fill_null(pc.binary_length(texts), 0).to_pylist(), 1 << 21):
+            for p, q in batched(texts, pc.fill_null(pc.binary_length(texts), 0).to_pylist(), 1 << 20):
                 some = texts[p:q].to_pylist()
-                # the second gives the space itself where it reads pieces
-                found = [e.packed(some if e.pieces else [f" {t}" if t else None for t in some]) for e in (one, two)]
-                found = [[np.frombuffer(x, "<u4") for x in f] for f in found]
+                found = [[np.frombuffer(x, "<u4") for x in e.packed(some)] for e in (one, two)]
                 good = [bool(t) and all(int(n[x[i]].sum()) == 1 + len(t.encode()) for x, n in zip(found, lengths, strict=True)) for i, t in enumerate(some)]
                 columns = [pa.array([x.astype(kind).tobytes() if ok else b"" for x, ok in zip(f, good, strict=True)], pa.binary()) for f in found]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[p:q], *columns], ["doc_id", "a", "b"])

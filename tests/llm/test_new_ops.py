@@ -36,6 +36,9 @@ def test_parts_give_the_ids_of_whole_texts(name, plain):
         some = texts[at : at + 700]
         want = iter(encoder.whole([t for t in some if t]))
         assert encoder.packed([*some, None]) == [next(want) if t else b"" for t in some] + [b""]
+    spaced = TextEncoder(public_tokenizers.path(name), plain, most=500, space=True)
+    want = iter(spaced.whole([t if spaced.pieces else f" {t}" for t in texts if t]))
+    assert spaced.packed(texts) == [next(want) if t else b"" for t in texts]
 
 
 def brute_links(texts):
