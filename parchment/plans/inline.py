@@ -35,6 +35,22 @@ class Rows:
         return f"(SELECT * FROM (VALUES {values}) v({', '.join(f'"{n}"' for n in self.names)}))"
 
 
+class Beside:
+    """Rows of a given table, and beside them rows written out: columns by expressions that both dialects read alike, or by a pair of them (Spark, SQL)."""
+
+    def __init__(self, rows: Rows, table: str, *columns: str | tuple[str, str]):
+        self.rows, self.table, self.columns = rows, table, [x if isinstance(x, tuple) else (x, x) for x in columns]
+
+    def frame(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        own = self.rows.frame(spark)
+        given = spark.read.parquet(f"{sf_dir}/{self.table}.parquet")
+        return own.unionByName(given.selectExpr(*(f"cast({e} as {f.dataType.simpleString()}) as `{f.name}`" for (e, _), f in zip(self.columns, own.schema, strict=True))))
+
+    @property
+    def sql(self) -> str:
+        return f"(SELECT * FROM {self.rows.sql} UNION ALL SELECT {', '.join(e for _, e in self.columns)} FROM {self.table})"
+
+
 #: White space that browsers know and regular expressions do not, invisible signs, ligatures, curly signs, hyphens at line breaks.
 ODD_TEXTS = Rows("doc_id long, text string", [
     (-1, ""), (-2, "   \t\n "), (-3, "Foo.\n"), (-4, "\u00a0wide\u2003blanks\u3000here\ufeff"), (-5, "cardio-\nvascular and well-\nBeing"), (-6, "e\ufb03cient \ufb01n \u201cquoted\u201d \u2018it\u2019s\u2019 a—b\u2026"),

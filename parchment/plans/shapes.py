@@ -9,7 +9,7 @@ from parchment.functions import geometry as G
 from parchment.operators import boxes as B
 from parchment.operators import places, strokes
 from parchment.operators import relational as R
-from parchment.plans.inline import Rows
+from parchment.plans.inline import Beside, Rows
 from parchment.plans.reference import query
 
 c = F.col
@@ -84,16 +84,16 @@ def precisely_erased(t):
     return B.erased(pens(t).select("id", shape.alias("s")), "s", F.lit(250.0), F.lit(200.0), F.lit(40.0), precise=True).select("id", "erased", F.size("s.points").alias("n_points"))
 
 
-_SHAPES = Rows("id long, type string, x double, y double, w double, h double, x1 double, y1 double, x2 double, y2 double", [
+_SHAPES = Beside(Rows("id long, type string, x double, y double, w double, h double, x1 double, y1 double, x2 double, y2 double", [
     (1, "rect", 10.0, 10.0, 20.0, -5.0, None, None, None, None), (2, "line", None, None, None, None, 0.0, 0.0, 30.0, 30.0), (3, "arrow", None, None, None, None, 50.0, 50.0, 90.0, 50.0), (4, "note", 12.0, 11.0, None, None, None, None, None, None),
-    (5, "text", None, None, None, None, 9.0, None, None, None), (6, "circle", 40.0, 40.0, 5.0, 5.0, None, None, None, None), (7, "other", None, None, None, None, None, None, None, None)])
+    (5, "text", None, None, None, None, 9.0, None, None, None), (6, "circle", 40.0, 40.0, 5.0, 5.0, None, None, None, None), (7, "other", None, None, None, None, None, None, None, None)]), "orders", "o_orderkey + 10", "CASE o_orderkey % 4 WHEN 0 THEN 'rect' WHEN 1 THEN 'line' WHEN 2 THEN 'note' ELSE 'circle' END", "o_custkey % 40", "o_orderkey % 30", "o_custkey % 15 - 5", "o_orderkey % 9", "o_custkey % 25", "o_orderkey % 25", "o_custkey % 31", "o_orderkey % 33")
 
 
 @query(f"""WITH s AS (SELECT * FROM {_SHAPES.sql}), p AS (SELECT *, coalesce(x, 0) AS px, coalesce(y, 0) AS py, coalesce(x1, 0) AS a1, coalesce(y1, 0) AS b1, coalesce(x2, 0) AS a2, coalesce(y2, 0) AS b2 FROM s),
 q AS (SELECT *, least(greatest(12, least(px, px + coalesce(w, 0))), greatest(px, px + coalesce(w, 0))) AS cx, least(greatest(12, least(py, py + coalesce(h, 0))), greatest(py, py + coalesce(h, 0))) AS cy, CASE WHEN (a2 - a1) ** 2 + (b2 - b1) ** 2 = 0 THEN 0 ELSE least(1, greatest(0, ((12 - a1) * (a2 - a1) + (12 - b1) * (b2 - b1)) / ((a2 - a1) ** 2 + (b2 - b1) ** 2))) END AS t FROM p)
 SELECT id, CASE WHEN type IN ('line', 'arrow') THEN sqrt((12 - (a1 + t * (a2 - a1))) ** 2 + (12 - (b1 + t * (b2 - b1))) ** 2) <= 3 WHEN type IN ('rect', 'circle') THEN sqrt((cx - 12) ** 2 + (cy - 12) ** 2) <= 3 ELSE sqrt((coalesce(x, x1, 0) - 12) ** 2 + (coalesce(y, y1, 0) - 12) ** 2) <= 3 END AS erased FROM q""", session=True)
 def erased_shapes(spark, sf_dir):
-    d = _SHAPES.frame(spark)
+    d = _SHAPES.frame(spark, sf_dir)
     shape = F.struct("type", F.lit(None).cast("array<struct<x:double,y:double>>").alias("points"), "x", "y", "w", "h", "x1", "y1", "x2", "y2")
     return B.erased(d.select("id", shape.alias("s")), "s", F.lit(12.0), F.lit(12.0), F.lit(3.0)).select("id", "erased")
 

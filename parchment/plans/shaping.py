@@ -9,7 +9,7 @@ from parchment.functions import text as T
 from parchment.operators import nested as N
 from parchment.operators import places, search, trees
 from parchment.operators import relational as R
-from parchment.plans.inline import Rows
+from parchment.plans.inline import Beside, Rows
 from parchment.plans.reference import query
 from parchment.sources import tables, versions
 from parchment.sources.scratch import new_path
@@ -36,13 +36,13 @@ def extraction_rows(t):
     return N.deflated(N.inflated(nouns(t), ["k"], MODES), ["k"], MODES).select("k", "card", "mode", c("at"), "num", "noun", "reason", "status", "place")
 
 
-_TAGS = Rows("id long, tags map<string,array<string>>", [(1, {"verb": ["go", "run"], "noun": ["cat"]}), (2, {"noun": [], "verb": ["x", "y", "z"], "other": ["o"]}), (3, {})])
+_TAGS = Beside(Rows("id long, tags map<string,array<string>>", [(1, {"verb": ["go", "run"], "noun": ["cat"]}), (2, {"noun": [], "verb": ["x", "y", "z"], "other": ["o"]}), (3, {})]), "part", "p_partkey + 10", ("map('verb', array(p_type, p_brand), 'noun', split(p_name, ' '))", "MAP {'verb': [p_type, p_brand], 'noun': string_split(p_name, ' ')}"))
 
 
 @query(f"""WITH m AS (SELECT id, unnest(map_entries(tags)) AS e FROM {_TAGS.sql}), r AS (SELECT id, e.key AS unit, e.value AS texts FROM m), x AS (SELECT id, unit, unnest(texts) AS text, generate_subscripts(texts, 1) AS pos FROM r)
 SELECT id, unit || '-' || (row_number() OVER (PARTITION BY id ORDER BY unit, pos) - 1) AS tag, unit, text FROM x""", session=True)
 def unit_tags(spark, sf_dir):
-    return N.tag_rows(_TAGS.frame(spark).withColumnRenamed("id", "doc"), ["doc"], "tags").select(c("doc").alias("id"), c("id").alias("tag"), "unit", "text")
+    return N.tag_rows(_TAGS.frame(spark, sf_dir).withColumnRenamed("id", "doc"), ["doc"], "tags").select(c("doc").alias("id"), c("id").alias("tag"), "unit", "text")
 
 
 @query("""WITH n AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS row FROM events WHERE event_type IN ('click', 'purchase'))
@@ -78,38 +78,38 @@ def last_messages(t):
     return d.select("conv_id", show(N.last_changed(c("m"), lambda x: F.concat(x, F.lit(" +")))).alias("appended"), show(N.last_changed(c("m"), lambda x: F.lit("Error: x"))).alias("replaced"))
 
 
-_POSTS = Rows("id long, asset string, media_url string, listed array<string>, written string", [(1, "a", "b", ["c"], "d"), (2, "", "b", ["c"], "d"), (3, None, "", ["c", "x"], "d"), (4, None, None, [], " d \ne"), (5, None, None, [""], "  \n"), (6, "", "", [], None)])
+_POSTS = Beside(Rows("id long, asset string, media_url string, listed array<string>, written string", [(1, "a", "b", ["c"], "d"), (2, "", "b", ["c"], "d"), (3, None, "", ["c", "x"], "d"), (4, None, None, [], " d \ne"), (5, None, None, [""], "  \n"), (6, "", "", [], None)]), "pages", "page_id + 10", "CASE WHEN page_id % 4 = 0 THEN url END", "CASE WHEN page_id % 4 = 1 THEN url END", ("array(CASE WHEN page_id % 4 = 2 THEN url END)", "[CASE WHEN page_id % 4 = 2 THEN url END]"), "concat(' ', chr(10), url, ' ')")
 
 
 @query(f"SELECT id, coalesce(nullif(asset, ''), nullif(media_url, ''), nullif(listed[1], ''), list_filter(list_transform(string_split(coalesce(written, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '')[1], '') AS media FROM {_POSTS.sql}", session=True)
 def preview_media(spark, sf_dir):
     assets = F.when(c("asset").isNotNull(), F.array(F.struct(c("asset").alias("url")))).otherwise(F.array().cast("array<struct<url:string>>"))
     post = F.struct(assets.alias("assets"), "media_url", c("listed").alias("media_urls"), c("written").alias("media_text"))
-    return _POSTS.frame(spark).select("id", post.alias("p")).select("id", N.preview_media(c("p")).alias("media"))
+    return _POSTS.frame(spark, sf_dir).select("id", post.alias("p")).select("id", N.preview_media(c("p")).alias("media"))
 
 
-_ATTRIBUTES = Rows("id long, names array<string>, vals array<string>", [(1, ["a", "b", "c"], ["1.5", "", None]), (2, ["pitch", "rate"], ["-2", "x"]), (3, ["rate", "a"], ["0", " 3 "])])
+_ATTRIBUTES = Beside(Rows("id long, names array<string>, vals array<string>", [(1, ["a", "b", "c"], ["1.5", "", None]), (2, ["pitch", "rate"], ["-2", "x"]), (3, ["rate", "a"], ["0", " 3 "])]), "events", "event_id + 10", ("array('a', 'pitch', event_type)", "['a', 'pitch', event_type]"), ("array(cast(user_id as string), cast(user_id - 10 as string), props)", "[user_id::VARCHAR, (user_id - 10)::VARCHAR, props]"))
 
 
 @query(f"""WITH a AS (SELECT *, list_transform(range(len(names)), lambda i: {{'n': names[i + 1], 'v': vals[i + 1]}}) AS p FROM {_ATTRIBUTES.sql})
 SELECT id, array_to_string(list_transform(list_filter(p, lambda x: coalesce(x.v, '') <> ''), lambda x: x.n), ',') AS filled, array_to_string(list_transform(list_filter(['a', 'pitch', 'rate'], lambda n: try_cast(list_filter(p, lambda x: x.n = n)[1].v AS DOUBLE) IS NOT NULL), lambda n: n || CASE WHEN list_filter(p, lambda x: x.n = n)[1].v::DOUBLE >= 0 THEN '+' ELSE '-' END), ',') AS numbers FROM a""", session=True)
 def attribute_pairs(spark, sf_dir):
-    d = _ATTRIBUTES.frame(spark)
+    d = _ATTRIBUTES.frame(spark, sf_dir)
     pairs = F.zip_with("names", "vals", lambda n, v: F.struct(n.alias("name"), v.alias("value")))
     numbers = N.number_deltas(F.map_from_arrays("names", "vals"), ["a", "pitch", "rate"])
     return d.select("id", F.array_join(F.transform(N.filled(pairs), lambda p: p["name"]), ",").alias("filled"), F.array_join(F.transform(numbers, lambda n: F.concat(n["name"], F.when(n["rises"], "+").otherwise("-"))), ",").alias("numbers"))
 
 
-_QUIZ = Rows("id long, options array<string>, answer string, reasons map<string,string>", [(1, ["a", "b", "c"], "b", {"a": " too small ", "c": "  "}), (2, ["x"], "x", {}), (3, ["x", "y"], "z", {"y": "no"})])
+_QUIZ = Beside(Rows("id long, options array<string>, answer string, reasons map<string,string>", [(1, ["a", "b", "c"], "b", {"a": " too small ", "c": "  "}), (2, ["x"], "x", {}), (3, ["x", "y"], "z", {"y": "no"})]), "part", "p_partkey + 10", ("array(p_brand, p_type, p_name)", "[p_brand, p_type, p_name]"), "p_type", ("map(p_brand, concat(' ', p_name, ' '), p_name, ' ')", "MAP {p_brand: concat(' ', p_name, ' '), p_name: ' '}"))
 
 
 @query(f"SELECT id, array_to_string(list_transform(list_filter(options, lambda o: o <> answer), lambda o: o || ': ' || coalesce(nullif(trim(coalesce(reasons[o], '')), ''), 'Reason not provided.')), '; ') AS wrong FROM {_QUIZ.sql}", session=True)
 def wrong_options(spark, sf_dir):
     out = N.wrong_options(c("options"), c("answer"), c("reasons"))
-    return _QUIZ.frame(spark).select("id", F.array_join(F.transform(out, lambda o: F.concat(o["option"], F.lit(": "), o["reason"])), "; ").alias("wrong"))
+    return _QUIZ.frame(spark, sf_dir).select("id", F.array_join(F.transform(out, lambda o: F.concat(o["option"], F.lit(": "), o["reason"])), "; ").alias("wrong"))
 
 
-_BODIES = Rows("id long, body string", [(1, '{"error": "bad", "details": ["x", "y"]}'), (2, '{"error": {"message": "deep"}}'), (3, '{"ok": 1}'), (4, "plain text"), (5, ""), (6, None), (7, '{"moveX": 1, "moveY": 2.5, "zoom": -3}'), (8, '{"moveX": "1", "moveY": 2, "zoom": 3}'), (9, '{"moveX": null, "moveY": 2, "zoom": 3}'), (10, '{"error": "", "details": []}')])
+_BODIES = Beside(Rows("id long, body string", [(1, '{"error": "bad", "details": ["x", "y"]}'), (2, '{"error": {"message": "deep"}}'), (3, '{"ok": 1}'), (4, "plain text"), (5, ""), (6, None), (7, '{"moveX": 1, "moveY": 2.5, "zoom": -3}'), (8, '{"moveX": "1", "moveY": 2, "zoom": 3}'), (9, '{"moveX": null, "moveY": 2, "zoom": 3}'), (10, '{"error": "", "details": []}')]), "events", "event_id + 100", "CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN event_type WHEN 2 THEN concat('{\"error\": \"', event_type, '\", \"details\": [\"', user_id, '\"]}') ELSE concat('{\"moveX\": ', user_id, ', \"moveY\": 2, \"zoom\": 1}') END")
 
 
 @query(f"""WITH b AS (SELECT id, body, CASE WHEN json_valid(body) THEN body::JSON END AS j FROM {_BODIES.sql})
@@ -118,12 +118,12 @@ SELECT id, CASE WHEN coalesce(body, '') = '' THEN NULL WHEN j IS NULL THEN body
  CASE WHEN json_type(j->'moveX') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND json_type(j->'moveY') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND json_type(j->'zoom') IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN (j->>'moveX')::DOUBLE + (j->>'moveY')::DOUBLE + (j->>'zoom')::DOUBLE END AS moved FROM b""", session=True)
 def answer_bodies(spark, sf_dir):
     moved = N.numbers_of(c("body"), ["moveX", "moveY", "zoom"])
-    return _BODIES.frame(spark).select("id", N.payload(c("body"), "error string")["error"].alias("error"), N.error_text(c("body"), "failed").alias("shown"), (moved["moveX"] + moved["moveY"] + moved["zoom"]).alias("moved"))
+    return _BODIES.frame(spark, sf_dir).select("id", N.payload(c("body"), "error string")["error"].alias("error"), N.error_text(c("body"), "failed").alias("shown"), (moved["moveX"] + moved["moveY"] + moved["zoom"]).alias("moved"))
 
 
-_ENTITIES = Rows("id long, type string, type_label string, name string, domain string, parent_schema string, trace_name string, value string, unit string, source_text string", [
+_ENTITIES = Beside(Rows("id long, type string, type_label string, name string, domain string, parent_schema string, trace_name string, value string, unit string, source_text string", [
     (1, "schema", "Schema", "Heart", "Body", None, None, None, None, "src"), (2, "schema", "Schema", "", "", None, None, None, None, ""), (3, "trace", "Trace", None, None, None, None, None, None, "t"), (4, "trace_value", "Value", None, None, None, "pulse", "", "bpm", "from text"),
-    (5, "instance", "Instance", "i", None, "Heart", "pulse", "70", None, None), (6, "intervener", "Intervener", None, None, None, None, None, "", "changed"), (7, "other", None, None, None, None, None, None, None, None)])
+    (5, "instance", "Instance", "i", None, "Heart", "pulse", "70", None, None), (6, "intervener", "Intervener", None, None, None, None, None, "", "changed"), (7, "other", None, None, None, None, None, None, None, None)]), "events", "event_id + 10", ("element_at(array('schema', 'trace', 'trace_value', 'instance', 'intervener', 'x'), cast(user_id % 6 + 1 as int))", "(['schema', 'trace', 'trace_value', 'instance', 'intervener', 'x'])[user_id % 6 + 1]"), "event_type", "CASE WHEN event_id % 3 = 0 THEN event_type END", "'Body'", "props", "event_type", "CASE WHEN event_id % 2 = 0 THEN props END", "nullif(event_type, 'click')", "props")
 _OR = lambda f, d: f"coalesce(nullif({f}, ''), {d})"
 
 
@@ -135,7 +135,7 @@ _OR = lambda f, d: f"coalesce(nullif({f}, ''), {d})"
  WHEN 'intervener' THEN chr(10) || '2. Entity Intervener: ' || {_OR('name', "'Untitled Intervener'")} || chr(10) || '3. Target Entity Schema Trace Value: ' || {_OR('trace_name', "'Not specified'")} || chr(10) || '4. Change: ' || {_OR('value', "coalesce(source_text, '')")} || chr(10) || '5. Unit: ' || {_OR('unit', "'Not specified'")}
  ELSE '' END AS text FROM {_ENTITIES.sql}""", session=True)
 def entity_texts(spark, sf_dir):
-    return _ENTITIES.frame(spark).select("id", N.entity_text(c("type"), c("type_label"), c).alias("text"))
+    return _ENTITIES.frame(spark, sf_dir).select("id", N.entity_text(c("type"), c("type_label"), c).alias("text"))
 
 
 @query("SELECT l_orderkey, 'Body map saved' || CASE WHEN l_orderkey % 2 = 0 THEN ' for pain ' || l_orderkey || '.' ELSE '.' END || ' Marked regions: ' || string_agg(n || '. ' || l_returnflag || ' (' || l_linestatus || ', intensity ' || l_linenumber || '/10)', ' ' ORDER BY n) AS summary FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_linestatus) AS n FROM lineitem) GROUP BY l_orderkey")
@@ -152,15 +152,15 @@ def user_facts(t):
     return t("events").groupBy("user_id").agg(kinds.alias("kinds"), F.every(c("event_type") != "purchase").alias("never_bought"), F.some(c("value") > 100).alias("some_large"), F.count_if(c("event_type") == "click").alias("n_clicks"))
 
 
-_ELEMENTS = Rows("id string, parent_id string, child_ids array<string>, ord long", [
-    ("a", None, ["b", "c", "nowhere"], 1), ("b", "a", ["d"], 2), ("c", "a", [], 3), ("d", "b", ["a", "e"], 4), ("e", "d", None, 5), ("f", None, ["f", "g"], 6), ("g", "f", [], 7), ("c", "a", ["e"], 8)])
+_ELEMENTS = Beside(Rows("id string, parent_id string, child_ids array<string>, ord long", [
+    ("a", None, ["b", "c", "nowhere"], 1), ("b", "a", ["d"], 2), ("c", "a", [], 3), ("d", "b", ["a", "e"], 4), ("e", "d", None, 5), ("f", None, ["f", "g"], 6), ("g", "f", [], 7), ("c", "a", ["e"], 8)]), "part", ("cast(p_partkey as string)", "p_partkey::VARCHAR"), ("CASE WHEN p_partkey > 0 THEN cast((p_partkey - 1) div 3 as string) END", "CASE WHEN p_partkey > 0 THEN ((p_partkey - 1) // 3)::VARCHAR END"), ("array(cast(3 * p_partkey + 1 as string), cast(3 * p_partkey + 2 as string), cast(3 * p_partkey + 3 as string))", "[(3 * p_partkey + 1)::VARCHAR, (3 * p_partkey + 2)::VARCHAR, (3 * p_partkey + 3)::VARCHAR]"), "p_partkey")
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT id, parent_id, child_ids FROM {_ELEMENTS.sql} QUALIFY row_number() OVER (PARTITION BY id ORDER BY ord DESC) = 1), l AS (SELECT id AS up, unnest(child_ids) AS id, generate_subscripts(child_ids, 1) - 1 AS at FROM e),
 w AS (SELECT id AS root, id, [id] AS path, []::BIGINT[] AS place FROM e WHERE parent_id IS NULL UNION ALL SELECT w.root, l.id, list_append(w.path, l.id), list_append(w.place, l.at) FROM w JOIN l ON l.up = w.id JOIN e ON e.id = l.id WHERE NOT list_contains(w.path, l.id))
 SELECT root, id, array_to_string(path, '/') AS path, array_to_string(place, '.') AS place, len(path) - 1 AS depth FROM w""", session=True)
 def element_forest(spark, sf_dir):
-    return trees.forest(_ELEMENTS.frame(spark)).select("root", "id", F.array_join("path", "/").alias("path"), F.array_join(F.transform("place", lambda x: x.cast("string")), ".").alias("place"), "depth")
+    return trees.forest(_ELEMENTS.frame(spark, sf_dir)).select("root", "id", F.array_join("path", "/").alias("path"), F.array_join(F.transform("place", lambda x: x.cast("string")), ".").alias("place"), "depth")
 
 
 _TERMS = "SELECT 'r' || r_regionkey AS id, r_name AS label, []::VARCHAR[] AS synonyms, NULL AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, n_name, [lower(n_name) || ' land'], 'r' || n_regionkey FROM nation UNION ALL SELECT 's' || s_suppkey, s_name, [s_suppkey::VARCHAR], CASE WHEN s_suppkey % 10 = 0 THEN 'gone' ELSE 'n' || s_nationkey END FROM supplier"
@@ -179,22 +179,22 @@ def visible_terms(t):
 
 
 _VOICES = Rows("ord long, uri string, lang string, local boolean", [(1, "u1", "fr-FR", True), (2, "u2", "en-GB", False), (3, "u3", "en-US", False), (4, "u4", "en-AU", True), (5, "u5", "en-US", True), (6, "u6", "de-DE", False)])
-_WISHES = Rows("wish long, uri string, lang string", [(1, "u2", "de-DE"), (2, "gone", "en-US"), (3, None, "en-NZ"), (4, None, "de-AT"), (5, None, "ja-JP"), (6, None, None), (7, None, "")])
+_WISHES = Beside(Rows("wish long, uri string, lang string", [(1, "u2", "de-DE"), (2, "gone", "en-US"), (3, None, "en-NZ"), (4, None, "de-AT"), (5, None, "ja-JP"), (6, None, None), (7, None, "")]), "customer", "c_custkey + 10", "CASE WHEN c_custkey % 3 = 0 THEN concat('u', c_custkey % 8) END", "CASE c_custkey % 5 WHEN 0 THEN 'en-US' WHEN 1 THEN 'fr-CA' WHEN 2 THEN 'de-DE' WHEN 3 THEN '' ELSE 'ja' END")
 
 
 @query(f"""WITH v AS (SELECT * FROM {_VOICES.sql}), w AS (SELECT wish, uri, coalesce(nullif(lang, ''), 'en-US') AS lang FROM {_WISHES.sql})
 SELECT wish, (SELECT v.uri FROM v ORDER BY CASE WHEN v.uri = w.uri THEN 0 WHEN v.lang = w.lang AND local THEN 1 WHEN starts_with(v.lang, split_part(w.lang, '-', 1)) AND local THEN 2 WHEN starts_with(v.lang, split_part(w.lang, '-', 1)) THEN 3 ELSE 4 END, ord LIMIT 1) AS voice FROM w""", session=True)
 def picked_voices(spark, sf_dir):
-    return R.picked_voice(_VOICES.frame(spark), _WISHES.frame(spark))
+    return R.picked_voice(_VOICES.frame(spark), _WISHES.frame(spark, sf_dir))
 
 
-_SHAPES = Rows("standard string, alias string, at int", [("jawOpen", "jawOpen", 0), ("jawOpen", "mouthOpen", 1), ("blink", "blink", 0), ("blink", "eyeBlink", 1), ("smile", "smile", 0), ("gone", "gone", 0)])
-_REAL = Rows("name string, ord long", [("MOUTHOPEN", 1), ("JawOpen", 2), ("jawopen", 3), ("EyeBlink", 4), ("other", 5)])
+_SHAPES = Beside(Rows("standard string, alias string, at int", [("jawOpen", "jawOpen", 0), ("jawOpen", "mouthOpen", 1), ("blink", "blink", 0), ("blink", "eyeBlink", 1), ("smile", "smile", 0), ("gone", "gone", 0)]), "part", "p_type", "lower(p_brand)", "p_partkey")
+_REAL = Beside(Rows("name string, ord long", [("MOUTHOPEN", 1), ("JawOpen", 2), ("jawopen", 3), ("EyeBlink", 4), ("other", 5)]), "part", "upper(p_brand)", "p_partkey + 10")
 
 
 @query(f"WITH r AS (SELECT lower(name) AS k, arg_max(name, ord) AS name FROM {_REAL.sql} GROUP BY 1) SELECT standard, arg_min(r.name, s.\"at\") AS name FROM {_SHAPES.sql} s JOIN r ON r.k = lower(alias) GROUP BY standard", session=True)
 def first_aliases(spark, sf_dir):
-    return R.first_alias(_REAL.frame(spark), _SHAPES.frame(spark))
+    return R.first_alias(_REAL.frame(spark, sf_dir), _SHAPES.frame(spark, sf_dir))
 
 
 @query("WITH a AS (SELECT o_custkey % 50 AS noun, o_orderstatus AS mode, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS means FROM orders GROUP BY ALL) SELECT c_custkey, a.means FROM customer LEFT JOIN a ON a.noun = c_custkey % 50 AND a.mode = CASE WHEN c_nationkey % 2 = 0 THEN 'O' ELSE 'F' END")
@@ -220,12 +220,12 @@ def priority_sort(t):
     return first.withColumn("place", F.row_number().over(w)).select("p_partkey", "place")
 
 
-_GROUPS = Rows("ord long, id string, title string", [(1, " 1 ", "Zed"), (2, "2", "école"), (3, "1", "Zed "), (4, None, None), (5, "", "eagle"), (6, "3", "Eagle"), (7, "4", "")])
+_GROUPS = Beside(Rows("ord long, id string, title string", [(1, " 1 ", "Zed"), (2, "2", "école"), (3, "1", "Zed "), (4, None, None), (5, "", "eagle"), (6, "3", "Eagle"), (7, "4", "")]), "customer", "c_custkey + 10", ("cast(c_nationkey as string)", "c_nationkey::VARCHAR"), "concat(c_mktsegment, ' ')")
 
 
 @query(f"SELECT DISTINCT trim(coalesce(id, '')) AS id, trim(coalesce(title, '')) AS title FROM {_GROUPS.sql} WHERE trim(coalesce(id, '')) <> '' OR trim(coalesce(title, '')) <> ''", session=True)
 def group_titles(spark, sf_dir):
-    return R.last_titles(_GROUPS.frame(spark), c("id"), c("title"), ["ord"])
+    return R.last_titles(_GROUPS.frame(spark, sf_dir), c("id"), c("title"), ["ord"])
 
 
 @query("""WITH w AS (SELECT unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '')) AS word FROM documents), n AS (SELECT word, count(*) AS n FROM w GROUP BY word) SELECT word, n FROM n WHERE starts_with(word, 'th') ORDER BY n DESC, word LIMIT 6""")
@@ -240,13 +240,13 @@ def weekly_queue(t):
     return d.where("due is not null or o_orderstatus in ('P', 'F')").orderBy(F.coalesce("due", "updated"), "o_orderkey").limit(4).select("o_orderkey")
 
 
-_KEYS = Rows("key string, value long", [("10", 1), ("9", 2), ("2", 3), ("-1", 4), ("100", 5)])
+_KEYS = Beside(Rows("grp long, key string, value long", [(-1, "10", 1), (-1, "9", 2), (-1, "2", 3), (-1, "-1", 4), (-1, "100", 5)]), "conversations", "conv_id", ("cast(turn * 7 % 12 as string)", "(turn * 7 % 12)::VARCHAR"), "turn")
 
 
-@query(f"SELECT key, row_number() OVER (ORDER BY key::INT) AS place, first_value(key) OVER (ORDER BY key::INT) AS first FROM {_KEYS.sql}", session=True)
+@query(f"SELECT grp, key, row_number() OVER w AS place, first_value(key) OVER w AS first FROM {_KEYS.sql} WINDOW w AS (PARTITION BY grp ORDER BY key::INT)", session=True)
 def numeric_keys(spark, sf_dir):
-    w = Window.orderBy(c("key").cast("int"))
-    return _KEYS.frame(spark).select("key", F.row_number().over(w).alias("place"), F.first("key").over(w).alias("first"))
+    w = Window.partitionBy("grp").orderBy(c("key").cast("int"))
+    return _KEYS.frame(spark, sf_dir).select("grp", "key", F.row_number().over(w).alias("place"), F.first("key").over(w).alias("first"))
 
 
 @query("""WITH d AS (SELECT * FROM (VALUES ('AFRICA'), ('AMERICA'), ('EUROPE'), ('OCEANIA')) v(domain)), s AS (SELECT r_name AS domain, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name)
@@ -266,14 +266,14 @@ def joined_vocabulary(t):
     return both.groupBy("word").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
 
 
-_MARKED = Rows("id long, text string", [(1, "before\n=== Page 3 ===\none\ntwo\n=== Page 10 ===\r\nthree"), (2, "no marks at all"), (3, ""), (4, "=== Page 1 ===\n=== Page 2 ===\nx"), (5, "a === Page 1 === b")])
+_MARKED = Beside(Rows("id long, text string", [(1, "before\n=== Page 3 ===\none\ntwo\n=== Page 10 ===\r\nthree"), (2, "no marks at all"), (3, ""), (4, "=== Page 1 ===\n=== Page 2 ===\nx"), (5, "a === Page 1 === b")]), "documents", "doc_id + 10", "concat('=== Page ', doc_id, ' ===', chr(10), text, chr(10), '=== Page 7 ===', chr(10), lang)")
 
 
 @query(f"""WITH m AS (SELECT id, text, regexp_extract_all(text, '(?m)^=== Page (\\d+) ===\\r?\\n?', 1) AS numbers, regexp_extract_all(text, '(?m)^=== Page \\d+ ===\\r?\\n?') AS marks, regexp_split_to_array(text, '(?m)^=== Page \\d+ ===\\r?\\n?') AS parts FROM {_MARKED.sql}),
 x AS (SELECT id, numbers, marks, parts, unnest(range(1, len(numbers) + 1)) AS i FROM m WHERE len(numbers) > 0)
 SELECT id, numbers[i]::BIGINT AS page, parts[i + 1] AS text, (list_sum(list_transform(parts[1:i], lambda p: length(p))) + list_sum(list_transform(marks[1:i], lambda p: length(p))))::BIGINT AS start FROM x UNION ALL SELECT id, NULL, text, 0 FROM m WHERE len(numbers) = 0 AND text <> ''""", session=True)
 def marked_pages(spark, sf_dir):
-    return _MARKED.frame(spark).select("id", F.explode(places.marked_pages(c("text"))).alias("p")).select("id", "p.page", "p.text", "p.start")
+    return _MARKED.frame(spark, sf_dir).select("id", F.explode(places.marked_pages(c("text"))).alias("p")).select("id", "p.page", "p.text", "p.start")
 
 
 @query("""WITH p AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\\n{2,}')) AS p, generate_subscripts(regexp_split_to_array(text, '\\n{2,}'), 1) - 1 AS paragraph FROM documents), o AS (SELECT *, coalesce(sum(length(p) + 2) OVER (PARTITION BY doc_id ORDER BY paragraph ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM p),
@@ -407,22 +407,22 @@ def stream_velocity(spark, sf_dir):
     return out.select("key", "ord", F.when(c("vx") != 0, F.round(c("vx") * 1e3, 6)).otherwise(F.lit(0.0)).alias("vx"))
 
 
-_TOLD = Rows("k long, ord long, line string", [(1, 1, 'data: {"delta": "Hel"}'), (1, 2, 'data: {"delta": "lo"}'), (1, 3, "data: [DONE]"), (2, 1, 'data: {"delta": "x"}'), (2, 2, 'data: {"error": "gone"}'), (2, 3, 'data: {"delta": "!"}'), (3, 1, ": comment"), (3, 2, "data: {broken"), (3, 3, 'data: {"other": 1}')])
+_TOLD = Beside(Rows("k long, ord long, line string", [(1, 1, 'data: {"delta": "Hel"}'), (1, 2, 'data: {"delta": "lo"}'), (1, 3, "data: [DONE]"), (2, 1, 'data: {"delta": "x"}'), (2, 2, 'data: {"error": "gone"}'), (2, 3, 'data: {"delta": "!"}'), (3, 1, ": comment"), (3, 2, "data: {broken"), (3, 3, 'data: {"other": 1}')]), "conversations", "conv_id + 10", "turn", "concat('data: {\"', CASE WHEN turn % 5 = 4 THEN 'error' ELSE 'delta' END, '\": \"', role, turn, '\"}')")
 
 
 @query(f"""WITH l AS (SELECT k, ord, substr(line, 7) AS body FROM {_TOLD.sql} WHERE starts_with(line, 'data: ') AND json_valid(substr(line, 7)) AND line <> 'data: [DONE]'), e AS (SELECT k, ord, body->>'delta' AS delta, body->>'error' AS error FROM l), x AS (SELECT k, max(ord) FILTER (error IS NOT NULL) AS last FROM e GROUP BY k)
 SELECT e.k, coalesce(max('Error: ' || error) FILTER (ord = last), '') || coalesce(string_agg(delta, '' ORDER BY ord) FILTER (last IS NULL OR ord > last), '') AS content FROM e JOIN x ON e.k = x.k GROUP BY e.k""", session=True)
 def told_answers(spark, sf_dir):
-    parsed = events.data_events(_TOLD.frame(spark), "line", "delta string, error string")
+    parsed = events.data_events(_TOLD.frame(spark, sf_dir), "line", "delta string, error string")
     return events.told(parsed, ["k"], "ord", c("event.delta"), c("event.error"))
 
 
-_ANSWERS = Rows("id long, request string, latest string, page int, current int", [(1, "r1", "r1", 3, 3), (2, "r1", "r2", 3, 3), (3, "r2", "r2", 3, 4), (4, None, None, 1, 1), (5, "r", None, 1, 1)])
+_ANSWERS = Beside(Rows("id long, request string, latest string, page int, current int", [(1, "r1", "r1", 3, 3), (2, "r1", "r2", 3, 3), (3, "r2", "r2", 3, 4), (4, None, None, 1, 1), (5, "r", None, 1, 1)]), "orders", "o_orderkey + 10", "o_orderstatus", "CASE WHEN o_custkey % 2 = 0 THEN o_orderstatus ELSE o_orderpriority END", "o_custkey % 7", "o_orderkey % 7")
 
 
 @query(f"SELECT id, request IS NOT DISTINCT FROM latest AND page IS NOT DISTINCT FROM current AS still_current FROM {_ANSWERS.sql.replace('current)', 'current)')}", session=True)
 def current_answers(spark, sf_dir):
-    return _ANSWERS.frame(spark).select("id", events.still_current(c("request"), c("latest"), c("page"), c("current")).alias("still_current"))
+    return _ANSWERS.frame(spark, sf_dir).select("id", events.still_current(c("request"), c("latest"), c("page"), c("current")).alias("still_current"))
 
 
 @query("SELECT conv_id, turn, length(text) - length(replace(text, ' ', '')) AS n FROM conversations")

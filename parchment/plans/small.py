@@ -9,7 +9,7 @@ from parchment.functions import geometry as G
 from parchment.functions import text as T
 from parchment.operators import places
 from parchment.operators import relational as R
-from parchment.plans.inline import Rows
+from parchment.plans.inline import Beside, Rows
 from parchment.plans.reference import SPOKEN, WIDE, WORDS, query
 from parchment.plans.texts import ALL_TEXTS, texts, trim_sql
 from parchment.sources import tables, versions
@@ -111,7 +111,7 @@ def folded_signs(spark, sf_dir):
     return d.select("id", T.alias_fold(c("text")).alias("named"), T.ocr_canonical(c("text")).alias("scanned"))
 
 
-_PAIRS = Rows("id long, a string, b string", [(1, "bradycardia", "tachycardia"), (2, "hypertension", "hypotension"), (3, "hypotension", "hypertension"), (4, "antigen", "progeny"), (5, "heart", "heart"), (6, "no pain", "some pain"), (7, "not here", "never there"), (8, "denies pain", "denies pain"), (9, "", "x")])
+_PAIRS = Beside(Rows("id long, a string, b string", [(1, "bradycardia", "tachycardia"), (2, "hypertension", "hypotension"), (3, "hypotension", "hypertension"), (4, "antigen", "progeny"), (5, "heart", "heart"), (6, "no pain", "some pain"), (7, "not here", "never there"), (8, "denies pain", "denies pain"), (9, "", "x")]), "part", "p_partkey + 10", "concat(CASE p_size % 3 WHEN 0 THEN 'hyper' WHEN 1 THEN 'no ' ELSE '' END, p_name)", "concat(CASE p_size % 2 WHEN 0 THEN 'hypo' ELSE '' END, lower(p_type))")
 
 
 @query(f"""WITH p AS (SELECT *, list_has_any(string_split(a, ' '), ['no', 'not', 'without', 'denies', 'negative', 'absent', 'never']) AS na, list_has_any(string_split(b, ' '), ['no', 'not', 'without', 'denies', 'negative', 'absent', 'never']) AS nb FROM {_PAIRS.sql})
@@ -119,15 +119,15 @@ SELECT id, starts_with(a, 'brady') AND starts_with(b, 'tachy') OR starts_with(a,
  OR starts_with(a, 'intra') AND starts_with(b, 'extra') OR starts_with(a, 'extra') AND starts_with(b, 'intra') OR starts_with(a, 'endo') AND starts_with(b, 'exo') OR starts_with(a, 'exo') AND starts_with(b, 'endo') AS opposite, na <> nb AS negated, round(greatest(0, 1 - levenshtein(a, b) / greatest(length(a), length(b), 1)), 6) AS similarity FROM p""", session=True)
 def meaning_guards(spark, sf_dir):
     a, b = c("a"), c("b")
-    return _PAIRS.frame(spark).select("id", T.opposite(a, b).alias("opposite"), T.negation_differs(F.split(a, " "), F.split(b, " ")).alias("negated"), F.round(T.similarity_of(F.levenshtein(a, b), a, b), 6).alias("similarity"))
+    return _PAIRS.frame(spark, sf_dir).select("id", T.opposite(a, b).alias("opposite"), T.negation_differs(F.split(a, " "), F.split(b, " ")).alias("negated"), F.round(T.similarity_of(F.levenshtein(a, b), a, b), 6).alias("similarity"))
 
 
-_SETTINGS = Rows("id long, text string", [(1, "0.5"), (2, "nope"), (3, None), (4, "99"), (5, "-3"), (6, "NaN"), (7, "Infinity"), (8, "")])
+_SETTINGS = Beside(Rows("id long, text string", [(1, "0.5"), (2, "nope"), (3, None), (4, "99"), (5, "-3"), (6, "NaN"), (7, "Infinity"), (8, "")]), "customer", "c_custkey + 10", ("CASE WHEN c_custkey % 2 = 0 THEN cast(c_nationkey as string) ELSE c_name END", "CASE WHEN c_custkey % 2 = 0 THEN c_nationkey::VARCHAR ELSE c_name END"))
 
 
 @query(f"SELECT id, CASE WHEN try_cast(text AS DOUBLE) IS NULL OR isnan(try_cast(text AS DOUBLE)) OR isinf(try_cast(text AS DOUBLE)) THEN 0.25 ELSE least(greatest(try_cast(text AS DOUBLE), 0.0), 10.0) END AS setting FROM {_SETTINGS.sql}", session=True)
 def number_settings(spark, sf_dir):
-    return _SETTINGS.frame(spark).select("id", G.number_setting(c("text"), 0.0, 10.0, 0.25).alias("setting"))
+    return _SETTINGS.frame(spark, sf_dir).select("id", G.number_setting(c("text"), 0.0, 10.0, 0.25).alias("setting"))
 
 
 _SAID = Rows("id long, body string", [(-1, '{"type": "end"}'), (-2, " hello "), (-3, '{"text": "json", "role": "user", "type": "say"}'), (-4, "{broken"), (-5, '"quoted"'), (-6, "12"), (-7, "[1]"), (-8, "null"), (-9, " "), (-10, None), (-11, '{"text": ""}'), (-12, '{"text": 0}'),

@@ -10,7 +10,7 @@ from parchment.functions import text as T
 from parchment.operators import nested as N
 from parchment.operators import places
 from parchment.plans.documents import _markdown_sql
-from parchment.plans.inline import ODD_TEXTS, Rows
+from parchment.plans.inline import ODD_TEXTS, Beside, Rows
 from parchment.plans.reference import WIDE, query
 
 c = F.col
@@ -103,31 +103,31 @@ def recent_edits(spark, sf_dir):
     return texts(spark, sf_dir).select("doc_id", *(F.array_join(x, "|").alias(n) for n, x in (("replaced", T.replace_recent(nodes, "the ", "$0/")), ("deleted", T.delete_recent(nodes, "THE", F.lit(0))), ("less_word", T.without_recent_word(nodes)))))
 
 
-_FENCED = Rows("id long, text string", [(1, "```html\n<p>x</p>\n```"), (2, "```\n[\"a\", \" b \"]\n```"), (3, "say [\"x\", null, 3] now"), (4, "no array"), (5, None), (6, "[1,"), (7, "``` \nx```\n")])
+_FENCED = Beside(Rows("id long, text string", [(1, "```html\n<p>x</p>\n```"), (2, "```\n[\"a\", \" b \"]\n```"), (3, "say [\"x\", null, 3] now"), (4, "no array"), (5, None), (6, "[1,"), (7, "``` \nx```\n")]), "documents", "doc_id + 10", "CASE WHEN doc_id % 3 = 0 THEN concat('```json', chr(10), '[\"', lang, '\", \" ', source, ' \"]', chr(10), '```') ELSE concat('say ', lang, ' [', doc_id, '] now') END")
 
 
 @query(f"""WITH f AS (SELECT id, {trim_sql("regexp_replace(regexp_replace(coalesce(text, ''), '\\A```[a-zA-Z0-9_-]*\\n?', ''), '\\n?```\\z', '')")} AS plain FROM {_FENCED.sql}),
 j AS (SELECT *, regexp_extract(plain, '(\\[[\\s\\S]*\\])', 1) AS a FROM f)
 SELECT id, plain, CASE WHEN a <> '' THEN array_to_string(list_transform(json_extract_string(a, '$[*]'), lambda x: trim(coalesce(x, ''))), '|') END AS items FROM j""", session=True)
 def fenced_answers(spark, sf_dir):
-    return _FENCED.frame(spark).select("id", T.without_fence(c("text")).alias("plain"), F.array_join(T.listed(c("text")), "|").alias("items"))
+    return _FENCED.frame(spark, sf_dir).select("id", T.without_fence(c("text")).alias("plain"), F.array_join(T.listed(c("text")), "|").alias("items"))
 
 
-_LABELS = Rows("id long, label string, code string", [(1, "\U0001F1E8\U0001F1E6 Canada (+1)", "CA"), (2, "\U0001F1E9\U0001F1EA Germany (+49)", "DE"), (3, "Nowhere", "N"), (4, "X Land (north) (+7)", "XL"), (5, "", "+"), (6, "Côte (+225) d", "CI")])
+_LABELS = Beside(Rows("id long, label string, code string", [(1, "\U0001F1E8\U0001F1E6 Canada (+1)", "CA"), (2, "\U0001F1E9\U0001F1EA Germany (+49)", "DE"), (3, "Nowhere", "N"), (4, "X Land (north) (+7)", "XL"), (5, "", "+"), (6, "Côte (+225) d", "CI")]), "customer", "c_custkey + 10", "concat('F ', c_mktsegment, ' (+', c_nationkey, ')')", "c_mktsegment")
 
 
 @query(f"SELECT id, regexp_extract(label, '^(\\S+)', 1) AS flag, regexp_replace(regexp_replace(label, '^\\S+\\s', ''), '\\s*\\(\\+\\d+\\)\\z', '') AS country FROM {_LABELS.sql} WHERE contains(lower(label), 'an') OR contains(code, 'N')", session=True)
 def country_labels(spark, sf_dir):
-    d = _LABELS.frame(spark)
+    d = _LABELS.frame(spark, sf_dir)
     return d.where(F.lower("label").contains("an") | c("code").contains("N")).select("id", T.flag_of(c("label")).alias("flag"), T.country_of(c("label")).alias("country"))
 
 
-_ANSWERS = Rows("id long, message string, status int, bytes long", [(1, "File SIZE exceeded", 400, 1), (2, None, 413, 1048576), (3, "Payload too large", None, 3407872), (4, "not found", 404, 0), (5, "", None, 104857600), (6, "Maximum reached", 500, 157286)])
+_ANSWERS = Beside(Rows("id long, message string, status int, bytes long", [(1, "File SIZE exceeded", 400, 1), (2, None, 413, 1048576), (3, "Payload too large", None, 3407872), (4, "not found", 404, 0), (5, "", None, 104857600), (6, "Maximum reached", 500, 157286)]), "pages", "page_id + 10", "CASE WHEN page_id % 3 = 0 THEN 'Request TOO large' ELSE url END", "400 + page_id % 20", "length(html) * 37")
 
 
 @query(f"SELECT id, coalesce(status = 413, FALSE) OR regexp_matches(coalesce(message, ''), '(?i)cloudinary|file size|too large|payload too large|maximum|max size|limit exceeded') AS too_large, printf('%.1f MB', floor(bytes / 1048576.0 * 10 + 0.5) / 10) AS size FROM {_ANSWERS.sql}", session=True)
 def upload_answers(spark, sf_dir):
-    return _ANSWERS.frame(spark).select("id", T.is_size_error(c("message"), c("status")).alias("too_large"), D.megabytes(c("bytes")).alias("size"))
+    return _ANSWERS.frame(spark, sf_dir).select("id", T.is_size_error(c("message"), c("status")).alias("too_large"), D.megabytes(c("bytes")).alias("size"))
 
 
 #: Sounds and the shapes of a mouth.
@@ -213,12 +213,12 @@ def view_counts(t):
     return t("documents").select("doc_id", T.short_number(c("n_chars")).alias("views"))
 
 
-_CAPTURES = Rows("id long, texts array<string>, names string", [(1, [" a ", "", None, "b\n"], " x, ,y ,"), (2, [None, "  "], ""), (3, ["0123456789" * 3], "one"), (4, [], ",")])
+_CAPTURES = Beside(Rows("id long, texts array<string>, names string", [(1, [" a ", "", None, "b\n"], " x, ,y ,"), (2, [None, "  "], ""), (3, ["0123456789" * 3], "one"), (4, [], ",")]), "conversations", "conv_id * 1000 + turn + 10", ("array(role, null, text)", "[role, NULL, text]"), "concat(role, ', ,', turn)")
 
 
 @query(f"SELECT id, left(array_to_string(list_filter(list_transform(texts, lambda s: {trim_sql('''coalesce(s, '')''')}), lambda s: s <> ''), chr(10) || chr(10)), 25) AS captured, array_to_string(list_filter(list_transform(string_split(names, ','), lambda s: trim(s)), lambda s: s <> ''), '|') AS names FROM {_CAPTURES.sql}", session=True)
 def captured_texts(spark, sf_dir):
-    return _CAPTURES.frame(spark).select("id", T.joined_captures(c("texts"), 25).alias("captured"), F.array_join(T.trimmed_list(c("names")), "|").alias("names"))
+    return _CAPTURES.frame(spark, sf_dir).select("id", T.joined_captures(c("texts"), 25).alias("captured"), F.array_join(T.trimmed_list(c("names")), "|").alias("names"))
 
 
 @query("""WITH s AS (SELECT l_orderkey, least(255, round(l_quantity * 5))::INT AS v FROM lineitem) SELECT l_orderkey, round(least(1, 4 * sqrt(avg(((v - 128) / 128.0) ** 2))), 6) AS open FROM s GROUP BY l_orderkey""")
