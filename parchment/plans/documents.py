@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from parchment.functions import geometry as G
 from parchment.functions import text as T
-from parchment.operators import correction, documents, layout, search, strokes
+from parchment.operators import documents, layout, search, strokes
 from parchment.operators import relational as R
 from parchment.plans.reference import SPOKEN, WIDE, WORDS, query
 from parchment.streaming import events
@@ -117,12 +117,6 @@ def search_hits(t):
     return search.search_pages(t("documents"), "doc_id", "text", "and the")
 
 
-@query(None)
-def text_correction(t):
-    words = t("part").select(F.explode(T.word_list(F.lower("p_name"))).alias("word")).distinct()
-    return correction.correct_texts(t("part").select("p_partkey", F.replace("p_name", F.lit("dg"), F.lit("d g")).alias("name")), "p_partkey", "name", words)
-
-
 @query("""WITH RECURSIVE i AS (SELECT l_orderkey AS k, l_partkey::DOUBLE AS x1, l_partkey + 5.0 AS x2, l_quantity AS y1, l_quantity + 10 AS y2, l_returnflag AS text, l_linenumber AS ord, greatest(4, 0.6 * avg(10.0) OVER (PARTITION BY l_orderkey)) AS tolerance, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity, l_linenumber, l_partkey, l_returnflag) AS n FROM lineitem),
 f AS (SELECT k, n, y1 AS top, 0 AS line FROM i WHERE n = 1 UNION ALL SELECT i.k, i.n, CASE WHEN abs(i.y1 - f.top) > tolerance THEN i.y1 ELSE f.top END, f.line + (abs(i.y1 - f.top) > tolerance)::INT FROM f JOIN i ON i.k = f.k AND i.n = f.n + 1)
 SELECT i.k AS l_orderkey, line, min(y1) AS y1, max(y2) AS y2, min(x1) AS x1, max(x2)::DOUBLE AS x2, string_agg(text, ' ' ORDER BY x1, y1, ord, text) AS text FROM i JOIN f ON i.k = f.k AND i.n = f.n GROUP BY i.k, line""")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parchment.operators import documents, search
+from parchment.functions import text as T
+from parchment.operators import correction, documents, search
 from parchment.operators import page_index as P
 from parchment.plans.inline import Rows
 from parchment.plans.reference import WIDE, query
@@ -118,3 +119,61 @@ def list_trees(spark, sf_dir):
     p = c("p_partkey").cast("long")
     d = spark.read.parquet(f"{sf_dir}/part.parquet").select(p.alias("id"), F.when(p % 2 == 1, "list").otherwise("list_item").alias("kind"), F.array(3 * p - 1, 3 * p + 1).alias("child_ids"))
     return documents.list_tree(d.unionByName(_LISTS.frame(spark))).select("root", "item_id", F.array_join(F.transform("place", lambda x: x.cast("string")), ".").alias("place"), "depth")
+
+
+def _alike(x: str, y: str) -> str:
+    return f"CASE WHEN {x} = {y} THEN 0.0 WHEN {x} IN ('l', 'i', '1') AND {y} IN ('l', 'i', '1') OR {x} IN ('o', '0') AND {y} IN ('o', '0') THEN 0.4 ELSE 1.0 END"
+
+
+_SCANNED = "replace(replace(replace({}, 'rn', 'm'), 'vv', 'w'), 'cl', 'd')"
+_BARE = "regexp_replace({}, '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+#: The names of parts as scans and line breaks leave them, one way in ten.
+_SPOILT = """CASE p_partkey % 10 WHEN 0 THEN p_name WHEN 1 THEN concat(a, ' ', left(b, 2), ' ', substr(b, 3)) WHEN 2 THEN concat(a, ' ', left(b, 2), '-', chr(10), substr(b, 3)) WHEN 3 THEN concat(a, '-', chr(10), b) WHEN 4 THEN concat(a, ' ', b, 'x')
+ WHEN 5 THEN concat(a, '  ', b) WHEN 6 THEN concat(a, ' ', replace(replace(b, 'l', '1'), 'o', '0')) WHEN 7 THEN concat(left(b, 1), 'q', substr(b, 2)) WHEN 8 THEN concat(upper(a), ' ', b, '., (', b, ')') ELSE concat('ﬁne ', b) END"""
+
+
+@query(f"""WITH RECURSIVE n AS (SELECT p_partkey, p_name, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part), t AS (SELECT p_partkey, {_SPOILT} AS text FROM n),
+w AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS word FROM part), l AS (SELECT list(word) AS known FROM w),
+h AS (SELECT *, regexp_extract(text, '(\\p{{L}}+)-[ \\t]*\\n[ \\t]*(\\p{{Ll}}\\p{{L}}*)', 1) AS h1, regexp_extract(text, '(\\p{{L}}+)-[ \\t]*\\n[ \\t]*(\\p{{Ll}}\\p{{L}}*)', 2) AS h2 FROM t, l),
+j AS (SELECT *, h1 <> '' AS broken, h1 <> '' AND list_contains(known, lower(h1 || h2)) AS joins, CASE WHEN h1 = '' THEN text ELSE replace(text, h1 || '-' || chr(10) || h2, CASE WHEN list_contains(known, lower(h1 || h2)) THEN h1 || h2 ELSE h1 || '-' || h2 END) END AS joined FROM h),
+f AS (SELECT *, string_split(replace(regexp_replace(joined, '\\s+', ' ', 'g'), 'ﬁ', 'fi'), ' ') AS parts, contains(joined, 'ﬁ') AS lig, regexp_matches(joined, '\\s{{2,}}|\\t|\\n') AS wide FROM j),
+s AS (SELECT *, list_transform(parts, lambda x: lower({_BARE.format('x')})) AS bare, list_transform(parts, lambda x: lower(regexp_extract(x, '^[\\p{{L}}\\p{{N}}]*'))) AS heads, list_transform(parts, lambda x: regexp_replace(x, '^[\\p{{L}}\\p{{N}}]*', '')) AS tails FROM f),
+q AS (SELECT *, list_filter(range(1, len(parts)), lambda i: bare[i] <> '' AND heads[i + 1] <> '' AND list_contains(known, bare[i] || heads[i + 1]) AND NOT (list_contains(known, bare[i]) AND list_contains(known, heads[i + 1])))[1] AS k FROM s),
+o AS (SELECT *, CASE WHEN k IS NULL THEN parts ELSE list_concat(list_append(parts[1:k - 1], {_BARE.format('parts[k]')} || regexp_extract(parts[k + 1], '^[\\p{{L}}\\p{{N}}]*') || tails[k + 1]), parts[k + 2:]) END AS fixed FROM q),
+c AS (SELECT *, array_to_string(fixed, ' ') AS whole_text, list_filter(list_transform(fixed, lambda x: {_BARE.format('x')}), lambda x: x <> '' AND NOT list_contains(known, lower(x))) AS unknown, lower({_BARE.format("array_to_string(fixed, ' ')")}) AS whole, broken::INT + lig::INT + wide::INT + (k IS NOT NULL)::INT AS n FROM o),
+terms AS (SELECT DISTINCT term FROM (SELECT lower(unnest(unknown)) AS term FROM c UNION ALL SELECT whole FROM c WHERE n = 0) WHERE length(term) BETWEEN 4 AND 40), pairs AS (SELECT term, word, {_SCANNED.format('term')} AS x, {_SCANNED.format('word')} AS y FROM terms, w WHERE abs(length(term) - length(word)) <= floor(greatest(3, length(term) * 0.5))),
+dp AS (SELECT term, word, x, y, 0 AS i, list_transform(range(0, length(y) + 1), lambda v: v::DOUBLE) AS r FROM pairs UNION ALL SELECT term, word, x, y, i + 1, list_transform(range(0, length(y) + 1), lambda v: v + list_min(list_transform(range(0, v + 1), lambda u: (CASE WHEN u = 0 THEN i + 1 ELSE least(r[u + 1] + 1, r[u] + {_alike('substr(x, i + 1, 1)', 'substr(y, u, 1)')}) END) - u))) FROM dp WHERE i < length(x)),
+near AS (SELECT term, word, greatest(0, 1 - r[length(y) + 1] / greatest(length(term), length(word), 1)) AS sure FROM dp WHERE i = length(x)), best AS (SELECT term, arg_min(word, {{'a': -sure, 'b': word}}) AS word, max(sure) AS sure FROM near WHERE sure > 0 GROUP BY term),
+u AS (SELECT p_partkey, unnest(unknown) AS one, generate_subscripts(unknown, 1) AS place FROM c), g AS (SELECT p_partkey, list({{'word': word, 'sure': sure, 'place': place}} ORDER BY place) AS found FROM u JOIN best ON term = lower(one) WHERE sure >= 0.75 AND length(one) >= 4 GROUP BY p_partkey),
+z AS (SELECT c.*, coalesce(found, []) AS found, CASE WHEN n = 0 AND found IS NULL AND len(unknown) > 0 AND length(whole) BETWEEN 5 AND 40 AND best.sure >= 0.6 THEN best.word END AS guess, best.sure AS guess_sure FROM c LEFT JOIN g USING (p_partkey) LEFT JOIN best ON best.term = whole),
+y AS (SELECT *, guess IS NOT NULL AND guess_sure >= 0.9 AS sure_guess FROM z)
+SELECT p_partkey, CASE WHEN sure_guess THEN guess ELSE whole_text END AS corrected, round(confidence, 6) AS confidence, confidence < 0.9 AS uncertain, n + sure_guess::INT AS n_changes, change_types, candidates FROM (SELECT *,
+ CASE WHEN n > 0 OR sure_guess THEN least(CASE WHEN joins THEN 0.95 WHEN broken THEN 0.85 ELSE 1 END, CASE WHEN lig THEN 0.99 ELSE 1 END, CASE WHEN wide OR k IS NOT NULL THEN 0.97 ELSE 1 END, CASE WHEN sure_guess THEN guess_sure ELSE 1 END) WHEN len(found) > 0 THEN found[1].sure WHEN guess IS NOT NULL THEN guess_sure ELSE 1.0 END::DOUBLE AS confidence,
+ array_to_string(list_filter([CASE WHEN broken THEN 'hyphenation_repair' END, CASE WHEN lig THEN 'ligature_expansion' END, CASE WHEN wide THEN 'whitespace_repair' END, CASE WHEN k IS NOT NULL THEN 'split_word_repair' END, CASE WHEN sure_guess THEN 'fuzzy_dictionary_match' END], lambda x: x IS NOT NULL), '|') AS change_types,
+ CASE WHEN guess IS NOT NULL AND NOT sure_guess THEN guess ELSE array_to_string(list_transform(list_sort(list_transform(found, lambda x: {{'s': -x.sure, 'p': x.place, 'w': x.word}})), lambda x: x.w), '|') END AS candidates FROM y)""", session=True)
+def text_correction(spark, sf_dir):
+    """Names of parts with split words, hyphens at line breaks, wide blanks, ligatures and misread letters, corrected by the words of all names."""
+    n = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", F.split_part("p_name", F.lit(" "), F.lit(1)).alias("a"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("b"))
+    words = n.select(F.explode(T.word_list(F.lower("p_name"))).alias("word")).distinct()
+    d = correction.correct_texts(n.selectExpr("p_partkey", f"{_SPOILT} AS text"), "p_partkey", "text", words)
+    return d.withColumn("confidence", F.round("confidence", 6))
+
+
+_SAID = Rows("id long, text string", [(-1, "it was not there, and no one"), (-2, "thereand"), (-3, "THE-re\u00a0an d"), (-4, "therc  ancl"), (-5, "hypo there hyper and"), (-6, ""), (-7, "tnere, (ard) there. amd then"), (-8, "without there ant"), (-9, "tlnere vvnd thcre cnd")])
+_NEGATIONS = "['no', 'not', 'without', 'denies', 'negative', 'absent', 'never']"
+
+
+@query(f"""WITH RECURSIVE a AS (SELECT conv_id * 1000 + turn AS id, text FROM conversations UNION ALL SELECT * FROM {_SAID.sql}), s AS (SELECT id, regexp_replace(text, '{WIDE}+', ' ', 'g') AS flat FROM a WHERE text <> ''),
+l AS (SELECT id, lower(replace(flat, ' ', '')) AS compact, list_transform(regexp_extract_all(flat, '[\\p{{L}}\\p{{N}}][\\p{{L}}\\p{{N}}''-]*'), lambda x: lower(x)) AS words FROM s), p AS (SELECT *, unnest(range(1, len(words) + 1)) AS i FROM l), v AS (SELECT *, unnest(range(1, 9)) AS size FROM p),
+win AS (SELECT id, compact, i, size, words[i:i + size - 1] AS own, array_to_string(words[i:i + size - 1], '') AS joined FROM v WHERE i + size - 1 <= len(words)), near AS (SELECT * FROM win WHERE abs(length(joined) - 8) <= 4),
+texts AS (SELECT DISTINCT joined, {_SCANNED.format('joined')} AS y FROM near), dp AS (SELECT joined, y, 'thereand' AS x, 0 AS i, list_transform(range(0, length(y) + 1), lambda v: v::DOUBLE) AS r FROM texts UNION ALL SELECT joined, y, x, i + 1, list_transform(range(0, length(y) + 1), lambda v: v + list_min(list_transform(range(0, v + 1), lambda u: (CASE WHEN u = 0 THEN i + 1 ELSE least(r[u + 1] + 1, r[u] + {_alike('substr(x, i + 1, 1)', 'substr(y, u, 1)')}) END) - u))) FROM dp WHERE i < length(x)),
+sure AS (SELECT joined, greatest(0, 1 - r[length(y) + 1] / greatest(length(joined), 8)) AS sure FROM dp WHERE i = length(x)), surer AS (SELECT DISTINCT id FROM win WHERE contains(replace(compact, '-', ''), 'thereand') OR joined = 'thereand'),
+ok AS (SELECT id, i, size, sure, row_number() OVER (PARTITION BY id ORDER BY sure DESC, size, i) AS n FROM near JOIN sure USING (joined) WHERE sure >= 0.75 AND size <= 6 AND id NOT IN (SELECT id FROM surer) AND NOT list_has_any(own, {_NEGATIONS})),
+g AS (SELECT id, n, [{{'i': i, 'size': size, 'sure': sure}}] AS kept FROM ok WHERE n = 1 UNION ALL SELECT ok.id, ok.n, CASE WHEN len(list_filter(g.kept, lambda k: k.i < ok.i + ok.size AND ok.i < k.i + k.size)) > 0 THEN g.kept ELSE list_append(g.kept, {{'i': ok.i, 'size': ok.size, 'sure': ok.sure}}) END FROM g JOIN ok ON ok.id = g.id AND ok.n = g.n + 1),
+last AS (SELECT id, unnest(arg_max(kept, n)) AS k FROM g GROUP BY id) SELECT id, round(k.sure, 6) AS confidence, array_to_string(words[k.i:k.i + k.size - 1], '') AS letters FROM last JOIN l USING (id)""", session=True)
+def search_nearly(spark, sf_dir):
+    """What people said that is nearly 'there and' where nothing surer is found: the surest windows that do not overlap, by their letters."""
+    said = spark.read.parquet(f"{sf_dir}/conversations.parquet").select((c("conv_id") * 1000 + c("turn")).alias("id"), "text").unionByName(_SAID.frame(spark))
+    hits = search.search_pages(said, "id", "text", "there and").where("stage = 'fuzzy'")
+    words = F.regexp_extract_all(c("matched"), F.lit(r"[\p{L}\p{N}][\p{L}\p{N}'-]*"), F.lit(0))
+    return hits.select("id", F.round("confidence", 6).alias("confidence"), F.lower(F.array_join(words, "")).alias("letters"))
