@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from parchment.functions import geometry as G
 from parchment.functions import text as T
-from parchment.operators import documents, layout, search, strokes
+from parchment.operators import documents, search, strokes
 from parchment.operators import relational as R
 from parchment.plans.reference import SPOKEN, WIDE, WORDS, query
 from parchment.streaming import events
@@ -178,9 +178,3 @@ def pen_strokes(t):
     point = F.struct(c("l_linenumber").cast("double").alias("t"), c("l_quantity").alias("x"), (c("l_discount") * 100).alias("y"), F.lit(0.5).alias("pressure"))
     points = F.transform(F.sort_array(F.collect_list(point)), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["t"].alias("t"), p["pressure"].alias("pressure")))
     return t("lineitem").groupBy("l_orderkey").agg(points.alias("points")).select("l_orderkey", strokes.finish_strokes(c("points"), dynamic=True).alias("points"))
-
-
-@query(None)
-def page_layout(t):
-    x, y = c("l_partkey") % 400, c("l_quantity") * 12
-    return layout.page_layout(t("lineitem").select("l_orderkey", x.alias("x1"), (x + 40).alias("x2"), y.alias("y1"), (y + 10).alias("y2"), c("l_returnflag").alias("text"), c("l_linenumber").alias("ord")), ["l_orderkey"])
