@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
@@ -14,6 +15,10 @@ from parchment.functions import text as T
 from parchment.sources.scratch import new_path
 
 
+#: The state store on disk, of which each batch writes only what it changed.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def data_events(lines: DataFrame, line: str, schema: str, into: str = "event") -> DataFrame:
     """`data: {json}` lines parsed; other lines, the end mark and broken JSON go."""
     body = F.regexp_extract(F.col(line), r"^data: ?(.*)$", 1)
@@ -127,24 +132,40 @@ def told(events: DataFrame, keys: Sequence[str], ord: str, delta: Column, error:
     return rows.select(*keys, F.aggregate("_e", F.lit(""), step).alias("content"))
 
 
-def _numbers(key, batches, state: GroupState):
-    """State: the nouns of a document, and how many each place holds."""
-    seen, places, counts = state.get if state.exists else ([], [], [])
-    known, last = set(seen), dict(zip(places, counts))
-    out = []
-    for row in pd.concat(list(batches)).sort_values("ord", kind="stable").itertuples():
-        if row.noun not in known:
-            known.add(row.noun)
-            last[row.place] = last.get(row.place, 0) + 1
-            out.append((*key, row.place, row.noun, last[row.place]))
-    state.update((list(known), list(last), list(last.values())))
-    yield pd.DataFrame(out, columns=["key", "place", "noun", "num"])
+class _Numbers(StatefulProcessor):
+    """State of a document: its nouns, and how many each place holds, an entry each, so that a batch reads and writes only what it touches."""
+
+    def __init__(self, forget_ms: int | None):
+        self.forget_ms = forget_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", "noun string", "seen boolean", self.forget_ms)
+        self.counts = handle.getMapState("counts", "place string", "n long", self.forget_ms)
+
+    def handleInputRows(self, key, rows, timerValues):
+        first = pd.concat(list(rows)).sort_values("ord", kind="stable").drop_duplicates("noun")
+        counts, out = {}, []
+        for row in first.itertuples():
+            noun = (row.noun,)
+            if not self.seen.containsKey(noun):
+                self.seen.updateValue(noun, (True,))
+                if row.place not in counts:
+                    counts[row.place] = self.counts.getValue((row.place,))[0] if self.counts.containsKey((row.place,)) else 0
+                counts[row.place] += 1
+                out.append((*key, row.place, row.noun, counts[row.place]))
+        for place, n in counts.items():
+            self.counts.updateValue((place,), (n,))
+        yield pd.DataFrame(out, columns=["key", "place", "noun", "num"])
+
+    def close(self) -> None:
+        pass
 
 
-def numbered_nouns(stream: DataFrame, key: str, ord: str, place: Column, noun: str) -> DataFrame:
-    """The first sight of each noun of a document, numbered within its place (card and mode) as they come. The state of a document is its nouns."""
-    rows = stream.select(F.col(key).cast("long").alias("key"), F.col(ord).cast("long").alias("ord"), place.alias("place"), F.col(noun).alias("noun"))
-    return rows.groupBy("key").applyInPandasWithState(_numbers, "key long, place string, noun string, num long", "seen array<string>, places array<string>, counts array<long>", "append", GroupStateTimeout.NoTimeout)
+def numbered_nouns(stream: DataFrame, key: str, ord: str, place: Column, noun: str, forget_ms: int | None = None) -> DataFrame:
+    """The first sight of each noun of a document, numbered within its place (card and mode) as they come. The state of a document is its nouns, an entry each; forget_ms: how long
+    an entry lasts after it was written. Needs the store that run_available() sets."""
+    rows = stream.select(F.col(key).cast("long").alias("key"), F.col(ord).cast("long").alias("ord"), F.coalesce(place, F.lit("")).alias("place"), F.coalesce(noun, F.lit("")).alias("noun"))
+    return rows.groupBy("key").transformWithStateInPandas(_Numbers(forget_ms), "key long, place string, noun string, num long", "append", "none" if forget_ms is None else "processingTime")
 
 
 def _speeds(window: float):
@@ -172,6 +193,7 @@ def tracked(stream: DataFrame, key: str, t: str, ord: str, x: str, window: float
 def run_available(spark: SparkSession, path: str, transform: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """All that a Parquet path holds now, read as a stream, transformed and written as Parquet in the shared folder."""
     out = new_path(spark, "stream")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)  # keeps maps and lists of a key entry by entry
     source = spark.readStream.schema(spark.read.parquet(path).schema)
     # A stream reads folders; a single file is reached through its parent by name.
     parent, name = path.rstrip("/").rsplit("/", 1)
