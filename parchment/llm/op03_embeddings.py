@@ -184,7 +184,8 @@ def near_vectors(embeddings: DataFrame, vec_id: str = "vec_id", vector: str = "e
     Vectors are compared only where labels (whole numbers or texts) are equal and not null, and only with those of their own length.
     Unusable vectors (null, empty, zero, or with a null or non-finite component) and rows with a null id link with nothing.
     Equal vectors of a label are one class with a count; they are linked with each other. vec_id must be whole
-    numbers; rows with equal ids are vectors each for itself, and all of them get the largest number of links and the smallest component. Extra columns are ignored; an empty
+    numbers; an id that several rows have is one vertex: its rows get the largest number of links of their classes and the smallest component, where classes that
+    have the same smallest id are counted together. Extra columns are ignored; an empty
     table gives an empty table. A cell of more than part_rows vectors and guests is split into parts that are compared
     two by two, so no task holds more than twice that.
     """

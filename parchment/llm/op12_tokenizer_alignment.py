@@ -133,7 +133,7 @@ def token_table(docs: DataFrame, first: str, second: str, doc_id: str = "doc_id"
     return rows.select(F.monotonically_increasing_id().alias("row"), "*")
 
 
-def _batches(table, columns: tuple[int, int], lengths, kind: str, most: int = 1 << 20) -> Iterator[tuple[int, int, Batch]]:
+def _batches(table, columns: tuple[int, int], lengths, kind: str, most: int = 1 << 19) -> Iterator[tuple[int, int, Batch]]:
     """(from, to, alignment) of rows of a batch that together hold about `most` tokens."""
     a, b = (table.column(c) for c in columns)
     for p, q in batched(a, (pc.binary_length(a).to_numpy(zero_copy_only=False) // np.dtype(kind).itemsize).tolist(), most):
