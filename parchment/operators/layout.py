@@ -134,14 +134,14 @@ def blocks_of(items: list[Item]) -> tuple[list[float], list[tuple[Line, int | No
 
 def page_layout(items: DataFrame, page: Sequence[str]) -> DataFrame:
     """items (page keys, x1, x2, y1, y2, text, ord; y grows downward) to one row per block: page keys, place (reading order from 0),
-    column (null: as wide as the page), columns, gutters, x1, x2, y1, y2, text, n_words. Items without a place do not count; null
+    column (null: as wide as the page), columns, gutters, x1, x2, y1, y2, text, items (their ord, from left to right), n_words. Items without a place do not count; null
     texts are empty; extra columns go. One shuffle by page, which gathers a page's items in an array; then batches of pages go to Python."""
     kinds = ", ".join(f"`{k}` {items.schema[k].dataType.simpleString()}" for k in page)
     sides = ("x1", "x2", "y1", "y2")
 
     def run(batches):
         for batch in batches:
-            of, place, column, count, gutters, text = [], [], [], [], [], []
+            of, place, column, count, gutters, text, ords = [], [], [], [], [], [], []
             box: list[list] = [[], [], [], []]
             for row, own in enumerate(batch.column(len(page)).to_pylist()):
                 cuts, blocks = blocks_of([Item(**item) for item in own])
@@ -151,15 +151,16 @@ def page_layout(items: DataFrame, page: Sequence[str]) -> DataFrame:
                 count += [len(cuts) + 1] * len(blocks)
                 gutters += [cuts] * len(blocks)
                 text += [b.text() for b, _ in blocks]
+                ords += [[i.ord for i in b.items] for b, _ in blocks]
                 for k, side in enumerate(sides):
                     box[k] += [getattr(b, side) for b, _ in blocks]
             take = pa.array(of, pa.int64())
             columns = [*(batch.column(k).take(take) for k in range(len(page))), pa.array(place, pa.int32()), pa.array(column, pa.int32()), pa.array(count, pa.int32()), pa.array(gutters, pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(b, pa.float64()) for b in box), pa.array(text, pa.string())], [*page, "place", "column", "columns", "gutters", *sides, "text"])
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(b, pa.float64()) for b in box), pa.array(text, pa.string()), pa.array(ords, pa.list_(pa.int64()))], [*page, "place", "column", "columns", "gutters", *sides, "text", "items"])
 
     item = F.struct(*(F.col(n).cast("double").alias(n) for n in sides), F.coalesce("text", F.lit("")).alias("text"), F.col("ord").cast("long").alias("ord"))
     rows = items.where("x1 is not null and x2 is not null and y1 is not null and y2 is not null").groupBy(*page).agg(F.sort_array(F.collect_list(item)).alias("_items"))
-    done = rows.mapInArrow(run, f"{kinds}, place int, column int, columns int, gutters array<double>, x1 double, x2 double, y1 double, y2 double, text string")
+    done = rows.mapInArrow(run, f"{kinds}, place int, column int, columns int, gutters array<double>, x1 double, x2 double, y1 double, y2 double, text string, items array<long>")
     return done.withColumn("n_words", F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")))
 
 
@@ -167,3 +168,19 @@ def page_texts(items: DataFrame, page: Sequence[str]) -> DataFrame:
     """One row per page: page keys and text, the blocks in reading order, one line each. One more shuffle, of blocks."""
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("place", "text"))), lambda b: b["text"])
     return page_layout(items, page).groupBy(*page).agg(F.array_join(ordered, "\n").alias("text"))
+
+
+def segmented_layout(items: DataFrame, page: Sequence[str], display: DataFrame | None = None, scale: float = 1.0, shift: float = 0.0) -> DataFrame:
+    """One row per block: page keys, place, x, y, width, height, items (their ord), words, n_words, n_chars (of its words), gutters. What the blocks are is decided once, on items; where they are
+    drawn follows from `display`, the same items (page keys, ord, x1, x2, y1, y2) as they are seen: a block's box holds those of its items, or is its own where none of them is
+    seen. Gutters move by scale and shift. One more shuffle, of the items of blocks, if display is given."""
+    blocks = page_layout(items, page).withColumn("words", F.filter(F.split("text", r"\s+"), lambda w: w != ""))
+    sides = ("x1", "x2", "y1", "y2")
+    if display is not None:
+        keys = [*page, "place"]
+        seen = display.select(*page, F.col("ord").alias("_item"), *(F.col(n).cast("double").alias(f"_{n}") for n in sides))
+        boxes = blocks.select(*keys, F.explode("items").alias("_item")).join(seen, [*page, "_item"]).groupBy(*keys).agg(*((F.min if n.endswith("1") else F.max)(f"_{n}").alias(f"_{n}") for n in sides))
+        blocks = blocks.join(boxes, keys, "left").select(*page, "place", *(F.coalesce(f"_{n}", n).alias(n) for n in sides), "items", "words", "gutters")
+    size = lambda k: F.greatest(F.lit(0.0), F.col(f"{k}2") - F.col(f"{k}1"))
+    return blocks.select(*page, "place", F.col("x1").alias("x"), F.col("y1").alias("y"), size("x").alias("width"), size("y").alias("height"), "items", "words", F.size("words").alias("n_words"),
+                         F.length(F.array_join("words", "")).alias("n_chars"), F.transform("gutters", lambda g: g * scale + shift).alias("gutters"))

@@ -180,31 +180,51 @@ def search_nearly(spark, sf_dir):
     return hits.select("id", F.round("confidence", 6).alias("confidence"), F.lower(F.array_join(words, "")).alias("letters"))
 
 
-@query("""WITH RECURSIVE g AS (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS s, min(l_returnflag) AS flag FROM lineitem GROUP BY ALL), o AS (SELECT *, l_orderkey // 20 AS page, l_orderkey % 20 AS nth, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n, count(*) OVER (PARTITION BY l_orderkey) AS m FROM g),
+#: Blocks z of pages of twenty orders, not yet in reading order.
+_BLOCKS = """WITH RECURSIVE g AS (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS s, min(l_returnflag) AS flag FROM lineitem GROUP BY ALL), o AS (SELECT *, l_orderkey // 20 AS page, l_orderkey % 20 AS nth, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n, count(*) OVER (PARTITION BY l_orderkey) AS m FROM g),
 i AS (SELECT page, l_orderkey * 10 + n AS ord, CASE WHEN nth % 6 = 0 THEN (n - 1) * 70.0 WHEN n <= 3 THEN (n - 1) * 60.0 ELSE 330.0 + (n - 4) * 60 END AS x1, x1 + CASE WHEN nth % 6 = 0 THEN 60.0 ELSE 50.0 END AS x2, nth * 20.0 + s % 3 AS y1, y1 + 10.0 AS y2, CASE WHEN nth % 6 = 1 AND n = 4 AND m = 4 THEN 'iv' ELSE flag || n END AS text FROM o),
 r AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY y1, ord) AS k, greatest(4, 0.6 * avg(y2 - y1) OVER (PARTITION BY page)) AS tolerance FROM i),
 f AS (SELECT page, k, y1 AS top, 0 AS line FROM r WHERE k = 1 UNION ALL SELECT r.page, r.k, CASE WHEN abs(r.y1 - f.top) > tolerance THEN r.y1 ELSE f.top END, f.line + (abs(r.y1 - f.top) > tolerance)::INT FROM f JOIN r ON r.page = f.page AND r.k = f.k + 1),
 a AS (SELECT r.*, line FROM r JOIN f ON f.page = r.page AND f.k = r.k), l AS (SELECT page, line, min(y1) AS ly1, max(y2) AS ly2 FROM a GROUP BY ALL), h AS (SELECT page, avg(ly2 - ly1) AS height FROM l GROUP BY page),
 t AS (SELECT a.*, height, greatest(16, 1.7 * height) AS gap, max(x2) OVER (PARTITION BY a.page, line ORDER BY x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM a JOIN h USING (page)), u AS (SELECT *, sum(CASE WHEN reach IS NULL OR x1 > reach + gap THEN 1 ELSE 0 END) OVER (PARTITION BY page, line ORDER BY x1 ROWS UNBOUNDED PRECEDING) AS part FROM t),
-p AS (SELECT page, line, part, any_value(height) AS height, min(x1) AS x1, max(x2) AS x2, string_agg(text, '' ORDER BY x1) AS alone, string_agg(text, ' ' ORDER BY x1) AS text FROM u GROUP BY ALL), v AS (SELECT *, lag(x2) OVER (PARTITION BY page, line ORDER BY part) AS before, count(*) OVER (PARTITION BY page, line) AS parts FROM p),
+p AS (SELECT page, line, part, any_value(height) AS height, min(x1) AS x1, max(x2) AS x2, string_agg(text, '' ORDER BY x1) AS alone, string_agg(text, ' ' ORDER BY x1) AS text, list(ord ORDER BY x1) AS ords FROM u GROUP BY ALL), v AS (SELECT *, lag(x2) OVER (PARTITION BY page, line ORDER BY part) AS before, count(*) OVER (PARTITION BY page, line) AS parts FROM p),
 voters AS (SELECT page, count(*) AS n FROM v WHERE parts > 1 AND part = 1 GROUP BY page), votes AS (SELECT page, (before + x1) / 2 AS middle, x1 - before AS wide, floor((before + x1) / 2 / greatest(20, 2 * height) + 0.5) AS bucket FROM v WHERE before IS NOT NULL AND NOT (length(alone) <= 5 AND regexp_full_match(alone, '(?i)[ivxlcdm0-9]+'))),
 b AS (SELECT votes.page, bucket, count(*) AS n, avg(middle) AS middle, avg(wide) AS wide FROM votes GROUP BY votes.page, bucket), b2 AS (SELECT b.*, row_number() OVER (PARTITION BY b.page ORDER BY wide DESC, bucket) AS rank, first_value(b.n) OVER (PARTITION BY b.page ORDER BY wide DESC, bucket) AS most FROM b JOIN voters USING (page) WHERE b.n >= greatest(3, ceil(voters.n * 0.3))),
 gut AS (SELECT page, list(middle ORDER BY middle) AS gutters FROM b2 WHERE rank = 1 OR rank = 2 AND n >= 0.6 * most GROUP BY page), c AS (SELECT u.*, coalesce(gutters, []) AS gutters, len(list_filter(coalesce(gutters, []), lambda g: (x1 + x2) / 2 > g)) AS col FROM u LEFT JOIN gut USING (page)),
-cl AS (SELECT page, line, col, any_value(gutters) AS gutters, any_value(height) AS height, min(x1) AS x1, max(x2) AS x2, min(y1) AS y1, max(y2) AS y2, list({'x': x1, 't': text}) AS texts FROM c WHERE len(gutters) > 0 GROUP BY ALL),
+cl AS (SELECT page, line, col, any_value(gutters) AS gutters, any_value(height) AS height, min(x1) AS x1, max(x2) AS x2, min(y1) AS y1, max(y2) AS y2, list({'x': x1, 't': text, 'o': ord}) AS texts FROM c WHERE len(gutters) > 0 GROUP BY ALL),
 jn AS (SELECT x.page, x.line, x.col AS ca, y.col AS cb FROM cl x JOIN cl y ON x.page = y.page AND x.line = y.line AND y.col = x.col + 1 WHERE y.x1 - x.x2 < greatest(16, 1.7 * x.height) AND abs(x.y1 + x.y2 - y.y1 - y.y2) / 2 <= greatest(4, 0.6 * x.height)),
 own AS (SELECT cl.*, coalesce(jn.ca, cl.col) AS home, jn.ca IS NOT NULL AS joined FROM cl LEFT JOIN jn ON jn.page = cl.page AND jn.line = cl.line AND cl.col IN (jn.ca, jn.cb)),
 bl AS (SELECT page, any_value(gutters) AS gutters, any_value(height) AS height, min(x1) AS x1, max(x2) AS x2, min(y1) AS y1, max(y2) AS y2, home AS col, bool_or(joined) AS joined, list_sort(flatten(list(texts))) AS texts FROM own GROUP BY page, line, home),
-w AS (SELECT page, gutters, x1, x2, y1, y2, CASE WHEN joined OR len(list_filter(gutters, lambda g: x1 < g - greatest(4, 0.5 * height) AND x2 > g + greatest(4, 0.5 * height))) > 0 THEN NULL ELSE col END AS col, array_to_string(list_transform(texts, lambda q: q.t), ' ') AS text FROM bl
- UNION ALL SELECT p.page, [], p.x1, p.x2, ly1, ly2, 0, p.text FROM p JOIN l USING (page, line) WHERE p.page NOT IN (SELECT page FROM gut)),
-z AS (SELECT *, sum((col IS NULL)::INT) OVER (PARTITION BY page ORDER BY y1, x1 ROWS UNBOUNDED PRECEDING) AS zone FROM w)
-SELECT page, (row_number() OVER (PARTITION BY page ORDER BY zone, coalesce(col, -1), y1, x1) - 1)::INT AS place, col::INT AS "column", len(gutters) + 1 AS columns, coalesce(gutters[1], 0) AS gutter, x1, x2, y1, y2, text, len(string_split(text, ' ')) AS n_words FROM z""")
+w AS (SELECT page, gutters, x1, x2, y1, y2, CASE WHEN joined OR len(list_filter(gutters, lambda g: x1 < g - greatest(4, 0.5 * height) AND x2 > g + greatest(4, 0.5 * height))) > 0 THEN NULL ELSE col END AS col, array_to_string(list_transform(texts, lambda q: q.t), ' ') AS text, list_transform(texts, lambda q: q.o) AS ords FROM bl
+ UNION ALL SELECT p.page, [], p.x1, p.x2, ly1, ly2, 0, p.text, p.ords FROM p JOIN l USING (page, line) WHERE p.page NOT IN (SELECT page FROM gut)),
+z AS (SELECT *, sum((col IS NULL)::INT) OVER (PARTITION BY page ORDER BY y1, x1 ROWS UNBOUNDED PRECEDING) AS zone FROM w)"""
+_ORDER = "(row_number() OVER (PARTITION BY page ORDER BY zone, coalesce(col, -1), y1, x1) - 1)::INT"
+
+
+@query(f"""{_BLOCKS}
+SELECT page, {_ORDER} AS place, col::INT AS "column", len(gutters) + 1 AS columns, coalesce(gutters[1], 0) AS gutter, x1, x2, y1, y2, text, len(string_split(text, ' ')) AS n_words FROM z""")
 def page_layout(t):
     """Orders as lines of pages of twenty: two columns, some lines across both, some with a page number at the right."""
+    return layout.page_layout(_order_items(t), ["page"]).select("page", "place", "column", "columns", F.coalesce(F.get("gutters", F.lit(0)), F.lit(0.0)).alias("gutter"), "x1", "x2", "y1", "y2", "text", "n_words")
+
+
+def _order_items(t):
     g = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("s"), F.min("l_returnflag").alias("flag"))
     order = Window.partitionBy("l_orderkey")
     o = g.select("*", (c("l_orderkey") % 20).alias("nth"), F.row_number().over(order.orderBy("l_linenumber")).alias("n"), F.count("*").over(order).alias("m"))
     whole = c("nth") % 6 == 0
     x1 = F.when(whole, (c("n") - 1) * 70.0).when(c("n") <= 3, (c("n") - 1) * 60.0).otherwise(330.0 + (c("n") - 4) * 60)
     text = F.when((c("nth") % 6 == 1) & (c("n") == 4) & (c("m") == 4), "iv").otherwise(F.concat("flag", c("n").cast("string")))
-    items = o.select(F.floor(c("l_orderkey") / 20).alias("page"), x1.alias("x1"), (x1 + F.when(whole, 60.0).otherwise(50.0)).alias("x2"), (c("nth") * 20.0 + c("s") % 3).alias("y1"), (c("nth") * 20.0 + c("s") % 3 + 10).alias("y2"), text.alias("text"), (c("l_orderkey") * 10 + c("n")).alias("ord"))
-    return layout.page_layout(items, ["page"]).select("page", "place", "column", "columns", F.coalesce(F.get("gutters", F.lit(0)), F.lit(0.0)).alias("gutter"), "x1", "x2", "y1", "y2", "text", "n_words")
+    return o.select(F.floor(c("l_orderkey") / 20).alias("page"), x1.alias("x1"), (x1 + F.when(whole, 60.0).otherwise(50.0)).alias("x2"), (c("nth") * 20.0 + c("s") % 3).alias("y1"), (c("nth") * 20.0 + c("s") % 3 + 10).alias("y2"), text.alias("text"), (c("l_orderkey") * 10 + c("n")).alias("ord"))
+
+
+@query(f"""{_BLOCKS}, q AS (SELECT page, {_ORDER} AS place, x1, x2, y1, y2, text, ords, gutters FROM z), d AS (SELECT page, ord, 1.5 * x1 + 7 AS x1, 1.5 * x2 + 7 AS x2, 1.5 * y1 + 9 AS y1, 1.5 * y2 + 9 AS y2 FROM i WHERE ord % 3 <> 0),
+e AS (SELECT page, place, unnest(ords) AS ord FROM q), m AS (SELECT e.page, place, min(x1) AS x1, max(x2) AS x2, min(y1) AS y1, max(y2) AS y2 FROM e JOIN d ON d.page = e.page AND d.ord = e.ord GROUP BY e.page, place)
+SELECT q.page, q.place, coalesce(m.x1, q.x1) AS x, coalesce(m.y1, q.y1) AS y, coalesce(m.x2 - m.x1, q.x2 - q.x1) AS width, coalesce(m.y2 - m.y1, q.y2 - q.y1) AS height, array_to_string(ords, ',') AS items, len(string_split(text, ' ')) AS n_words, length(replace(text, ' ', '')) AS n_chars, coalesce(1.5 * gutters[1] + 7, 0) AS gutter
+ FROM q LEFT JOIN m ON m.page = q.page AND m.place = q.place""")
+def segmented_layout(t):
+    """The same pages as they are seen at half as large again, a third of the items out of sight."""
+    items = _order_items(t)
+    seen = items.where("ord % 3 <> 0").select("page", "ord", *((c(n) * 1.5 + d).alias(n) for n, d in (("x1", 7), ("x2", 7), ("y1", 9), ("y2", 9))))
+    d = layout.segmented_layout(items, ["page"], seen, 1.5, 7.0)
+    return d.select("page", "place", "x", "y", "width", "height", F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("items"), "n_words", "n_chars", F.coalesce(F.get("gutters", F.lit(0)), F.lit(0.0)).alias("gutter"))
