@@ -174,3 +174,16 @@ def loudness(samples: Column) -> Column:
     """How open a mouth is for a block of samples (0 to 255): four times their root mean square, 1 at most."""
     square = F.aggregate(samples, F.lit(0.0), lambda s, x: s + F.pow((x - 128) / 128, F.lit(2)))
     return F.least(F.lit(1.0), 4 * F.sqrt(square / F.size(samples)))
+
+
+#: The class of a mark between pages, and the tag of a line in texts extracted the old way.
+PAGE_MARK, LINE_TAG = "draft_page_break_marker", "DIV"
+
+
+def legacy_extraction(nodes: Column) -> Column:
+    """Whether the top nodes of a draft (array of struct: tag, null for text; classes array<string>; text; nested, whether it holds lists, tables, quotes or headings) are those of a text
+    extracted the old way: there are some, and each is blank text, a mark between pages or a plain line."""
+    blank = lambda n: F.trim(F.translate(F.coalesce(n["text"], F.lit("")), "\t\r\n\u00a0", "    ")) == ""
+    mark = lambda n: F.coalesce(F.array_contains(n["classes"], PAGE_MARK), F.lit(False))
+    plain = lambda n: (n["tag"] == LINE_TAG) & ~F.coalesce(n["nested"], F.lit(False))
+    return F.coalesce((F.size(nodes) > 0) & F.forall(nodes, lambda n: F.when(n["tag"].isNull(), blank(n)).otherwise(mark(n) | plain(n))), F.lit(False))

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from parchment.functions import text as T
-from parchment.operators import correction, documents, layout, search
+from parchment.operators import correction, documents, layout, nested, search
 from parchment.operators import page_index as P
 from parchment.plans.inline import Rows
 from parchment.plans.reference import WIDE, query
-from parchment.plans.texts import ALL_TEXTS, texts
+from parchment.plans.texts import ALL_TEXTS, texts, trim_sql
 
 c = F.col
 
@@ -228,3 +228,31 @@ def segmented_layout(t):
     seen = items.where("ord % 3 <> 0").select("page", "ord", *((c(n) * 1.5 + d).alias(n) for n, d in (("x1", 7), ("x2", 7), ("y1", 9), ("y2", 9))))
     d = layout.segmented_layout(items, ["page"], seen, 1.5, 7.0)
     return d.select("page", "place", "x", "y", "width", "height", F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("items"), "n_words", "n_chars", F.coalesce(F.get("gutters", F.lit(0)), F.lit(0.0)).alias("gutter"))
+
+
+@query("""WITH RECURSIVE i AS (SELECT l_orderkey AS k, (l_partkey % 400)::DOUBLE AS x, l_quantity AS y, 30.0 AS w, 8.0 + 4 * (l_linenumber % 3) AS h FROM lineitem), r AS (SELECT *, y + h / 2 AS c, row_number() OVER (PARTITION BY k ORDER BY y, x, h) AS n FROM i),
+f AS (SELECT k, n, [{'c': c, 'h': h, 'x1': x, 'x2': x + w, 'y1': y, 'y2': y + h, 'n': 1}] AS ls FROM r WHERE n = 1 UNION ALL SELECT k, n, CASE WHEN p IS NULL THEN list_append(ls, {'c': c, 'h': h, 'x1': x, 'x2': x + w, 'y1': y, 'y2': y + h, 'n': 1})
+ ELSE list_transform(ls, lambda l, j: CASE WHEN j = p THEN {'c': l.c, 'h': l.h, 'x1': least(l.x1, x), 'x2': greatest(l.x2, x + w), 'y1': least(l.y1, y), 'y2': greatest(l.y2, y + h), 'n': l.n + 1} ELSE l END) END
+ FROM (SELECT r.*, ls, nullif(list_position(list_transform(ls, lambda l: abs(l.c - r.c) < greatest(r.h, l.h) * 0.5), TRUE), 0) AS p FROM f JOIN r ON r.k = f.k AND r.n = f.n + 1)),
+l AS (SELECT k, arg_max(ls, n) AS ls FROM f GROUP BY k), u AS (SELECT k, unnest(ls) AS l, generate_subscripts(ls, 1) - 1 AS line FROM l) SELECT k, line, l.x1 AS x1, l.x2 AS x2, l.y1 AS y1, l.y2 AS y2, l.n AS n FROM u""")
+def centre_lines(t):
+    d = t("lineitem").select(c("l_orderkey").alias("k"), (c("l_partkey") % 400).alias("x"), c("l_quantity").alias("y"), F.lit(30.0).alias("w"), (c("l_linenumber") % 3 * 4 + 8).alias("h"))
+    return documents.centre_lines(d, ["k"])
+
+
+@query("""WITH n AS (SELECT conv_id, CASE WHEN turn % 5 = 3 THEN NULL WHEN role = 'user' OR conv_id % 3 > 0 THEN 'DIV' ELSE 'UL' END AS tag, CASE WHEN turn % 7 = 2 THEN 'draft_page_break_marker' ELSE 'x' END AS class, CASE WHEN conv_id % 5 = 0 THEN text ELSE chr(10) || ' ' END AS text, conv_id % 4 = 1 AND turn = 1 AS nested FROM conversations)
+SELECT conv_id, bool_and(CASE WHEN tag IS NULL THEN trim(replace(text, chr(10), ' ')) = '' ELSE class <> 'x' OR tag = 'DIV' AND NOT nested END) AS legacy FROM n GROUP BY conv_id UNION ALL SELECT -1, FALSE""", session=True)
+def legacy_drafts(spark, sf_dir):
+    """Drafts whose top nodes are made of the turns of a conversation, and one without any."""
+    tag = F.when(c("turn") % 5 == 3, F.lit(None)).when((c("role") == "user") | (c("conv_id") % 3 > 0), "DIV").otherwise("UL")
+    kind = F.array(F.when(c("turn") % 7 == 2, "draft_page_break_marker").otherwise("x"))
+    node = F.struct(tag.alias("tag"), kind.alias("classes"), F.when(c("conv_id") % 5 == 0, c("text")).otherwise("\n ").alias("text"), ((c("conv_id") % 4 == 1) & (c("turn") == 1)).alias("nested"))
+    d = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id").agg(F.collect_list(node).alias("nodes"))
+    none = spark.createDataFrame([(-1, [])], d.schema)
+    return d.unionByName(none).select("conv_id", nested.legacy_extraction(c("nodes")).alias("legacy"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, lower(replace(text, '\u0130', 'i\u0307')) AS low FROM {ALL_TEXTS}) SELECT doc_id, {trim_sql(f"regexp_replace(regexp_replace(low, '[.,;:]+\\z', ''), '{WIDE}+', ' ', 'g')")} AS key FROM t""", session=True)
+def selection_keys(spark, sf_dir):
+    """The keys of selected texts: final punctuation goes before white space is tidied."""
+    return texts(spark, sf_dir).select("doc_id", T.selection_key(c("text")).alias("key"))
