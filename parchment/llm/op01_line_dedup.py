@@ -11,6 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from parchment.llm.op06_token_counts import as_bytes
@@ -182,6 +183,6 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chu
     touched = F.exists("units", lambda u: F.col("again") | ~u.first)
     joined = joined.withColumn("touched", F.coalesce(touched, F.lit(False)))
     some = joined.where("touched").select(as_bytes(f"own.{text}").alias("t"), "units", "own", "again")
-    schema = f"own {some.schema['own'].dataType.simpleString()}, kept string, nc int, nl int"
+    schema = StructType([some.schema["own"], *StructType.fromDDL("kept string, nc int, nl int").fields])  # not as text: columns may have any name
     done = some.mapInArrow(strip, schema).unionByName(joined.where("not touched").select("own", F.lit(None).cast("string").alias("kept"), F.lit(0).alias("nc"), F.lit(0).alias("nl")))
     return done.select(*(F.coalesce("kept", f"own.{c}").alias(c) if c == text else F.col(f"own.`{c}`").alias(c) for c in own.columns), F.col("nc").alias(chunks), F.col("nl").alias(lines))

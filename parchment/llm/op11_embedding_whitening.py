@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SCALE, SHIFT = 64, 1_000_000
 FAR = float(1 << 50)  # entries beyond it, once scaled, count as it
@@ -260,6 +261,6 @@ def whiten(vectors: DataFrame, fitted: dict[int, Whitening], embedding: str = "e
                     [batch.column(0).take(pa.array(at)), whitened, pa.array([w.n] * len(x), pa.int64()), pa.array([d if d < limit else None for d in deviation], pa.decimal128(38)),
                      pa.array([shares] * len(x), pa.list_(pa.float64())), pa.array([w.identity_error] * len(x), pa.float64())], ["own", *added])
 
-    schema = f"own {rows.schema['own'].dataType.simpleString()}, whitened array<double>, n long, deviation decimal(38,0), shares array<double>, identity_error double"
+    schema = StructType([rows.schema["own"], *StructType.fromDDL("whitened array<double>, n long, deviation decimal(38,0), shares array<double>, identity_error double").fields])
     done = rows.mapInArrow(apply, schema)
     return done.select(*(F.col(f"own.`{c}`").alias(c) for c in own), *added)
