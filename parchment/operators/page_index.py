@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from parchment.functions.matching import INVISIBLE, SPACE, fold
 from parchment.functions.text import once
@@ -121,7 +122,7 @@ def with_maps(pages: DataFrame, text: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), *indexed(batch.column(1).to_pylist())], ["own", *added])
 
-    done = rows.mapInArrow(run, f"own {rows.schema['own'].dataType.simpleString()}, normalized string, compact string, normal_map {SEGMENTS}, compact_map {SEGMENTS}")
+    done = rows.mapInArrow(run, StructType([rows.schema["own"], *StructType.fromDDL(f"normalized string, compact string, normal_map {SEGMENTS}, compact_map {SEGMENTS}").fields]))
     return done.select(*(F.col(f"own.`{c}`").alias(c) for c in own), *added)
 
 
@@ -168,7 +169,7 @@ def mapped(pages: DataFrame, ranges: str, maps: Sequence[str], into: str) -> Dat
             offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pairs)], ["own", "mapped"])
 
-    done = rows.mapInArrow(run, f"own {rows.schema['own'].dataType.simpleString()}, mapped array<struct<start:int,end:int>>")
+    done = rows.mapInArrow(run, StructType([rows.schema["own"], *StructType.fromDDL("mapped array<struct<start:int,end:int>>").fields]))
     return done.select(*(F.col(f"own.`{c}`").alias(c) for c in own), F.col("mapped").alias(into))
 
 
@@ -201,7 +202,7 @@ def with_items(pages: DataFrame, ranges: str, items: str, into: str) -> DataFram
             inner = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), found)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), inner)], ["own", "found"])
 
-    done = rows.mapInArrow(run, f"own {rows.schema['own'].dataType.simpleString()}, found array<array<struct<item:int,local_start:int,local_end:int,length:int>>>")
+    done = rows.mapInArrow(run, StructType([rows.schema["own"], *StructType.fromDDL("found array<array<struct<item:int,local_start:int,local_end:int,length:int>>>").fields]))
     return done.select(*(F.col(f"own.`{c}`").alias(c) for c in own), F.col("found").alias(into))
 
 

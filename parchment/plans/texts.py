@@ -34,7 +34,7 @@ def wide_blanks(spark, sf_dir):
 
 @query(f"""WITH n AS (SELECT doc_id, text, translate(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(text, '[\\s\\x0B\\p{{Z}}]+', ' ', 'g'), '[\\x{{200B}}\\x{{200C}}\\x{{200D}}\\x{{FEFF}}\\x{{00AD}}]', '', 'g'),
  'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), 'ﬅ', 'st'), 'ﬆ', 'st'), '…', '...'), '‘’‚‛“”„‟–—−', repeat(chr(39), 4) || repeat('"', 4) || '---') AS normalized FROM {ALL_TEXTS})
-SELECT doc_id, length(text) AS n_original, normalized, lower(normalized) AS folded, len(regexp_extract_all(normalized, '[\\p{{L}}\\p{{N}}][\\p{{L}}\\p{{N}}''-]*')) AS n_tokens,
+SELECT doc_id, length(text) AS n_original, normalized, lower(replace(normalized, '\u0130', 'i\u0307')) AS folded, len(regexp_extract_all(normalized, '[\\p{{L}}\\p{{N}}][\\p{{L}}\\p{{N}}''-]*')) AS n_tokens,
  len(list_filter(list_transform(string_split(regexp_replace(regexp_replace(normalized, '{WIDE}+', ' ', 'g'), '([.!?]) ([A-Z(])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda s: {trim_sql('s')}), lambda s: s <> '')) AS n_chunks FROM n""", session=True)
 def page_index(spark, sf_dir):
     d = places.page_index(texts(spark, sf_dir), "text", ["doc_id"])
