@@ -18,9 +18,9 @@ def append(rows: DataFrame, path: str, into: Mapping[str, Column] | None = None)
 
 def corrected(log: DataFrame, changes: DataFrame, key: str, deleted: str | None = None) -> DataFrame:
     """A log after corrections by key: a change replaces the columns it has (null: keeps), and goes if `deleted` holds. Keys without a
-    row change nothing. changes: at most one row for a key."""
+    row change nothing. Rows of one key in the log are changed alike. changes: one change for a key; equal ones count once."""
     columns = [c for c in changes.columns if c not in (key, deleted)]
-    both = log.join(changes.select(key, F.lit(True).alias("_hit"), *(F.col(c).alias(f"_new_{c}") for c in columns), (F.coalesce(deleted, F.lit(False)) if deleted else F.lit(False)).alias("_gone")), key, "left")
+    both = log.join(changes.distinct().select(key, F.lit(True).alias("_hit"), *(F.col(c).alias(f"_new_{c}") for c in columns), (F.coalesce(deleted, F.lit(False)) if deleted else F.lit(False)).alias("_gone")), key, "left")
     return both.where("not coalesce(_gone, false)").select(*(F.coalesce(f"_new_{c}", c).alias(c) if c in columns else F.col(c) for c in log.columns))
 
 
