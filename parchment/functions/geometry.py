@@ -30,12 +30,18 @@ def scaled_rect(box: Column, scale: Column) -> Column:
     return F.struct((F.least(box[0], box[2]) * scale).alias("left"), (F.least(box[1], box[3]) * scale).alias("top"), (F.abs(box[2] - box[0]) * scale).alias("width"), (F.abs(box[3] - box[1]) * scale).alias("height"))
 
 
+def length(dx: Column, dy: Column) -> Column:
+    """Of a vector. The root of the sum of squares, as SQL has it: hypot differs from it in the last place, which decides for points just at a radius. pow by 2 is
+    the plain product and, unlike it, takes dx and dy once."""
+    return F.sqrt(F.pow(dx, F.lit(2.0)) + F.pow(dy, F.lit(2.0)))
+
+
 def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     """From a point to a segment, which may be a point."""
     dx, dy = bx - ax, by - ay
-    length = dx * dx + dy * dy
-    t = F.when(length == 0, 0.0).otherwise(clamp(((px - ax) * dx + (py - ay) * dy) / F.nullif(length, F.lit(0.0)), 0.0, 1.0))
-    return F.hypot(px - (ax + t * dx), py - (ay + t * dy))
+    square = dx * dx + dy * dy
+    t = F.when(square == 0, 0.0).otherwise(clamp(((px - ax) * dx + (py - ay) * dy) / F.nullif(square, F.lit(0.0)), 0.0, 1.0))
+    return length(px - (ax + t * dx), py - (ay + t * dy))
 
 
 def number_setting(text: Column, low: float, high: float, default: float) -> Column:

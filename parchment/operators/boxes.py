@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from parchment.functions.geometry import affine_product, clamp, segment_distance
+from parchment.functions.geometry import affine_product, clamp, length, segment_distance
 
 #: Kinds of shapes by how they are hit, the share of the radius that counts in precise mode, and the shape of a
 #: highlight: its least width, and where it stands by the size of the letters.
@@ -112,12 +112,12 @@ def hit_by(shape: Column, x: Column, y: Column, radius: Column) -> Column:
     segment, frames by their box, others by their place. Missing numbers are 0."""
     n = lambda k: F.coalesce(shape[k], F.lit(0.0))
     points = shape["points"]
-    pen = F.exists(points, lambda p: F.hypot(p["x"] - x, p["y"] - y) <= radius) | F.coalesce(stroke_distance(points, x, y) <= radius, F.lit(False))
+    pen = F.exists(points, lambda p: length(p["x"] - x, p["y"] - y) <= radius) | F.coalesce(stroke_distance(points, x, y) <= radius, F.lit(False))
     line = segment_distance(x, y, n("x1"), n("y1"), n("x2"), n("y2")) <= radius
     right, bottom = n("x") + n("w"), n("y") + n("h")
     to = lambda v, a, b: F.least(F.greatest(v, F.least(a, b)), F.greatest(a, b))
-    frame = F.hypot(to(x, n("x"), right) - x, to(y, n("y"), bottom) - y) <= radius
-    place = F.hypot(F.coalesce(shape["x"], shape["x1"], F.lit(0.0)) - x, F.coalesce(shape["y"], shape["y1"], F.lit(0.0)) - y) <= radius
+    frame = length(to(x, n("x"), right) - x, to(y, n("y"), bottom) - y) <= radius
+    place = length(F.coalesce(shape["x"], shape["x1"], F.lit(0.0)) - x, F.coalesce(shape["y"], shape["y1"], F.lit(0.0)) - y) <= radius
     kind = shape["type"]
     return F.when(kind.isin(*PENS) & points.isNotNull(), pen).when(kind.isin(*LINES), line).when(kind.isin(*FRAMES), frame).otherwise(place)
 
@@ -128,7 +128,7 @@ def untouched_points(points: Column, x: Column, y: Column, radius: Column) -> Co
     def keep(p: Column, i: Column) -> Column:
         before, after = F.get(points, i - 1), F.get(points, i + 1)
         near = lambda a, b: F.coalesce(segment_distance(x, y, a["x"], a["y"], b["x"], b["y"]) <= radius, F.lit(False))
-        return ~((F.hypot(p["x"] - x, p["y"] - y) <= radius) | near(before, p) | near(p, after))
+        return ~((length(p["x"] - x, p["y"] - y) <= radius) | near(before, p) | near(p, after))
 
     return F.filter(points, keep)
 
@@ -145,7 +145,7 @@ def erased(shapes: DataFrame, shape: str, x: Column, y: Column, radius: Column,
 
 def kept_runs(points: Column, x: Column, y: Column, radius: Column) -> Column:
     """What is left of a stroke: runs of two or more points in a row further than radius away; the whole stroke if no point is nearer."""
-    far = lambda p: F.hypot(p["x"] - x, p["y"] - y) > radius
+    far = lambda p: length(p["x"] - x, p["y"] - y) > radius
     none = F.array().cast("array<struct<x:double,y:double>>")
     start = F.struct(F.array().cast("array<array<struct<x:double,y:double>>>").alias("runs"), none.alias("open"))
     close = lambda acc: F.when(F.size(acc["open"]) > 0, F.concat(acc["runs"], F.array(acc["open"]))).otherwise(acc["runs"])
