@@ -123,7 +123,7 @@ def needs_correction(text: Column) -> Column:
     """A dictation with words that fill pauses, four very short words in a row, or fourteen words."""
     key = dictation_key(text)
     filled = F.lower(text).rlike(f"(?<![A-Za-z0-9_])({FILLERS})(?![A-Za-z0-9_])")
-    return F.coalesce((stripped(text) != "") & (filled | key.rlike(r"(?i)(?<![a-z0-9_])[a-z]{1,2}(?:\s+[a-z]{1,2}){3,}(?![a-z0-9_])") | (words(key) >= 14)), F.lit(False))
+    return F.coalesce((stripped(text) != "") & (filled | key.rlike(r"(?i)(?<![a-z0-9_])[a-z]{1,2}(?:\s+[a-z]{1,2}){3}(?![a-z0-9_])") | (words(key) >= 14)), F.lit(False))
 
 
 def set_similarity(a: Column, b: Column) -> Column:
