@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -49,15 +50,13 @@ SELECT o.form, o.doc_id, a AS start_at, b AS end_at, os AS from_at, oe AS to_at,
  FROM o LEFT JOIN lo ON lo.doc_id = o.doc_id AND wide > 0 AND os < start + wide AND oe > start GROUP BY ALL""", session=True)
 def page_ranges(spark, sf_dir):
     """Ranges of the normalized and of the compact text of each page, in the original and in its items (lines)."""
-    pages = P.with_maps(texts(spark, sf_dir).unionByName(FORMS.frame(spark)), "text").withColumn("items", P.line_items(c("text")))
-    out = None
-    for form, text, maps in (("normal", "normalized", ("normal_map",)), ("compact", "compact", ("compact_map", "normal_map"))):
-        size = F.length(text)
-        starts = F.filter(F.sequence(F.lit(0), size, F.lit(53)), lambda a: a < size)
-        given = pages.withColumn("given", F.transform(starts, lambda a: F.struct(a.alias("start"), F.least(size, a + 1 + a * 7 % 61).alias("end"))))
-        rows = P.with_items(P.mapped(given.select("doc_id", "items", "given", *maps), "given", maps, "found"), "found", "items", "i")
-        rows = rows.select(F.lit(form).alias("form"), "doc_id", F.explode(F.arrays_zip("given", "found", "i")).alias("z")).select("form", "doc_id", "z.*")
-        out = rows if out is None else out.unionByName(rows)
+
+    def steps(sizes):
+        counts = -(-sizes // 53)
+        a = (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)) * 53
+        return counts, a, np.minimum(np.repeat(sizes, counts), a + 1 + a * 7 % 61)
+
+    out = P.located(_pages(spark, sf_dir), "text", steps).withColumnRenamed("items", "i")
     first, last = F.get("i", F.lit(0)), F.try_element_at("i", F.lit(-1))
     return out.select("form", "doc_id", c("given.start").alias("start_at"), c("given.end").alias("end_at"), c("found.start").alias("from_at"), c("found.end").alias("to_at"), F.size("i").alias("n_items"), first["item"].alias("first_item"), last["item"].alias("last_item"), first["local_start"].alias("first_from"), last["local_end"].alias("last_to"))
 
