@@ -237,7 +237,7 @@ def hits_with_items(hits: DataFrame, pages: DataFrame, key: str, items: str) ->
     own = [c for c in hits.columns if c != key]
     packed = hits.groupBy(key).agg(F.collect_list(F.struct(*own)).alias("hits"))
     rows = packed.join(pages.select(key, F.col(items).alias("page_items")), key)
-    found = with_items(rows.withColumn("ranges", F.transform("hits", lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end")))), "ranges", "page_items", "items")
+    found = with_items(rows.withColumn("ranges", F.transform("hits", lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end")))), "ranges", "page_items", "items", keep=[key, "hits"])
     return found.select(key, F.explode(F.arrays_zip("hits", "items")).alias("_z")).select(key, "_z.hits.*", "_z.items")
 
 
