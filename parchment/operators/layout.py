@@ -13,10 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parchment.operators.documents import LEAST_TOLERANCE, SHARE
+from parchment.operators.page_index import list_sizes, slices
 
 #: Least width of a gutter, and by mean height; least width of a bucket of votes, and by mean height; least votes, and
 #: their share of the lines with gaps; share of the winner's votes for a second gutter; least margin, and by mean height.
 GUTTER, BUCKET, VOTES, SECOND, MARGIN = (16.0, 1.7), (20.0, 2.0), (3, 0.3), 0.6, (4.0, 0.5)
+#: Fixed value: items of pages that are Python objects at once.
+ITEMS = 20_000
 #: Fixed value: what stands alone at a tab stop, in at most five characters.
 PAGE_NUMBER = re.compile("[ivxlcdm0-9]+", re.IGNORECASE)
 
@@ -135,12 +138,13 @@ def blocks_of(items: list[Item]) -> tuple[list[float], list[tuple[Line, int | No
 def page_layout(items: DataFrame, page: Sequence[str]) -> DataFrame:
     """items (page keys, x1, x2, y1, y2, text, ord; y grows downward) to one row per block: page keys, place (reading order from 0),
     column (null: as wide as the page), columns, gutters, x1, x2, y1, y2, text, items (their ord, from left to right), n_words. Items without a place do not count; null
-    texts are empty; extra columns go. One shuffle by page, which gathers a page's items in an array; then batches of pages go to Python."""
+    texts are empty; extra columns go. One shuffle by page, which gathers a page's items in an array; then pages go to Python, at most ITEMS items
+    of them (or one page) at once."""
     kinds = ", ".join(f"`{k}` {items.schema[k].dataType.simpleString()}" for k in page)
     sides = ("x1", "x2", "y1", "y2")
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, list_sizes(whole.column(len(page))), ITEMS)):
             of, place, column, count, gutters, text, ords = [], [], [], [], [], [], []
             box: list[list] = [[], [], [], []]
             for row, own in enumerate(batch.column(len(page)).to_pylist()):
