@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
 from parchment.functions.geometry import affine_product, clamp, length, segment_distance
@@ -17,6 +22,8 @@ FRAMES = ("rect", "circle", "underline", "strikethrough", "drawTextSelection", "
 PRECISE = 0.45
 LEAST_WIDTH, ASCENT, HEIGHT = 2.0, 0.85, 1.05
 ITEM_ASCENT, ITEM_DESCENT = 0.8, 0.2
+#: How many cells of a grid wide a square is in which points and strokes meet, and how many pairs of them are compared at once.
+BLOCK, PAIRS = 8, 1 << 18
 
 
 def intersect(a: Column, b: Column) -> Column:
@@ -72,15 +79,43 @@ def dealt_segments(strokes: DataFrame, stroke: str, radius: Column, size: float)
     return rows.withColumn("_cy", F.explode(_cells(F.least(near, far) - F.col("_r"), F.greatest(near, far) + F.col("_r"), size)))
 
 
+def first_near(px: np.ndarray, py: np.ndarray, ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """For each point the place of the first segment within its radius, -1 if there is none. A stretch of segments at a time, for the points that no earlier one hits."""
+    out = np.full(len(px), -1)
+    left, at = np.arange(len(px)), 0
+    while len(left) and at < len(ax):
+        to = at + max(1, PAIRS // len(left))
+        x, y, dx, dy = ax[at:to], ay[at:to], bx[at:to] - ax[at:to], by[at:to] - ay[at:to]
+        square = dx * dx + dy * dy
+        u, v = px[left, None], py[left, None]
+        t = np.clip(((u - x) * dx + (v - y) * dy) / np.where(square == 0, 1.0, square), 0.0, 1.0)
+        ex, ey = u - (x + t * dx), v - (y + t * dy)
+        near = np.sqrt(ex * ex + ey * ey) <= radius[at:to]
+        hit = near.any(axis=1)
+        out[left[hit]] = at + near[hit].argmax(axis=1)
+        left, at = left[~hit], to
+    return out
+
+
 def topmost_stroke(points: DataFrame, strokes: DataFrame, keys: Sequence[str], point: Sequence[str], stroke: str, z: str, id: str, radius: Column, size: float, into: str = "hit") -> DataFrame:
-    """Each point with the id of the topmost stroke within `radius` (a column of strokes, or a number); null if there is none. An equi-join of points and
-    segments on squares of a grid, so a point meets the segments near it."""
+    """Each point with the id of the topmost stroke within `radius` (a column of strokes, or a number); null if there is none. Points and segments meet in squares of BLOCK by BLOCK
+    cells of a grid, a segment once in each that it passes; there the segments are tried from the topmost down, each for the points that none above it hits."""
     x, y = map(F.col, point)
-    at = points.withColumn("_cx", F.floor(x / size)).withColumn("_cy", F.floor(y / size))
-    near = at.join(dealt_segments(strokes.select(*keys, stroke, z, id), stroke, radius, size), [*keys, "_cx", "_cy"])
-    hit = near.where(segment_distance(x, y, *map(F.col, ("ax", "ay", "bx", "by"))) <= F.col("_r"))
-    best = hit.groupBy(*keys, "point_id").agg(F.max_by(id, z).alias(into))
-    return points.join(best, [*keys, "point_id"], "left")
+    wide, own = size * BLOCK, points.columns
+    at = points.withColumns({"_px": x.cast("double"), "_py": y.cast("double"), "_cx": F.floor(x / wide), "_cy": F.floor(y / wide)})
+    drawn = strokes.where(reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in [*keys, z])))
+    segments = dealt_segments(drawn.select(*keys, F.col(stroke), F.col(z).alias("_z"), F.col(id).alias("_id")), stroke, radius, wide)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.take(pc.sort_indices(right, [("_z", "descending")]))
+        numbers = lambda t, names: (t[n].to_numpy().astype(float) for n in names)
+        hit = first_near(*numbers(left, ("_px", "_py")), *numbers(right, ("ax", "ay", "bx", "by", "_r")))
+        ids = right["_id"].take(pa.array(hit, mask=hit < 0)) if right.num_rows else pa.nulls(left.num_rows, right.schema.field("_id").type)
+        return left.select(own).append_column(into, ids)
+
+    square = [*keys, "_cx", "_cy"]
+    done = StructType([*points.schema.fields, StructField(into, strokes.schema[id].dataType)])
+    return at.groupBy(*square).cogroup(segments.groupBy(*square)).applyInArrow(run, done)
 
 
 def spans_under(strokes: DataFrame, spans: DataFrame, keys: Sequence[str], points: str, box: str, size: float = 256.0) -> DataFrame:
