@@ -71,11 +71,17 @@ def upsert(rows: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return rows.join(changes.select(key), key, "left_anti").select(*rows.columns).unionByName(changes.select(*rows.columns))
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a table that was only read, by keys, in eight partitions for each that it is read in and no fewer than a shuffle has: what one task holds then does not grow with the table."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, 8 * rows.rdd.getNumPartitions()), *keys)
+
+
 def grid(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Cells (row, col, row_span, col_span, ord) expanded to grid places; the later cell wins, owner marks its corner."""
     at = cells.withColumn("r", F.explode(F.sequence(F.col("row"), F.col("row") + F.col("row_span") - 1))).withColumn("c", F.explode(F.sequence(F.col("col"), F.col("col") + F.col("col_span") - 1)))
-    at = at.groupBy(*keys, "r", "c").agg(F.max_by(F.struct("ord", "row", "col"), "ord").alias("o"))
-    return at.select(*keys, "r", "c", F.col("o.ord").alias("ord"), ((F.col("r") == F.col("o.row")) & (F.col("c") == F.col("o.col"))).alias("owner"))
+    owner = (F.col("r") == F.col("row")) & (F.col("c") == F.col("col"))
+    return at.groupBy(*keys, "r", "c").agg(F.max("ord").alias("ord"), F.max_by(owner, "ord").alias("owner"))  # by hash: a struct would be sorted
 
 
 def last_titles(rows: DataFrame, id: Column, title: Column, order: Sequence[str]) -> DataFrame:

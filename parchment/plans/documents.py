@@ -89,7 +89,7 @@ _CELLS = "SELECT DISTINCT l_orderkey AS table_id, l_linenumber % 3 AS row, l_lin
 
 @query(f"WITH c AS ({_CELLS}), e AS (SELECT table_id, row + i AS r, col + j AS c, ord, i = 0 AND j = 0 AS owner FROM c, range(2) a(i), range(2) b(j)) SELECT table_id, r, c, max(ord) AS ord, max_by(owner, ord) AS owner FROM e GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY table_id, r, c"))
 def grid_expand(t):
-    cells = t("lineitem").select(c("l_orderkey").alias("table_id"), (c("l_linenumber") % 3).alias("row"), (c("l_linenumber") % 2).alias("col"), c("l_linenumber").alias("ord"), F.lit(2).alias("row_span"), F.lit(2).alias("col_span"))
+    cells = R.spread(t("lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey").select(c("l_orderkey").alias("table_id"), (c("l_linenumber") % 3).alias("row"), (c("l_linenumber") % 2).alias("col"), c("l_linenumber").alias("ord"), F.lit(2).alias("row_span"), F.lit(2).alias("col_span"))
     return R.grid(cells.distinct(), ["table_id"])
 
 
