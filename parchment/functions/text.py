@@ -366,9 +366,17 @@ def escaped_html(text: Column) -> Column:
 
 def draft_paragraphs(markdown: Column) -> Column:
     """Markdown as blocks of escaped lines; one empty block for nothing."""
-    parts = F.filter(F.transform(F.split(plain_markdown(markdown), r"\n{2,}"), stripped), lambda p: p != "")
-    blocks = F.transform(parts, lambda p: F.concat(F.lit("<div>"), F.array_join(F.transform(F.split(p, "\n"), escaped_html), "<br />"), F.lit("</div>")))
-    return F.when(F.size(parts) > 0, F.array_join(blocks, "")).otherwise("<div><br></div>")
+    return once(plain_markdown(markdown), draft_blocks)
+
+
+def draft_blocks(plain: Column) -> Column:
+    """draft_paragraphs() of Markdown that has lost its marks."""
+
+    def blocks(parts: Column) -> Column:
+        divs = F.transform(parts, lambda p: F.concat(F.lit("<div>"), F.array_join(F.transform(F.split(p, "\n"), escaped_html), "<br />"), F.lit("</div>")))
+        return F.when(F.size(parts) > 0, F.array_join(divs, "")).otherwise("<div><br></div>")
+
+    return once(F.filter(F.transform(F.split(plain, r"\n{2,}"), stripped), lambda p: p != ""), blocks)
 
 
 def flag_of(label: Column) -> Column:
@@ -432,8 +440,7 @@ def arabic_share(html: Column) -> Column:
 
 def markdown_counts(markdown: Column) -> Column:
     """struct(words, chars) of Markdown without its marks."""
-    s = plain_markdown(markdown)
-    return F.struct(words(s).alias("words"), F.length(s).alias("chars"))
+    return once(plain_markdown(markdown), lambda s: F.struct(words(s).alias("words"), F.length(s).alias("chars")))
 
 
 def trimmed_list(text: Column, by: str = ",") -> Column:

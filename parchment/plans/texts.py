@@ -69,8 +69,8 @@ _MD = _markdown_sql().replace("FROM documents", f"FROM {ALL_TEXTS}")
 SELECT doc_id, len(list_filter(regexp_split_to_array(plain, '{WIDE}+'), lambda w: w <> '')) AS words, length(plain) AS chars,
  CASE WHEN len(parts) > 0 THEN array_to_string(list_transform(parts, lambda s: '<div>' || replace(replace(replace(replace(s, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10), '<br />') || '</div>'), '') ELSE '<div><br></div>' END AS html FROM l""", session=True)
 def draft_html(spark, sf_dir):
-    d = texts(spark, sf_dir).select("doc_id", T.markdown_counts(c("text")).alias("n"), T.draft_paragraphs(c("text")).alias("html"))
-    return d.select("doc_id", "n.words", "n.chars", "html")
+    d = texts(spark, sf_dir).select("doc_id", T.plain_markdown(c("text")).alias("plain"))  # once for all that follows from it
+    return d.select("doc_id", T.words(c("plain")).alias("words"), F.length("plain").alias("chars"), T.draft_blocks(c("plain")).alias("html"))
 
 
 _RECENT = "(CASE WHEN list_contains(taken, TRUE) THEN len(nodes) + 1 - list_position(list_reverse(taken), TRUE) END)"
