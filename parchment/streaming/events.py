@@ -145,12 +145,13 @@ class _Numbers(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         first = pd.concat(list(rows)).sort_values("ord", kind="stable").drop_duplicates("noun")
         counts, out = {}, []
+        known, counted = self.seen.exists(), self.counts.exists()  # of a new document nothing is looked up
         for row in first.itertuples():
             noun = (row.noun,)
-            if not self.seen.containsKey(noun):
+            if not (known and self.seen.containsKey(noun)):
                 self.seen.updateValue(noun, (True,))
                 if row.place not in counts:
-                    counts[row.place] = self.counts.getValue((row.place,))[0] if self.counts.containsKey((row.place,)) else 0
+                    counts[row.place] = self.counts.getValue((row.place,))[0] if counted and self.counts.containsKey((row.place,)) else 0
                 counts[row.place] += 1
                 out.append((*key, row.place, row.noun, counts[row.place]))
         for place, n in counts.items():
