@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from parchment.llm.op06_token_counts import as_bytes
-from parchment.llm.shared import cut, row_key
+from parchment.llm.shared import cut, portions, row_key
 
 LEAST, MOST, MASK = 2, 16, 1  # lines in a chunk; a boundary follows one window in MASK + 1
 LONG = 50  # a line of more words is a chunk of its own
@@ -119,7 +119,7 @@ def repeated_chunks(rows: DataFrame, extend: bool = False) -> DataFrame:
     kind = rows.schema["doc"].dataType.simpleString()
 
     def hashed(batches):
-        for batch in batches:
+        for batch in portions(batches, 0):
             key = [u[3] for t in batch.column(0) for u in units_of(t.as_py(), extend)]
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(map(slot_of, key), pa.int32())], ["key", "slot"])
 
@@ -127,7 +127,7 @@ def repeated_chunks(rows: DataFrame, extend: bool = False) -> DataFrame:
 
     def explode(batches):
         bits = twice.value
-        for batch in batches:
+        for batch in portions(batches, 3):
             row, size, out = [], [], [[], [], [], [], []]
             for i, t in enumerate(batch.column(3)):
                 t = t.as_py()
@@ -170,7 +170,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chu
     joined = joined.withColumn("again", F.row_number().over(Window.partitionBy("d", "e").orderBy(order)) > 1).select("own", "again", "units")
 
     def strip(batches):
-        for batch in batches:
+        for batch in portions(batches, 0):
             kept, n_chunks, n_lines = [], [], []
             for t, units, again in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 units = [u for u in units if again or not u["first"]]

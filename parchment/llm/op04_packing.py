@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from parchment.llm.op06_token_counts import as_bytes, encoder, learn, pretokens, reading, worker_memo
-from parchment.llm.shared import Memo, cut
+from parchment.llm.shared import Memo, cut, portions
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), by falling length
 
@@ -123,7 +123,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
         encode = encoder(tokenizer)
         ids = worker_memo(("ids", tokenizer), lambda: Memo(None))
         tail = packed_ids([end])
-        for batch in batches:
+        for batch in portions(batches, 1):
             out: list[list] = [[], [], [], [], []]
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = pretokens(data.as_py(), how)

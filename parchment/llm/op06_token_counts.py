@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parchment.llm.shared import Memo
+from parchment.llm.shared import Memo, portions
 
 _WORKER: dict = {}
 
@@ -23,6 +23,7 @@ def worker_memo(key, make):
     """The memo of this name in this Python worker; memos of other operators are dropped, so that one is held at a time."""
     for k in [k for k in _WORKER if isinstance(k, tuple) and k != key]:
         del _WORKER[k]
+        pa.default_memory_pool().release_unused()
     if key not in _WORKER:
         _WORKER[key] = make()
     return _WORKER[key]
@@ -160,7 +161,7 @@ def token_counts(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
     def count(batches):
         encode = encoder(tokenizer)
         tier, rest = table.value, worker_memo(("lengths", tokenizer), lambda: Memo(None))
-        for batch in batches:
+        for batch in portions(batches, 2):
             out = []
             for text in batch.column(2):
                 text = text.as_py()

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parchment.llm.op06_token_counts import as_bytes, worker_memo
-from parchment.llm.shared import Memo, components, cut
+from parchment.llm.shared import Memo, components, cut, portions
 
 BANDS, ROWS = 32, 7  # at similarity 0.85 a pair is missed with chance (1 - 0.85^7)^32 = 4e-6
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -69,7 +69,7 @@ def band_keys(items: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def word_memo() -> Memo:
-    return worker_memo(("words",), lambda: Memo(xxhash.xxh3_64_intdigest, 500_000))
+    return worker_memo(("words",), lambda: Memo(xxhash.xxh3_64_intdigest))
 
 
 def sketched(docs: DataFrame, doc_id: str, text: str, bands: int, rows: int) -> DataFrame:
@@ -78,7 +78,7 @@ def sketched(docs: DataFrame, doc_id: str, text: str, bands: int, rows: int) ->
     def run(batches):
         memo = word_memo()
         with np.errstate(over="ignore"):
-            for batch in batches:
+            for batch in portions(batches, 1):
                 n, digest, keys = [], [], []
                 for t in batch.column(1):
                     items = shingle_set(t.as_py(), memo)
@@ -104,7 +104,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         memo, last = word_memo(), (None, None)
         with np.errstate(over="ignore"):
-            for batch in batches:
+            for batch in portions(batches, 2, 3):
                 keep = []
                 for a, ta, tb in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
                     if last[0] != a:
@@ -187,7 +187,7 @@ def gaps_to_pivot(docs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         memo, last = word_memo(), (None, None)
         with np.errstate(over="ignore"):
-            for batch in batches:
+            for batch in portions(batches, 4, 5):
                 n, m, near, gap = [], [], [], []
                 for pivot, t, p in zip(batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
                     if last[0] != pivot:

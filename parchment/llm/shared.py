@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parchment.operators.page_index import slices, text_bytes
+
 #: The word class of the contracts is the complement of these six characters; bytes.split() parts at exactly them.
 BLANKS = r"\x20\x09-\x0D"
+#: Bytes of text that a Python worker turns into objects at once.
+PORTION = 1 << 22
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,11 +56,17 @@ def row_key(docs: DataFrame, doc_id: str, text: str) -> tuple[Column, Column]:
     return F.xxhash64(none, doc_id, content), F.xxhash64(content, F.lit("second"), none, doc_id)
 
 
+def portions(batches: Iterator[pa.RecordBatch], *texts: int) -> Iterator[pa.RecordBatch]:
+    """Batches in slices whose texts (the columns of these numbers) have at most PORTION bytes, or of one row: what is made of the rows of a batch grows with a slice."""
+    for batch in batches:
+        yield from slices(batch, sum(text_bytes(batch.column(k)) for k in texts), PORTION)
+
+
 class Memo(dict):
     """A dict that computes what it lacks. Call trim() between batches: with more than `most` entries it forgets the half that came last;
     what is frequent comes early and stays."""
 
-    def __init__(self, compute, most: int = 1_000_000):
+    def __init__(self, compute, most: int = 250_000):
         super().__init__()
         self.compute, self.most = compute, most
 
