@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from parchment.functions.geometry import affine_product, clamp, length, segment_distance
@@ -24,6 +24,8 @@ LEAST_WIDTH, ASCENT, HEIGHT = 2.0, 0.85, 1.05
 ITEM_ASCENT, ITEM_DESCENT = 0.8, 0.2
 #: How many cells of a grid wide a square is in which points and strokes meet, and how many pairs of them are compared at once.
 BLOCK, PAIRS = 8, 1 << 18
+#: Boxes of a key that are summed up in one group, and into how many columns and rows at most the boxes of a larger key are dealt.
+GROUP, BANDS = 1 << 20, 512
 
 
 def intersect(a: Column, b: Column) -> Column:
@@ -49,6 +51,104 @@ def box_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], a_box: str, b_box
     return hit.where((corner("x") == F.col("_cx")) & (corner("y") == F.col("_cy"))).drop("_cx", "_cy")
 
 
+def sums_below(u: np.ndarray, v: np.ndarray, weights: list[np.ndarray], x: np.ndarray, y: np.ndarray, sides: tuple[str, str] = ("left", "left")) -> np.ndarray:
+    """For each (x, y) how many points (u, v) lie below it on both axes, and the sums of their weights; "right": or level with it. A wavelet matrix over the ranks of v
+    of the points by u: (points + questions) times the bits of a rank, whatever the number of pairs."""
+    order = np.argsort(u, kind="stable")
+    far = np.searchsorted(u[order], x, sides[0])
+    level = np.sort(v)
+    bound = np.searchsorted(level, y, sides[1])
+    rank = np.searchsorted(level, v)[order]
+    weights = [w[order] for w in weights]
+    near = np.zeros_like(far)
+    out = np.zeros((1 + len(weights), len(x)), np.int64)
+    for bit in reversed(range(len(u).bit_length())):
+        high = (rank >> bit & 1).astype(bool)
+        low = np.r_[0, np.cumsum(~high)]
+        a, b, up = low[near], low[far], (bound >> bit & 1).astype(bool)
+        split = np.r_[np.flatnonzero(~high), np.flatnonzero(high)]
+        rank, weights = rank[split], [w[split] for w in weights]
+        out[0] += np.where(up, b - a, 0)
+        for total, w in zip(out[1:], weights):
+            along = np.r_[0, np.cumsum(w)]
+            total += np.where(up, along[b] - along[a], 0)
+        near, far = np.where(up, low[-1] + near - a, a), np.where(up, low[-1] + far - b, b)
+    return out
+
+
+def box_sums(a: DataFrame, b: DataFrame, keys: Sequence[str], a_box: str, b_box: str, id: str, values: dict[str, Column], size: float, group: int = GROUP) -> DataFrame:
+    """What box_pairs(a, b) gives summed up by b's `id`, without the pairs: id, n, and the sums of the `values` of a (whole numbers). A box of a meets one of b if
+    it begins before that ends and does not end before that begins, so on each axis those that begin before, less those that end before. Both axes make four sums
+    over the points below one. Keys of up to `group` rows are a group each. Of larger ones the axes are cut at quantiles; what lies in the column of a point, and
+    what lies in its row in the columns before, is summed in groups of one column or row, all before both from counts of cells. A value at a cut has a column of its own, in
+    which nothing is below another, so equal values make no large group. Boxes of a that end before they begin and those of b without extent are joined in pairs."""
+    names, ends, high = list(values), ("_xl", "_xr", "_yl", "_yr"), ("_xr", "_yr")
+    left = {"_xl": "left", "_yl": "left", "_xr": "right", "_yr": "right"}
+    total = [f"_s{k}" for k in range(1 + len(names))]
+
+    def corners(box: str, order: Sequence[int]) -> list[Column]:
+        c = F.col(box)
+        at = (c["x"], c["x"] + c["w"], c["y"], c["y"] + c["h"])
+        return [at[k].cast("double").alias(n) for k, n in zip(order, ends)]
+
+    kind = b.schema[id].dataType
+    own = [F.coalesce(v.cast("long"), F.lit(0)).alias(n) for v, n in zip(values.values(), total[1:])]
+    boxes = a.select(*keys, *corners(a_box, (0, 1, 2, 3)), F.lit(False).alias("_b"), F.lit(None).cast(kind).alias("_id"), *own)
+    frames = b.select(*keys, *corners(b_box, (1, 0, 3, 2)), F.lit(True).alias("_b"), F.col(id).alias("_id"), *(F.lit(0).cast("long").alias(n) for n in total[1:]))
+    rows = boxes.unionAll(frames).where(reduce(lambda p, q: p & q, (F.col(n).isNotNull() for n in (*keys, *ends))))
+    plain = F.when(F.col("_b"), (F.col("_xl") > F.col("_xr")) & (F.col("_yl") > F.col("_yr"))).otherwise((F.col("_xl") <= F.col("_xr")) & (F.col("_yl") <= F.col("_yr")))
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.max(~plain).alias("_odd"))
+    most, odd = sizes.agg(F.max("_n"), F.max("_odd")).first()
+    some, sums = rows.where(plain) if odd else rows, StructType([StructField("_id", kind), *(StructField(n, LongType()) for n in total)])
+
+    def summed(p: pa.Table, q: pa.Table, corner: tuple[str, str], of: tuple[str, str] | None = None) -> np.ndarray:
+        sign = 1 if (corner[0] == "_xl") == (corner[1] == "_yl") else -1
+        u, v = of or corner
+        numbers = lambda t, n: t[n].to_numpy()
+        return sign * sums_below(numbers(p, u), numbers(p, v), [numbers(p, n) for n in total[1:]], numbers(q, u), numbers(q, v), ("left" if of else left[u], left[v]))
+
+    def run(t: pa.Table) -> pa.Table:
+        side = t["_side"][0].as_py() if "_side" in t.schema.names else ""
+        p, q = t.filter(pc.invert(t["_b"])), t.filter(t["_b"])
+        found = [summed(p, q, (x, y), (f"_c{x}", y) if side in ("_yl", "_yr") else None) for x in ("_xl", "_xr") for y in ("_yl", "_yr") if side in ("", x, y)]
+        return pa.table([q["_id"], *map(pa.array, sum(found))], ["_id", *total])
+
+    if (most or 0) <= group:
+        found = some.groupBy(*keys).applyInArrow(run, sums)
+    else:
+        large = F.broadcast(sizes.where(F.col("_n") > group).select(*keys))
+        bands = min(BANDS, -(-2 * most // group))
+        cuts = some.join(large, list(keys)).groupBy(*keys).agg(*(F.array_distinct(F.percentile_approx(n, [k / bands for k in range(1, bands)], 10_000)).alias(f"_q{n}") for n in ends))
+        place = lambda n: F.when(F.col("_b") & F.lit(n in high), 2 * F.size(F.filter(f"_q{n}", lambda c: c <= F.col(n)))).otherwise(2 * F.size(F.filter(f"_q{n}", lambda c: c < F.col(n))) + F.array_contains(f"_q{n}", F.col(n)).cast("int"))
+        dealt_out = some.join(cuts, list(keys)).withColumns({f"_c{n}": place(n) for n in ends}).drop(*(f"_q{n}" for n in ends))
+        parts = F.array(*(F.struct(F.lit(n).alias("_side"), F.col(f"_c{n}").alias("_part")) for n in ends))
+        within = dealt_out.withColumn("_to", F.explode(F.filter(parts, lambda s: s["_part"] % 2 == 0))).select("*", "_to.*").drop("_to")
+        pair = F.explode(F.array(*(F.struct(F.lit(x).alias("_x"), F.lit(y).alias("_y"), F.col(f"_c{x}").alias("_u"), F.col(f"_c{y}").alias("_v")) for x in ("_xl", "_xr") for y in ("_yl", "_yr"))))
+        corner = dealt_out.select(*keys, "_b", "_id", *total[1:], pair.alias("_to")).select("*", "_to.*").drop("_to")
+        cell = [*keys, "_x", "_y", "_u", "_v"]
+        cells = corner.groupBy(*cell, "_b").agg(F.count("*").alias(total[0]), *(F.sum(n).alias(n) for n in total[1:]))
+
+        def before(t: pa.Table) -> pa.Table:
+            p, q = t.filter(pc.invert(t["_b"])), t.filter(t["_b"])
+            numbers = lambda t, n: t[n].to_numpy()
+            sign = 1 if (t["_x"][0].as_py() == "_xl") == (t["_y"][0].as_py() == "_yl") else -1
+            got = sign * sums_below(numbers(p, "_u"), numbers(p, "_v"), [numbers(p, n) for n in total], numbers(q, "_u"), numbers(q, "_v"))[1:]
+            return pa.table([*(q[n] for n in cell), *map(pa.array, got)], [*cell, *total])
+
+        counted = cells.groupBy(*keys, "_x", "_y").applyInArrow(before, StructType([*(cells.schema[n] for n in cell), *(StructField(n, LongType()) for n in total)]))
+        found = some.join(large, list(keys), "left_anti").groupBy(*keys).applyInArrow(run, sums)
+        found = found.unionByName(within.groupBy(*keys, "_side", "_part").applyInArrow(run, sums))
+        found = found.unionByName(corner.where("_b").select(*cell, "_id").join(counted, cell).select("_id", *total))
+    if odd:
+        ends_before = lambda c, strict: (c["x"] + c["w"] < c["x"]) | (c["y"] + c["h"] < c["y"]) if strict else (c["x"] + c["w"] <= c["x"]) | (c["y"] + c["h"] <= c["y"])
+        of_a, of_b = a.select(*keys, a_box, *own), b.select(*keys, b_box, F.col(id).alias("_id"))
+        flat, turned = ends_before(F.col(b_box), False), ends_before(F.col(a_box), True)
+        pairs = box_pairs(of_a, of_b.where(flat), keys, a_box, b_box, size).unionByName(box_pairs(of_a.where(turned), of_b.where(~flat), keys, a_box, b_box, size))
+        found = found.unionByName(pairs.select("_id", F.lit(1).cast("long").alias(total[0]), *total[1:]))
+    out = found.groupBy("_id").agg(*(F.sum(n).alias(n) for n in total)).where(F.col(total[0]) > 0)
+    return out.select(F.col("_id").alias(id), F.col(total[0]).alias("n"), *(F.col(t).alias(n) for t, n in zip(total[1:], names)))
+
+
 def topmost_box(points: DataFrame, boxes: DataFrame, keys: Sequence[str], point: Sequence[str], box: str, z: str, id: str, size: float, into: str = "hit") -> DataFrame:
     """Each point with the id of the topmost box (largest z) that holds it, edges included; null if none does. points: a column `point_id`."""
     x, y = map(F.col, point)
