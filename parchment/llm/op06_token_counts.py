@@ -7,9 +7,11 @@ and none of its matches spans any, so the lengths of the pre-tokens add up to th
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +31,40 @@ def worker_memo(key, make):
     return _WORKER[key]
 
 
+def byte_sizes(tok) -> np.ndarray | None:
+    """How many bytes of a text each token of a byte-level file stands for; None for other files."""
+    told = json.loads(tok.to_str())
+    split = told["pre_tokenizer"] or {}
+    if "ByteLevel" not in {p.get("type") for p in (split, *split.get("pretokenizers", ()))} or told["model"].get("continuing_subword_prefix"):
+        return None
+    suffix, added = told["model"].get("end_of_word_suffix") or "", {t["id"]: len(t["content"].encode()) for t in told["added_tokens"]}
+    sizes = np.zeros(1 + max((*tok.get_vocab().values(), 0)), np.int64)
+    for token, i in tok.get_vocab().items():
+        sizes[i] = added.get(i, len(token.removesuffix(suffix) if suffix else token))
+    return sizes
+
+
+def encoded_together(words: list[str], alone, normalizer, sizes: np.ndarray) -> list[list[int]]:
+    """Ids of words, for a file whose tokens never span white space: as one text of many words, which the bytes of its tokens part again. Where these
+    do not add up to the words as the file normalizes them, and for words that hold white space of another kind, each word is encoded alone."""
+    out: dict[str, list[int]] = {}
+    plain = [w for w in words if len(w.split()) == 1]
+    for kind in ([w for w in plain if w.isascii()], [w for w in plain if not w.isascii()]):
+        for at in range(0, len(kind), 512):
+            some = kind[at : at + 512]
+            text = " ".join(some)
+            read = some if normalizer is None or text.isascii() else normalizer.normalize_str(text).split(" ")
+            ids, want = alone([text])[0], np.cumsum([len(w.encode()) for w in read])
+            ends = np.cumsum(sizes[ids])
+            cuts = np.searchsorted(ends, want)
+            if len(read) == len(some) and len(ends) and ends[-1] == want[-1] and (ends[cuts] == want).all():
+                cuts = (cuts + 1).tolist()
+                out.update((w, ids[a:b]) for w, a, b in zip(some, [0, *cuts], cuts))
+    left = [w for w in words if w not in out]
+    out.update(zip(left, alone(left)))
+    return [out[w] for w in words]
+
+
 def encoder(path: str):
     """A function from a list of byte strings to lists of token ids; one tokenizer per worker and file."""
     if path not in _WORKER:
@@ -46,7 +82,10 @@ def encoder(path: str):
             tok = Tokenizer.from_file(path)
             tok.no_truncation()
             tok.no_padding()
-            _WORKER[path] = lambda texts: [e.ids for e in tok.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+            alone = lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+            sizes = None if reading(path).whole else byte_sizes(tok)
+            encode = alone if sizes is None else lambda texts: encoded_together(texts, alone, tok.normalizer, sizes)
+            _WORKER[path] = lambda texts: encode([t.decode("utf-8", "replace") for t in texts])
     return _WORKER[path]
 
 
