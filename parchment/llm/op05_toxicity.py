@@ -10,10 +10,12 @@ import re
 import uuid
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,15 +137,19 @@ def fit_ordinal(texts: list[bytes], grades: list[int], most: int = 6_000, least:
     return OrdinalModel(index, theta[: len(kept)], cuts)
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, rows: int, text_bytes: int, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> list[tuple[bytes, int]]:
-    """At most `rows` labelled documents of at most `text_bytes` bytes each, those with the smallest hash of their id. Rows without id or
+def labelled_rows(docs: DataFrame, labels: DataFrame, rows: int, text_bytes: int, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> DataFrame:
+    """(k, y, t) of at most `rows` labelled documents of at most `text_bytes` bytes each, those with the smallest hash of their id. Rows without id or
     label are left out; an id with several labels counts as toxic if one says so; of several texts of an id the smallest is used. Labels without such
     a document take no place in the sample."""
     told = labels.where(F.col(doc_id).isNotNull() & F.col(toxic).isin(0, 1)).groupBy(F.col(doc_id).alias("k")).agg(F.max(F.col(toxic).cast("int")).alias("y"))
     short = docs.select(F.col(doc_id).alias("k"), as_bytes(text).alias("t")).where(F.octet_length("t") <= text_bytes)
     few = told.join(short.select("k"), "k", "left_semi").orderBy(F.xxhash64("k"), "k").limit(rows)
-    got = short.join(F.broadcast(few), "k").groupBy("k", "y").agg(F.min("t").alias("t"))
-    return [(bytes(r.t), r.y) for r in sorted(got.collect(), key=lambda r: r.k)]
+    return short.join(F.broadcast(few), "k").groupBy("k", "y").agg(F.min("t").alias("t"))
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, rows: int, text_bytes: int) -> list[tuple[bytes, int]]:
+    """labelled_rows() in order of k, on the driver."""
+    return [(bytes(r.t), r.y) for r in sorted(labelled_rows(docs, labels, rows, text_bytes).collect(), key=lambda r: r.k)]
 
 
 def severity_grades(texts: list[bytes], toxic: list[int]) -> list[int]:
@@ -163,12 +169,24 @@ def severity_grades(texts: list[bytes], toxic: list[int]) -> list[int]:
     return [(1 + (r > low) + (r > high)) if y else 0 for r, y in zip(rate, toxic, strict=True)]
 
 
+def fitted(batches) -> Iterator[pa.RecordBatch]:
+    """One row with the model of all rows (k, y, t), taken in order of k."""
+    got = sorted(((k, y, t) for b in batches for k, y, t in zip(*(b.column(n).to_pylist() for n in ("k", "y", "t")))), key=lambda r: r[0])
+    texts, toxic = [t for _, _, t in got], [y for _, y, _ in got]
+    model = fit_ordinal(texts, severity_grades(texts, toxic))
+    columns = [pa.array([c], t) for c, t in zip((list(model.index), model.weights, model.thresholds), (pa.list_(pa.string()), pa.list_(pa.float64()), pa.list_(pa.float64())))]
+    yield pa.RecordBatch.from_arrays(columns, ["names", "weights", "thresholds"])
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = 6_000, text_bytes: int = 65_536) -> OrdinalModel:
-    """The model from at most `rows` labelled documents of at most `text_bytes` bytes (documented bounds of the sample it is fitted on:
-    the driver holds their texts). Documents of any length are scored whole."""
-    got = labelled_texts(docs, labels, rows, text_bytes)
-    texts, toxic = [t for t, _ in got], [y for _, y in got]
-    return fit_ordinal(texts, severity_grades(texts, toxic))
+    """The model from at most `rows` labelled documents of at most `text_bytes` bytes (documented bounds of the sample it is fitted on: one task holds their
+    texts; the driver gets features, weights and thresholds). Documents of any length are scored whole."""
+    sample = labelled_rows(docs, labels, rows, text_bytes).repartition(1)
+    found = sample.mapInArrow(fitted, "names array<string>, weights array<double>, thresholds array<double>").collect()
+    if not found:  # no partition at all
+        return fit_ordinal([], [])
+    names, weights, thresholds = found[0]
+    return OrdinalModel({f: i for i, f in enumerate(names)}, np.array(weights, dtype=float), np.array(thresholds, dtype=float))
 
 
 def expected_severity(docs: DataFrame, model: OrdinalModel, text: str = "text", into: str = "severity", at: float = 0.5) -> DataFrame:
