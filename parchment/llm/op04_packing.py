@@ -4,9 +4,7 @@ multiplicative weights with knapsack dynamic programming as pricing, rounded dow
 
 from __future__ import annotations
 
-import sys
 import zlib
-from array import array
 from collections import Counter
 
 import numpy as np
@@ -15,10 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from parchment.llm.op06_token_counts import as_bytes, encoder, learn, pretokens, reading, worker_memo
+from parchment.llm.op06_token_counts import as_bytes, encoder, looked_up, reading, worker_memo
 from parchment.llm.shared import Memo, cut, portions
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), by falling length
+#: Pre-tokens whose ids a worker remembers: about 200 bytes each.
+MEMO = 500_000
 
 
 def _price(lengths: np.ndarray, price: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,12 +107,10 @@ def pack_histogram(histogram: dict[int, int], room: int) -> list[tuple[Pattern,
     return out + [(p, t) for c in open_bins.values() for p, t in c.items()]
 
 
-def packed_ids(ids: list[int]) -> bytes:
-    """Unsigned little-endian 32-bit numbers."""
-    out = array("I", ids)
-    if sys.byteorder == "big":
-        out.byteswap()
-    return out.tobytes()
+def packed_ids(ids: list[int], ends: np.ndarray) -> list[bytes]:
+    """Ids of words that end at `ends`, as unsigned little-endian 32-bit numbers."""
+    data, cuts = np.array(ids, "<u4").tobytes(), (4 * ends).tolist()
+    return [data[a:b] for a, b in zip([0, *cuts], cuts)]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", room: int = 2048, end: int = 0) -> DataFrame:
@@ -121,22 +119,17 @@ def token_pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
 
     def pieces(batches):
         encode = encoder(tokenizer)
-        ids = worker_memo(("ids", tokenizer), lambda: Memo(None))
-        tail = packed_ids([end])
+        ids = worker_memo(("ids", tokenizer), lambda: Memo(None, MEMO))
+        tail = np.array([end], "<u4").tobytes()
         for batch in portions(batches, 1):
             out: list[list] = [[], [], [], [], []]
-            for key, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = pretokens(data.as_py(), how)
-                parts = list(map(packed_ids, encode(words))) if how.whole and words else list(map(ids.get, words))
-                if None in parts:
-                    learn(ids, [w for w, p in zip(words, parts, strict=True) if p is None], encode, packed_ids, how.fold)
-                    parts = map(ids.__getitem__, words)
-                packed = b"".join([*parts, tail])
+            keys = batch.column(0).to_pylist()
+            for row, parts in looked_up(batch, 1, how, ids, ids, encode, packed_ids):
+                packed, key = b"".join([*parts, tail]), keys[row]
                 for k, at in enumerate(range(0, len(packed), 4 * room)):
                     part = packed[at : at + 4 * room]
                     for column, value in zip(out, (key, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
                         column.append(value)
-                ids.trim()
             kinds = (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 

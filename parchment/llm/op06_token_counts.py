@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import json
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parchment.llm.shared import Memo, portions
+from parchment.operators.page_index import slices, text_bytes
 
+#: Bytes of text whose unknown pre-tokens are encoded together.
+TOGETHER = 1 << 20
 _WORKER: dict = {}
 
 
@@ -44,29 +49,44 @@ def byte_sizes(tok) -> np.ndarray | None:
     return sizes
 
 
-def encoded_together(words: list[str], alone, normalizer, sizes: np.ndarray) -> list[list[int]]:
+def id_lists(ids: list[int], ends: np.ndarray) -> list[list[int]]:
+    """Ids of words that end at `ends`."""
+    cuts = ends.tolist()
+    return [ids[a:b] for a, b in zip([0, *cuts], cuts)]
+
+
+def id_counts(ids: list[int], ends: np.ndarray) -> list[int]:
+    """How many ids words have that end at `ends`."""
+    return np.diff(ends, prepend=0).tolist()
+
+
+def encoded_together(words: list[str], alone, normalizer, sizes: np.ndarray, form=id_lists) -> list:
     """Ids of words, for a file whose tokens never span white space: as one text of many words, which the bytes of its tokens part again. Where these
-    do not add up to the words as the file normalizes them, and for words that hold white space of another kind, each word is encoded alone."""
+    do not add up to the words as the file normalizes them, and for words that hold white space of another kind, each word is encoded alone.
+    form(ids, ends) gives what is returned for words, many at a time."""
     out: dict[str, list[int]] = {}
-    plain = [w for w in words if len(w.split()) == 1]
-    for kind in ([w for w in plain if w.isascii()], [w for w in plain if not w.isascii()]):
+    for kind in ([w for w in words if w.isascii()], [w for w in words if not w.isascii()]):
         for at in range(0, len(kind), 512):
             some = kind[at : at + 512]
             text = " ".join(some)
+            if text.split() != some:
+                some = [w for w in some if len(w.split()) == 1]
+                text = " ".join(some)
             read = some if normalizer is None or text.isascii() else normalizer.normalize_str(text).split(" ")
-            ids, want = alone([text])[0], np.cumsum([len(w.encode()) for w in read])
+            if not some or len(read) != len(some):
+                continue
+            ids, want = alone([text])[0], np.cumsum([*map(len, read if text.isascii() else map(str.encode, read))])
             ends = np.cumsum(sizes[ids])
             cuts = np.searchsorted(ends, want)
-            if len(read) == len(some) and len(ends) and ends[-1] == want[-1] and (ends[cuts] == want).all():
-                cuts = (cuts + 1).tolist()
-                out.update((w, ids[a:b]) for w, a, b in zip(some, [0, *cuts], cuts))
+            if len(ends) and ends[-1] == want[-1] and (ends[cuts] == want).all():
+                out.update(zip(some, form(ids, cuts + 1)))
     left = [w for w in words if w not in out]
-    out.update(zip(left, alone(left)))
+    out.update(zip(left, (form(ids, np.array([len(ids)]))[0] for ids in alone(left))))
     return [out[w] for w in words]
 
 
 def encoder(path: str):
-    """A function from a list of byte strings to lists of token ids; one tokenizer per worker and file."""
+    """A function from a list of byte strings to lists of token ids, or what `form` makes of them; one tokenizer per worker and file."""
     if path not in _WORKER:
         import os
 
@@ -75,7 +95,7 @@ def encoder(path: str):
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
-            _WORKER[path] = lambda texts: model.encode([t.decode("utf-8", "replace") for t in texts], num_threads=1)
+            alone, sizes = (lambda texts: model.encode(texts, num_threads=1)), None
         else:
             from tokenizers import Tokenizer
 
@@ -84,8 +104,14 @@ def encoder(path: str):
             tok.no_padding()
             alone = lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
             sizes = None if reading(path).whole else byte_sizes(tok)
-            encode = alone if sizes is None else lambda texts: encoded_together(texts, alone, tok.normalizer, sizes)
-            _WORKER[path] = lambda texts: encode([t.decode("utf-8", "replace") for t in texts])
+
+        def encode(texts: list[bytes], form=id_lists) -> list:
+            said = [t.decode("utf-8", "replace") for t in texts]
+            if sizes is not None:
+                return encoded_together(said, alone, tok.normalizer, sizes, form)
+            return [form(ids, np.array([len(ids)]))[0] for ids in alone(said)]
+
+        _WORKER[path] = encode
     return _WORKER[path]
 
 
@@ -131,8 +157,8 @@ def pretokens(text: bytes, how: Reading) -> list[bytes]:
     return [w if w.isascii() else o for w, o in zip(low.split(), text.split(), strict=True)]
 
 
-def learn(known: Memo, words, encode, value, fold: bool) -> None:
-    """Add the words that `known` lacks. value(ids) must be additive: a word that ends in a single full stop or comma after a
+def learn(known: Memo, words, encode, form, fold: bool) -> None:
+    """Add the words that `known` lacks. What `form` gives must be additive: a word that ends in a single full stop or comma after a
     letter is the sum of both, as punctuation is a pre-token of its own."""
     new = {w for w in words if w not in known}
     if not new:
@@ -141,11 +167,33 @@ def learn(known: Memo, words, encode, value, fold: bool) -> None:
     ask = list({w[:-1] for w in split if w[:-1] not in known} | {p for p in (b".", b",") if split and p not in known} | new.difference(split))
     for at in range(0, len(ask), 4096):
         part = ask[at : at + 4096]
-        known.update(zip(part, map(value, encode(part)), strict=True))
+        known.update(zip(part, encode(part, form), strict=True))
     for w in split:
         known[w] = known[w[:-1]] + known[w[-1:]]
 
 
+def looked_up(batch: pa.RecordBatch, column: int, how: Reading, first: dict, known: Memo, encode, form) -> Iterator[tuple[int, list]]:
+    """For each text of a column its row, and what `form` gives for its pre-tokens, as `first` or `known` have it. What both lack is learned for a
+    megabyte of texts at a time."""
+    row = 0
+    for some in slices(batch, text_bytes(batch.column(column)), TOGETHER):
+        texts = [pretokens(t.as_py(), how) for t in some.column(column)]
+        words = list(chain.from_iterable(texts))
+        if how.whole:
+            parts = encode(words, form)
+        else:
+            parts = list(map(first.get, words))
+            gaps = [k for k, p in enumerate(parts) if p is None]
+            learn(known, [words[k] for k in gaps], encode, form, how.fold)
+            for k in gaps:
+                parts[k] = known[words[k]]
+            known.trim()
+        at = 0
+        for text in texts:
+            yield row, parts[at : at + len(text)]
+            row, at = row + 1, at + len(text)
+
+
 def as_bytes(column: str) -> Column:
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
 
@@ -201,18 +249,7 @@ def token_counts(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
         encode = encoder(tokenizer)
         tier, rest = table.value, worker_memo(("lengths", tokenizer), lambda: Memo(None))
         for batch in portions(batches, 2):
-            out = []
-            for text in batch.column(2):
-                text = text.as_py()
-                if how.whole:
-                    out.append(len(encode([text])[0]) if text else 0)
-                    continue
-                words = pretokens(text, how)
-                counts = list(map(tier.get, words))
-                misses = [w for w, n in zip(words, counts, strict=True) if n is None]
-                learn(rest, misses, encode, len, how.fold)
-                out.append(sum(filter(None, counts)) + sum(map(rest.__getitem__, misses)))
-                rest.trim()
+            out = [sum(parts) for _, parts in looked_up(batch, 2, how, tier, rest, encode, id_counts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
